@@ -4,16 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pulsegrid.llm import bpe, decontaminate, near_dedup, ordinal_quality, secret_scan
 from pulsegrid.llm.common import Workspace, read
-from pulsegrid.llm.near_dedup import keep_one
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay whose probability of the best grade, by the ordinal classifier, is high enough."""
+    ratings = ordinal_quality.graded(read(spark, sf_dir, "labels"))
+    return ordinal_quality.select(docs, ratings).where("keep").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return keep_one(docs)
+    return near_dedup.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold the question and the answer of a benchmark item go."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are replaced by a mark; all documents stay."""
+    return secret_scan.redact(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and digests of the ids and of the text that they decode to."""
+    import public_tokenizers
+
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [
+    ("quality classifier", quality),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secrets),
+    ("BPE encoding and decoding", tokens),
+]
 
 #: SQL can't express the stages; tests compare them with brute force.
 ORACLE_SQL = None

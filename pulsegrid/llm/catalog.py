@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import bpe, decontaminate, near_dedup, ordinal_quality, secret_scan, sharding
 
 QUERIES = {
+    "op1_histogram_shards": sharding.op1_histogram_shards,
+    "op2_secret_scan": secret_scan.op2_secret_scan,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op6_ordinal_quality": ordinal_quality.op6_ordinal_quality,
+    "op8_bpe": bpe.op8_bpe,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
