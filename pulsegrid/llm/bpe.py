@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import words
 from .common import read
 
@@ -221,6 +222,7 @@ def encode(docs: DataFrame, tokenizer: str, column: str = "text", ids: bool = Tr
     are replaced; all others pass through.
     """
     docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", "ids")
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(tokenizer))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(_encode(shared, column, ids), f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
@@ -228,6 +230,7 @@ def encode(docs: DataFrame, tokenizer: str, column: str = "text", ids: bool = Tr
 
 def decode(rows: DataFrame, tokenizer: str, column: str = "ids") -> DataFrame:
     """rows with a column decoded: the text of an array of ids; a null array gives a null."""
+    ship(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(load_vocabulary(tokenizer).token_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

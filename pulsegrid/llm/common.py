@@ -8,11 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: A table of ids may be broadcast up to this many rows (8 bytes each); beyond, Spark joins by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -30,6 +33,7 @@ class Workspace:
     """Tables written to the shared folder: they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/work-{uuid.uuid4().hex}"
         self._n = 0

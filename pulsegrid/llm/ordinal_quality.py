@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import words
 from .common import Workspace, read
 
@@ -226,6 +227,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     docs = docs.drop("expected_grade", "p_best")
     if model is None:
         return docs.withColumn("expected_grade", F.lit(None).cast("double")).withColumn("p_best", F.lit(None).cast("double"))
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model.weights)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(_score(shared, model.thresholds), f"{schema}, expected_grade double, p_best double")
