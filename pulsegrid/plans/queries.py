@@ -610,10 +610,10 @@ def marker_pairs(spark, sf_dir):
     return found.select("frame", "marker_i", "marker_j", r6(F.col("theta")).alias("theta"), r6(F.col("phi")).alias("phi"), (F.round("dist", 5) + F.lit(0.0)).alias("dist"))
 
 
-@query(f"WITH {POS}, u AS (SELECT f, m, x, y, z FROM ps UNION ALL SELECT f, 0, AVG(x), AVG(y), AVG(z) FROM ps WHERE m <= 4 GROUP BY f) SELECT f AS frame, CAST(m AS INTEGER) AS marker, ROUND(x, 8) + 0.0 AS x, ROUND(y, 8) + 0.0 AS y, ROUND(z, 8) + 0.0 AS z FROM u")
+@query(f"WITH {POS}, u AS (SELECT f, m, x, y, z FROM ps UNION ALL SELECT f, 0, AVG(x), AVG(y), AVG(z) FROM ps WHERE m <= 4 GROUP BY f) SELECT f AS frame, CAST(m AS INTEGER) AS marker, ROUND(x, 10) + 0.0 AS x, ROUND(y, 10) + 0.0 AS y, ROUND(z, 10) + 0.0 AS z FROM u")
 def virtual_markers(spark, sf_dir):
     found = kinematics.add_centre(_markers(spark, sf_dir), ["frame"], 0, [1, 2, 3, 4])
-    return found.select("frame", F.col("marker").cast("int").alias("marker"), *((F.round(d, 8) + F.lit(0.0)).alias(d) for d in "xyz"))
+    return found.select("frame", F.col("marker").cast("int").alias("marker"), *((F.round(d, 10) + F.lit(0.0)).alias(d) for d in "xyz"))
 
 
 @query(
