@@ -156,17 +156,17 @@ def _share(trees: Column, x: Column) -> Column:
     return F.aggregate(F.transform(trees, leaf), F.lit(0.0), lambda a, b: a + b) / F.size(trees)
 
 
-def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5, path: str = "source") -> DataFrame:
-    """docs with a column findings: array of (start, stop, value, score, secret) in the order of the text.
+def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5, path: str = "source", output: str = "findings") -> DataFrame:
+    """docs with a column `output`: array of (start, stop, value, score, secret) in the order of the text.
 
     start and stop count code points from 0, stop exclusive. secret holds where the forest's share is
     over `threshold`. A null or empty text has an empty array. findings: labelled findings to train on
-    instead of the built-in ones. A column named findings is replaced; without a column `path` the path is empty.
+    instead of the built-in ones. A column of that name is replaced; without a column `path` the path is empty.
     """
     trees = forest(fit(labelled_findings(docs.sparkSession) if findings is None else findings))
     where = F.col(path).cast("string") if path in docs.columns else F.lit("")
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.drop("findings")
+    docs = docs.drop(output)
     values = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     gaps = F.split(text, CANDIDATE, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string,before:string,after:string>>").alias("out"))
@@ -188,13 +188,13 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
     placed = F.aggregate(F.sequence(F.lit(0), F.size("_values") - 1), start, place)["out"]
     placed = F.when(F.size("_values") > 0, placed).otherwise(start["out"])
     with_x = F.transform(placed, lambda c: F.struct(c["start"].alias("start"), c["value"].alias("value"), F.array(*_features(c["value"], c["before"], c["after"], where)).alias("x")))
-    return out.withColumn("findings", F.transform(with_x, judge)).drop("_values", "_gaps")
+    return out.withColumn(output, F.transform(with_x, judge)).drop("_values", "_gaps")
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each secret in text replaced by MARK; n_chars, where there is one, follows the text."""
-    scanned = scan(docs)
-    secrets = F.reverse(F.filter("findings", lambda c: c["secret"]))
+    scanned = scan(docs, output="_findings")
+    secrets = F.reverse(F.filter("_findings", lambda c: c["secret"]))
     cut = lambda text, c: F.concat(F.substring(text, F.lit(1), c["start"]), F.lit(MARK), F.substr(text, c["stop"] + 1))
     out = scanned.withColumn("text", F.when(F.size(secrets) > 0, F.aggregate(secrets, F.col("text"), cut)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
