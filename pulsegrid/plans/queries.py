@@ -779,5 +779,83 @@ def session_names(spark, sf_dir):
     return ev.select("event_id", text.parse_session_name(name).alias("p")).select("event_id", "p.source", "p.user", "p.subject", "p.date")
 
 
+# Kernels, models and streams
+
+
+def _channels(spark, sf_dir):
+    return b.samples(spark, sf_dir).select("session", "idx", "value")
+
+
+@query(None)
+def filtered_signal(spark, sf_dir):
+    from ..operators import signal
+
+    return signal.filtered(_channels(spark, sf_dir), 0.1, 1.0, ["session"])
+
+
+@query(None)
+def signal_phase(spark, sf_dir):
+    from ..operators import signal
+
+    return signal.phase(_channels(spark, sf_dir), (0.05, 0.2), 1.0, ["session"])
+
+
+@query(None)
+def signal_spectrogram(spark, sf_dir):
+    from ..operators import signal
+
+    return signal.spectrogram(_channels(spark, sf_dir), 1.0, ["session"], 128, 64)
+
+
+@query(None)
+def resampled_signal(spark, sf_dir):
+    from ..operators import signal
+
+    return signal.resampled(_channels(spark, sf_dir), 1.0, 0.5, ["session"])
+
+
+@query(None)
+def hidden_states(spark, sf_dir):
+    from ..operators import models
+
+    rows = b.events(spark, sf_dir).select("user_id", "us", F.log1p("value").alias("value"))
+    return models.hmm_states(rows, 2, ("user_id",), "us")
+
+
+@query(None)
+def classifier_ensemble(spark, sf_dir):
+    from pyspark.ml.functions import array_to_vector
+
+    from ..operators import models
+
+    rows = b.read(spark, sf_dir, "embeddings").select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    found = models.predict_ensemble(models.train_ensemble(rows, "features", "label", "forest", 3), rows)
+    return found.select("vec_id", "label", F.col("prediction").cast("int").alias("prediction"))
+
+
+@query("SELECT STRFTIME(ts, '%Y-%m-%d') AS day, event_type AS unit, COUNT(*) AS n FROM events GROUP BY 1, 2")
+def streaming_rates(spark, sf_dir):
+    from ..session import work_folder
+    from ..streaming import online
+
+    schema = b.read(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("unit"))
+    folder = work_folder(spark)
+    # Windows of an hour fit any time zone; days are summed from them.
+    hours = online.run_to_end(online.rates(stream, "1 hour", "1 day"), f"{folder}/out", f"{folder}/state", "complete")
+    return hours.groupBy(F.date_format("start", "yyyy-MM-dd").alias("day"), "unit").agg(F.sum("n").alias("n"))
+
+
+@query(f"WITH {b.EV}, {b.SAMPLES}, r AS (SELECT session, idx, idx - ROW_NUMBER() OVER (PARTITION BY session ORDER BY idx) AS g FROM sm WHERE value > 40), e AS (SELECT session, MAX(idx) AS last FROM sm GROUP BY session) SELECT p.session, p.start, p.stop FROM (SELECT session, MIN(idx) AS start, MAX(idx) + 1 AS stop FROM r GROUP BY session, g) p JOIN e ON e.session = p.session WHERE p.stop <= e.last")
+def streaming_crossings(spark, sf_dir):
+    from ..session import work_folder
+    from ..streaming import online
+
+    folder = work_folder(spark)
+    _channels(spark, sf_dir).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("session int, idx long, value double").parquet(f"{folder}/in")
+    return online.run_to_end(online.crossings(stream, 40.0), f"{folder}/out", f"{folder}/state")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state_expression(spark, sf_dir)

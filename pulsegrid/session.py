@@ -24,3 +24,11 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.join("pulsegrid", os.path.relpath(full, root)))
     sc.addPyFile(path)
     sc._pulsegrid_shipped = True
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; where that is unset (local tests), under one of this process."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
+    return f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"

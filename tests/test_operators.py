@@ -178,7 +178,7 @@ def test_text_files(spark, tmp_path):
 
 
 def test_streaming(spark, sf_dir, tmp_path):
-    source = f"{sf_dir}/events.parquet"
+    source = f"{sf_dir}/events*.parquet"
     schema = spark.read.parquet(source).schema
     stream = spark.readStream.schema(schema).parquet(source).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("unit"))
     got = online.run_to_end(online.rates(stream, "1 day", "2 days"), f"{tmp_path}/rates", f"{tmp_path}/c1", "complete")
