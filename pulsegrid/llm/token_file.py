@@ -32,12 +32,23 @@ ROWS = 256
 #: Documents of a file, and the most files.
 FILE_DOCS = 8192
 MOST_FILES = 1 << 16
-#: Words that a worker keeps.
-CACHE = 200_000
+#: Words that a worker keeps, and words that go to the library at a time.
+CACHE = 3_000_000
+CHUNK = 64
+#: Words between ASCII blanks, as they are.
+CASED = words.table(b"\x20\t\n\x0b\x0c\r", lower=False)
+#: ASCII marks but the apostrophe, which may begin a piece with letters.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 
 
 class WordEncoder:
-    """Encodes texts by a tokenizer that drops white space: each word between ASCII blanks by the library, once."""
+    """Encodes texts by a tokenizer that drops white space, cuts letters from marks and lower-cases.
+
+    Texts are cut at ASCII blanks, words are hashed to 64 bits together, and each distinct word goes to the library
+    once for a worker; its ids are kept in flat arrays sorted by hash. A word of letters is one piece for the
+    tokenizer, which ends with a token that ends a word, so such words are encoded many at a time, between blanks.
+    Marks at the end of a word that ends in an ASCII letter or digit are a piece of their own.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,34 +57,122 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[bytes, bytes] = {}
-
-    def batch(self, texts: list[bytes], end: int) -> list[bytes]:
-        """The ids of each text and the end id, as bytes of self.kind."""
-        found = [t.split() for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = list(set().union(*found).difference(self.known))
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            done = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for w, e in zip(part, done):
-                self.known[w] = np.array(e.ids, self.kind).tobytes()
-        last = np.array([end], self.kind).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, f)) + last for f in found]
+        vocab = self.library.get_vocab()
+        self.kind = np.uint16 if len(vocab) <= 1 << 16 else np.uint32
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, self.kind)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, pieces: list[bytes]) -> list[np.ndarray]:
+        texts = [w.decode("utf-8", "replace") for w in pieces]
+        plain, rest = [], []
+        for i, t in enumerate(texts):
+            (plain if t.isalpha() else rest).append(i)
+        out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(pieces)
+        chunks = [plain[i : i + CHUNK] for i in range(0, len(plain), CHUNK)]
+        for chunk, ids in zip(chunks, self._library([" ".join([texts[i] for i in c]) for c in chunks])):
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(chunk):  # a letter that the library doesn't take for one
+                rest += chunk
+                continue
+            for i, x in zip(chunk, np.split(ids, stops[:-1])):
+                out[i] = x
+        for i, ids in zip(rest, self._library([texts[i] for i in rest])):
+            out[i] = ids
+        return out
+
+    def _add(self, hashes: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        starts = len(self.flat) + np.cumsum(counts) - counts
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.start = np.insert(self.start, at, starts[order])
+        self.count = np.insert(self.count, at, counts[order])
+        self.flat = np.concatenate([self.flat, flat.astype(self.kind)])
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether known) of hashes."""
+        at = np.searchsorted(self.hashes, hashes)
+        inside = np.minimum(at, max(0, len(self.hashes) - 1))
+        return inside, (self.hashes[inside] == hashes) if len(self.hashes) else np.zeros(len(hashes), bool)
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of words at places, one after another."""
+        n = self.count[at]
+        ends = np.cumsum(n)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - (ends - n), n)]
+
+    def _learn(self, found: list[bytes], hashes: np.ndarray) -> None:
+        """Adds distinct words that aren't known yet."""
+        stems, marks = [], []
+        for w in found:
+            special = b"<|" in w
+            core = w if special else w.lower()
+            stem = core.rstrip(MARKS)
+            split = len(stem) < len(core) and stem and stem[-1] < 128 and not special and b"'" not in core
+            stems.append(stem if split else core)
+            marks.append(core[len(stem) :] if split else b"")
+        pieces = list({*stems, *marks} - {b""})
+        joined = b" ".join(pieces)
+        piece_hash, _, _ = words.hash_words(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]), CASED)
+        _, known = self._find(piece_hash)
+        new = np.flatnonzero(~known)
+        made = self._encode([pieces[i] for i in new])
+        self._add(piece_hash[new], np.array([len(x) for x in made], np.int64), np.concatenate(made) if made else self.flat[:0])
+        place = dict(zip(pieces, self._find(piece_hash)[0].tolist()))
+        _, known = self._find(hashes)
+        rest = np.flatnonzero(~known)
+        stem_at = np.array([place[stems[i]] for i in rest], np.int64)
+        mark_at = np.array([place.get(marks[i], -1) for i in rest], np.int64)
+        both = np.stack([stem_at, mark_at], axis=1).ravel()
+        counts = self.count[stem_at] + np.where(mark_at >= 0, self.count[mark_at], 0) if len(rest) else np.zeros(0, np.int64)
+        self._add(hashes[rest], counts, self._gather(both[both >= 0]))
+
+    def batch(self, body: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each followed by the end id; first id of each text and the total)."""
+        hashes, bounds, first = words.hash_words(body, offsets, CASED)
+        distinct, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) > CACHE:
+            self._forget()
+        _, known = self._find(distinct)
+        if not known.all():
+            begin = first[index[~known]]
+            breaks = np.union1d(np.flatnonzero(CASED[0][body]), offsets)
+            stop = breaks[np.searchsorted(breaks, begin, side="right")]
+            data = body.tobytes()
+            self._learn([data[i:j] for i, j in zip(begin.tolist(), stop.tolist())], distinct[~known])
+        at = self._find(distinct)[0][inverse]
+        ends = np.concatenate([[0], np.cumsum(self.count[at])])[bounds]
+        n = np.diff(ends)
+        out = np.empty(ends[-1] + len(n), self.kind)
+        text_of = np.repeat(np.arange(len(n)), n)
+        out[np.arange(ends[-1]) + text_of] = self._gather(at)
+        stops = ends[1:] + np.arange(len(n))
+        out[stops] = end
+        return out, np.concatenate([[0], stops + 1])
+
+
+#: Encoders of this process by path: a worker that is used again knows its words.
+_encoders: dict[str, WordEncoder] = {}
 
 
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
         for whole in batches:
             for batch in words.pieces(whole, "text", 8 << 20):
-                body, offsets = words.raw(batch.column(1))
-                data = body.tobytes()
-                ids = encoder.batch([data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], end)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary())], ["doc_id", "file", "ids"])
+                flat, at = encoder.batch(*words.raw(batch.column(1)), end)
+                size = (at * flat.itemsize).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(size), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), ids], ["doc_id", "file", "ids"])
 
     return run
 
