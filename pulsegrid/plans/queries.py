@@ -779,6 +779,169 @@ def session_names(spark, sf_dir):
     return ev.select("event_id", text.parse_session_name(name).alias("p")).select("event_id", "p.source", "p.user", "p.subject", "p.date")
 
 
+# Fields, behaviour, features
+
+GAUSS = "kn AS (SELECT CAST(k AS INTEGER) AS k, EXP(-0.5 * k * k) / SUM(EXP(-0.5 * k * k)) OVER () AS w FROM (SELECT UNNEST(RANGE(-4, 5)) AS k))"
+
+
+@query(
+    f"WITH {LI}, {OCC}, {GAUSS} SELECT o.unit, o.ix, o.iy, ROUND(v, 6) + 0.0 AS n_spikes FROM (SELECT unit, CAST(mp.ix + kx.k AS INTEGER) AS ix, CAST(mp.iy + ky.k AS INTEGER) AS iy, SUM(n_spikes * kx.w * ky.w) AS v FROM mp, kn kx, kn ky GROUP BY 1, 2, 3) o WHERE o.ix BETWEEN 0 AND 11 AND o.iy BETWEEN 0 AND 14"
+)
+def smoothed_spike_map(spark, sf_dir):
+    from ..operators import fields
+
+    counts = _rate_map_counts(spark, sf_dir)
+    return fields.smooth(counts, 1.0, 12, 15, "n_spikes").withColumn("n_spikes", r6(F.col("n_spikes")))
+
+
+def _rate_map_counts(spark, sf_dir):
+    li = b.read(spark, sf_dir, "lineitem").where("l_discount > 0.05")
+    rows = li.select(F.col("l_returnflag").alias("unit"), *(binning.bin_index(c, low, high, n).alias(k) for k, (c, low, high, n) in _axes().items()))
+    return rows.where("ix IS NOT NULL AND iy IS NOT NULL").groupBy("unit", "ix", "iy").agg(F.count("*").alias("n_spikes"))
+
+
+@query(
+    f"WITH {b.EV}, {b.SAMPLES}, t AS (SELECT session, COUNT(*) AS n FROM sm GROUP BY session), x AS (SELECT sm.session, idx, CAST(LEAST(FLOOR(value / 20), 7) AS INTEGER) AS a, event_type AS c, n FROM sm JOIN t ON t.session = sm.session), l AS (SELECT UNNEST([0, 1, 5]) AS lag), "
+    "pr AS (SELECT x.session, l.lag, x.a, y.c FROM x, l JOIN x y ON y.session = x.session AND y.idx = (x.idx + l.lag) % x.n), j AS (SELECT session, lag, a, c, COUNT(*) AS n FROM pr GROUP BY 1, 2, 3, 4), q AS (SELECT *, SUM(n) OVER (PARTITION BY session, lag) AS t, SUM(n) OVER (PARTITION BY session, lag, a) AS na, SUM(n) OVER (PARTITION BY session, lag, c) AS nc FROM j) "
+    "SELECT session, CAST(lag AS INTEGER) AS lag, ROUND(SUM(n / t * LOG2(n * t / (na * nc))), 6) + 0.0 AS mi FROM q GROUP BY session, lag"
+)
+def lagged_information(spark, sf_dir):
+    from ..operators import features
+
+    rows = b.samples(spark, sf_dir).select("session", "idx", F.least(F.floor(F.col("value") / 20).cast("int"), F.lit(7)).alias("a"), F.col("event_type").alias("c"))
+    return features.lagged_information(rows, [0, 1, 5], "a", "c").withColumn("mi", r6(F.col("mi")))
+
+
+@query(
+    f"WITH {b.EV}, {b.SAMPLES}, g AS (SELECT session, idx, CASE WHEN value >= 15 THEN value END AS v FROM sm), h AS (SELECT *, LAST_VALUE(CASE WHEN v IS NOT NULL THEN idx END IGNORE NULLS) OVER p AS pi, LAST_VALUE(v IGNORE NULLS) OVER p AS pv, FIRST_VALUE(CASE WHEN v IS NOT NULL THEN idx END IGNORE NULLS) OVER q AS qi, FIRST_VALUE(v IGNORE NULLS) OVER q AS qv FROM g WINDOW p AS (PARTITION BY session ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), q AS (PARTITION BY session ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) "
+    "SELECT session, idx, ROUND(COALESCE(v, CASE WHEN qi - pi <= 3 THEN pv + (idx - pi) / CAST(qi - pi AS DOUBLE) * (qv - pv) END), 6) + 0.0 AS value FROM h"
+)
+def fill_gaps_linear(spark, sf_dir):
+    from ..operators import behaviour
+
+    rows = b.samples(spark, sf_dir).select("session", "idx", F.when(F.col("value") >= 15, F.col("value")).alias("value"))
+    return behaviour.fill_linear(rows, 2).withColumn("value", r6(F.col("value")))
+
+
+@query(
+    f"WITH {POS}, w AS (SELECT m, ROW_NUMBER() OVER (PARTITION BY m ORDER BY f) - 1 AS idx, x, y, LAG(x) OVER (PARTITION BY m ORDER BY f) AS px, LAG(y) OVER (PARTITION BY m ORDER BY f) AS py FROM ps), v AS (SELECT m, idx, COALESCE(SQRT((x - px) * (x - px) + (y - py) * (y - py)) * 12, 0) AS v FROM w), "
+    "f AS (SELECT m, idx, COALESCE(CASE WHEN COUNT(*) OVER z = 5 THEN MEDIAN(v) OVER z END, 0) AS md FROM v WINDOW z AS (PARTITION BY m ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)), r AS (SELECT m, idx, idx - ROW_NUMBER() OVER (PARTITION BY m ORDER BY idx) AS g FROM f WHERE md > 400), "
+    "p AS (SELECT m, GREATEST(MIN(idx) - 1, 0) AS l, MAX(idx) AS r FROM r GROUP BY m, g) SELECT m AS marker, CAST(l AS BIGINT) AS \"left\", CAST(r AS BIGINT) AS \"right\" FROM p WHERE r - l > 5"
+)
+def movement_periods(spark, sf_dir):
+    from ..operators import behaviour
+
+    number = F.row_number().over(Window.partitionBy("marker").orderBy("frame")) - 1
+    return behaviour.moving(_markers(spark, sf_dir).withColumn("idx", number.cast("long")), 400.0, 120.0, 2, 5, ("marker",))
+
+
+@query(
+    f"WITH {POS}, s AS (SELECT m, f, x, y, COALESCE(LEAD(x) OVER w - x, x - LAG(x) OVER w) AS dx, COALESCE(LEAD(y) OVER w - y, y - LAG(y) OVER w) AS dy FROM ps WINDOW w AS (PARTITION BY m ORDER BY f)), c AS (SELECT * FROM (VALUES (1, 10.0, 20.0), (2, 40.0, 80.0)) v(unit, cx, cy)), "
+    "d AS (SELECT m, f, unit, SQRT((cx - x) * (cx - x) + (cy - y) * (cy - y)) AS d, ATAN2(cy - y, cx - x) - ATAN2(dy, dx) AS t FROM s, c WHERE dx IS NOT NULL), z AS (SELECT m, f, unit, d, CASE WHEN ABS(ATAN2(SIN(t), COS(t))) < 1.5707963267948966 THEN 1 ELSE -1 END AS sg FROM d) "
+    "SELECT m AS marker, f AS frame, CAST(unit AS INTEGER) AS unit, ROUND(d, 7) + 0.0 AS distance, ROUND(sg * d, 7) + 0.0 AS ddz, ROUND(sg * EXP(-d * d / 800.0), 7) + 0.0 AS gdz FROM z"
+)
+def zone_scores(spark, sf_dir):
+    from ..operators import fields
+
+    centres = spark.createDataFrame([(1, 10.0, 20.0), (2, 40.0, 80.0)], "unit int, cx double, cy double")
+    found = fields.zone_scores(_markers(spark, sf_dir).select("marker", "frame", "x", "y"), centres, ("marker",), "frame", 20.0).where("ddz IS NOT NULL")
+    return found.select("marker", "frame", "unit", *((F.round(c, 7) + F.lit(0.0)).alias(c) for c in ("distance", "ddz", "gdz")))
+
+
+@query(
+    f"WITH {POS}, t AS (SELECT p.f, p.x, p.y, q.x AS nx, q.y AS ny FROM ps p JOIN ps q ON q.f = p.f AND q.m = 2 WHERE p.m = 1), w AS (SELECT f, x, y, ATAN2(ny - y, nx - x) AS a FROM t) "
+    "SELECT f AS frame, ROUND((25 - x) * COS(a) + (50 - y) * SIN(a), 7) + 0.0 AS ahead, ROUND((50 - y) * COS(a) - (25 - x) * SIN(a), 7) + 0.0 AS \"left\" FROM w"
+)
+def egocentric_position(spark, sf_dir):
+    from ..operators import fields
+
+    rows = _markers(spark, sf_dir)
+    nose = rows.where("marker = 2").select("frame", F.col("x").alias("nose_x"), F.col("y").alias("nose_y"))
+    found = fields.egocentric(rows.where("marker = 1").join(nose, "frame"), F.lit(25.0), F.lit(50.0))
+    return found.select("frame", (F.round("ahead", 7) + F.lit(0.0)).alias("ahead"), (F.round("left", 7) + F.lit(0.0)).alias("left"))
+
+
+@query(
+    f"WITH {POS}, h AS (SELECT p.f, p.x AS bx, p.y AS by_, ATAN2(q.y - p.y, q.x - p.x) AS a FROM ps p JOIN ps q ON q.f = p.f AND q.m = 2 WHERE p.m = 1) SELECT ps.f AS frame, ps.m AS marker, ROUND((x - bx) * COS(a) + (y - by_) * SIN(a), 7) + 0.0 AS ahead, ROUND((y - by_) * COS(a) - (x - bx) * SIN(a), 7) + 0.0 AS \"left\" FROM ps JOIN h ON h.f = ps.f"
+)
+def body_frame(spark, sf_dir):
+    from ..operators import features
+
+    found = features.body_frame(_markers(spark, sf_dir), ["frame"], 1, 2).where("ahead IS NOT NULL")
+    return found.select("frame", "marker", (F.round("ahead", 7) + F.lit(0.0)).alias("ahead"), (F.round("left", 7) + F.lit(0.0)).alias("left"))
+
+
+@query(
+    f"WITH {POS}, y AS (SELECT f, m, ATAN2(y - 50, x - 25) AS yaw, LAG(ATAN2(y - 50, x - 25), 5) OVER (PARTITION BY m ORDER BY f) AS p FROM ps), d AS (SELECT f, yaw - p AS d FROM y WHERE p IS NOT NULL) "
+    "SELECT f AS frame, ROUND((SUM(COS(d)) * SUM(COS(d)) + SUM(SIN(d)) * SUM(SIN(d)) - COUNT(*)) / (COUNT(*) * (COUNT(*) - 1)), 6) + 0.0 AS ppc FROM d GROUP BY f HAVING COUNT(*) > 1"
+)
+def yaw_consistency(spark, sf_dir):
+    from ..operators import features
+
+    yaws = _markers(spark, sf_dir).withColumn("yaw", F.atan2(F.col("y") - 50, F.col("x") - 25))
+    return features.yaw_consistency(yaws, [], "frame").where("ppc IS NOT NULL").select("frame", r6(F.col("ppc")).alias("ppc"))
+
+
+@query("SELECT vec_id, ROUND(CAST(embedding[1] AS DOUBLE) * embedding[1], 6) + 0.0 AS a_a, ROUND(CAST(embedding[1] AS DOUBLE) * embedding[2], 6) + 0.0 AS a_c, ROUND(CAST(embedding[2] AS DOUBLE) * embedding[2], 6) + 0.0 AS c_c FROM embeddings")
+def quadratic_features(spark, sf_dir):
+    from ..operators import features
+
+    rows = b.read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("c"))
+    return features.quadratic(rows, ["a", "c"]).select("vec_id", *(r6(F.col(c)).alias(c) for c in ("a_a", "a_c", "c_c")))
+
+
+@query(
+    f"WITH {b.EV}, i AS (SELECT session, event_type AS unit, us - LAG(us) OVER (PARTITION BY session, event_type ORDER BY us, event_id) AS isi FROM ev), q AS (SELECT session, unit, COUNT(*) AS n_spikes, COALESCE(AVG(CASE WHEN isi IS NOT NULL THEN CASE WHEN isi < {5 * b.MINUTE} THEN 1.0 ELSE 0.0 END END), 0) AS c FROM i GROUP BY session, unit) "
+    "SELECT session, unit, n_spikes, ROUND(c, 6) + 0.0 AS contamination, c <= 0.03 AND n_spikes >= 100 AS single FROM q"
+)
+def single_units(spark, sf_dir):
+    from ..operators import recording
+
+    found = spikes.contamination(_trains(spark, sf_dir), 5 * b.MINUTE, ("session", "unit"))
+    return recording.quality_table(found, None, 0.03).select("session", "unit", "n_spikes", r6(F.col("contamination")).alias("contamination"), "single")
+
+
+@query(None)
+def field_patches(spark, sf_dir):
+    from ..operators import fields
+
+    return fields.patches(_rate_map(spark, sf_dir), 12, 15)
+
+
+@query(None)
+def bootstrapped_rate_maps(spark, sf_dir):
+    from ..operators import fields
+
+    li = b.read(spark, sf_dir, "lineitem")
+    marked = li.where("l_discount > 0.05").select(F.col("l_returnflag").alias("unit"), "l_quantity", "l_extendedprice")
+    rows = fields.bootstrap_rows(marked, 5).withColumn("unit", F.struct("unit", "iter"))
+    found = binning.rate_map(rows, li, _axes(), 120.0, 0.05)
+    return found.select("unit.unit", "unit.iter", "ix", "iy", "n_spikes", "occ", "rate")
+
+
+@query(None)
+def shuffled_positions(spark, sf_dir):
+    from ..operators import fields
+
+    return fields.shuffle_blocks(b.samples(spark, sf_dir).select("session", "idx", "value"), 50, ["value"], 1)
+
+
+@query(None)
+def training_samples(spark, sf_dir):
+    from ..operators import features
+
+    split = features.training_split(b.states(spark, sf_dir), 0.9, b.MINUTE).where("train").drop("train")
+    rows = rangejoin.points_in_periods(b.samples(spark, sf_dir).select("session", "idx", "us", "value"), split, b.HALF_HOUR, t="us")
+    return features.balanced(rows.select("session", "idx", "label", "value"), "label", 500)
+
+
+@query(None)
+def oscillation_periods(spark, sf_dir):
+    from ..operators import behaviour
+
+    return behaviour.oscillations(_channels(spark, sf_dir), (0.05, 0.2), 1.0, 2.0, 0.5, 1)
+
+
 # Kernels, models and streams
 
 
