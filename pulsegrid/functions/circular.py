@@ -97,3 +97,48 @@ def skew_kurtosis(df: DataFrame, angle: str, by: Sequence[str]) -> DataFrame:
         *by, skew.alias("skew"), (r2 * F.sin(turned) / F.pow(1 - r1, F.lit(1.5))).alias("skew0"),
         kurtosis.alias("kurtosis"), ((kurtosis - F.pow(r1, F.lit(4.0))) / F.pow(1 - r1, F.lit(2.0))).alias("kurtosis0"),
     )
+
+
+def kappa(x: Column) -> Column:
+    """Concentration of a sample, corrected below 15 angles; infinite where all angles are equal, null without any."""
+    n, r = F.count(x), resultant(x)
+    plain = F.when(r >= 1, F.lit(float("inf"))).otherwise(concentration(r))
+    return F.when(n > 1, F.when(plain == float("inf"), plain).otherwise(small_sample(plain, n, 14))).when(n == 1, plain)
+
+
+def bessel_i0(x: Column, terms: int = 30) -> Column:
+    """The modified Bessel function of order 0, by its series (for |x| up to about 20)."""
+    q = x * x / 4
+    out = F.lit(1.0)
+    for k in range(terms, 0, -1):
+        out = 1 + out * q / (k * k)
+    return out
+
+
+def von_mises(x: Column, mu: Column, kappa_: Column) -> Column:
+    """Density of a von Mises distribution."""
+    return F.exp(kappa_ * F.cos(x - mu)) / (2 * 3.141592653589793 * bessel_i0(kappa_))
+
+
+def median(df: DataFrame, angle: str, by: Sequence[str], bins: int = 720) -> DataFrame:
+    """(by, median): the direction of a diameter that halves the angles, on the side of their mean, to a bin's width.
+
+    Angles are counted in bins; for each bin the difference between the halves beside it follows from a running
+    sum around the circle, so the cost doesn't grow with the square of the angles.
+    """
+    from pyspark.sql import Window
+
+    width, half = 2 * 3.141592653589793 / bins, bins // 2
+    at = F.pmod(F.floor(axial(F.col(angle)) / width).cast("int"), F.lit(bins))
+    counts = df.groupBy(*by, at.alias("_b")).agg(F.count("*").alias("_n"), F.sum(F.cos(F.col(angle))).alias("_c"), F.sum(F.sin(F.col(angle))).alias("_s"))
+    total = counts.groupBy(*by).agg(F.sum("_n").alias("_t"), F.atan2(F.sum("_s"), F.sum("_c")).alias("_mean"))
+    grid = total.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(counts.select(*by, "_b", "_n"), [*by, "_b"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    twice = grid.withColumn("_b", F.explode(F.array(F.col("_b"), F.col("_b") + bins)))
+    ahead = F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(1, half - 1))
+    rows = twice.withColumn("_ahead", F.coalesce(ahead, F.lit(0))).where(F.col("_b") < bins)
+    behind = F.col("_t") - F.col("_ahead") - F.col("_n")
+    centre = (F.col("_b") + 0.5) * width
+    off_mean = F.abs(distance(centre, F.col("_mean")))
+    side = F.when(off_mean > 1.5707963267948966, wrap(centre + 3.141592653589793)).otherwise(wrap(centre))
+    scored = rows.withColumns({"_off": F.abs(F.col("_ahead") - behind), "_far": F.abs(distance(side, F.col("_mean"))), "_m": side})
+    return scored.groupBy(*by).agg(F.min_by("_m", F.struct("_off", "_far", "_m")).alias("median"))

@@ -141,3 +141,23 @@ def predict_ensemble(models: list, rows: DataFrame) -> DataFrame:
     mean: Column = F.transform(F.arrays_zip(*names), lambda p: sum((p[n] for n in names[1:]), p[names[0]]) / len(names))
     rows = rows.select(*keep, mean.alias("probability"))
     return rows.withColumn("prediction", (F.array_position("probability", F.array_max("probability")) - 1).cast("double"))
+
+
+def decode_position(counts: DataFrame, rates: DataFrame, centres: DataFrame, window: float, by: Sequence[str], sigma: float | None = None) -> DataFrame:
+    """(by, n_units, peak, com, local): greatest bin's centre, posterior mean, and the mean under a Gaussian of sigma around the greatest bin.
+
+    centres: (bin, x). Further axes are decoded by calling it with their centres; the scores are the same.
+    """
+    by = list(by)
+    prior = rates.groupBy("bin").agg((-F.sum(F.col("rate") + FLOOR) * window).alias("_p"))
+    rows = counts.join(F.broadcast(rates.select("unit", "bin", F.log(F.col("rate") + FLOOR).alias("_l"))), "unit")
+    score = rows.groupBy(*by, "bin").agg(F.sum(F.col("n") * F.col("_l")).alias("_s"), F.count_distinct("unit").alias("_u"))
+    score = score.join(F.broadcast(prior.join(centres, "bin")), "bin").withColumn("_s", F.round(F.col("_s") + F.col("_p"), 9))
+    w = Window.partitionBy(*by)
+    score = score.withColumn("_top", F.max("_s").over(w)).withColumn("_w", F.exp(F.col("_s") - F.col("_top")))
+    score = score.withColumn("_at", F.min_by("x", F.struct(-F.col("_s"), F.col("bin"))).over(w))
+    near = F.col("_w") * (F.exp(-(F.col("x") - F.col("_at")) * (F.col("x") - F.col("_at")) / (2 * sigma * sigma)) if sigma else F.lit(1.0))
+    out = score.withColumn("_near", near).groupBy(*by).agg(
+        F.max("_u").alias("n_units"), F.first("_at").alias("peak"), (F.sum(F.col("_w") * F.col("x")) / F.sum("_w")).alias("com"), (F.sum(F.col("_near") * F.col("x")) / F.sum("_near")).alias("local")
+    )
+    return out

@@ -178,3 +178,70 @@ def resampled(rows: DataFrame, source: float, target: float, by: Sequence[str])
         return out[[*by, "idx", "value"]]
 
     return rows.groupBy(*by).applyInPandas(run, f"{keys}, idx long, value double")
+
+
+def gaussian(rows: DataFrame, sigma: float, by: Sequence[str]) -> DataFrame:
+    """Each channel smoothed by a Gaussian of sigma rows, ends mirrored."""
+    r = int(4 * sigma + 0.5)
+    w = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    w /= w.sum()
+    return by_channel(rows, lambda x: np.convolve(np.pad(x, r, mode="symmetric"), w, mode="valid"), by)
+
+
+def boxcars(rows: DataFrame, width: int, times: int, by: Sequence[str]) -> DataFrame:
+    """Each channel averaged over `width` rows (odd), `times` times, ends mirrored."""
+    half = width // 2
+
+    def kernel(x: np.ndarray) -> np.ndarray:
+        for _ in range(times):
+            x = np.convolve(np.pad(x, half, mode="symmetric"), np.full(2 * half + 1, 1 / (2 * half + 1)), mode="valid")
+        return x
+
+    return by_channel(rows, kernel, by)
+
+
+def fir(rows: DataFrame, taps: int, cutoff: float, rate: float, by: Sequence[str]) -> DataFrame:
+    """Low-pass by a Hamming-windowed sinc of an odd number of taps, its delay taken out."""
+    n = taps | 1
+    t = np.arange(n) - n // 2
+    h = np.sinc(2 * cutoff / rate * t) * np.hamming(n)
+    h /= h.sum()
+    return by_channel(rows, lambda x: np.convolve(np.pad(x, n // 2, mode="edge"), h, mode="valid"), by)
+
+
+def coherence(rows: DataFrame, rate: float, by: Sequence[str], length: int = 256, step: int = 128, nw: float = 3.0) -> DataFrame:
+    """(by, ch1, ch2, freq, coherence, phase): multitaper coherence of channel pairs over all windows of rows (by, idx, ch, value).
+
+    All channels of one recording are one group.
+    """
+    ship(rows.sparkSession)
+    by = list(by)
+    tapers = slepian(length, nw, max(1, int(2 * nw) - 1))
+    freq = np.fft.rfftfreq(length, 1 / rate)
+    rows = rows.select(*by, "idx", F.col("ch").cast("int").alias("ch"), F.col("value").cast("double").alias("value"))
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in by)
+
+    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        wide = group.pivot(index="idx", columns="ch", values="value").sort_index()
+        x, names = wide.to_numpy(), wide.columns.to_list()
+        cross = np.zeros((len(names), len(names), len(freq)), complex)
+        for start in range(0, len(x) - length + 1, step):
+            piece = x[start : start + length]
+            f = np.fft.rfft((piece - piece.mean(axis=0)).T[:, None, :] * tapers, axis=2)
+            cross += np.einsum("akf,bkf->abf", f, f.conj())
+        parts = []
+        for i in range(len(names)):
+            for j in range(i + 1, len(names)):
+                power = np.sqrt(cross[i, i].real * cross[j, j].real)
+                parts.append(pd.DataFrame({"ch1": names[i], "ch2": names[j], "freq": freq, "coherence": np.abs(cross[i, j]) / np.maximum(power, 1e-300), "phase": np.angle(cross[i, j])}))
+        out = pd.concat(parts) if parts else pd.DataFrame({"ch1": [], "ch2": [], "freq": [], "coherence": [], "phase": []})
+        for name, value in zip(by, key):
+            out[name] = value
+        return out[[*by, "ch1", "ch2", "freq", "coherence", "phase"]].astype({"ch1": "int32", "ch2": "int32"})
+
+    return rows.groupBy(*by).applyInPandas(run, f"{keys}, ch1 int, ch2 int, freq double, coherence double, phase double")
+
+
+def spectrum(rows: DataFrame, rate: float, by: Sequence[str], **options) -> DataFrame:
+    """(by, freq, power): mean of the spectrogram over its windows."""
+    return spectrogram(rows, rate, by, **options).groupBy(*by, "freq").agg(F.avg("power").alias("power"))

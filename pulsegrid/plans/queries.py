@@ -731,6 +731,52 @@ def decode_posterior(spark, sf_dir):
     return found.select("session", "win", "best", r6(F.col("posterior")).alias("posterior"))
 
 
+DECODE = (
+    f"rt AS (SELECT CAST(LEAST(FLOOR(value / 20), 9) AS INTEGER) AS bin, event_type AS unit, COUNT(*) AS n FROM ev GROUP BY 1, 2), mp AS (SELECT g.bin, u.unit, COALESCE(rt.n, 0) / 100.0 + 0.001 AS r FROM (SELECT DISTINCT bin FROM rt) g CROSS JOIN (SELECT DISTINCT event_type AS unit FROM ev) u LEFT JOIN rt ON rt.bin = g.bin AND rt.unit = u.unit), "
+    f"cn AS (SELECT session, CAST(us // {360 * b.MINUTE} AS BIGINT) AS win, event_type AS unit, COUNT(*) AS k FROM ev GROUP BY 1, 2, 3), sc AS (SELECT cn.session, cn.win, mp.bin, SUM(cn.k * LN(mp.r)) AS s, COUNT(*) AS u FROM cn JOIN mp ON mp.unit = cn.unit GROUP BY 1, 2, 3), pr AS (SELECT bin, -SUM(r) * 0.008 AS p FROM mp GROUP BY bin), "
+    "lp AS (SELECT sc.session, sc.win, sc.bin, u, ROUND(s + p, 9) AS l FROM sc JOIN pr ON pr.bin = sc.bin)"
+)
+
+
+@query(
+    f"WITH {b.EV}, {DECODE}, tp AS (SELECT session, win, MAX(l) AS mx, MIN(-l) AS ml FROM lp GROUP BY 1, 2), pk AS (SELECT lp.session, lp.win, MIN(lp.bin) * 20.0 + 10 AS peak FROM lp JOIN tp ON tp.session = lp.session AND tp.win = lp.win AND lp.l = tp.mx GROUP BY 1, 2), "
+    "w AS (SELECT lp.session, lp.win, u, lp.bin * 20.0 + 10 AS x, EXP(l - mx) AS w, peak FROM lp JOIN tp ON tp.session = lp.session AND tp.win = lp.win JOIN pk ON pk.session = lp.session AND pk.win = lp.win) "
+    "SELECT session, win, MAX(u) AS n_units, MAX(peak) + 0.0 AS peak, ROUND(SUM(w * x) / SUM(w), 6) + 0.0 AS com, ROUND(SUM(w * x * EXP(-(x - peak) * (x - peak) / 1800.0)) / SUM(w * EXP(-(x - peak) * (x - peak) / 1800.0)), 6) + 0.0 AS local FROM w GROUP BY session, win"
+)
+def decode_position(spark, sf_dir):
+    from ..operators import models
+
+    ev = b.events(spark, sf_dir)
+    rates = ev.groupBy(F.least(F.floor(F.col("value") / 20).cast("int"), F.lit(9)).alias("bin"), F.col("event_type").alias("unit")).agg((F.count("*") / 100.0).alias("rate"))
+    centres = spark.range(10).select(F.col("id").cast("int").alias("bin"), (F.col("id") * 20.0 + 10).alias("x"))
+    counts = ev.groupBy("session", F.floor(F.col("us") / (360 * b.MINUTE)).cast("long").alias("win"), F.col("event_type").alias("unit")).agg(F.count("*").alias("n"))
+    found = models.decode_position(counts, models.dense_map(rates), centres, 0.008, ["session", "win"], 30.0)
+    return found.select("session", "win", "n_units", (F.col("peak") + F.lit(0.0)).alias("peak"), r6(F.col("com")).alias("com"), r6(F.col("local")).alias("local"))
+
+
+@query(
+    f"WITH {b.EV}, {THETA}, g AS (SELECT user_id, ATAN2(AVG(SIN(theta)), AVG(COS(theta))) AS mu, SQRT(AVG(COS(theta)) * AVG(COS(theta)) + AVG(SIN(theta)) * AVG(SIN(theta))) AS r, COUNT(*) AS n FROM th GROUP BY user_id), "
+    "k AS (SELECT *, CASE WHEN r < 0.53 THEN 2 * r + r * r * r + 5 * POW(r, 5) / 6 WHEN r < 0.85 THEN -0.4 + 1.39 * r + 0.43 / (1 - r) ELSE 1 / (r * r * r - 4 * r * r + 3 * r) END AS k0 FROM g WHERE n > 20) SELECT user_id, ROUND(mu, 6) + 0.0 AS mu, ROUND(k0, 5) + 0.0 AS kappa FROM k"
+)
+def von_mises_fit(spark, sf_dir):
+    x = F.col("theta")
+    found = _theta(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), circular.mean(x).alias("mu"), circular.kappa(x).alias("kappa")).where("n > 20")
+    return found.select("user_id", r6(F.col("mu")).alias("mu"), (F.round("kappa", 5) + F.lit(0.0)).alias("kappa"))
+
+
+@query(None)
+def circular_median(spark, sf_dir):
+    return circular.median(_theta(spark, sf_dir), "theta", ["event_type"])
+
+
+@query(None)
+def channel_coherence(spark, sf_dir):
+    from ..operators import signal
+
+    rows = b.samples(spark, sf_dir).select("session", "idx", F.explode(F.array(F.struct(F.lit(0).alias("ch"), F.col("value")), F.struct(F.lit(1).alias("ch"), F.log1p("value").alias("value")))).alias("s")).select("session", "idx", "s.ch", "s.value")
+    return signal.coherence(rows, 1.0, ["session"], 128, 64)
+
+
 @query(
     f"WITH {LI}, {OCC}, k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY unit ORDER BY rate DESC, ix, iy) AS k FROM rm) SELECT unit, ix, iy, ROUND(rate, 6) + 0.0 AS peak FROM k WHERE k = 1"
 )

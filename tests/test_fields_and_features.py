@@ -97,8 +97,8 @@ def test_chunks_on_a_grid(spark):
 
 
 def test_paths():
-    p = paths.SessionPaths("sirotaA-jg-05-20120312")
-    assert p.subject == "000005" and p.file("res", 3).endswith("sirotaA-jg-05-20120312.res.3") and p.file("fet", 1, "other").endswith(".fet.other.1")
+    p = paths.SessionPaths("labA-ab-05-20120312")
+    assert p.subject == "000005" and p.file("res", 3).endswith("labA-ab-05-20120312.res.3") and p.file("fet", 1, "other").endswith(".fet.other.1")
     with pytest.raises(ValueError):
         paths.SessionPaths("nonsense")
     with pytest.raises(ValueError):
