@@ -194,3 +194,17 @@ def test_pipeline_on_odd_rows(odd, none, spark, tmp_path):
             if stage is not corpus_pipeline.tokens:
                 assert docs.columns == before
         docs.collect()
+
+
+def test_secret_forest_held_out(spark):
+    """Accuracy on findings that the forest wasn't trained on."""
+    found = secret_scan.labelled_findings(spark, 3000)
+    model = secret_scan.fit(found.where("crc32(value) % 2 = 0"))
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    rest = found.where("crc32(value) % 2 = 1")
+    x = F.array(*secret_scan._features(F.col("value"), F.col("before"), F.col("after"), F.col("path")))
+    rows = model.transform(rest.select("label", x.alias("x"), array_to_vector(x).alias("features")))
+    both = rows.select("label", "prediction", (secret_scan._share(secret_scan.forest(model), F.col("x")) > 0.5).cast("double").alias("mine")).toPandas()
+    assert (both.label == both.prediction).mean() > 0.95 and (both.mine == both.prediction).mean() > 0.99
