@@ -10,7 +10,13 @@ from pyspark.sql import SparkSession
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once for each Spark context."""
+    """Sends this package to the executors' Python workers, once for each Spark context.
+
+    Where the size of Arrow batches is as Spark sets it, it is lowered: rows here are whole documents, and a batch of
+    10,000 of them takes tens of megabytes on both sides of each worker.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     sc = spark.sparkContext
     if getattr(sc, "_pulsegrid_shipped", False):
         return
