@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from pulsegrid import catalog
@@ -20,11 +21,15 @@ def duck(sf_dir):
     return con
 
 
+def plain(x):
+    if x is None or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
+        return None
+    return x.item() if hasattr(x, "item") else x
+
+
 def rows(df):
-    out = []
-    for r in df[sorted(df.columns)].itertuples(index=False):
-        out.append(tuple(None if x is None or (isinstance(x, float) and math.isnan(x)) else (x.item() if hasattr(x, "item") else x) for x in r))
-    return sorted(out, key=repr)
+    out = [tuple(map(plain, r)) for r in df[sorted(df.columns)].itertuples(index=False)]
+    return sorted(out, key=lambda r: [(str(type(x).__name__ in ("int", "float")), float(x) if isinstance(x, (int, float)) else 0.0, str(x)) for x in r])
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
