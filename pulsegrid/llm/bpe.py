@@ -143,13 +143,14 @@ def encode_words(v: Vocabulary, encoded: list[bytes]) -> list[np.ndarray]:
 class Codec:
     """Encodes and decodes texts with a bounded cache of words."""
 
-    def __init__(self, v: Vocabulary):
+    def __init__(self, v: Vocabulary, keep_ids: bool = True):
         import regex
 
+        self.keep_ids = keep_ids
         self.v = v
         self.find = regex.compile(PATTERN).findall
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(v.special, key=len, reverse=True))) + ")").split if v.special else None
-        self.ids: dict[str, np.ndarray] = {}
+        self.ids: dict[str, bytes] = {}  # as 32-bit integers
         self.said: dict[str, tuple[int, str, bytes]] = {}
 
     def decode(self, ids) -> bytes:
@@ -164,7 +165,8 @@ class Codec:
             part = new[start : start + 50_000]
             for w, ids in zip(part, encode_words(self.v, [w.encode() for w in part])):
                 listed = ids.tolist()
-                self.ids[w] = ids
+                if self.keep_ids:
+                    self.ids[w] = ids.astype(np.int32).tobytes()
                 self.said[w] = (len(listed), ",".join(map(str, listed)), self.decode(listed))
 
     def _words(self, text: str) -> list[str]:
@@ -180,20 +182,20 @@ class Codec:
         found = []
         for s, i in self.v.special.items():
             if s not in self.said:
-                self.ids[s], self.said[s] = np.array([i]), (1, str(i), s.encode())
+                self.ids[s], self.said[s] = np.array([i], np.int32).tobytes(), (1, str(i), s.encode())
         for text in texts:
             found.append(self._words(text) if text else [])
         self._learn(found)
         for s, i in self.v.special.items():
-            self.ids[s], self.said[s] = np.array([i]), (1, str(i), s.encode())
+            self.ids[s], self.said[s] = np.array([i], np.int32).tobytes(), (1, str(i), s.encode())
         yield from found
 
 
 def _encode(shared, column: str, want_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = Codec(shared.value, want_ids)
         for whole in batches:
-            for batch in words.pieces(whole, column):
+            for batch in words.pieces(whole, column, 2 << 20):
                 counts, digests, decoded, ids = [], [], [], []
                 for found in codec.batch(batch.column(batch.schema.get_field_index(column)).to_pylist()):
                     said = [codec.said[w] for w in found]
@@ -202,12 +204,12 @@ def _encode(shared, column: str, want_ids: bool):
                     text = b"".join([x[2] for x in said]).decode("utf-8", "replace")
                     decoded.append(hashlib.sha256(text.encode()).hexdigest())
                     if want_ids:
-                        ids.append(np.concatenate([codec.ids[w] for w in found]).astype(np.int32) if found else np.zeros(0, np.int32))
+                        ids.append(b"".join([codec.ids[w] for w in found]))
                 made = [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
                 names = ["n_tokens", "ids_sha256", "decoded_sha256"]
                 if want_ids:
                     ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                    made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))))
+                    made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
 

@@ -84,7 +84,7 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _verify(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in words.pieces(whole, "text_a", 2 << 20):
+            for batch in words.pieces(whole, "text_a"):
                 a, at = _sets(batch.column(2), width)
                 b, bt = _sets(batch.column(3), width)
                 ok = [_similar(a[at[i] : at[i + 1]], b[bt[i] : bt[i + 1]], percent) for i in range(batch.num_rows)]

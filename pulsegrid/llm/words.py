@@ -113,7 +113,7 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.nda
     return out, out_bounds
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each part has about `most` bytes of the column at most; one long text stays whole."""
     n = batch.num_rows
     if not n:
