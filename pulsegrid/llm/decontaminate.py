@@ -154,7 +154,9 @@ def retrieve(hashes: np.ndarray, bounds: np.ndarray, part: Part, threshold: floa
             n_terms = hi[some] - lo[some]
             row = np.repeat(np.arange(len(some)), n_terms)
             ends = np.cumsum(n_terms)
-            code = np.unique(row * len(part.terms) + term[np.arange(ends[-1]) - np.repeat(ends - n_terms, n_terms) + np.repeat(lo[some], n_terms)])
+            code = row * len(part.terms) + term[np.arange(ends[-1]) + np.repeat(lo[some] - (ends - n_terms), n_terms)]
+            code.sort()
+            code = code[np.concatenate([[True], code[1:] != code[:-1]])]
             row, t = code // len(part.terms), code % len(part.terms)
             scores = np.add.reduceat(impact[t], np.searchsorted(row, np.arange(len(some))), axis=0)
             w, i = np.nonzero(scores >= threshold)
@@ -169,7 +171,7 @@ def _overlap(have: np.ndarray, want: np.ndarray) -> float:
 def _search(shared, threshold: float, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in words.pieces(whole, "text", 1 << 20):
+            for batch in words.pieces(whole, "text"):
                 body, offsets = words.raw(batch.column(1))
                 hashes, bounds, _ = words.hash_words(body, offsets, words.NON_ALNUM)
                 out = []

@@ -102,10 +102,24 @@ def _levels(s: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros((len(s), 1)), inner, np.ones((len(s), 1))], axis=1)
 
 
+def _compact(number: np.ndarray):
+    """Keeps the features that get a weight, by their numbers among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = batch.column(1)
+            ends = places.offsets.to_numpy().astype(np.int64)
+            v = number[places.values.to_numpy()[ends[0] : ends[-1]]]
+            ends = np.concatenate([[0], np.cumsum(v >= 0)])[ends - ends[0]].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(v[v >= 0]))], ["grade", "places"])
+
+    return run
+
+
 def _gradient(weights, thresholds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, theta = weights.value, thresholds
-        loss, slope, tilt, rows = 0.0, np.zeros(SIZE), np.zeros(len(theta)), 0
+        loss, slope, tilt, rows = 0.0, np.zeros(len(w)), np.zeros(len(theta)), 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -119,7 +133,7 @@ def _gradient(weights, thresholds):
             high, low = cdf[i, grade + 1], cdf[i, grade]
             p = np.maximum(high - low, 1e-12)
             loss -= float(np.log(p).sum())
-            slope += np.bincount(v, weights=np.repeat(1 - high - low, np.diff(ends)), minlength=SIZE)
+            slope += np.bincount(v, weights=np.repeat(1 - high - low, np.diff(ends)), minlength=len(w))
             for j in range(len(theta)):
                 d = cdf[:, j + 1] * (1 - cdf[:, j + 1]) / p
                 tilt[j] += float(d[grade == j + 1].sum() - d[grade == j].sum())
@@ -173,7 +187,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample: int = SAMP
     rated = ratings.where(f"doc_id IS NOT NULL AND grade BETWEEN 0 AND {grades - 1}").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id").select(F.col("grade").cast("long").alias("grade"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = work.save(texts.mapInArrow(_extract, "grade long, places array<int>").repartition(PARTITIONS))
+    rows = work.save(texts.mapInArrow(_extract, "grade long, places array<int>").repartition(PARTITIONS, F.xxhash64("places")).sortWithinPartitions(F.xxhash64("places"), "grade"))
     seen = {r.grade: r.n for r in rows.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     if not seen:
         return None
@@ -183,8 +197,11 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample: int = SAMP
     places = rows.select("grade", F.explode("places").alias("place")).groupBy("place").agg(F.count("*").alias("n"), F.sum("grade").alias("total"))
     off = F.abs(F.col("total") - F.col("n") * mean) / F.sqrt(F.col("n") * spread)
     known = places.where((F.col("n") >= LEAST_DOCS) & ((off >= LEAST_Z) | (F.col("place") >= 1 << BITS)))
-    mask = np.zeros(SIZE, bool)
-    mask[[r.place for r in known.select("place").toLocalIterator()]] = True
+    chosen = np.array(sorted(r.place for r in known.select("place").collect()), np.int64)  # SIZE at most
+    number = np.full(SIZE, -1, np.int32)
+    number[chosen] = np.arange(len(chosen))
+    compact = work.save(rows.mapInArrow(_compact(number), "grade long, places array<int>"))
+    work.drop(rows)
     share = np.cumsum([seen.get(g, 0) + 1 for g in range(grades)]) / (sum(seen.values()) + grades)
     first = np.log(share[:-1] / (1 - share[:-1]))
     gaps = lambda t: np.concatenate([t[:1], np.log(np.maximum(np.diff(t), 1e-3))])
@@ -193,17 +210,19 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample: int = SAMP
     def value(x: np.ndarray) -> tuple[float, np.ndarray]:
         u, w = x[: grades - 1], x[grades - 1 :]
         shared = spark.sparkContext.broadcast(w.astype(np.float32))
-        parts = rows.mapInArrow(_gradient(shared, ordered(u)), "loss double, rows long, tilt binary, slope binary").collect()
+        parts = compact.mapInArrow(_gradient(shared, ordered(u)), "loss double, rows long, tilt binary, slope binary").collect()
         shared.destroy()
         n = max(1, sum(r.rows for r in parts))
         tilt = sum(np.frombuffer(r.tilt) for r in parts) / n
-        slope = sum(np.frombuffer(r.slope) for r in parts) / n * mask + ridge * w
+        slope = sum(np.frombuffer(r.slope) for r in parts) / n + ridge * w
         down = np.cumsum(tilt[::-1])[::-1] * np.concatenate([[1.0], np.exp(u[1:])])
         return sum(r.loss for r in parts) / n + ridge / 2 * float(w @ w), np.concatenate([down, slope])
 
-    x = _minimise(value, np.concatenate([gaps(first), np.zeros(SIZE)]), steps)
-    work.drop(rows)
-    return Model(x[grades - 1 :].astype(np.float32), ordered(x[: grades - 1]))
+    x = _minimise(value, np.concatenate([gaps(first), np.zeros(len(chosen))]), steps)
+    work.drop(compact)
+    weights = np.zeros(SIZE, np.float32)
+    weights[chosen] = x[grades - 1 :]
+    return Model(weights, ordered(x[: grades - 1]))
 
 
 def _score(shared, thresholds: np.ndarray):

@@ -71,23 +71,25 @@ class WordEncoder:
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def _encode(self, pieces: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """(order, number of ids of each piece in that order, their ids one after another)."""
         texts = [w.decode("utf-8", "replace") for w in pieces]
-        plain, rest = [], []
-        for i, t in enumerate(texts):
-            (plain if t.isalpha() else rest).append(i)
-        out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(pieces)
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        rest = [i for i, t in enumerate(texts) if not t.isalpha()]
+        order: list[int] = []
+        counts, flat = [np.zeros(0, np.int64)], [self.flat[:0]]
         chunks = [plain[i : i + CHUNK] for i in range(0, len(plain), CHUNK)]
         for chunk, ids in zip(chunks, self._library([" ".join([texts[i] for i in c]) for c in chunks])):
-            stops = np.flatnonzero(self.ends[ids]) + 1
+            stops = np.flatnonzero(self.ends[ids])
             if len(stops) != len(chunk):  # a letter that the library doesn't take for one
                 rest += chunk
                 continue
-            for i, x in zip(chunk, np.split(ids, stops[:-1])):
-                out[i] = x
-        for i, ids in zip(rest, self._library([texts[i] for i in rest])):
-            out[i] = ids
-        return out
+            order += chunk
+            counts.append(np.diff(stops, prepend=-1))
+            flat.append(ids)
+        made = self._library([texts[i] for i in rest])
+        counts.append(np.array([len(x) for x in made], np.int64))
+        return order + rest, np.concatenate(counts), np.concatenate([*flat, *made])
 
     def _add(self, hashes: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> None:
         order = np.argsort(hashes)
@@ -125,8 +127,8 @@ class WordEncoder:
         piece_hash, _, _ = words.hash_words(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]), CASED)
         _, known = self._find(piece_hash)
         new = np.flatnonzero(~known)
-        made = self._encode([pieces[i] for i in new])
-        self._add(piece_hash[new], np.array([len(x) for x in made], np.int64), np.concatenate(made) if made else self.flat[:0])
+        order, counts, flat = self._encode([pieces[i] for i in new])
+        self._add(piece_hash[new][order], counts, flat)
         place = dict(zip(pieces, self._find(piece_hash)[0].tolist()))
         _, known = self._find(hashes)
         rest = np.flatnonzero(~known)
@@ -145,7 +147,9 @@ class WordEncoder:
         _, known = self._find(distinct)
         if not known.all():
             begin = first[index[~known]]
-            breaks = np.union1d(np.flatnonzero(CASED[0][body]), offsets)
+            ends = np.append(CASED[0][body], True)
+            ends[offsets] = True
+            breaks = np.flatnonzero(ends)
             stop = breaks[np.searchsorted(breaks, begin, side="right")]
             data = body.tobytes()
             self._learn([data[i:j] for i, j in zip(begin.tolist(), stop.tolist())], distinct[~known])
@@ -164,11 +168,18 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
+def _encoder_of(path: str) -> WordEncoder:
+    """The encoder of this process. Tasks get this function by its name, so they share what the process has learned."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
+        encoder = _encoder_of(path)
         for whole in batches:
-            for batch in words.pieces(whole, "text", 8 << 20):
+            for batch in words.pieces(whole, "text", 2 << 20):
                 flat, at = encoder.batch(*words.raw(batch.column(1)), end)
                 size = (at * flat.itemsize).astype(np.int32)
                 ids = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(size), pa.py_buffer(flat)])
