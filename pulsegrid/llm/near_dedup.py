@@ -187,12 +187,13 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, k:
     )
     index = work.save(prefix)
     lengths = work.save(index.groupBy("value").agg(F.count("*").alias("length")).where("length > 1"))
-    listed = index.join(lengths, "value")
+    listed = work.save(index.join(lengths, "value"))  # written, so that the join may split a long list and only short ones are grouped
+    work.drop(index)
     pairs = (
         listed.where(F.col("length") <= SMALL).groupBy("value").agg(F.sort_array(F.collect_set("rep")).alias("r"))
         .select(F.explode(F.expr("flatten(transform(r, (x, i) -> transform(slice(r, i + 2, size(r)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.a", "p.b")
     )
-    hot = work.save(listed.where(F.col("length") > SMALL))
+    hot = listed.where(F.col("length") > SMALL)
     pivots = hot.groupBy("value").agg(*(F.min_by("rep", F.xxhash64("rep", F.lit(i)) if i else F.col("rep")).alias(f"p{i}") for i in range(PIVOTS)))
     to_pivots = hot.join(pivots, "value").select("rep", F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("pivot"))
     pairs = pairs.unionByName(to_pivots.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))).distinct()
