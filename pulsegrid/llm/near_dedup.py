@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import Workspace, read, small
+from .common import BROADCAST_ROWS, Workspace, read, small
 from .graph import components
 
 #: Size of a sketch.
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, k:
     )
     hot = listed.where(F.col("length") > SMALL)
     pivots = hot.groupBy("value").agg(*(F.min_by("rep", F.xxhash64("rep", F.lit(i)) if i else F.col("rep")).alias(f"p{i}") for i in range(PIVOTS)))
-    to_pivots = hot.join(pivots, "value").select("rep", F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("pivot"))
+    to_pivots = hot.join(small(work.save(pivots), BROADCAST_ROWS // 4), "value").select("rep", F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("pivot"))
     pairs = pairs.unionByName(to_pivots.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))).distinct()
     side = classes.select("rep", "n", "sketch")
     candidates = work.save(
