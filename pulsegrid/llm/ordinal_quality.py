@@ -83,7 +83,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.pieces(whole, "text"):
             v, ends = features(batch.column(1))
             places = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(v.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), places], ["grade", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), places, batch.column(2)], ["grade", "places", "doc_id"])
 
 
 def _sums(v: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -186,8 +186,9 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample: int = SAMP
     work = Workspace(spark)
     rated = ratings.where(f"doc_id IS NOT NULL AND grade BETWEEN 0 AND {grades - 1}").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id").select(F.col("grade").cast("long").alias("grade"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = work.save(texts.mapInArrow(_extract, "grade long, places array<int>").repartition(PARTITIONS, F.xxhash64("places")).sortWithinPartitions(F.xxhash64("places"), "grade"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id").select(F.col("grade").cast("long").alias("grade"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows = texts.mapInArrow(_extract, "grade long, places array<int>, doc_id long").repartition(PARTITIONS, "doc_id")
+    rows = work.save(rows.sortWithinPartitions("doc_id", F.xxhash64("places")).drop("doc_id"))
     seen = {r.grade: r.n for r in rows.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     if not seen:
         return None
