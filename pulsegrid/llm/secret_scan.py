@@ -39,7 +39,7 @@ DICTIONARY = (
 
 _NAMED = r"(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)[\"']?\s{0,3}[=:]\s{0,3}[\"']"
 #: A quoted value after a telling name, or a run of key characters with a digit.
-CANDIDATE = rf"(?<=[\"'])(?<=(?i:{_NAMED}))[^\"'\s]{{6,256}}+|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{{0,256}}+[0-9])[A-Za-z0-9+/_=-]{{12,}}+"
+CANDIDATE = rf"(?<=[\"'])(?<=(?i:{_NAMED}))[^\"'\s]{{6,}}+|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{{12,}}+"
 
 FEATURES = [
     "length", "digits", "upper", "lower", "marks", "changes", "hex", "distinct", "dictionary", "longest_letters",

@@ -1,0 +1,23 @@
+"""Cases in which an operator once did less than its whole job."""
+
+import hashlib
+
+from pulsegrid.llm import secret_scan
+
+
+def key(n, salt=""):
+    """n characters of a JWT: three parts of key characters, joined by dots."""
+    body = "".join(hashlib.sha256(f"{salt}{i}".encode()).hexdigest() for i in range(-(-n // 64)))[: n - 2]
+    third = len(body) // 3
+    return ".".join((body[:third], body[third : 2 * third], body[2 * third :]))
+
+
+def test_long_secrets(spark):
+    values = {1: key(300), 2: key(5000), 3: "x" * 400 + key(300)}
+    docs = spark.createDataFrame([(i, f'set token = "{v}" and go on') for i, v in values.items()], "doc_id long, text string")
+    for r in secret_scan.scan(docs).collect():
+        assert [f.value for f in r.findings] == [values[r.doc_id]]
+    assert {r.text for r in secret_scan.redact(docs).collect()} == {f'set token = "{secret_scan.MARK}" and go on'}
+    run = "k" * 300 + "7" + "K" * 20
+    bare = secret_scan.scan(spark.createDataFrame([(4, f"see {run} there")], "doc_id long, text string")).first()
+    assert [f.value for f in bare.findings] == [run]
