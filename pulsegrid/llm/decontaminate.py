@@ -8,8 +8,12 @@ threshold, then block by block; only blocks whose bound reaches the threshold ar
 No passage or item above the threshold is lost. What is retrieved is verified: both the question and
 the answer of the item must overlap with the document's words around the passage.
 
-One pass over the documents, without a shuffle. The index is broadcast in parts of PART_ITEMS items;
-more items than PARTS_AT_ONCE parts take further passes, so what is broadcast is bounded.
+An item of more than ENTRY words is cut into even entries of ENTRY words at most, so that each lies whole
+in some passage; the index holds entries. Passages that retrieve entries of a cut item are verified as
+runs: the words around them, as far to either side as the item is long, where these adjoin.
+
+One pass over the documents, without a shuffle. The index is broadcast in parts of about PART_ITEMS entries,
+those of an item together; more than PARTS_AT_ONCE parts take further passes, so what is broadcast is bounded.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ BLOCK = 16
 PART_ITEMS = 512
 PARTS_AT_ONCE = 8
 PASSAGE, STRIDE = 96, 32
+#: So many words in a row lie whole in some passage wherever they start.
+ENTRY = PASSAGE - STRIDE
 SHINGLE = 5
 
 
@@ -39,8 +45,10 @@ class Part:
     """Items of one part of the index."""
 
     ids: np.ndarray
+    length: np.ndarray  # words of the item
+    owner: np.ndarray  # item of each entry
     terms: np.ndarray  # sorted hashes
-    impact: np.ndarray  # term x item
+    impact: np.ndarray  # term x entry
     block_max: np.ndarray  # term x block
     question: list[np.ndarray]  # shingle hashes
     answer: list[np.ndarray]
@@ -69,10 +77,18 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         body, offsets = words.raw(batch.column(1))
         hashes, bounds, _ = words.hash_words(body, offsets, words.NON_ALNUM)
-        item = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-        key, tf = np.unique(np.stack([item.astype(np.uint64), hashes]), axis=1, return_counts=True) if len(hashes) else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
-        i = key[0].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(key[1].view(np.int64)), pa.array(tf), pa.array(np.diff(bounds)[i])], ["item", "term", "tf", "length"])
+        n = np.diff(bounds).astype(np.int64)
+        item = np.repeat(np.arange(batch.num_rows), n)
+        # Entries are numbered over the batch; the words of an item are dealt evenly to its entries.
+        parts = -(-n // ENTRY)
+        before = np.cumsum(parts) - parts
+        entry = before[item] + (np.arange(len(item)) - np.asarray(bounds)[item]) * parts[item] // n[item]
+        owner, length = np.repeat(np.arange(batch.num_rows), parts), np.bincount(entry, minlength=int(parts.sum()))
+        key, tf = np.unique(np.stack([entry.astype(np.uint64), hashes]), axis=1, return_counts=True) if len(hashes) else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
+        e = key[0].astype(np.int64)
+        i = owner[e]
+        columns = [batch.column(0).take(pa.array(i)), pa.array(e - before[i]), pa.array(key[1].view(np.int64)), pa.array(tf), pa.array(length[e].astype(np.int64)), pa.array(n[i])]
+        yield pa.RecordBatch.from_arrays(columns, ["item", "entry", "term", "tf", "length", "words"])
 
 
 def build_index(items: DataFrame) -> Iterator[Part]:
@@ -83,16 +99,17 @@ def build_index(items: DataFrame) -> Iterator[Part]:
     items = items.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     work = Workspace(items.sparkSession)
     items = work.save(items.withColumn("item", F.xxhash64("item_id", "text")))
-    postings = work.save(items.select("item", "text").mapInArrow(_postings, "item long, term long, tf long, length long"))
-    stats = postings.groupBy("item").agg(F.max("length").alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    schema = "item long, entry long, term long, tf long, length long, words long"
+    postings = work.save(items.select("item", "text").mapInArrow(_postings, schema))
+    stats = postings.groupBy("item", "entry").agg(F.max("length").alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     if not stats.n:
         return
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log1p((F.lit(stats.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / stats.mean)
     weight = postings.join(df, "term").withColumn("weight", idf * F.col("tf") * (K1 + 1) / norm)
-    own = weight.groupBy("item").agg(F.sum("weight").alias("own"))
-    impacts = work.save(weight.join(own, "item").select("item", "term", (F.col("weight") / F.col("own")).alias("impact")))
+    own = weight.groupBy("item", "entry").agg(F.sum("weight").alias("own"))
+    impacts = work.save(weight.join(own, ["item", "entry"]).select("item", "entry", "words", "term", (F.col("weight") / F.col("own")).alias("impact")))
     n_parts = -(-stats.n // PART_ITEMS)
     for part in range(n_parts):
         mine = items.where(F.pmod("item", F.lit(n_parts)) == part)
@@ -103,13 +120,17 @@ def build_index(items: DataFrame) -> Iterator[Part]:
         found = impacts.where(F.pmod("item", F.lit(n_parts)) == part).toArrow()
         term = found.column("term").to_numpy().view(np.uint64)
         item = np.array([at[x] for x in found.column("item").to_pylist()], dtype=np.int64)
+        length = np.zeros(len(rows), np.int64)
+        length[item] = found.column("words").to_numpy()
+        entries = np.maximum(1, -(-length // ENTRY))
+        column = (np.cumsum(entries) - entries)[item] + found.column("entry").to_numpy()
         terms, which = np.unique(term, return_inverse=True)
-        width = -(-len(rows) // BLOCK) * BLOCK
+        width = -(-int(entries.sum()) // BLOCK) * BLOCK
         impact = np.zeros((len(terms), width), np.float32)
-        impact[which, item] = found.column("impact").to_numpy()
+        impact[which, column] = found.column("impact").to_numpy()
         pairs = [split_item(r.text) for r in rows]
         yield Part(
-            np.array([r.item_id for r in rows], np.int64), terms, impact, impact.reshape(len(terms), -1, BLOCK).max(axis=2),
+            np.array([r.item_id for r in rows], np.int64), length, np.repeat(np.arange(len(rows)), entries), terms, impact, impact.reshape(len(terms), -1, BLOCK).max(axis=2),
             _shingle_sets([q for q, _ in pairs]), _shingle_sets([a for _, a in pairs]),
         )
 
@@ -120,7 +141,7 @@ def _windows(n: np.ndarray) -> np.ndarray:
 
 
 def retrieve(hashes: np.ndarray, bounds: np.ndarray, part: Part, threshold: float) -> tuple[np.ndarray, ...]:
-    """(text, first word in the text, item, score) of every passage and item whose score is `threshold` or more."""
+    """(text, first word in the text, entry, score) of every passage and entry whose score is `threshold` or more."""
     none = tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0),)
     at = np.searchsorted(part.terms, hashes)
     at[at == len(part.terms)] = 0
@@ -164,6 +185,33 @@ def retrieve(hashes: np.ndarray, bounds: np.ndarray, part: Part, threshold: floa
     return tuple(np.concatenate(x) for x in zip(*found)) if found else none
 
 
+def _runs(found: tuple[np.ndarray, ...], part: Part, bounds: np.ndarray) -> Iterator[tuple[int, int, int, float, int, int]]:
+    """(text, item, first word of the best passage, score, start, stop) of what is retrieved: the words to verify.
+
+    Each passage of a whole item is for itself, with STRIDE words on either side, as a shingle of the item may
+    reach over the passage's ends. Those of a cut item are one run where their surroundings adjoin.
+    """
+    text, first, entry, score = found
+    item = part.owner[entry]
+    cut = part.length[item] > ENTRY
+    side = np.where(cut, part.length[item], STRIDE)
+    start = np.maximum(bounds[text], bounds[text] + first - side)
+    stop = np.minimum(bounds[text + 1], bounds[text] + first + PASSAGE + side)
+    order = np.lexsort((-score, first, item, text))
+    run: list | None = None
+    for t, i, f, s, a, b, c in zip(*(x[order].tolist() for x in (text, item, first, score, start, stop, cut))):
+        if run and c and run[:2] == [t, i] and a <= run[5]:
+            run[5] = max(run[5], b)
+            if s > run[3]:
+                run[2:4] = f, s
+            continue
+        if run:
+            yield tuple(run)
+        run = [t, i, f, s, a, b]
+    if run:
+        yield tuple(run)
+
+
 def _overlap(have: np.ndarray, want: np.ndarray) -> float:
     return float(np.isin(want, have).mean()) if len(want) else 1.0
 
@@ -177,9 +225,8 @@ def _search(shared, threshold: float, overlap: float):
                 out = []
                 for part in shared.value:
                     best: dict[tuple[int, int], tuple] = {}
-                    for text, first, item, score in zip(*(x.tolist() for x in retrieve(hashes, bounds, part, threshold))):
-                        # A shingle of the item may reach over the passage's ends.
-                        near = hashes[max(bounds[text], bounds[text] + first - STRIDE) : min(bounds[text + 1], bounds[text] + first + PASSAGE + STRIDE)]
+                    for text, item, first, score, start, stop in _runs(retrieve(hashes, bounds, part, threshold), part, bounds):
+                        near = hashes[start:stop]
                         have, _ = words.shingles(near, np.array([0, len(near)]), SHINGLE)
                         q, a = (_overlap(have if len(want) != 1 else _with_whole(near, have, want), want) for want in (part.question[item], part.answer[item]))
                         new = (min(q, a), score, -first, q, a)
@@ -209,6 +256,7 @@ def _with_whole(near: np.ndarray, have: np.ndarray, want: np.ndarray) -> np.ndar
 def search(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8) -> DataFrame:
     """One row for each document and item that it retrieves with a score of `threshold` of the item's own or more.
 
+    An item of more than ENTRY words is retrieved by any of its entries, with the score of the best one.
     Columns doc_id, item_id, first_word of the best passage, score, question_overlap, answer_overlap
     (shares of the item's five-word shingles found there) and contaminated, which holds where both
     overlaps are `overlap` or more. Null texts match nothing; a null doc_id stays null; repeated rows

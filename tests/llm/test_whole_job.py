@@ -2,7 +2,7 @@
 
 import hashlib
 
-from pulsegrid.llm import secret_scan
+from pulsegrid.llm import decontaminate, secret_scan
 
 
 def key(n, salt=""):
@@ -21,3 +21,25 @@ def test_long_secrets(spark):
     run = "k" * 300 + "7" + "K" * 20
     bare = secret_scan.scan(spark.createDataFrame([(4, f"see {run} there")], "doc_id long, text string")).first()
     assert [f.value for f in bare.findings] == [run]
+
+
+def test_long_items(spark):
+    said = lambda name, n: " ".join(f"{name}{i * 7919 % 1009}x" for i in range(n))
+    filler = said("f", 900).split()
+    texts = {n: f"{said(f'q{n}_', n - n // 5)}? {said(f'a{n}_', n // 5)}." for n in (60, 70, 130, 200, 500)}
+    docs = []
+    for n, text in texts.items():
+        for at in (0, 17, 401):
+            docs.append((n * 1000 + at, " ".join([*filler[:at], text, *filler[at:]])))
+    edited = texts[500].split()
+    edited[150:215] = ["other"] * 65
+    edited[430:435] = ["more"] * 5
+    docs.append((1, " ".join([*filler[:33], *edited, *filler[33:]])))
+    # Questions without their answers, and the other way round, are no copies.
+    docs += [(2, texts[500].split("?")[0] + " " + " ".join(filler)), (3, " ".join(filler) + texts[500].split("?")[1])]
+    items = spark.createDataFrame([(n, t) for n, t in texts.items()], "item_id long, text string")
+    found = decontaminate.search(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert len({(r.doc_id, r.item_id) for r in found}) == len(found)
+    caught = {(r.doc_id, r.item_id): r for r in found if r.contaminated}
+    assert set(caught) == {(n * 1000 + at, n) for n in texts for at in (0, 17, 401)} | {(1, 500)}
+    assert all(r.question_overlap == r.answer_overlap == 1.0 for k, r in caught.items() if k[0] != 1)
