@@ -124,24 +124,30 @@ def _edges(mentions: DataFrame) -> DataFrame:
 
 
 def confident_patterns(work: Workspace, mentions: DataFrame) -> DataFrame:
-    """(pattern, kind, share) of the patterns that are confident after the last round."""
+    """(pattern, kind, share) of the patterns that are confident after the last round.
+
+    Identifiers that are believed in a round support all patterns they occur with in the next one, like seeds.
+    """
     edges = work.save(_edges(mentions))
-    total = edges.groupBy("pattern").agg(F.approx_count_distinct("instance", 0.02).alias("instances"))
-    seeds = edges.where("kind IS NOT NULL")
-    seeded = seeds.groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(f"seeds >= {LEAST_SEEDS}")
-    # Patterns without enough seeds can't become confident: the rest of the graph is small.
-    patterns = work.save(seeded.join(total, "pattern").withColumn("share", F.least(F.lit(1.0), F.col("seeds") / F.col("instances"))))
+    total = work.save(edges.select("pattern", "instance").distinct().groupBy("pattern").agg(F.count("*").alias("instances")).where(f"instances >= {LEAST_SEEDS}"))
+    seeds = edges.where("kind IS NOT NULL").withColumn("belief", F.lit(1.0))
+    unseen = edges.where("kind IS NULL").drop("kind")
+
+    def weighed(support: DataFrame) -> DataFrame:
+        """Patterns with enough support (pattern, kind, instance, belief) and the share of it; an instance counts once."""
+        each = support.groupBy("pattern", "kind", "instance").agg(F.max("belief").alias("belief"))
+        found = each.groupBy("pattern", "kind").agg(F.count("*").alias("n"), F.sum("belief").alias("belief")).where(f"n >= {LEAST_SEEDS}")
+        return work.save(found.join(total, "pattern").select("pattern", "kind", F.least(F.lit(1.0), F.col("belief") / F.col("instances")).alias("share")))
+
+    patterns = weighed(seeds)
     for _ in range(ROUNDS):
         if patterns.isEmpty():
             break
-        sure = patterns.where(f"share >= {LEAST_SHARE / 2}").select("pattern", F.col("kind").alias("of"), "share")
-        unseen = edges.where("kind IS NULL").join(sure, "pattern")
-        belief = unseen.groupBy("instance", "of").agg((1 - F.exp(F.sum(F.log1p(-F.least("share", F.lit(0.99)))))).alias("belief")).where(f"belief >= {LEAST_BELIEF}")
-        gained = unseen.join(belief, ["instance", "of"]).groupBy("pattern", F.col("of").alias("kind")).agg(F.sum("belief").alias("gained"))
-        nxt = patterns.drop("share").join(gained, ["pattern", "kind"], "left")
-        share = F.least(F.lit(1.0), (F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / F.col("instances"))
-        nxt = work.save(nxt.withColumn("share", share).drop("gained"))
-        work.drop(patterns)
+        sure = patterns.where(f"share >= {LEAST_SHARE / 2}")
+        belief = unseen.join(sure, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("share", F.lit(0.99)))))).alias("belief"))
+        believed = work.save(belief.where(f"belief >= {LEAST_BELIEF}"))
+        nxt = weighed(seeds.unionByName(unseen.join(believed, "instance")))
+        work.drop(patterns, believed)
         patterns = nxt
     return patterns.where(f"share >= {LEAST_SHARE}").select("pattern", "kind", "share")
 

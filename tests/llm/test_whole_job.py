@@ -2,7 +2,7 @@
 
 import hashlib
 
-from pulsegrid.llm import decontaminate, secret_scan
+from pulsegrid.llm import decontaminate, pii, secret_scan
 
 
 def key(n, salt=""):
@@ -43,3 +43,21 @@ def test_long_items(spark):
     caught = {(r.doc_id, r.item_id): r for r in found if r.contaminated}
     assert set(caught) == {(n * 1000 + at, n) for n in texts for at in (0, 17, 401)} | {(1, 500)}
     assert all(r.question_overlap == r.answer_overlap == 1.0 for k, r in caught.items() if k[0] != 1)
+
+
+def found_pii(spark, texts):
+    rows = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {(r.doc_id, s.kind, s.value) for r in rows for s in r.added}
+
+
+def test_pii_two_hops(spark):
+    seeds = [f"please dial +44 20 7946 0{i:03d} today" for i in range(30)]
+    # Known by the word before; they lead to another word before, which has no seed of its own.
+    bridge = [f"please dial x{7000 + i} today" for i in range(8)]
+    again = [f"his extension x{7000 + i} rings" for i in range(8)]
+    last = [f"his extension x{9000 + i} rings" for i in range(3)]
+    other = [f"a total of {5000 + i} pieces" for i in range(20)]
+    got = found_pii(spark, seeds + bridge + again + last + other)
+    assert {v for _, k, v in got if k == "phone"} == {f"x{7000 + i}" for i in range(8)} | {f"x{9000 + i}" for i in range(3)}
+    assert {k for _, k, _ in got} == {"phone"}
+    assert {v for i, _, v in got if i >= 46} == {f"x{9000 + i}" for i in range(3)}
