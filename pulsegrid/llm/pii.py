@@ -6,7 +6,9 @@ and identifier-like tokens form a graph; confidence flows from seeds to patterns
 instances that are believed to be of its kind) and back (an instance is believed through the patterns
 that find it) for some rounds. What confident patterns extract beyond the base spans is added.
 
-Only occurrences with digits or an at sign enter the graph. Its edges are counted per (pattern, instance)
+Only occurrences that may be of a kind enter the graph: those with enough digits may be of any, those with an
+at sign may be mail addresses, groups of hex digits and colons may be ip addresses, and groups of digits that
+blanks join are one phone or card number. A pattern's share for a kind is over what may be of it. Edges are counted per (pattern, instance)
 before anything is joined; only patterns that pass the thresholds go on, so a frequent word that finds a
 large part of all tokens is one row that is dropped as soon as it is counted.
 """
@@ -21,23 +23,30 @@ from .common import Workspace, read
 #: The kinds in the order of reports, with their patterns. The look-behinds only skip starts from which
 #: no further match is possible; `card` matches whole runs of 16 to 19 digits, as no other run passes its check.
 PATTERNS = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){1,200}+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 #: A cheap test that holds wherever a pattern can match.
 _HINTS = {"email": "@", "ip": "\\.[0-9]", "card": "[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", "phone": "\\+[0-9]"}
-#: Tokens that may be identifiers.
-TOKEN = r"[^\s]*[0-9@][^\s]*"
+#: Tokens that may be identifiers, those of an ip address in hex groups, and digit groups joined by single blanks.
+TOKEN = r"(?<!\S)(?=[^0-9@:\s]*+[0-9@:])\S++"
+HEX_GROUPS = r"(?<![0-9A-Za-z:])(?=:*+[0-9A-Fa-f])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])"
+_GROUP = r"\(?[0-9]++(?:[().-]++[0-9]++)*+\)?"
+JOINED = rf"(?<![A-Za-z0-9(+.@/_-])(?<![0-9] ){_GROUP}(?: {_GROUP})++(?![A-Za-z0-9@])"
 
 ROUNDS = 3
 #: A pattern needs so many distinct seeds, and so large a share of believed instances.
 LEAST_SEEDS = 5
 LEAST_SHARE = 0.6
-#: An instance is added if it is believed to this degree, and has at least so many digits.
+#: An instance is added if it is believed to this degree. With so many digits it may be of any kind.
 LEAST_BELIEF = 0.6
 LEAST_DIGITS = 4
+#: Kinds as bits, in the order of PATTERNS.
+_BIT = {kind: 1 << i for i, kind in enumerate(PATTERNS)}
+_ANY = sum(_BIT.values())
+_NUMBER = _BIT["phone"] | _BIT["card"]
 
 
 def _spans(text: Column, pattern: str, hint: str) -> Column:
@@ -106,21 +115,44 @@ def _mentions(kinds: Column, text: Column) -> Column:
     """
     around = lambda start, stop: (_word(F.substring(text, F.greatest(F.lit(1), start - 63), F.least(start, F.lit(64))), True), _word(F.substring(text, stop + 1, F.lit(64)), False))
 
-    def one(kind: Column, s: Column) -> Column:
+    def one(kind: Column, s: Column, may: Column, joined: bool) -> Column:
         left, right = around(s["start"], s["stop"])
-        return F.struct(kind.alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"), left.alias("left"), right.alias("right"))
+        return F.struct(kind.alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"), left.alias("left"), right.alias("right"), may.alias("may"), F.lit(joined).alias("joined"))
 
-    seeds = F.transform(kinds, lambda s: one(s["kind"], s))
-    tokens = F.filter(_spans(text, TOKEN, "[0-9@]"), lambda t: (F.length(_digits(t["value"])) >= LEAST_DIGITS) & ~F.exists(kinds, lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"])))
-    return F.concat(seeds, F.transform(tokens, lambda t: one(F.lit(None).cast("string"), t)))
+    apart = lambda s, others: ~F.exists(others, lambda o: (o["start"] < s["stop"]) & (s["start"] < o["stop"]))
+
+    def may(s: Column, joined: Column) -> Column:
+        digits = F.length(_digits(s["value"])) >= LEAST_DIGITS
+        # A part of a joined number is no number of its own.
+        whole = F.when(apart(s, joined), F.lit(_ANY)).otherwise(F.lit(_ANY - _NUMBER))
+        mail = F.when(s["value"].contains("@"), F.lit(_BIT["email"])).otherwise(F.lit(0))
+        return F.when(digits, whole).otherwise(mail.bitwiseOR(F.when(s["value"].rlike(HEX_GROUPS), F.lit(_BIT["ip"])).otherwise(F.lit(0))))
+
+    def with_joined(both: Column) -> Column:
+        tokens, joined = both["tokens"], both["joined"]
+        admitted = F.filter(F.transform(tokens, lambda t: one(none, t, may(t, joined), False)), lambda m: m["may"] > 0)
+        return F.concat(admitted, F.transform(joined, lambda t: one(none, t, F.lit(_NUMBER), True)))
+
+    none = F.lit(None).cast("string")
+    seeds = F.transform(kinds, lambda s: one(s["kind"], s, F.lit(_ANY), False))
+    tokens = F.filter(_spans(text, TOKEN, "[0-9@:]"), lambda t: apart(t, kinds))
+    joined = F.filter(_spans(text, JOINED, "[0-9]\\)? \\(?[0-9]"), lambda t: (F.length(_digits(t["value"])) >= LEAST_DIGITS) & apart(t, kinds))
+    opened = F.get(F.transform(F.array(F.struct(tokens.alias("tokens"), joined.alias("joined"))), with_joined), F.lit(0))
+    return F.concat(seeds, opened)
 
 
 def _edges(mentions: DataFrame) -> DataFrame:
-    """(pattern, kind of the seed or null, instance) of mentions: the word before, and both words around."""
+    """(pattern, kind of the seed or null, instance, may) of mentions: the word before, and both words around."""
     m = mentions.where("left <> ''")
-    one = m.select(F.concat(F.lit("L "), "left").alias("pattern"), "kind", F.xxhash64("value").alias("instance"))
-    two = m.where("right <> ''").select(F.concat(F.lit("B "), "left", F.lit(" _ "), "right").alias("pattern"), "kind", F.xxhash64("value").alias("instance"))
-    return one.unionByName(two).distinct()
+    one = m.select(F.concat(F.lit("L "), "left").alias("pattern"), "kind", F.xxhash64("value").alias("instance"), "may")
+    two = m.where("right <> ''").select(F.concat(F.lit("B "), "left", F.lit(" _ "), "right").alias("pattern"), "kind", F.xxhash64("value").alias("instance"), "may")
+    return one.unionByName(two).groupBy("pattern", "kind", "instance").agg(F.bit_or("may").alias("may"))
+
+
+def _may(kind: Column, may: Column) -> Column:
+    """Whether the bits hold a kind."""
+    bit = F.coalesce(*(F.when(kind == k, F.lit(b)) for k, b in _BIT.items()))
+    return may.bitwiseAND(bit) > 0
 
 
 def confident_patterns(work: Workspace, mentions: DataFrame) -> DataFrame:
@@ -129,7 +161,9 @@ def confident_patterns(work: Workspace, mentions: DataFrame) -> DataFrame:
     Identifiers that are believed in a round support all patterns they occur with in the next one, like seeds.
     """
     edges = work.save(_edges(mentions))
-    total = work.save(edges.select("pattern", "instance").distinct().groupBy("pattern").agg(F.count("*").alias("instances")).where(f"instances >= {LEAST_SEEDS}"))
+    total = edges.groupBy("pattern", "instance").agg(F.bit_or("may").alias("may")).groupBy("pattern")
+    total = work.save(total.agg(F.count("*").alias("all"), *(F.count_if(_may(F.lit(k), F.col("may"))).alias(k) for k in PATTERNS)).where(f"all >= {LEAST_SEEDS}"))
+    instances = F.coalesce(*(F.when(F.col("kind") == k, F.col(k)) for k in PATTERNS))
     seeds = edges.where("kind IS NOT NULL").withColumn("belief", F.lit(1.0))
     unseen = edges.where("kind IS NULL").drop("kind")
 
@@ -137,16 +171,16 @@ def confident_patterns(work: Workspace, mentions: DataFrame) -> DataFrame:
         """Patterns with enough support (pattern, kind, instance, belief) and the share of it; an instance counts once."""
         each = support.groupBy("pattern", "kind", "instance").agg(F.max("belief").alias("belief"))
         found = each.groupBy("pattern", "kind").agg(F.count("*").alias("n"), F.sum("belief").alias("belief")).where(f"n >= {LEAST_SEEDS}")
-        return work.save(found.join(total, "pattern").select("pattern", "kind", F.least(F.lit(1.0), F.col("belief") / F.col("instances")).alias("share")))
+        return work.save(found.join(total, "pattern").select("pattern", "kind", F.least(F.lit(1.0), F.col("belief") / instances).alias("share")))
 
     patterns = weighed(seeds)
     for _ in range(ROUNDS):
         if patterns.isEmpty():
             break
         sure = patterns.where(f"share >= {LEAST_SHARE / 2}")
-        belief = unseen.join(sure, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("share", F.lit(0.99)))))).alias("belief"))
+        belief = unseen.join(sure, "pattern").where(_may(F.col("kind"), F.col("may"))).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("share", F.lit(0.99)))))).alias("belief"))
         believed = work.save(belief.where(f"belief >= {LEAST_BELIEF}"))
-        nxt = weighed(seeds.unionByName(unseen.join(believed, "instance")))
+        nxt = weighed(seeds.unionByName(unseen.join(believed, "instance").where(_may(F.col("kind"), F.col("may"))).select(seeds.columns)))
         work.drop(patterns, believed)
         patterns = nxt
     return patterns.where(f"share >= {LEAST_SHARE}").select("pattern", "kind", "share")
@@ -167,17 +201,21 @@ def find(docs: DataFrame) -> DataFrame:
 
     kinds = F.concat(*map(labelled, PATTERNS))
     rows = docs.select("doc_id", text.alias("text"), kinds.alias("base"))
-    rows = rows.select("doc_id", "base", F.when(F.col("text").rlike("[0-9@]"), _mentions(F.col("base"), F.col("text"))).alias("mentions"))
+    rows = rows.select("doc_id", "base", F.when(F.col("text").rlike("[0-9@:]"), _mentions(F.col("base"), F.col("text"))).alias("mentions"))
     rows = work.save(rows.withColumn("row", F.monotonically_increasing_id()))
     mentions = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     sure = work.save(confident_patterns(work, mentions))
     if sure.isEmpty():
         return rows.select("doc_id", "base", F.expr("filter(base, s -> false)").alias("added"))
     open_ = mentions.where("kind IS NULL AND left <> ''").drop("kind")
-    by = lambda pattern: open_.withColumn("pattern", pattern).join(sure, "pattern")
+    by = lambda pattern: open_.withColumn("pattern", pattern).join(sure, "pattern").where(_may(F.col("kind"), F.col("may")))
     both = by(F.concat(F.lit("L "), "left")).unionByName(by(F.concat(F.lit("B "), "left", F.lit(" _ "), "right")))
-    best = both.groupBy("row", "start", "stop", "value").agg(F.max_by("kind", F.struct("share", "kind")).alias("kind"))
-    added = best.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "stop", "value"))).alias("added"))
+    best = both.groupBy("row", "start", "stop", "value", "joined").agg(F.max_by("kind", F.struct("share", "kind")).alias("kind"))
+    added = best.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "stop", "value", "joined"))).alias("added"))
+    # A joined number holds its parts.
+    over = lambda s, t: t["joined"] & ~s["joined"] & (t["start"] < s["stop"]) & (s["start"] < t["stop"])
+    kept = F.filter("added", lambda s: ~F.exists("added", lambda t: over(s, t)))
+    added = added.select("row", F.transform(kept, lambda s: s.dropFields("joined")).alias("added"))
     return rows.drop("mentions").join(added, "row", "left").select("doc_id", "base", F.coalesce("added", F.expr("filter(base, s -> false)")).alias("added"))
 
 

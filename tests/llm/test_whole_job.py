@@ -61,3 +61,16 @@ def test_pii_two_hops(spark):
     assert {v for _, k, v in got if k == "phone"} == {f"x{7000 + i}" for i in range(8)} | {f"x{9000 + i}" for i in range(3)}
     assert {k for _, k, _ in got} == {"phone"}
     assert {v for i, _, v in got if i >= 46} == {f"x{9000 + i}" for i in range(3)}
+
+
+def test_pii_admission(spark):
+    texts = [f"mail me via user{c}@host.org soon" for c in "abcdefghijklmnopqrst"] + ["mail me via john@intranet soon", "mail me via alice@host-12 soon"]
+    texts += [f"the server listens at 10.0.7.{i} now" for i in range(20)] + ["the server listens at fe80::1 now", "the server listens at dead::beef now"]
+    texts += [f"please dial +44 20 7946 0{i:03d} today" for i in range(20)] + ["please dial (555) 123 4567 today", "please dial 55 12 34 today"]
+    got = found_pii(spark, texts)
+    assert {(k, v) for _, k, v in got} == {
+        ("email", "john@intranet"), ("email", "alice@host-12"), ("ip", "fe80::1"), ("ip", "dead::beef"), ("phone", "(555) 123 4567"), ("phone", "55 12 34"),
+    }
+    mail = "someone@" + ".".join(["a"] * 300)
+    row = pii.find(spark.createDataFrame([(1, f"write to {mail} today")], "doc_id long, text string")).first()
+    assert [(s.kind, s.value) for s in row.base] == [("email", mail)]
