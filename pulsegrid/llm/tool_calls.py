@@ -1,9 +1,9 @@
 """Tool-call linking; DataFrame functions only.
 
-Calls and results are joined by identifier, calls are put in topological order of what they wait for,
+Calls and results are joined by conversation and identifier, calls are put in topological order of what they wait for,
 arguments are checked against the tools' schemas, and each linked call is written as canonical JSON
-(keys sorted, no blanks). Joins are on identifiers, which are unique after a pre-aggregation, never on
-the conversation, so one conversation may hold any share of the rows.
+(keys sorted, no blanks). Joins are on both, which are unique together after a pre-aggregation (map-side
+first), never on the conversation alone, so one conversation may hold any share of the rows.
 """
 
 from __future__ import annotations
@@ -19,28 +19,34 @@ from .common import Workspace, read
 ROUNDS = 40
 
 
+def _key(name: str) -> Column:
+    """A call within its conversation; as a struct, so that null conversations are equal."""
+    return F.struct("conv_id", F.col(name).alias("id"))
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """(call_id, level) of calls (call_id, after_id), call_id unique: 0 where a call waits for none that exists,
-    else one more than the call that it waits for. A call that waits for itself by way of others has a null level.
+    """(conv_id, call_id, level) of calls (conv_id, call_id, after_id), call_id unique in a conversation: 0 where a
+    call waits for none that exists there, else one more than the call that it waits for. A call that waits for
+    itself by way of others has a null level.
 
     Pointer doubling: each round doubles the length of the chain that a pointer spans, so rounds grow as
     the logarithm of the longest chain; each is written to the shared folder.
     """
     work = Workspace(calls.sparkSession)
-    ids = calls.select("call_id", "after_id").where("call_id IS NOT NULL")
-    known = ids.select(F.col("call_id").alias("after_id"), F.lit(True).alias("known"))
-    state = work.save(ids.join(known, "after_id", "left").select("call_id", F.when(F.col("known"), F.col("after_id")).alias("to"), F.when(F.col("known"), 1).otherwise(0).cast("long").alias("level")))
+    ids = calls.where("call_id IS NOT NULL").select(_key("call_id").alias("call"), _key("after_id").alias("after"))
+    known = ids.select(F.col("call").alias("after"), F.lit(True).alias("known"))
+    state = work.save(ids.join(known, "after", "left").select("call", F.when(F.col("known"), F.col("after")).alias("to"), F.when(F.col("known"), 1).otherwise(0).cast("long").alias("level")))
     most = max(1, state.count()).bit_length() + 1
     for _ in range(min(ROUNDS, most)):
         if state.where("to IS NOT NULL").isEmpty():
             break
         done = state.where("to IS NULL")
-        ahead = state.select(F.col("call_id").alias("to"), F.col("to").alias("far"), F.col("level").alias("more"))
-        moved = state.where("to IS NOT NULL").join(ahead, "to").select("call_id", F.col("far").alias("to"), (F.col("level") + F.col("more")).alias("level"))
+        ahead = state.select(F.col("call").alias("to"), F.col("to").alias("far"), F.col("level").alias("more"))
+        moved = state.where("to IS NOT NULL").join(ahead, "to").select("call", F.col("far").alias("to"), (F.col("level") + F.col("more")).alias("level"))
         nxt = work.save(done.unionByName(moved))
         work.drop(state)
         state = nxt
-    return state.select("call_id", F.when(F.col("to").isNull(), F.col("level")).alias("level"))
+    return state.select("call.conv_id", F.col("call.id").alias("call_id"), F.when(F.col("to").isNull(), F.col("level")).alias("level"))
 
 
 def canonical(text: Column) -> Column:
@@ -76,22 +82,28 @@ def argument_errors(name: Column, arguments: Column, schemas: dict[str, dict[str
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
-    """One row for each identifier of a call or a result.
+    """One row for each conversation and identifier of a call or a result.
 
     calls: conv_id, turn, call_id, name, arguments (JSON text), after_id (the call whose result it waits for, or
-    null). results: conv_id, turn, call_id, content. Columns conv_id, call_id, status (linked, no_result, no_call),
-    n_calls, n_results, name, level, errors, valid, linked (canonical JSON). Of several calls or results with one
-    identifier the first by turn, then by content, counts; n_calls and n_results tell how many there were. Rows
+    null). results: conv_id, turn, call_id, content. Columns conv_id, call_id, status (linked, no_result, no_call,
+    conflict), n_calls, n_results, name, level, errors, valid, linked (canonical JSON). An identifier counts within
+    its conversation only. Of several calls or results with one identifier the first by turn, then by content, counts;
+    n_calls and n_results tell how many there were, and where they differ the status is conflict. Rows
     with a null identifier are left out; a call in a circle has a null level. Further columns are ignored.
     """
-    first = calls.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct("turn", "conv_id", "name", "arguments", "after_id")).alias("c"), F.count("*").alias("n_calls"))
-    answer = results.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct("turn", "conv_id", "content")).alias("r"), F.count("*").alias("n_results"))
-    order = levels(first.select("call_id", F.col("c.after_id").alias("after_id")))
-    both = first.join(order, "call_id", "left").join(answer.hint("shuffle_hash"), "call_id", "full")
-    status = F.when(F.col("n_calls").isNull(), "no_call").when(F.col("n_results").isNull(), "no_result").otherwise("linked")
+    digest = lambda *names: F.xxhash64(*(x for n in names for x in (n, F.isnull(n))))
+    differ = lambda *names: (F.min(digest(*names)) != F.max(digest(*names))).alias("differ")
+    some = lambda rows: rows.where("call_id IS NOT NULL").groupBy(_key("call_id").alias("call"))
+    first = some(calls).agg(F.min(F.struct("turn", "name", "arguments", "after_id")).alias("c"), F.count("*").alias("n_calls"), differ("name", "arguments", "after_id"))
+    answer = some(results).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"), differ("content").alias("others"))
+    order = levels(first.select("call.conv_id", F.col("call.id").alias("call_id"), F.col("c.after_id").alias("after_id")))
+    order = order.select(_key("call_id").alias("call"), "level")
+    both = first.join(order, "call", "left").join(answer.hint("shuffle_hash"), "call", "full")
+    status = F.when(F.coalesce("differ", F.lit(False)) | F.coalesce("others", F.lit(False)), "conflict")
+    status = status.when(F.col("n_calls").isNull(), "no_call").when(F.col("n_results").isNull(), "no_result").otherwise("linked")
     errors = F.when(F.col("n_calls").isNotNull(), argument_errors(F.col("c.name"), F.col("c.arguments"), schemas))
     out = both.select(
-        F.coalesce("c.conv_id", "r.conv_id").alias("conv_id"), "call_id", status.alias("status"), F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"),
+        "call.conv_id", F.col("call.id").alias("call_id"), status.alias("status"), F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"),
         F.col("c.name").alias("name"), "level", errors.alias("errors"), F.col("c.arguments").alias("arguments"), F.col("r.content").alias("content"), F.col("c.after_id").alias("after_id"),
     )
     body = F.to_json(F.struct("after_id", F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), "level", "name", F.col("content").alias("result")))

@@ -2,7 +2,7 @@
 
 import hashlib
 
-from pulsegrid.llm import decontaminate, pii, secret_scan
+from pulsegrid.llm import decontaminate, pii, secret_scan, tool_calls
 
 
 def key(n, salt=""):
@@ -74,3 +74,21 @@ def test_pii_admission(spark):
     mail = "someone@" + ".".join(["a"] * 300)
     row = pii.find(spark.createDataFrame([(1, f"write to {mail} today")], "doc_id long, text string")).first()
     assert [(s.kind, s.value) for s in row.base] == [("email", mail)]
+
+
+def test_calls_of_two_conversations(spark):
+    calls = spark.createDataFrame(
+        [
+            ("c", 1, "call_0", "count", '{"exact": true, "text": "x"}', None), ("c", 3, "call_1", "count", "{}", "call_0"),
+            ("d", 1, "call_1", "count", "{}", "call_0"), ("d", 3, "call_2", "count", "{}", "call_1"),
+            (None, 1, "call_0", "count", "{}", None), ("e", 1, "call_0", "count", "{}", None), ("e", 2, "call_0", "search", "{}", None),
+        ],
+        "conv_id string, turn int, call_id string, name string, arguments string, after_id string",
+    )
+    results = [("c", 2, "call_0", "of c"), ("d", 2, "call_1", "of d"), ("d", 2, "call_0", "lost"), (None, 2, "call_0", "of none"), ("e", 3, "call_0", "of e")]
+    out = tool_calls.link(calls, spark.createDataFrame(results, "conv_id string, turn int, call_id string, content string"), tool_calls.TOOLS).collect()
+    assert {(r.conv_id, r.call_id): (r.status, r.n_calls, r.n_results, r.level) for r in out} == {
+        ("c", "call_0"): ("linked", 1, 1, 0), ("c", "call_1"): ("no_result", 1, 0, 1), ("d", "call_0"): ("no_call", 0, 1, None), ("d", "call_1"): ("linked", 1, 1, 0),
+        ("d", "call_2"): ("no_result", 1, 0, 1), (None, "call_0"): ("linked", 1, 1, 0), ("e", "call_0"): ("conflict", 2, 1, 0),
+    }
+    assert len(out) == 7 and '"result":"of d"' in next(r.linked for r in out if (r.conv_id, r.call_id) == ("d", "call_1"))
