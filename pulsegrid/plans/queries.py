@@ -254,6 +254,18 @@ def local_to_master(spark, sf_dir):
     return sync.to_master(wanted, segments).withColumn("t", r6(F.col("t")))
 
 
+@query(
+    f"WITH {b.ALL}, {b.islands('x', 'b')}, {SEGMENTS}, p AS (SELECT CAST(session AS VARCHAR) AS stream, event_id, us / 1e6 AS t FROM ev), "
+    "i AS (SELECT p.stream, p.event_id, cm.last_plus - cm.n + CAST(FLOOR((p.t - cm.t0) * cm.rate) AS BIGINT) AS idx FROM p JOIN cm ON p.stream = cm.stream AND p.t >= cm.t0 AND p.t < cm.t1) "
+    "SELECT i.stream, i.event_id, i.idx, ROUND(cm.t0 + (i.idx - (cm.last_plus - cm.n)) / cm.rate, 6) + 0.0 AS t FROM i JOIN cm ON i.stream = cm.stream AND i.idx >= cm.last_plus - cm.n AND i.idx < cm.last_plus"
+)
+def local_to_master_events(spark, sf_dir):
+    """The samples of all events over the whole of each stream, mapped back."""
+    segments = _segments(spark, sf_dir)
+    points = b.events(spark, sf_dir).select(F.col("session").cast("string").alias("stream"), "event_id", (F.col("us") / 1e6).alias("t"))
+    return sync.to_master(sync.to_local(points, segments, 1800.0).drop("t"), segments).withColumn("t", r6(F.col("t")))
+
+
 @query(f"WITH {b.ALL}, {b.islands('x', 'b')}, l AS (SELECT session, stop AS start, LEAD(start) OVER (PARTITION BY session ORDER BY start) AS stop FROM x) SELECT {PERIOD} FROM l WHERE stop > start")
 def stream_gaps(spark, sf_dir):
     return intervals.gaps(intervals.coalesce(b.clicks(spark, sf_dir)))
@@ -265,6 +277,18 @@ def restrict_to_window_grid(spark, sf_dir):
     return sync.grid(windows, b.samples(spark, sf_dir).where("value > 50"))
 
 
+@query(
+    f"WITH {b.EV}, {b.SAMPLES}, k AS (SELECT DISTINCT session, idx // 300 AS k FROM sm), w AS (SELECT session, UNNEST(RANGE(k * 300, k * 300 + 300)) AS idx FROM k) "
+    "SELECT w.session, CAST(w.idx AS BIGINT) AS idx, COALESCE(sm.value, 0.0) AS value FROM w LEFT JOIN sm ON sm.session = w.session AND sm.idx = w.idx AND sm.value > 50"
+)
+def restrict_to_all_windows(spark, sf_dir):
+    """Windows of 300 samples side by side over the whole of each session."""
+    samples = b.samples(spark, sf_dir)
+    first = (F.floor(F.col("idx") / 300) * 300).cast("long")
+    windows = samples.select("session", first.alias("first")).distinct().withColumn("last_plus", F.col("first") + 300)
+    return sync.grid(windows, samples.where("value > 50"))
+
+
 # Points
 
 CCG_BIN, CCG_HALF = 5 * b.MINUTE, 10
