@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -32,9 +34,38 @@ def ship(spark: SparkSession) -> None:
     sc._pulsegrid_shipped = True
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (local tests), under one of this process."""
-    import uuid
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a local session gets one of its own; on a cluster a machine-local folder would lose
+    what executors write, so that is refused.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folders: list[str]) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is None:
+        return
+    for folder in folders:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
-    return f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
+def work_folder(spark: SparkSession) -> str:
+    """A new folder under the shared one, deleted when the program ends (results may be read from it until then)."""
+    folder = f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    if not hasattr(sc, "_pulsegrid_folders"):
+        sc._pulsegrid_folders = []
+        atexit.register(_remove, spark, sc._pulsegrid_folders)
+    sc._pulsegrid_folders.append(folder)
+    return folder
