@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, read
+from .common import Workspace, chunked, let, matches, read
 
 #: The kinds in the order of reports, with their patterns. The look-behinds only skip starts from which
 #: no further match is possible; `card` matches whole runs of 16 to 19 digits, as no other run passes its check.
@@ -50,23 +50,9 @@ _NUMBER = _BIT["phone"] | _BIT["card"]
 
 
 def _spans(text: Column, pattern: str, hint: str) -> Column:
-    """Array of (start, stop, value) of the matches of a pattern; start and stop count code points."""
-    empty = F.array().cast("array<struct<start:int,stop:int,value:string>>")
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-
-    def place(both: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            value = F.get(both["values"], i)
-            start = acc["at"] + F.length(F.get(both["gaps"], i))
-            stop = start + F.length(value)
-            return F.struct(stop.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), stop.alias("stop"), value.alias("value"))).alias("out"))
-
-        n = F.size(both["values"])
-        first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-        return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), first, step)["out"]).otherwise(empty)
-
-    found = F.get(F.transform(F.array(F.struct(values.alias("values"), gaps.alias("gaps"))), place), F.lit(0))
+    """Array of (start, stop, value, before, after) of the matches of a pattern; start and stop count code points."""
+    found = matches(text, pattern)
+    empty = F.array().cast("array<struct<start:int,stop:int,value:string,before:string,after:string>>")
     return F.when(text.contains(hint) if hint == "@" else text.rlike(hint), found).otherwise(empty)
 
 
@@ -93,7 +79,7 @@ def _passes(kind: str, value: Column) -> Column:
 
 
 def base_spans(text: Column) -> dict[str, Column]:
-    """For each kind the array of (start, stop, value) of the base patterns in a text; empty for a null text."""
+    """For each kind the array of (start, stop, value, before, after) of the base patterns in a text; empty for a null text."""
     text = F.coalesce(text, F.lit(""))
 
     def passing(kind: str) -> Column:
@@ -108,37 +94,52 @@ def _word(text: Column, last: bool) -> Column:
     return F.lower(F.regexp_replace(word, "^[^\\p{L}\\p{N}=:]+|[^\\p{L}\\p{N}=:]+$", ""))
 
 
+def _apart(spans: Column, others: Column) -> Column:
+    """The spans, in the order of their starts, that overlap with none of the others; others needn't be in order."""
+
+    def both(b: Column) -> Column:
+        def block(some: Column) -> Column:
+            return let(some, lambda some: let(near(some), lambda near: F.filter(some, lambda s: ~F.exists(near, lambda o: (o["start"] < s["stop"]) & (s["start"] < o["stop"])))))
+
+        def near(some: Column) -> Column:
+            ends = F.struct(F.get(some, F.lit(0))["start"].alias("first"), F.array_max(F.transform(some, lambda s: s["stop"])).alias("last"))
+            return let(ends, lambda e: F.filter(b["others"], lambda o: (o["start"] < e["last"]) & (e["first"] < o["stop"])))
+
+        return F.when((F.size(b["others"]) == 0) | (F.size(b["spans"]) == 0), b["spans"]).otherwise(chunked(b["spans"], block))
+
+    return let(F.struct(spans.alias("spans"), others.alias("others")), both)
+
+
 def _mentions(kinds: Column, text: Column) -> Column:
     """Occurrences for the graph: the base spans, and tokens outside of them, with the words on either side.
 
-    kinds: array of (kind, start, stop, value).
+    kinds: array of (kind, start, stop, value, before, after).
     """
-    around = lambda start, stop: (_word(F.substring(text, F.greatest(F.lit(1), start - 63), F.least(start, F.lit(64))), True), _word(F.substring(text, stop + 1, F.lit(64)), False))
 
     def one(kind: Column, s: Column, may: Column, joined: bool) -> Column:
-        left, right = around(s["start"], s["stop"])
+        left, right = _word(s["before"], True), _word(s["after"], False)
         return F.struct(kind.alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"), left.alias("left"), right.alias("right"), may.alias("may"), F.lit(joined).alias("joined"))
 
-    apart = lambda s, others: ~F.exists(others, lambda o: (o["start"] < s["stop"]) & (s["start"] < o["stop"]))
-
-    def may(s: Column, joined: Column) -> Column:
+    def may(s: Column, numbers: int) -> Column:
         digits = F.length(_digits(s["value"])) >= LEAST_DIGITS
-        # A part of a joined number is no number of its own.
-        whole = F.when(apart(s, joined), F.lit(_ANY)).otherwise(F.lit(_ANY - _NUMBER))
         mail = F.when(s["value"].contains("@"), F.lit(_BIT["email"])).otherwise(F.lit(0))
-        return F.when(digits, whole).otherwise(mail.bitwiseOR(F.when(s["value"].rlike(HEX_GROUPS), F.lit(_BIT["ip"])).otherwise(F.lit(0))))
+        return F.when(digits, F.lit(numbers)).otherwise(mail.bitwiseOR(F.when(s["value"].rlike(HEX_GROUPS), F.lit(_BIT["ip"])).otherwise(F.lit(0))))
+
+    def admitted(tokens: Column, numbers: int) -> Column:
+        return F.filter(F.transform(tokens, lambda t: one(none, t, may(t, numbers), False)), lambda m: m["may"] > 0)
 
     def with_joined(both: Column) -> Column:
         tokens, joined = both["tokens"], both["joined"]
-        admitted = F.filter(F.transform(tokens, lambda t: one(none, t, may(t, joined), False)), lambda m: m["may"] > 0)
-        return F.concat(admitted, F.transform(joined, lambda t: one(none, t, F.lit(_NUMBER), True)))
+        # A part of a joined number is no number of its own.
+        whole = let(_apart(tokens, joined), lambda free: F.concat(admitted(free, _ANY), admitted(F.array_except(tokens, free), _ANY - _NUMBER)))
+        opened = F.when(F.size(joined) > 0, whole).otherwise(admitted(tokens, _ANY))
+        return F.concat(opened, F.transform(joined, lambda t: one(none, t, F.lit(_NUMBER), True)))
 
     none = F.lit(None).cast("string")
     seeds = F.transform(kinds, lambda s: one(s["kind"], s, F.lit(_ANY), False))
-    tokens = F.filter(_spans(text, TOKEN, "[0-9@:]"), lambda t: apart(t, kinds))
-    joined = F.filter(_spans(text, JOINED, "[0-9]\\)? \\(?[0-9]"), lambda t: (F.length(_digits(t["value"])) >= LEAST_DIGITS) & apart(t, kinds))
-    opened = F.get(F.transform(F.array(F.struct(tokens.alias("tokens"), joined.alias("joined"))), with_joined), F.lit(0))
-    return F.concat(seeds, opened)
+    tokens = _apart(_spans(text, TOKEN, "[0-9@:]"), kinds)
+    joined = _apart(F.filter(_spans(text, JOINED, "[0-9]\\)? \\(?[0-9]"), lambda t: F.length(_digits(t["value"])) >= LEAST_DIGITS), kinds)
+    return F.concat(seeds, let(F.struct(tokens.alias("tokens"), joined.alias("joined")), with_joined))
 
 
 def _edges(mentions: DataFrame) -> DataFrame:
@@ -197,11 +198,12 @@ def find(docs: DataFrame) -> DataFrame:
     found = base_spans(F.col("text"))
 
     def labelled(kind: str) -> Column:
-        return F.transform(found[kind], lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value")))
+        return F.transform(found[kind], lambda s: F.struct(F.lit(kind).alias("kind"), *(s[f].alias(f) for f in ("start", "stop", "value", "before", "after"))))
 
     kinds = F.concat(*map(labelled, PATTERNS))
     rows = docs.select("doc_id", text.alias("text"), kinds.alias("base"))
-    rows = rows.select("doc_id", "base", F.when(F.col("text").rlike("[0-9@:]"), _mentions(F.col("base"), F.col("text"))).alias("mentions"))
+    plain = F.transform("base", lambda s: s.dropFields("before", "after"))
+    rows = rows.select("doc_id", plain.alias("base"), F.when(F.col("text").rlike("[0-9@:]"), _mentions(F.col("base"), F.col("text"))).alias("mentions"))
     rows = work.save(rows.withColumn("row", F.monotonically_increasing_id()))
     mentions = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     sure = work.save(confident_patterns(work, mentions))

@@ -17,13 +17,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import let, matches, read, unused
 
 TREES, DEPTH, SEED = 24, 7, 7
 #: Labelled findings of the built-in training set.
 FINDINGS = 6000
-#: Characters of text on either side that count as neighbourhood.
-NEAR = 48
+#: Characters of text on either side that the forest sees.
+BESIDE = 48
 MARK = "<SECRET>"
 
 #: Names that announce a secret, words that announce something else, path parts, and dictionary words.
@@ -164,41 +164,37 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
     instead of the built-in ones. A column of that name is replaced; without a column `path` the path is empty.
     """
     trees = forest(fit(labelled_findings(docs.sparkSession) if findings is None else findings))
+    docs = docs.drop(output)
     where = F.col(path).cast("string") if path in docs.columns else F.lit("")
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.drop(output)
-    values = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    gaps = F.split(text, CANDIDATE, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string,before:string,after:string>>").alias("out"))
-
-    def place(acc: Column, i: Column) -> Column:
-        gap, value = F.get(F.col("_gaps"), i), F.get(F.col("_values"), i)
-        begin = acc["at"] + F.length(gap)
-        before = F.right(gap, F.lit(NEAR))
-        after = F.substring(F.get(F.col("_gaps"), i + 1), 1, NEAR)
-        return F.struct((begin + F.length(value)).alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), value.alias("value"), before.alias("before"), after.alias("after"))).alias("out"))
 
     def judge(c: Column) -> Column:
-        score = _share(trees, c["x"])
-        return F.struct(c["start"].alias("start"), (c["start"] + F.length(c["value"])).alias("stop"), c["value"].alias("value"), F.round(score, 6).alias("score"), (score > threshold).alias("secret"))
+        x = F.array(*_features(c["value"], F.right(c["before"], F.lit(BESIDE)), F.left(c["after"], F.lit(BESIDE)), where))
+
+        def scored(score: Column) -> Column:
+            return F.struct(c["start"].alias("start"), c["stop"].alias("stop"), c["value"].alias("value"), F.round(score, 6).alias("score"), (score > threshold).alias("secret"))
 
-    some = text.rlike(CANDIDATE)
-    out = docs.withColumn("_values", F.when(some, values).otherwise(F.array().cast("array<string>")))
-    out = out.withColumn("_gaps", F.when(F.size("_values") > 0, gaps).otherwise(F.array().cast("array<string>")))
-    placed = F.aggregate(F.sequence(F.lit(0), F.size("_values") - 1), start, place)["out"]
-    placed = F.when(F.size("_values") > 0, placed).otherwise(start["out"])
-    with_x = F.transform(placed, lambda c: F.struct(c["start"].alias("start"), c["value"].alias("value"), F.array(*_features(c["value"], c["before"], c["after"], where)).alias("x")))
-    return out.withColumn(output, F.transform(with_x, judge)).drop("_values", "_gaps")
+        return let(let(x, lambda x: _share(trees, x)), scored)
+
+    found = F.transform(matches(text, CANDIDATE), judge)
+    return docs.withColumn(output, F.when(text.rlike(CANDIDATE), found).otherwise(F.array().cast("array<struct<start:int,stop:int,value:string,score:double,secret:boolean>>")))
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each secret in text replaced by MARK; n_chars, where there is one, follows the text."""
-    scanned = scan(docs, output="_findings")
-    secrets = F.reverse(F.filter("_findings", lambda c: c["secret"]))
-    cut = lambda text, c: F.concat(F.substring(text, F.lit(1), c["start"]), F.lit(MARK), F.substr(text, c["stop"] + 1))
-    out = scanned.withColumn("text", F.when(F.size(secrets) > 0, F.aggregate(secrets, F.col("text"), cut)).otherwise(F.col("text")))
+    """docs with each secret in text replaced by MARK; n_chars, where there is one, follows the text.
+
+    A null text stays null, all rows and columns stay, repeated rows are redacted alike; an empty table gives an empty one.
+    """
+    name = unused(docs, "findings")
+    found = F.col(name)
+    some = F.exists(found, lambda c: c["secret"])
+    # The text between candidates stays; so do candidates that are no secrets.
+    kept = lambda i: F.coalesce(F.when(F.get(found, i)["secret"], F.lit(MARK)).otherwise(F.get(found, i)["value"]), F.lit(""))
+    pieces = F.transform(F.split("text", CANDIDATE, -1), lambda gap, i: F.concat(gap, kept(i)))
+    text = F.when(some, F.array_join(pieces, "")).otherwise(F.col("text"))
+    out = scan(docs, output=name).withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size(secrets) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
 
 
