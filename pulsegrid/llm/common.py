@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -110,3 +111,27 @@ def matches(text: Column, pattern: str) -> Column:
         return F.when(F.size(both["values"]) > 0, let(blocks, shift)).otherwise(empty)
 
     return let(F.struct(values.alias("values"), gaps.alias("gaps")), whole)
+
+
+def range_bounds(keys: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """Lower bounds of all but the first of up to `parts` ranges of (a, b), both longs without nulls, that hold about as many rows each.
+
+    Spark's range partitioner finds them from a sample; only the keys are shuffled.
+    """
+    dealt = keys.select("a", "b").repartitionByRange(parts, "a", "b")
+    rows = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("a", "b")).alias("low")).collect()
+    return sorted((r.low.a, r.low.b) for r in rows)[1:]
+
+
+def range_of(a: Column, b: Column, bounds: list[tuple[int, int]]) -> Column:
+    """Number of the range of (a, b): how many bounds are at most that, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    known = F.from_json(F.lit(json.dumps([{"a": x, "b": y} for x, y in bounds])), "array<struct<a:long,b:long>>")
+    key = F.struct(a.alias("a"), b.alias("b"))
+
+    def step(at: Column, width: Column) -> Column:
+        return F.when(F.get(known, at + width - 1) <= key, at + width).otherwise(at)
+
+    widths = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, widths)), F.lit(0), step)

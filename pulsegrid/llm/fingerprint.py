@@ -8,39 +8,45 @@ collisions of 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import let, range_bounds, range_of, read
 
 K = 128
 WIDTH = 5
 #: Documents in a bucket of neighbours, and the most buckets.
 BUCKET_ROWS = 64
 MOST_BUCKETS = 1 << 16
+#: Shingles of a part of a long text.
+PART = 4096
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value evaluated once for each row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _least(values: Column, k: int) -> Column:
+    return F.slice(F.sort_array(F.array_distinct(values)), 1, k)
 
 
 def sketch(text: Column, k: int = K, width: int = WIDTH) -> Column:
     """The sketch of a text: lower-cased words between white space, shingles of `width` words.
 
     Fewer words: the whole sequence is one shingle. A null text or one without words has an empty sketch.
+    A text of more than PART words is sketched in parts, which overlap by width - 1 words, and these are merged.
     """
     tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
     hashes = F.transform(tokens, lambda w: F.xxhash64(w))
 
-    def all_shingles(h: Column) -> Column:
-        many = F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(width))))
+    def shingles(h: Column, first: Column, last: Column) -> Column:
+        return F.transform(F.sequence(first, last), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(width))))
+
+    def of(h: Column) -> Column:
+        end = F.size(h) - width
+        parts = F.sequence(F.lit(0), end, F.lit(PART))
+        merged = F.aggregate(parts, F.array().cast("array<bigint>"), lambda acc, i: merge(acc, _least(shingles(h, i, F.least(i + (PART - 1), end)), k), k))
         one = F.array(F.xxhash64(F.array_join(h.cast("array<string>"), " ")))
+        many = F.when(end < PART, _least(shingles(h, F.lit(0), end), k)).otherwise(merged)
         return F.when(F.size(h) >= width, many).when(F.size(h) > 0, one).otherwise(F.array().cast("array<bigint>"))
 
-    return F.slice(F.sort_array(F.array_distinct(_let(hashes, all_shingles))), 1, k)
+    return let(hashes, of)
 
 
 def merge(a: Column, b: Column, k: int = K) -> Column:
@@ -58,7 +64,7 @@ def merge_rows(df: DataFrame, by: list[str], column: str = "sketch", k: int = K)
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
     """Estimated Jaccard similarity of two sketched sets; 1 for two empty ones."""
     hits = lambda u: F.size(F.array_intersect(u, F.array_intersect(a, b))) / F.size(u)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(_let(merge(a, b, k), hits))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(let(merge(a, b, k), hits))
 
 
 def distinct_count(a: Column, k: int = K) -> Column:
@@ -81,22 +87,23 @@ def as_text(a: Column) -> Column:
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """docs (doc_id, tie and columns) with next: a struct of the columns of the row after it by descending doc_id.
 
-    Ties of doc_id are in the order of tie; null ids come last; after the last row comes the first. Rows
-    are dealt out in buckets of neighbouring ids. A bucket's last row finds its successor in a copy of the
-    next bucket's first row, of which there are MOST_BUCKETS + 1 at most.
+    Ties of doc_id are in the order of tie; null ids come last; after the last row comes the first; an empty table
+    gives an empty one. Rows are dealt out in ranges of neighbouring (doc_id, tie) that hold about as many rows each,
+    so neither far-off nor repeated ids crowd one of them. A range's last row finds its successor in a copy of the
+    next range's first row, of which there are MOST_BUCKETS at most.
     """
-    stats = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high, n = (stats[0] or 0), (stats[1] or 0), stats[2]
-    buckets = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
-    step = max(1, -(-(high - low + 1) // buckets))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - low) / step), F.lit(-1)).cast("long")
-    rows = docs.withColumn("_bucket", bucket)
-    key = F.struct(F.coalesce(-F.col("doc_id"), F.lit((1 << 63) - 1)).alias("id"), F.col("tie"))
+    # Descending order: bits are inverted, which unlike a change of sign can't overflow.
+    rows = docs.withColumns({"_a": F.coalesce(F.bitwise_not(F.col("doc_id").cast("long")), F.lit((1 << 63) - 1)), "_b": F.col("tie")})
+    keys = rows.select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    n = keys.count()
+    bounds = range_bounds(keys, max(1, min(MOST_BUCKETS, n // BUCKET_ROWS)))
+    rows = rows.withColumn("_bucket", range_of(F.col("_a"), F.col("_b"), bounds))
+    key = F.struct(F.col("_a").alias("id"), F.col("_b").alias("tie"))
     heads = rows.groupBy("_bucket").agg(F.min(key).alias("key"))
-    order = Window.orderBy(F.col("_bucket").desc())
-    heads = heads.withColumn("_before", F.coalesce(F.lag("_bucket").over(order), F.min("_bucket").over(Window.partitionBy())))
+    order = Window.orderBy("_bucket")
+    heads = heads.withColumn("_before", F.coalesce(F.lag("_bucket").over(order), F.max("_bucket").over(Window.partitionBy())))
     mine = F.broadcast(heads.select(F.col("_bucket"), F.col("key.id").alias("_id"), F.col("key.tie").alias("_tie"), "_before"))
-    first = rows.withColumns({"_id": key["id"], "_tie": F.col("tie")}).join(mine, ["_bucket", "_id", "_tie"])
+    first = rows.withColumns({"_id": F.col("_a"), "_tie": F.col("_b")}).join(mine, ["_bucket", "_id", "_tie"])
     first = first.dropDuplicates(["_bucket"]).select(F.col("_before").alias("_bucket"), F.lit(True).alias("_copy"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("tie"), *columns)
     both = rows.select("_bucket", F.lit(False).alias("_copy"), F.col("doc_id").cast("long").alias("doc_id"), "tie", *columns).unionByName(first)
     within = Window.partitionBy("_bucket").orderBy("_copy", F.col("doc_id").desc_nulls_last(), "tie")
@@ -120,4 +127,5 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         resemblance(F.col("sketch"), F.col("next.sketch")).alias("near_next"),
         F.round(distinct_count(F.col("sketch")), 3).alias("distinct_shingles"),
+        F.round(containment(F.col("sketch"), F.col("edited_sketch")), 6).alias("contained_in_edited"),
     )

@@ -6,8 +6,8 @@ for the last. A memory-mapped file gives any row without a copy: row i is in bat
 whole documents in ascending doc_id order, one after another without gaps; the last sequence of a file is
 padded, which its mask tells. Beside each file is a stream of its documents (doc_id, start, n_tokens).
 
-Documents are dealt out by ranges of doc_id; only ids are shuffled, never texts. Each range becomes one
-file. It is written under the name of the attempt and then renamed, so a lost executor leaves no half file.
+Documents are dealt out by ranges of (doc_id, hash of the text) that hold about as many documents each; only
+ids are shuffled, never texts. Each range becomes one task and one file. It is written under the name of the attempt and then renamed, so a lost executor leaves no half file.
 """
 
 from __future__ import annotations
@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import Workspace, read
+from .common import Workspace, range_bounds, read
+from .sharding import place
 
 SEQUENCE = 2048
 ROWS = 256
 #: Documents of a file, and the most files.
-FILE_DOCS = 8192
+FILE_DOCS = 4096
 MOST_FILES = 1 << 16
 #: Words that a worker keeps, and words that go to the library at a time.
 CACHE = 3_000_000
@@ -175,15 +176,19 @@ def _encoder_of(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def _encode(path: str, end: int):
+def _encode(path: str, end: int, bounds: list[tuple[int, int]]):
+    """Rows (doc_id, a, b, text), with b in the order of a, to (doc_id, a, b, file, ids)."""
+    low_a, low_b = (np.array([x[i] for x in bounds], np.int64) for i in (0, 1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder_of(path)
         for whole in batches:
             for batch in words.pieces(whole, "text", 2 << 20):
-                flat, at = encoder.batch(*words.raw(batch.column(1)), end)
+                flat, at = encoder.batch(*words.raw(batch.column(3)), end)
+                file = place(batch.column(1).to_numpy(), batch.column(2).to_numpy(), low_a, low_b).astype(np.int32)
                 size = (at * flat.itemsize).astype(np.int32)
                 ids = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(size), pa.py_buffer(flat)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), ids], ["doc_id", "file", "ids"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(file), ids], ["doc_id", "a", "b", "file", "ids"])
 
     return run
 
@@ -237,12 +242,12 @@ def _write(folder: str, kind):
         done: list[tuple] = []
         now: int | None = None
         writer = sink = None
-        docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        docs: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
         def finish() -> None:
             writer.close()
             sink.close()
-            table = pa.table({k: np.concatenate([d[i] for d in docs]) for i, k in enumerate(("doc_id", "start", "n_tokens"))})
+            table = pa.table({k: pa.concat_arrays([pa.array(d[i]) for d in docs]) for i, k in enumerate(("doc_id", "start", "n_tokens"))})
             with store.open_output_stream(f"{part}.docs") as f, pa.ipc.new_stream(f, table.schema) as out:
                 out.write_table(table)
             store.move(f"{part}.docs", f"{root}/{now:08d}.docs.arrow")
@@ -266,7 +271,7 @@ def _write(folder: str, kind):
                 n = (pa.compute.binary_length(lists).to_numpy() // np.dtype(kind).itemsize).astype(np.int64)
                 starts = writer.total + np.cumsum(n) - n
                 writer.add(np.frombuffer(b"".join(lists.to_pylist()), kind))
-                docs.append((batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64), starts, n))
+                docs.append((batch.column(1).slice(a, b - a), starts, n))
         if now is not None:
             finish()
         columns = list(zip(*done)) or [()] * 4
@@ -280,22 +285,21 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = 1) ->
     """Writes the ids of docs (doc_id, text) and returns the files: (file, name, n_docs, n_ids, base).
 
     base: ids of all files before. Each text (null: empty) is encoded and `end` appended. Rows are in ascending order of
-    doc_id, those of one doc_id in that of a hash of their text; rows with a null doc_id are left out, as they have no place.
+    doc_id, null ones first, those of one doc_id in that of a hash of their text; an empty table gives no files.
     """
     spark = docs.sparkSession
-    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    stats = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high, n = stats[0] or 0, stats[1] or 0, stats[2]
-    files = max(1, min(MOST_FILES, max(n // FILE_DOCS, min(64, n // 256))))
-    step = max(1, -(-(high - low + 1) // files))
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("a"), F.xxhash64("text").alias("b"), "text")
+    n = docs.count()
+    bounds = range_bounds(keyed, max(1, min(MOST_FILES, max(n // FILE_DOCS, min(12, n // 256)))))
     from tokenizers import Tokenizer
 
     kind = np.uint16 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else np.uint32
-    ranged = docs.withColumn("file", F.floor((F.col("doc_id") - low) / step).cast("long"))
-    encoded = ranged.mapInArrow(_encode(tokenizer, end), "doc_id long, file long, ids binary")
-    dealt = encoded.repartition(files, "file").sortWithinPartitions("file", "doc_id", F.xxhash64("ids"))
+    encoded = keyed.mapInArrow(_encode(tokenizer, end, bounds), "doc_id long, a long, b long, file int, ids binary")
+    dealt = encoded.repartitionById(len(bounds) + 1, F.col("file")).sortWithinPartitions("a", "b")
     work = Workspace(spark)
-    made = work.save(dealt.select("file", "doc_id", "ids").mapInArrow(_write(folder, kind), "file long, name string, n_docs long, n_ids long"))
+    made = work.save(dealt.select(F.col("file").cast("long").alias("file"), "doc_id", "ids").mapInArrow(_write(folder, kind), "file long, name string, n_docs long, n_ids long"))
     rows = sorted(made.collect(), key=lambda r: r.file)  # one row a file, MOST_FILES at most
     base, out = 0, []
     for r in rows:
@@ -339,7 +343,7 @@ def _read(folder: str):
                         x = zlib.crc32(flat[at][a - at * size : stop - at * size].astype("<u4").tobytes(), x)
                         a = stop
                     crc[i] = x
-                yield pa.RecordBatch.from_arrays([pa.array(docs.column("doc_id").to_numpy()), pa.array(start + base), pa.array(n), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([docs.column("doc_id").combine_chunks(), pa.array(start + base), pa.array(n), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 

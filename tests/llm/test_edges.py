@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pulsegrid.llm import bpe, decontaminate, fingerprint, near_dedup, ordinal_quality, pii, secret_scan, sharding, token_file, tool_calls
@@ -49,6 +50,23 @@ def test_fingerprints(odd, none, spark):
     assert {r.g: r.sketch for r in fingerprint.merge_rows(small, ["g"], k=3).collect()} == {1: [1, 2, 3]}
 
 
+def test_with_next(odd, none):
+    docs = odd.selectExpr("doc_id", "coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS tie")
+    got = sorted((-(r.doc_id or -1), r.tie, r.text, r.next.text) for r in fingerprint.with_next(docs, ["text"]).collect())
+    want = sorted((-(r.doc_id or -1), r.tie, r.text) for r in docs.collect())
+    assert got == sorted((*r, want[(i + 1) % len(want)][2]) for i, r in enumerate(want))
+    assert fingerprint.with_next(none.selectExpr("doc_id", "text", "0L AS tie"), ["text"]).collect() == []
+
+
+def test_containment(spark):
+    words = [f"w{i}" for i in range(9000)]
+    rows = [(" ".join(words[:3000]), " ".join(words)), ("a b", ""), ("", "a b"), (" ".join(words), " ".join(words[6000:]))]
+    df = spark.createDataFrame(rows, "a string, b string").select(fingerprint.sketch(F.col("a")).alias("a"), fingerprint.sketch(F.col("b")).alias("b"))
+    got = [tuple(r) for r in df.select(fingerprint.containment(df.a, df.b), fingerprint.resemblance(df.a, df.b), fingerprint.distinct_count(df.a)).collect()]
+    for (c, r, n), (want_c, want_r, want_n) in zip(got, [(1, 1 / 3, 2996), (0, 0, 1), (1, 0, 0), (1 / 3, 1 / 3, 8996)]):
+        assert abs(c - want_c) < 0.2 and abs(r - want_r) < 0.15 and abs(n - want_n) <= 0.3 * want_n
+
+
 def test_secrets(odd, none, spark):
     rows = {r.doc_id: r.findings for r in secret_scan.scan(odd).where("doc_id IS NOT NULL").collect()}
     assert [f.secret for f in rows[9]] == [True] and rows[3] == [] and rows[4] == []
@@ -160,8 +178,9 @@ def test_token_file(odd, none, spark, tmp_path):
     folder = f"file://{tmp_path}/t"
     files = token_file.write_tokens(odd, path, folder)
     rows = token_file.read_documents(files, folder).orderBy("start").collect()
-    wanted = sorted(((r.doc_id, r.text) for r in odd.where("doc_id IS NOT NULL").collect()), key=lambda x: x[0])
-    assert [r.doc_id for r in rows] == [i for i, _ in wanted]
+    found = odd.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) AS h").collect()
+    wanted = [(r.doc_id, r.text) for r in sorted(found, key=lambda r: (-1 if r.doc_id is None else r.doc_id, r.h))]
+    assert [r.doc_id for r in rows] == [i for i, _ in wanted] and wanted[0][0] is None
     stream = np.concatenate([[*library.encode(t or "", add_special_tokens=False).ids, 1] for _, t in wanted])
     got = []
     for f in files.orderBy("file").collect():
