@@ -7,11 +7,18 @@
    of their k retained values (the odds against are below MISS). So it is enough to index the
    k - least + 1 values of each class that fewest classes retain: two such classes meet in a list.
    Values of common passages are left out unless a class has little else.
-3. Lists of up to SMALL classes give pairs. In longer ones each class is compared with three
-   pivots; afterwards, what isn't in the list's largest component is compared with all of the
-   list in blocks, so that no list is expanded into its pairs and no link between components is lost.
+   A class so small that its partners' sketches hold their whole sets needs only the exact prefix,
+   n - ceil(similarity * n) + 1 values.
+3. Lists of up to SMALL classes give pairs. In longer ones each class is compared with three pivots.
+   What a long list holds of several components then gets a second index: the exact prefix of the full
+   sets, rarest shingles first by counts over all of these texts, so that a shared template is in no
+   list unless it makes up nearly all of a text. Pairs and pivots follow as before; what is left of
+   long lists is compared in blocks of bounded size, so that no link between components is lost.
 4. A pair's union sketch estimates its similarity; pairs that may reach the threshold are verified
    on their full shingle sets. Components follow by star contraction.
+
+Sets are of 63-bit hashes of shingles: two different shingles of one pair of texts are taken for one with
+odds of about n * n / 2**63, n being the number of shingles.
 """
 
 from __future__ import annotations
@@ -34,9 +41,12 @@ K = 24
 MISS = 1e-6
 #: Longest list that is expanded into its pairs.
 SMALL = 64
-#: Classes in a block of a long list.
+#: Classes and, as far as texts aren't longer, shingles in a block of a long list.
 BLOCK = 256
+BLOCK_SHINGLES = 1 << 20
 PIVOTS = 3
+#: Counters of shingles, by which rare ones come first; their number decides on lengths of lists, not on results.
+COUNTERS = 1 << 18
 
 
 def least_shared(similarity: float, k: int = K) -> int:
@@ -160,6 +170,81 @@ def _block(width: int, percent: int, k: int, least: int):
     return run
 
 
+def _count_shingles(width: int):
+    """Rows (slot, n): shingles of all texts of a task, counted by a part of their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for whole in batches:
+            for batch in words.pieces(whole, "text"):
+                v, _ = _sets(batch.column(0), width)
+                total += np.bincount((v % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
+
+    return run
+
+
+def _exact_prefix(shared, width: int, percent: int):
+    """Rows (rep, n, comp, text) to (rep, n, comp, value): the rarest values of each set, two of which similar sets share at least one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in words.pieces(whole, "text"):
+                v, bounds = _sets(batch.column(3), width)
+                n = np.diff(bounds)
+                text = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((v, shared.value[(v % np.uint64(COUNTERS)).astype(np.int64)], text))
+                first = np.arange(len(v)) - np.repeat(bounds[:-1], n) < np.repeat(n - (percent * n + 99) // 100 + 1, n)
+                of = pa.array(text[first])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(of) for i in range(3)), pa.array(v[order][first].astype(np.int64))], ["rep", "n", "comp", "value"])
+
+    return run
+
+
+def _meet(work: Workspace, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different components from an index (value, rep, n, comp), and its rows in lists that were too long to expand."""
+    index = work.save(index)
+    lengths = index.groupBy("value").agg(F.count("*").alias("length"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("length > 1 AND low < high")
+    lengths = work.save(lengths.select("value", "length"))
+    listed = work.save(index.join(lengths, "value"))  # written, so that the join may split a long list and only short ones are grouped
+    work.drop(index)
+    short = listed.where(F.col("length") <= SMALL).groupBy("value").agg(F.sort_array(F.collect_set(F.struct("rep", "comp"))).alias("r"))
+    later = "flatten(transform(r, (x, i) -> transform(filter(slice(r, i + 2, size(r)), y -> y.comp <> x.comp), y -> struct(x.rep AS a, y.rep AS b))))"
+    pairs = short.select(F.explode(F.expr(later)).alias("p")).select("p.a", "p.b")
+    hot = listed.where(F.col("length") > SMALL)
+    one = F.struct("rep", "comp")
+    pivots = hot.groupBy("value").agg(*(F.min_by(one, F.xxhash64("rep", F.lit(i)) if i else F.col("rep")).alias(f"p{i}") for i in range(PIVOTS)))
+    to_pivots = hot.join(small(work.save(pivots), BROADCAST_ROWS // 4), "value").select("rep", "comp", F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("p"))
+    to_pivots = to_pivots.where("comp <> p.comp").select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
+    return pairs.unionByName(to_pivots).distinct(), hot
+
+
+def _split(hot: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (value, rep, n, comp) of the long lists that are in several components still."""
+    member = hot.drop("comp").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    apart = member.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    return member.join(apart.select("value"), "value")
+
+
+def _between(work: Workspace, rows: DataFrame, texts: DataFrame, block) -> DataFrame:
+    """Links (u, v) between components of lists (value, rep, n, comp): what is outside a list's largest component against all of it, in blocks."""
+    rows = work.save(rows)
+    shares = rows.groupBy("value", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    blocks = lambda rows, n: F.greatest(F.ceil(rows / BLOCK), F.ceil(n / BLOCK_SHINGLES))
+    lists = shares.groupBy("value").agg(
+        F.max_by("comp", F.struct("rows", "comp")).alias("largest"), F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.max_by("n", F.struct("rows", "comp")).alias("most_n"), F.max("rows").alias("most")
+    )
+    lists = lists.select("value", "largest", blocks(F.col("rows"), F.col("n")).alias("blocks"), blocks(F.col("rows") - F.col("most"), F.col("n") - F.col("most_n")).alias("asks"))
+    spread = rows.drop("n").join(lists, "value").join(texts, "rep").withColumn("outside", F.col("comp") != F.col("largest"))
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    every = lambda n: F.explode(F.expr(f"sequence(0L, {n} - 1)"))
+    kept = ("value", "rep", "comp", "text", "outside")
+    listed = spread.select(*kept, F.lit(False).alias("q"), own("blocks").alias("block"), every("asks").alias("ask"))
+    asked = spread.where("outside").select(*kept, F.lit(True).alias("q"), every("blocks").alias("block"), own("asks").alias("ask"))
+    return listed.unionByName(asked).groupBy("value", "block", "ask").applyInPandas(block, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, k: int = K) -> DataFrame:
     """Columns doc_id, n_shingles, component_id, kept for each row of docs (doc_id long, text string).
 
@@ -178,53 +263,43 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, k:
     classes = work.save(
         profile.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     )
-    values = classes.select("rep", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
+    values = classes.select("rep", "n", F.explode("sketch").alias("value"))
     common = values.groupBy("value").agg(F.count("*").alias("lists")).where("lists > 1")
+    size = f"least(n, {k})"
+    indexed = f"if(n <= {k * percent // 100}, n - (n * {percent} + 99) div 100 + 1, least({k - least + 1}, {size}))"
     prefix = (
-        values.join(common, "value").groupBy("rep").agg(F.max("size").alias("size"), F.sort_array(F.collect_set(F.struct("lists", "value"))).alias("known"))
-        .select("rep", F.explode(F.expr(f"slice(known, 1, greatest(0, least({k - least + 1}, size) - (size - size(known))))")).alias("x"))
-        .select("rep", F.col("x.value").alias("value"))
+        values.join(common, "value").groupBy("rep").agg(F.max("n").alias("n"), F.sort_array(F.collect_set(F.struct("lists", "value"))).alias("known"))
+        .select("rep", "n", F.explode(F.expr(f"slice(known, 1, cast(greatest(0, {indexed} - ({size} - size(known))) AS int))")).alias("x"))
+        .select(F.col("x.value").alias("value"), "rep", "n", F.col("rep").alias("comp"))
     )
-    index = work.save(prefix)
-    lengths = work.save(index.groupBy("value").agg(F.count("*").alias("length")).where("length > 1"))
-    listed = work.save(index.join(lengths, "value"))  # written, so that the join may split a long list and only short ones are grouped
-    work.drop(index)
-    pairs = (
-        listed.where(F.col("length") <= SMALL).groupBy("value").agg(F.sort_array(F.collect_set("rep")).alias("r"))
-        .select(F.explode(F.expr("flatten(transform(r, (x, i) -> transform(slice(r, i + 2, size(r)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.a", "p.b")
-    )
-    hot = listed.where(F.col("length") > SMALL)
-    pivots = hot.groupBy("value").agg(*(F.min_by("rep", F.xxhash64("rep", F.lit(i)) if i else F.col("rep")).alias(f"p{i}") for i in range(PIVOTS)))
-    to_pivots = hot.join(small(work.save(pivots), BROADCAST_ROWS // 4), "value").select("rep", F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("pivot"))
-    pairs = pairs.unionByName(to_pivots.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))).distinct()
+    pairs, hot = _meet(work, prefix)
     side = classes.select("rep", "n", "sketch")
-    candidates = work.save(
-        pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b").where(_estimate(similarity, k)).select("a", "b").distinct()
-    )
-
     def texts_of(ids: DataFrame) -> DataFrame:
         own = docs.join(small(ids.distinct()), "doc_id", "left_semi")
         return own.withColumn("t", F.xxhash64("text")).dropDuplicates(["doc_id", "t"]).drop("t")
 
-    texts = work.save(texts_of(candidates.select(F.explode(F.array("a", "b")).alias("doc_id"))))
-    full = candidates.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    links = work.save(full.mapInArrow(_verify(width, percent), "a long, b long").toDF("u", "v").distinct())
-    work.drop(texts)
-    found = components(work, links)
+    def confirm(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
+        candidates = work.save(both.where(_estimate(similarity, k)).select("a", "b").distinct())
+        texts = work.save(texts_of(candidates.select(F.explode(F.array("a", "b")).alias("doc_id"))))
+        full = candidates.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+        links = work.save(full.mapInArrow(_verify(width, percent), "a long, b long").toDF("u", "v").distinct())
+        work.drop(texts, candidates)
+        return links
 
-    # Long lists whose classes are still in several components.
-    member = hot.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", "length", F.coalesce("component", "rep").alias("comp"))
-    shares = member.groupBy("value", "comp").agg(F.count("*").alias("n"))
-    rest = shares.groupBy("value").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.sum("n").alias("length"), F.max("n").alias("most")).where("most < length")
-    rest = work.save(rest.select("value", "largest", F.ceil(F.col("length") / BLOCK).alias("blocks"), F.ceil((F.col("length") - F.col("most")) / BLOCK).alias("asks")))
+    links = confirm(pairs)
+    found = components(work, links)
+    rest = work.save(_split(hot, found).select("rep", "n", "comp").distinct())
     if not rest.isEmpty():
-        spread = work.save(member.drop("length").join(rest, "value"))
-        texts = texts_of(spread.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
-        spread = spread.join(texts, "rep").withColumn("outside", F.col("comp") != F.col("largest"))
-        own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
-        rows = spread.select("value", "rep", "comp", "text", "outside", F.lit(False).alias("q"), own("blocks").alias("block"), F.explode(F.expr("sequence(0L, asks - 1)")).alias("ask"))
-        asked = spread.where("outside").select("value", "rep", "comp", "text", "outside", F.lit(True).alias("q"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), own("asks").alias("ask"))
-        more = work.save(rows.unionByName(asked).groupBy("value", "block", "ask").applyInPandas(_block(width, percent, k, least), "u long, v long"))
+        texts = work.save(rest.join(texts_of(rest.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep"), "rep"))
+        slots = texts.select("text").mapInArrow(_count_shingles(width), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+        counts = np.zeros(COUNTERS, np.int64)
+        counts[slots.column("slot").to_numpy()] = slots.column("n").to_numpy()
+        shared = spark.sparkContext.broadcast(counts)
+        pairs, hot = _meet(work, texts.select("rep", "n", "comp", "text").mapInArrow(_exact_prefix(shared, width, percent), "rep long, n long, comp long, value long"))
+        links = work.save(links.unionByName(confirm(pairs)))
+        found = components(work, links)
+        more = work.save(_between(work, _split(hot, found), texts.select("rep", "text"), _block(width, percent, k, least)))
         if not more.isEmpty():
             found = components(work, links.unionByName(more))
     whole = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))

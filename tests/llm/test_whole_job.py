@@ -2,7 +2,8 @@
 
 import hashlib
 
-from pulsegrid.llm import decontaminate, pii, secret_scan, tool_calls
+from pulsegrid.llm import decontaminate, near_dedup, pii, secret_scan, tool_calls
+from tests.llm.test_contracts import components
 
 
 def key(n, salt=""):
@@ -92,3 +93,25 @@ def test_calls_of_two_conversations(spark):
         ("d", "call_2"): ("no_result", 1, 0, 1), (None, "call_0"): ("linked", 1, 1, 0), ("e", "call_0"): ("conflict", 2, 1, 0),
     }
     assert len(out) == 7 and '"result":"of d"' in next(r.linked for r in out if (r.conv_id, r.call_id) == ("d", "call_1"))
+
+
+def templated(n, shared, own):
+    """n texts of `shared` common words and `own` words of their own; every tenth has a near copy, and every hundredth is the start of a chain."""
+    head = " ".join(f"t{i}" for i in range(shared))
+    rows = []
+    for i in range(n):
+        mine = [f"w{i}x{j}" for j in range(own)]
+        if i % 10 == 1:
+            mine = [*rows[-1][1].split()[shared:-3], "some", "other", "end"]
+        if i % 100 > 90:
+            mine = [*rows[-1][1].split()[shared + 2 :], f"more{i}", f"yet{i}"]
+        rows.append((i, f"{head} {' '.join(mine)}"))
+    return rows
+
+
+def test_near_dedup_of_templates(spark):
+    for shared, own in ((60, 50), (12, 6), (150, 30)):
+        rows = templated(700, shared, own)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 0.85, 3).collect()}
+        assert got == {i: c for i, (_, c) in components(dict(rows)).items()}
