@@ -1,10 +1,11 @@
 """Benchmark decontamination: a BM25 index of test items, searched with block-max bounds by every training passage.
 
-The inverted index holds each item's BM25 impacts divided by the score that the item reaches with
-its own text, so that 1 is a full match whatever the length. Items are in blocks of BLOCK; for each
-term and block the index keeps the greatest impact. A passage (PASSAGE words, one every STRIDE words)
-is pruned as WAND does it: first where the greatest impacts of its terms together stay below the
-threshold, then block by block; only blocks whose bound reaches the threshold are scored, exactly.
+The index has an inverted list for each term: the entries that hold it with their BM25 impacts, divided by
+the score that the entry reaches with its own text, so that 1 is a full match whatever the length. Lists are
+in blocks with the greatest impact of each; blocks of all lists begin at the same entries, every BLOCK of
+them. A passage (PASSAGE words, one every STRIDE words) is searched as WAND does it: where the greatest impacts
+of its terms' lists together stay below the threshold it is done; otherwise the maxima of its terms' blocks are
+summed, blocks that stay below are skipped in all lists, and the postings of the others are scored exactly.
 No passage or item above the threshold is lost. What is retrieved is verified: both the question and
 the answer of the item must overlap with the document's words around the passage.
 
@@ -12,8 +13,9 @@ An item of more than ENTRY words is cut into even entries of ENTRY words at most
 in some passage; the index holds entries. Passages that retrieve entries of a cut item are verified as
 runs: the words around them, as far to either side as the item is long, where these adjoin.
 
-One pass over the documents, without a shuffle. The index is broadcast in parts of about PART_ITEMS entries,
-those of an item together; more than PARTS_AT_ONCE parts take further passes, so what is broadcast is bounded.
+One pass over the documents, without a shuffle. The index is broadcast in parts of about PART_POSTINGS postings
+(12 bytes each at most, and as much for the shingles of the items), an item in one part; more than PARTS_AT_ONCE
+parts take further passes, so what is broadcast is bounded.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from .common import Workspace, read, small
 
 K1, B = 1.2, 0.75
 BLOCK = 16
-PART_ITEMS = 512
+PART_POSTINGS = 1 << 17
 PARTS_AT_ONCE = 8
 PASSAGE, STRIDE = 96, 32
 #: So many words in a row lie whole in some passage wherever they start.
@@ -48,8 +50,13 @@ class Part:
     length: np.ndarray  # words of the item
     owner: np.ndarray  # item of each entry
     terms: np.ndarray  # sorted hashes
-    impact: np.ndarray  # term x entry
-    block_max: np.ndarray  # term x block
+    list_max: np.ndarray  # greatest impact of each term
+    blocks: np.ndarray  # first block of each term, and the total
+    place: np.ndarray  # of each block: its entries are from place * BLOCK on
+    block_max: np.ndarray
+    postings: np.ndarray  # first posting of each block, and the total
+    within: np.ndarray  # of each posting: its entry, counted from the first of the block
+    impact: np.ndarray
     question: list[np.ndarray]  # shingle hashes
     answer: list[np.ndarray]
 
@@ -110,29 +117,42 @@ def build_index(items: DataFrame) -> Iterator[Part]:
     weight = postings.join(df, "term").withColumn("weight", idf * F.col("tf") * (K1 + 1) / norm)
     own = weight.groupBy("item", "entry").agg(F.sum("weight").alias("own"))
     impacts = work.save(weight.join(own, ["item", "entry"]).select("item", "entry", "words", "term", (F.col("weight") / F.col("own")).alias("impact")))
-    n_parts = -(-stats.n // PART_ITEMS)
+    n_parts = max(1, -(-impacts.count() // PART_POSTINGS))
     for part in range(n_parts):
         mine = items.where(F.pmod("item", F.lit(n_parts)) == part)
         rows = sorted(mine.collect(), key=lambda r: (r.item_id, r.item))
-        if not rows:
+        found = impacts.where(F.pmod("item", F.lit(n_parts)) == part).toArrow()
+        if not found.num_rows:
             continue
         at = {r.item: i for i, r in enumerate(rows)}
-        found = impacts.where(F.pmod("item", F.lit(n_parts)) == part).toArrow()
-        term = found.column("term").to_numpy().view(np.uint64)
         item = np.array([at[x] for x in found.column("item").to_pylist()], dtype=np.int64)
         length = np.zeros(len(rows), np.int64)
         length[item] = found.column("words").to_numpy()
         entries = np.maximum(1, -(-length // ENTRY))
-        column = (np.cumsum(entries) - entries)[item] + found.column("entry").to_numpy()
-        terms, which = np.unique(term, return_inverse=True)
-        width = -(-int(entries.sum()) // BLOCK) * BLOCK
-        impact = np.zeros((len(terms), width), np.float32)
-        impact[which, column] = found.column("impact").to_numpy()
+        entry = (np.cumsum(entries) - entries)[item] + found.column("entry").to_numpy()
         pairs = [split_item(r.text) for r in rows]
-        yield Part(
-            np.array([r.item_id for r in rows], np.int64), length, np.repeat(np.arange(len(rows)), entries), terms, impact, impact.reshape(len(terms), -1, BLOCK).max(axis=2),
-            _shingle_sets([q for q, _ in pairs]), _shingle_sets([a for _, a in pairs]),
-        )
+        lists = _lists(found.column("term").to_numpy().view(np.uint64), entry, found.column("impact").to_numpy().astype(np.float32))
+        ids = np.array([r.item_id for r in rows], np.int64)
+        yield Part(ids, length, np.repeat(np.arange(len(rows)), entries), *lists, _shingle_sets([q for q, _ in pairs]), _shingle_sets([a for _, a in pairs]))
+
+
+def _lists(term: np.ndarray, entry: np.ndarray, impact: np.ndarray) -> tuple[np.ndarray, ...]:
+    """terms, list_max, blocks, place, block_max, postings, within and impact of a Part from its postings in any order."""
+    terms, which = np.unique(term, return_inverse=True)
+    order = np.lexsort((entry, which))
+    which, entry, impact = which[order], entry[order], impact[order]
+    place = entry // BLOCK
+    fresh = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (place[1:] != place[:-1])]))
+    block_max = np.maximum.reduceat(impact, fresh)
+    blocks = np.searchsorted(which[fresh], np.arange(len(terms) + 1))
+    list_max = np.maximum.reduceat(block_max, blocks[:-1])
+    return terms, list_max, blocks, place[fresh], block_max, np.append(fresh, len(entry)), (entry % BLOCK).astype(np.uint8), impact
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... (n numbers) of each pair, one after another."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)
 
 
 def _windows(n: np.ndarray) -> np.ndarray:
@@ -156,32 +176,40 @@ def retrieve(hashes: np.ndarray, bounds: np.ndarray, part: Part, threshold: floa
     start = bounds[text] + first
     stop = np.minimum(start + PASSAGE, bounds[text + 1])
     lo, hi = np.searchsorted(known, start), np.searchsorted(known, stop)
-    # The bound over all blocks; a repeated term counts again, which keeps it a bound.
+    # The bound over whole lists; a repeated term counts again, which keeps it a bound.
     whole = np.zeros(len(known) + 1)
-    np.cumsum(part.block_max.max(axis=1)[term], out=whole[1:])
+    np.cumsum(part.list_max[term], out=whole[1:])
     slack = threshold - 1e-6
     alive = np.flatnonzero(whole[hi] - whole[lo] >= slack)
+    places = int(part.place.max()) + 1
     found = []
-    for block in range(part.block_max.shape[1]):
-        if not len(alive):
-            break
-        bound = np.zeros(len(known) + 1)
-        np.cumsum(part.block_max[:, block][term], out=bound[1:])
-        open_ = alive[bound[hi[alive]] - bound[lo[alive]] >= slack]
-        impact = part.impact[:, block * BLOCK : (block + 1) * BLOCK]
-        for some in np.array_split(open_, max(1, len(open_) // 4096)):
-            if not len(some):
-                continue
-            n_terms = hi[some] - lo[some]
-            row = np.repeat(np.arange(len(some)), n_terms)
-            ends = np.cumsum(n_terms)
-            code = row * len(part.terms) + term[np.arange(ends[-1]) + np.repeat(lo[some] - (ends - n_terms), n_terms)]
-            code.sort()
-            code = code[np.concatenate([[True], code[1:] != code[:-1]])]
-            row, t = code // len(part.terms), code % len(part.terms)
-            scores = np.add.reduceat(impact[t], np.searchsorted(row, np.arange(len(some))), axis=0)
-            w, i = np.nonzero(scores >= threshold)
-            found.append((text[some[w]], first[some[w]], block * BLOCK + i, scores[w, i]))
+    for some in np.array_split(alive, -(-len(alive) // max(1, min(4096, (1 << 22) // places))) or 1):
+        # The lists that a passage walks: its distinct terms.
+        n_terms = hi[some] - lo[some]
+        code = np.repeat(np.arange(len(some)), n_terms) * len(part.terms) + term[_ranges(lo[some], n_terms)]
+        code.sort()
+        code = code[np.concatenate([[True], code[1:] != code[:-1]])] if len(code) else code
+        row, t = code // len(part.terms), code % len(part.terms)
+        # Bounds by block; where they stay below the threshold, all lists skip the block.
+        n_blocks = part.blocks[t + 1] - part.blocks[t]
+        block = _ranges(part.blocks[t], n_blocks)
+        spot = np.repeat(row, n_blocks) * places + part.place[block]
+        bound = np.bincount(spot, weights=part.block_max[block], minlength=len(some) * places)
+        open_ = np.flatnonzero(bound >= slack)
+        if not len(open_):
+            continue
+        rank = np.full(len(bound), -1)
+        rank[open_] = np.arange(len(open_))
+        kept = rank[spot] >= 0
+        block, at_open = block[kept], rank[spot[kept]]
+        n_postings = part.postings[block + 1] - part.postings[block]
+        posting = _ranges(part.postings[block], n_postings)
+        slot = np.repeat(at_open, n_postings) * BLOCK + part.within[posting]
+        scores = np.bincount(slot, weights=part.impact[posting], minlength=len(open_) * BLOCK)
+        hit = np.flatnonzero(scores >= threshold)
+        spot = open_[hit // BLOCK]
+        passage = some[spot // places]
+        found.append((text[passage], first[passage], spot % places * BLOCK + hit % BLOCK, scores[hit]))
     return tuple(np.concatenate(x) for x in zip(*found)) if found else none
 
 

@@ -1,8 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
 import hashlib
+import math
+import re
+from collections import Counter
 
-from pulsegrid.llm import decontaminate, near_dedup, pii, secret_scan, tool_calls
+from pulsegrid.llm import catalog, decontaminate, near_dedup, pii, secret_scan, tool_calls
 from tests.llm.test_contracts import components
 
 
@@ -115,3 +118,48 @@ def test_near_dedup_of_templates(spark):
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
         got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 0.85, 3).collect()}
         assert got == {i: c for i, (_, c) in components(dict(rows)).items()}
+
+
+def brute_force_leaks(docs, items, threshold=0.6, overlap=0.8):
+    """BM25 of every passage and item, one by one: (doc_id, item_id) to (contaminated, score of the best passage)."""
+    split = lambda text: re.findall(rb"[0-9A-Za-z\x80-\xff]+", text.encode())
+    lower = lambda text: [w.lower() for w in split(text)]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+    bags = {i: Counter(lower(t)) for i, t in items.items()}
+    mean = sum(sum(b.values()) for b in bags.values()) / len(bags)
+    df = Counter(t for b in bags.values() for t in b)
+    impact = {}
+    for i, bag in bags.items():
+        n = sum(bag.values())
+        weight = {t: math.log(1 + (len(bags) - df[t] + 0.5) / (df[t] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)) for t, f in bag.items()}
+        impact[i] = {t: w / sum(weight.values()) for t, w in weight.items()}
+    halves = {i: [shingles(lower(x)) for x in decontaminate.split_item(t)] for i, t in items.items()}
+    out = {}
+    for d, text in docs.items():
+        w = lower(text or "")
+        for first in range(0, max(1, len(w) - 96 + 32), 32):
+            inside = set(w[first : first + 96])
+            near = w[max(0, first - 32) : first + 128]
+            for i, weights in impact.items():
+                score = sum(v for t, v in weights.items() if t in inside)
+                if score < threshold:
+                    continue
+                have = {tuple(near[k : k + n]) for n in range(1, 6) for k in range(len(near) - n + 1)}
+                least = min(len(h & have) / len(h) if h else 1.0 for h in halves[i])
+                out[d, i] = max(out.get((d, i), (-1.0, 0.0)), (least, score))
+    return {k: (least >= overlap, score) for k, (least, score) in out.items()}
+
+
+def test_leaks_by_brute_force(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    assert max(len(t.split()) for t in items.values()) <= decontaminate.ENTRY
+    for least in (0.6, 0.25):
+        want = brute_force_leaks(docs, items, least)
+        found = decontaminate.search(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"), least).collect()
+        got = {(r.doc_id, r.item_id): r for r in found}
+        assert got.keys() == want.keys() and len(got) == len(found) > (2 if least > 0.5 else 20)
+        assert all(r.contaminated == want[k][0] and abs(r.score - want[k][1]) < 1e-4 for k, r in got.items())
+        if least == 0.6:
+            query = catalog.QUERIES["op4_decontaminate"](spark, sf_dir).collect()
+            assert {(r.doc_id, r.item_id): r.contaminated for r in query} == {k: r.contaminated for k, r in got.items()}
