@@ -24,29 +24,58 @@ def _key(name: str) -> Column:
     return F.struct("conv_id", F.col(name).alias("id"))
 
 
+def _waits(calls: DataFrame) -> DataFrame:
+    """(call, after): each call with each other call of its conversation that it waits for, once."""
+    named = [F.array("after_id")] if "after_id" in calls.columns else []
+    named += [F.coalesce("after_ids", F.array().cast("array<string>"))] if "after_ids" in calls.columns else []
+    each = calls.where("call_id IS NOT NULL").select("conv_id", "call_id", F.explode(F.concat(*named)).alias("after")).where("after IS NOT NULL")
+    each = each.select(_key("call_id").alias("call"), _key("after").alias("after")).distinct()
+    return each.join(calls.select(_key("call_id").alias("after")), "after", "left_semi")
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of calls (conv_id, call_id, after_id), call_id unique in a conversation: 0 where a
-    call waits for none that exists there, else one more than the call that it waits for. A call that waits for
-    itself by way of others has a null level.
+    """(conv_id, call_id, level) of calls (conv_id, call_id, and after_id or after_ids, an array, or both), call_id unique in
+    a conversation: 0 where a call waits for none that exists there, else one more than the highest level that it waits for,
+    so that ascending levels are a topological order. A call that waits for itself by way of others has a null level.
 
-    Pointer doubling: each round doubles the length of the chain that a pointer spans, so rounds grow as
-    the logarithm of the longest chain; each is written to the shared folder.
+    Calls that wait for one other form chains: pointer doubling follows each to its anchor, a call that waits for none or
+    for several; its rounds grow as the logarithm of the longest chain. Then anchors are solved from the bottom, in as many
+    rounds as there are calls that wait for several on one path. Each round is written to the shared folder.
     """
     work = Workspace(calls.sparkSession)
-    ids = calls.where("call_id IS NOT NULL").select(_key("call_id").alias("call"), _key("after_id").alias("after"))
-    known = ids.select(F.col("call").alias("after"), F.lit(True).alias("known"))
-    state = work.save(ids.join(known, "after", "left").select("call", F.when(F.col("known"), F.col("after")).alias("to"), F.when(F.col("known"), 1).otherwise(0).cast("long").alias("level")))
-    most = max(1, state.count()).bit_length() + 1
-    for _ in range(min(ROUNDS, most)):
-        if state.where("to IS NOT NULL").isEmpty():
+    ids = calls.where("call_id IS NOT NULL").select(_key("call_id").alias("call"))
+    waits = work.save(_waits(calls))
+    counts = waits.groupBy("call").agg(F.count("*").alias("n"), F.first("after").alias("after"))
+    one = F.col("n") == 1
+    nodes = work.save(ids.join(counts, "call", "left").select(
+        "call", F.coalesce("n", F.lit(0)).alias("n"), F.when(one, F.col("after")).otherwise(F.col("call")).alias("at"), F.when(one, 1).otherwise(0).cast("long").alias("far"), F.coalesce(one, F.lit(False)).alias("open")
+    ))
+    state = nodes.drop("n")
+    for _ in range(min(ROUNDS, max(1, nodes.count()).bit_length() + 1)):
+        if state.where("open").isEmpty():
             break
-        done = state.where("to IS NULL")
-        ahead = state.select(F.col("call").alias("to"), F.col("to").alias("far"), F.col("level").alias("more"))
-        moved = state.where("to IS NOT NULL").join(ahead, "to").select("call", F.col("far").alias("to"), (F.col("level") + F.col("more")).alias("level"))
-        nxt = work.save(done.unionByName(moved))
-        work.drop(state)
-        state = nxt
-    return state.select("call.conv_id", F.col("call.id").alias("call_id"), F.when(F.col("to").isNull(), F.col("level")).alias("level"))
+        ahead = state.select(F.col("call").alias("at"), F.col("at").alias("next_at"), F.col("far").alias("more"), F.col("open").alias("still"))
+        moved = state.where("open").join(ahead, "at").select("call", F.col("next_at").alias("at"), (F.col("far") + F.col("more")).alias("far"), F.col("still").alias("open"))
+        state = work.save(state.where("NOT open").unionByName(moved))
+    solved = nodes.where("n = 0").select(F.col("call").alias("at"), F.lit(0).cast("long").alias("base"))
+    several = nodes.where("n > 1").select("call", "n")
+    if not several.isEmpty():
+        # A call behind a circle keeps an anchor that is never solved.
+        edges = waits.join(several, "call").join(state.select(F.col("call").alias("after"), "at", "far", "open"), "after")
+        edges = work.save(edges.select("call", "n", F.when(~F.col("open"), F.col("at")).alias("at"), (F.col("far") + 1).alias("far")))
+        new, known, done = solved, edges.select("call", F.lit(0).cast("long").alias("got"), F.lit(0).cast("long").alias("base")).limit(0), [solved]
+        while not new.isEmpty():
+            hits = edges.join(new, "at").groupBy("call").agg(F.count("*").alias("got"), F.max(F.col("far") + F.col("base")).alias("base"))
+            known = work.save(known.unionByName(hits).groupBy("call").agg(F.sum("got").alias("got"), F.max("base").alias("base")))
+            full = known.join(several, "call").where("got = n")
+            new = work.save(full.select(F.col("call").alias("at"), "base"))
+            known = known.join(new.select(F.col("at").alias("call")), "call", "left_anti")
+            done.append(new)
+        solved = done[0]
+        for more in done[1:]:
+            solved = solved.unionByName(more)
+    level = F.when(~F.col("open"), F.col("far") + F.col("base")).alias("level")
+    return state.join(solved, "at", "left").select("call.conv_id", F.col("call.id").alias("call_id"), level)
 
 
 def canonical(text: Column) -> Column:
@@ -84,8 +113,8 @@ def argument_errors(name: Column, arguments: Column, schemas: dict[str, dict[str
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
     """One row for each conversation and identifier of a call or a result.
 
-    calls: conv_id, turn, call_id, name, arguments (JSON text), after_id (the call whose result it waits for, or
-    null). results: conv_id, turn, call_id, content. Columns conv_id, call_id, status (linked, no_result, no_call,
+    calls: conv_id, turn, call_id, name, arguments (JSON text), after_ids (array of the calls whose results it waits
+    for, or null). results: conv_id, turn, call_id, content. Columns conv_id, call_id, status (linked, no_result, no_call,
     conflict), n_calls, n_results, name, level, errors, valid, linked (canonical JSON). An identifier counts within
     its conversation only. Of several calls or results with one identifier the first by turn, then by content, counts;
     n_calls and n_results tell how many there were, and where they differ the status is conflict. Rows
@@ -94,9 +123,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tupl
     digest = lambda *names: F.xxhash64(*(x for n in names for x in (n, F.isnull(n))))
     differ = lambda *names: (F.min(digest(*names)) != F.max(digest(*names))).alias("differ")
     some = lambda rows: rows.where("call_id IS NOT NULL").groupBy(_key("call_id").alias("call"))
-    first = some(calls).agg(F.min(F.struct("turn", "name", "arguments", "after_id")).alias("c"), F.count("*").alias("n_calls"), differ("name", "arguments", "after_id"))
+    first = some(calls).agg(F.min(F.struct("turn", "name", "arguments", "after_ids")).alias("c"), F.count("*").alias("n_calls"), differ("name", "arguments", "after_ids"))
     answer = some(results).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"), differ("content").alias("others"))
-    order = levels(first.select("call.conv_id", F.col("call.id").alias("call_id"), F.col("c.after_id").alias("after_id")))
+    order = levels(first.select("call.conv_id", F.col("call.id").alias("call_id"), F.col("c.after_ids").alias("after_ids")))
     order = order.select(_key("call_id").alias("call"), "level")
     both = first.join(order, "call", "left").join(answer.hint("shuffle_hash"), "call", "full")
     status = F.when(F.coalesce("differ", F.lit(False)) | F.coalesce("others", F.lit(False)), "conflict")
@@ -104,10 +133,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tupl
     errors = F.when(F.col("n_calls").isNotNull(), argument_errors(F.col("c.name"), F.col("c.arguments"), schemas))
     out = both.select(
         "call.conv_id", F.col("call.id").alias("call_id"), status.alias("status"), F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"),
-        F.col("c.name").alias("name"), "level", errors.alias("errors"), F.col("c.arguments").alias("arguments"), F.col("r.content").alias("content"), F.col("c.after_id").alias("after_id"),
+        F.col("c.name").alias("name"), "level", errors.alias("errors"), F.col("c.arguments").alias("arguments"), F.col("r.content").alias("content"), F.array_sort("c.after_ids").alias("after_ids"),
     )
-    body = F.to_json(F.struct("after_id", F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), "level", "name", F.col("content").alias("result")))
-    return out.withColumns({"valid": F.size("errors") == 0, "linked": body}).drop("arguments", "content", "after_id")
+    body = F.to_json(F.struct("after_ids", F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), "level", "name", F.col("content").alias("result")))
+    return out.withColumns({"valid": F.size("errors") == 0, "linked": body}).drop("arguments", "content", "after_ids")
 
 
 #: Tools of the query below.
@@ -122,7 +151,8 @@ def calls_of(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results made of conversation turns by rule, as the table has none of its own.
 
     Each assistant turn is a call with arguments made from its text; it waits for the assistant turn before it
-    (two turns back). The turn that follows a call is its result.
+    (two turns back), that of turn 5 for turn 1 as well. The turn that follows a call is its result. Turns without a
+    conversation or a number make identifiers that are null, which link() leaves out; a null text counts as empty.
     """
     identity = lambda shift: F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), (F.col("turn") + shift).cast("string"))
     text = F.coalesce("text", F.lit(""))
@@ -135,7 +165,7 @@ def calls_of(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         "conv_id", "turn", identity(0).alias("call_id"),
         F.when(kind == 0, "search").when(kind == 1, "count").when(kind == 2, "measure").otherwise("search").alias("name"),
         F.when(kind == 1, count).when(kind == 2, measure).when(kind == 3, F.concat(F.lit("{\"query\": "), n.cast("string"))).otherwise(search).alias("arguments"),
-        identity(-2).alias("after_id"),
+        F.when(F.col("turn") == 5, F.array(identity(-2), identity(-4))).otherwise(F.array(identity(-2))).alias("after_ids"),
     )
     results = turns.where("role <> 'assistant' AND turn > 0").select("conv_id", "turn", identity(-1).alias("call_id"), F.col("text").alias("content"))
     return calls, results

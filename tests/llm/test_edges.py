@@ -92,7 +92,7 @@ def test_tool_calls(spark):
             ("c", 5, "d", "nothing", "{}", "b"), ("c", 7, "e", "count", "[1]", "d"), ("c", 9, "f", "count", None, "g"), ("c", 9, "g", "count", "{", "f"), ("c", 9, None, "count", "{}", None),
         ],
         "conv_id string, turn int, call_id string, name string, arguments string, after_id string",
-    )
+    ).withColumn("after_ids", F.when(F.col("after_id").isNotNull(), F.array("after_id"))).drop("after_id")
     results = spark.createDataFrame([("c", 2, "a", "ok"), ("c", 4, "b", None), ("c", 8, "zz", "lost"), (None, None, None, None)], "conv_id string, turn int, call_id string, content string")
     out = {r.call_id: r for r in tool_calls.link(calls, results, tool_calls.TOOLS).collect()}
     assert set(out) == {"a", "b", "d", "e", "f", "g", "zz"}
@@ -113,6 +113,23 @@ def test_tool_calls_long_chain(spark):
     assert got == {f"k{i}": i for i in range(n)}
 
 
+def test_tool_calls_with_many_dependencies(spark):
+    """Against a recursive definition, on chains, fans, a circle and unknown calls."""
+    after = {"a": [], "b": ["a"], "c": ["b"], "d": ["a", "c"], "e": ["d"], "f": ["e", "b", "zz"], "g": ["f", "f", "a"], "x": ["y"], "y": ["x"], "z": ["x", "a"], "w": ["z"], "v": ["w", "g"], "s": ["s"], "n": None}
+    after |= {f"k{i}": [f"k{i - 1}"] if i % 7 else [f"k{i - 1}", f"k{i - 5}", "g"] for i in range(1, 40)} | {"k0": ["v1"]}
+    calls = spark.createDataFrame([("c", k, v) for k, v in after.items()] + [("d", "b", ["a"])], "conv_id string, call_id string, after_ids array<string>")
+
+    def level(k, above=()):
+        if k in above:
+            return None
+        below = [level(d, (*above, k)) for d in set(after[k] or []) if d in after]
+        return None if None in below else max(below, default=-1) + 1
+
+    got = {(r.conv_id, r.call_id): r.level for r in tool_calls.levels(calls).collect()}
+    assert got == {("c", k): level(k) for k in after} | {("d", "b"): 0}
+    assert got["c", "v"] is None and got["c", "g"] == 6
+
+
 def test_quality(odd, none, spark):
     ratings = spark.createDataFrame([(1, 2), (2, 1), (6, 0), (7, 0), (9, 2), (None, 1), (10, None)], "doc_id long, grade int")
     rows = ordinal_quality.select(odd, ratings).collect()

@@ -1,10 +1,13 @@
 """Cases in which an operator once did less than its whole job."""
 
 import hashlib
+import json
 import math
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from pulsegrid.llm import catalog, decontaminate, near_dedup, pii, secret_scan, tool_calls
 from tests.llm.test_contracts import components
 
@@ -88,7 +91,7 @@ def test_calls_of_two_conversations(spark):
             (None, 1, "call_0", "count", "{}", None), ("e", 1, "call_0", "count", "{}", None), ("e", 2, "call_0", "search", "{}", None),
         ],
         "conv_id string, turn int, call_id string, name string, arguments string, after_id string",
-    )
+    ).withColumn("after_ids", F.array("after_id")).drop("after_id")
     results = [("c", 2, "call_0", "of c"), ("d", 2, "call_1", "of d"), ("d", 2, "call_0", "lost"), (None, 2, "call_0", "of none"), ("e", 3, "call_0", "of e")]
     out = tool_calls.link(calls, spark.createDataFrame(results, "conv_id string, turn int, call_id string, content string"), tool_calls.TOOLS).collect()
     assert {(r.conv_id, r.call_id): (r.status, r.n_calls, r.n_results, r.level) for r in out} == {
@@ -163,3 +166,41 @@ def test_leaks_by_brute_force(spark, sf_dir):
         if least == 0.6:
             query = catalog.QUERIES["op4_decontaminate"](spark, sf_dir).collect()
             assert {(r.doc_id, r.item_id): r.contaminated for r in query} == {k: r.contaminated for k, r in got.items()}
+
+
+def test_tool_calls_by_brute_force(spark, sf_dir):
+    """The query over the whole table, in plain Python."""
+    turns = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
+    made, answers = {}, {}
+    for (c, t), r in turns.items():
+        text, n = r.text or "", len(r.text or "")
+        if r.role != "assistant":
+            if t > 0:
+                answers[c, t - 1] = r.text
+            continue
+        name, arguments = [
+            ("search", {"query": text, "limit": n % 50}),
+            ("count", {"exact": n % 2 == 0, "text": text} | ({"other": 1} if n % 7 == 0 else {})),
+            ("measure", {"unit": "chars", "length": str(n) if n % 5 == 0 else f"{n}.5"}),
+            ("search", None),
+        ][n % 4]
+        errors = {0: [], 1: ["unexpected:other"] if n % 7 == 0 else [], 2: ["type:length"], 3: ["not_an_object"]}[n % 4]
+        made[c, t] = (name, arguments, errors)
+
+    def level(c, t):
+        below = [level(c, t - k) for k in ((2, 4) if t == 5 else (2,)) if (c, t - k) in made]
+        return max(below, default=-1) + 1
+
+    want = {}
+    for c, t in made.keys() | answers.keys():
+        name, arguments, errors = made.get((c, t), (None, None, None))
+        status = "no_call" if name is None else "linked" if (c, t) in answers else "no_result"
+        want[c, f"call_{c}_{t}"] = (status, name, level(c, t) if name else None, None if name is None else ",".join(errors), arguments, answers.get((c, t)))
+    rows = catalog.QUERIES["op5_tool_calls"](spark, sf_dir).collect()
+    got = {}
+    for r in rows:
+        body = json.loads(r.linked)
+        assert r.linked == json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        assert body["id"] == r.call_id and body.get("level") == r.level and (r.valid is None or r.valid == (r.errors == ""))
+        got[r.conv_id, r.call_id] = (r.status, r.name, r.level, r.errors, body.get("arguments"), body.get("result"))
+    assert len(got) == len(rows) and got == want
