@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import words
-from .common import Workspace, read
+from .common import Workspace, read, unused
 
 BITS = 18
 SHAPES = 1024
@@ -226,7 +226,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample: int = SAMP
     return Model(weights, ordered(x[: grades - 1]))
 
 
-def _score(shared, thresholds: np.ndarray):
+def _score(shared, thresholds: np.ndarray, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in words.pieces(whole, "text"):
@@ -234,23 +234,23 @@ def _score(shared, thresholds: np.ndarray):
                 cdf = _levels(_sums(v, ends, shared.value), thresholds)
                 expected = (1 - cdf[:, 1:-1]).sum(axis=1)
                 columns = [*batch.columns, pa.array(expected), pa.array(1 - cdf[:, -2])]
-                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "expected_grade", "p_best"])
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *names])
 
     return run
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with expected_grade and p_best, the probability of the highest grade; both null without a model.
+def score(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("expected_grade", "p_best")) -> DataFrame:
+    """docs with expected_grade and p_best (or other names), the probability of the highest grade; both null without a model.
 
     docs needs a string column text; a null text counts as empty. Columns named like the results are replaced.
     """
-    docs = docs.drop("expected_grade", "p_best")
+    docs = docs.drop(*names)
     if model is None:
-        return docs.withColumn("expected_grade", F.lit(None).cast("double")).withColumn("p_best", F.lit(None).cast("double"))
+        return docs.withColumns({name: F.lit(None).cast("double") for name in names})
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model.weights)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_score(shared, model.thresholds), f"{schema}, expected_grade double, p_best double")
+    return docs.mapInArrow(_score(shared, model.thresholds, names), f"{schema}, `{names[0]}` double, `{names[1]}` double")
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -264,6 +264,15 @@ def select(docs: DataFrame, ratings: DataFrame, least: float = 0.35) -> DataFram
     return scored.withColumn("keep", F.coalesce(F.col("p_best") >= least, F.lit(True)))
 
 
+def keep_good(docs: DataFrame, ratings: DataFrame, least: float = 0.35) -> DataFrame:
+    """The rows of docs that select() keeps, with the columns of docs, whatever their names.
+
+    Null texts are judged as empty ones; repeated rows are kept or dropped together; where nothing is rated all rows stay.
+    """
+    names = unused(docs, "expected_grade"), unused(docs, "p_best")
+    return score(docs, fit(docs, ratings), names).where(F.coalesce(F.col(names[1]) >= least, F.lit(True))).select(docs.columns)
+
+
 def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade, probability of the best grade and the decision for each document."""
     out = select(read(spark, sf_dir, "documents").select("doc_id", "text"), graded(read(spark, sf_dir, "labels")))

@@ -136,6 +136,10 @@ def test_quality(odd, none, spark):
     assert len(rows) == 15 and all(0 <= r.p_best <= 1 for r in rows) and rows[0].findings == 1
     assert all(r.keep and r.p_best is None for r in ordinal_quality.select(odd, ratings.limit(0)).collect())
     assert ordinal_quality.select(none, ratings).collect() == []
+    clash = odd.selectExpr("doc_id", "text", "'mine' AS p_best", "'x' AS Expected_Grade", "'y' AS keep")
+    kept = ordinal_quality.keep_good(clash, ratings)
+    assert kept.columns == clash.columns and {(r.p_best, r.Expected_Grade, r.keep) for r in kept.collect()} == {("mine", "x", "y")}
+    assert ordinal_quality.keep_good(odd, ratings.limit(0)).count() == 15
 
 
 def test_pii(odd, none):

@@ -6,9 +6,11 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import catalog, decontaminate, near_dedup, pii, secret_scan, tool_calls
+from pulsegrid.llm import catalog, decontaminate, near_dedup, ordinal_quality, pii, secret_scan, tool_calls
 from tests.llm.test_contracts import components
 
 
@@ -204,3 +206,93 @@ def test_tool_calls_by_brute_force(spark, sf_dir):
         assert body["id"] == r.call_id and body.get("level") == r.level and (r.valid is None or r.valid == (r.errors == ""))
         got[r.conv_id, r.call_id] = (r.status, r.name, r.level, r.errors, body.get("arguments"), body.get("result"))
     assert len(got) == len(rows) and got == want
+
+
+def test_quality_by_plain_descent(spark, sf_dir):
+    """The thresholds and weights are the optimum: plain gradient descent on the same features ends at the same loss and scores."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    ratings = ordinal_quality.graded(labels)
+    ridge = 1e-2
+    model = ordinal_quality.fit(docs, ratings, ridge=ridge, steps=400)
+    rows = docs.join(ratings, "doc_id").orderBy("doc_id").collect()
+    grade = np.array([r.grade for r in rows])
+    places, ends = ordinal_quality.features(pa.array([r.text or "" for r in rows]))
+    used = np.flatnonzero(model.weights)
+    x = np.zeros((len(rows), len(used)))
+    of = np.full(ordinal_quality.SIZE, -1)
+    of[used] = np.arange(len(used))
+    for i in range(len(rows)):
+        for p in places[ends[i] : ends[i + 1]]:
+            if of[p] >= 0:
+                x[i, of[p]] += 1
+
+    def loss(w, theta):
+        cdf = np.column_stack([np.zeros(len(x)), 1 / (1 + np.exp(x @ w - theta[0])), 1 / (1 + np.exp(x @ w - theta[1])), np.ones(len(x))])
+        p = cdf[np.arange(len(x)), grade + 1] - cdf[np.arange(len(x)), grade]
+        return -np.log(p).mean() + ridge / 2 * (w @ w), cdf, p
+
+    w, theta, rate = np.zeros(len(used)), np.array([-1.0, 0.0]), 1.0
+    now, cdf, p = loss(w, theta)
+    for _ in range(20_000):
+        high, low = cdf[np.arange(len(x)), grade + 1], cdf[np.arange(len(x)), grade]
+        to_w = x.T @ (1 - high - low) / len(x) + ridge * w
+        to_theta = np.array([((cdf[:, j + 1] * (1 - cdf[:, j + 1]) / p) * ((grade == j + 1).astype(float) - (grade == j))).mean() for j in range(2)])
+        new, new_cdf, new_p = loss(w - rate * to_w, theta - rate * to_theta)
+        if not new < now:
+            rate /= 2
+            continue
+        w, theta = w - rate * to_w, theta - rate * to_theta
+        cdf, p, gain, now = new_cdf, new_p, now - new, new
+        rate *= 1.1
+        if gain < 1e-12:
+            break
+    mine, mine_cdf, _ = loss(model.weights[used].astype(float), model.thresholds)
+    assert mine < now + 1e-4
+    got = {r.doc_id: r for r in ordinal_quality.score(docs, model).join(ratings.select("doc_id"), "doc_id", "left_semi").collect()}
+    for i, r in enumerate(rows):
+        assert abs(got[r.doc_id].p_best - (1 - mine_cdf[i, 2])) < 1e-4 and abs(got[r.doc_id].expected_grade - (2 - mine_cdf[i, 1] - mine_cdf[i, 2])) < 1e-4
+        assert abs(mine_cdf[i, 2] - cdf[i, 2]) < 0.02
+
+
+def test_secret_scan_by_plain_walk(spark, sf_dir):
+    """The query over the whole table: candidates, properties and walks of the trees in plain Python."""
+    import regex
+
+    model = secret_scan.fit(secret_scan.labelled_findings(spark))
+    trees = [secret_scan._arrays(t) for t in model.trees]
+    candidate = regex.compile(secret_scan.CANDIDATE)
+    has = lambda pattern, text: float(re.search(pattern, text) is not None)
+
+    def kinds(text):
+        return [1 if c in "0123456789" else 2 if "A" <= c <= "Z" else 3 if "a" <= c <= "z" else 4 for c in text]
+
+    def properties(v, before, after, path):
+        n, k, low = len(v), kinds(v), path.lower()
+        left = before.lower()
+        return [
+            min(n, 200.0), k.count(1) / n, k.count(2) / n, k.count(3) / n, k.count(4) / n, sum(a != b for a, b in zip(k, k[1:])) / n,
+            has("^(?:[0-9a-f]+|[0-9A-F]+)$", v), len(set(v)) / n, sum(len(m) for m in re.findall(f"(?i:{secret_scan.DICTIONARY})", v)) / n, max(map(len, re.split("[^A-Za-z]+", v))) / n,
+            has(f"(?:{secret_scan.SECRET_NAMES})[a-z_]*[\"']?\\s*(?:[=:]|is)?\\s*[\"']?$", left), has(f"(?:{secret_scan.OTHER_NAMES})", left),
+            has("[=:]\\s*[\"']?$", before), float(has("[\"']$", before) and has("^[\"']", after)), has(secret_scan.TEST_PATHS, low), has(secret_scan.CONFIG_PATHS, low),
+            has("^(?:ghp_|gho_|sk-|pk_|AKIA|xox[abp]-|glpat-|eyJ)", v), has("^[0-9]+$", v), v.count("-") / n,
+        ]
+
+    def share(x):
+        total = 0.0
+        for t in trees:
+            at = 0
+            while t["f"][at] >= 0:
+                at = t["l"][at] if x[t["f"][at]] <= t["t"][at] else t["r"][at]
+            total += t["p"][at]
+        return total / len(trees)
+
+    want = {}
+    for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        text = d.text or ""
+        for m in candidate.finditer(text):
+            x = properties(m[0], text[max(0, m.start() - 48) : m.start()], text[m.end() : m.end() + 48], d.source or "")
+            want[d.doc_id, m.start(), m.end()] = (hashlib.sha256(m[0].encode()).hexdigest(), round(share(x), 6))
+    got = {(r.doc_id, r.start, r.stop): r for r in catalog.QUERIES["op2_secret_scan"](spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and len(got) > 5
+    for k, r in got.items():
+        assert r.value_sha256 == want[k][0] and abs(r.score - want[k][1]) < 2e-6 and r.secret == (r.score > 0.5)
