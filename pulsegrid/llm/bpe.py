@@ -52,9 +52,19 @@ def _byte_letters() -> dict[int, str]:
 
 
 def load_vocabulary(path: str) -> Vocabulary:
-    """Reads a tokenizer file in JSON: a byte-level BPE model with added tokens."""
+    """Reads a tokenizer file in JSON: a byte-level BPE model with added tokens.
+
+    Settings that would change ids or the text and that this codec doesn't know raise ValueError.
+    """
     with open(path, encoding="utf-8") as f:
         doc = json.load(f)
+    cut, model = doc.get("pre_tokenizer") or {}, doc["model"]
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += [k for k in ("normalizer", "post_processor") if doc.get(k)]
+    odd += ["pre_tokenizer"] if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) else []
+    odd += ["added_tokens"] if any(t.get(k) for t in doc.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")) else []
+    if model.get("type") != "BPE" or odd:
+        raise ValueError(f"not a plain byte-level BPE tokenizer: {', '.join(odd) or model.get('type')}")
     vocab, merges = doc["model"]["vocab"], doc["model"]["merges"]
     letters = _byte_letters()
     back = {c: b for b, c in letters.items()}

@@ -169,6 +169,8 @@ def test_bpe(odd, none):
     back = bpe.decode(bpe.encode(odd, path).where("text IS NOT NULL"), path)
     assert all(r.decoded == r.text for r in back.collect())
     assert bpe.encode(none, path).collect() == []
+    with pytest.raises(ValueError, match="normalizer, pre_tokenizer"):
+        bpe.load_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def test_bpe_all_characters(spark):
