@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, range_bounds, range_of, read
+from .common import Workspace, let, range_bounds, range_of, read
 
 K = 128
 WIDTH = 5
@@ -93,7 +93,8 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     next range's first row, of which there are MOST_BUCKETS at most.
     """
     # Descending order: bits are inverted, which unlike a change of sign can't overflow.
-    rows = docs.withColumns({"_a": F.coalesce(F.bitwise_not(F.col("doc_id").cast("long")), F.lit((1 << 63) - 1)), "_b": F.col("tie")})
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = docs.withColumns({"_a": F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)), "_b": F.col("tie")})
     keys = rows.select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     n = keys.count()
     bounds = range_bounds(keys, max(1, min(MOST_BUCKETS, n // BUCKET_ROWS)))
@@ -102,10 +103,11 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     heads = rows.groupBy("_bucket").agg(F.min(key).alias("key"))
     order = Window.orderBy("_bucket")
     heads = heads.withColumn("_before", F.coalesce(F.lag("_bucket").over(order), F.max("_bucket").over(Window.partitionBy())))
+    heads = Workspace(docs.sparkSession).save(heads)
     mine = F.broadcast(heads.select(F.col("_bucket"), F.col("key.id").alias("_id"), F.col("key.tie").alias("_tie"), "_before"))
     first = rows.withColumns({"_id": F.col("_a"), "_tie": F.col("_b")}).join(mine, ["_bucket", "_id", "_tie"])
     first = first.dropDuplicates(["_bucket"]).select(F.col("_before").alias("_bucket"), F.lit(True).alias("_copy"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("tie"), *columns)
-    both = rows.select("_bucket", F.lit(False).alias("_copy"), F.col("doc_id").cast("long").alias("doc_id"), "tie", *columns).unionByName(first)
+    both = rows.select("_bucket", F.lit(False).alias("_copy"), "doc_id", "tie", *columns).unionByName(first)
     within = Window.partitionBy("_bucket").orderBy("_copy", F.col("doc_id").desc_nulls_last(), "tie")
     return both.withColumn("next", F.lead(F.struct(*columns)).over(within)).where("NOT _copy").drop("_bucket", "_copy")
 
