@@ -121,24 +121,40 @@ def von_mises(x: Column, mu: Column, kappa_: Column) -> Column:
 
 
 def median(df: DataFrame, angle: str, by: Sequence[str], bins: int = 720) -> DataFrame:
-    """(by, median): the direction of a diameter that halves the angles, on the side of their mean, to a bin's width.
+    """(by, median): the direction of a diameter through an angle that halves the angles, on the side of their mean.
 
-    Angles are counted in bins; for each bin the difference between the halves beside it follows from a running
-    sum around the circle, so the cost doesn't grow with the square of the angles.
+    For each angle the numbers of angles up to half a turn ahead and behind are compared; the least difference wins, the
+    first by angle for an odd number of angles and the mean of the first two for an even one. Null angles don't count.
+    Counts over whole bins come from a running sum around the circle; a bin and the one opposite to it are sorted
+    together for the rest, so that work is spread over half as many tasks as bins and no pair of angles is formed.
     """
     from pyspark.sql import Window
 
-    width, half = 2 * 3.141592653589793 / bins, bins // 2
-    at = F.pmod(F.floor(axial(F.col(angle)) / width).cast("int"), F.lit(bins))
-    counts = df.groupBy(*by, at.alias("_b")).agg(F.count("*").alias("_n"), F.sum(F.cos(F.col(angle))).alias("_c"), F.sum(F.sin(F.col(angle))).alias("_s"))
+    half, turn = bins // 2, 2 * 3.141592653589793
+    width = turn / bins
+    rows = df.where(F.col(angle).isNotNull()).select(*by, axial(F.col(angle)).alias("_x")).groupBy(*by, "_x").agg(F.count("*").alias("_n"))
+    rows = rows.withColumn("_side", (F.col("_x") >= 3.141592653589793).cast("int")).withColumn("_u", F.col("_x") - F.col("_side") * 3.141592653589793)
+    rows = rows.withColumn("_b", F.least(F.floor(F.col("_u") / width).cast("int"), F.lit(half - 1)) + F.col("_side") * half)
+    counts = rows.groupBy(*by, "_b").agg(F.sum("_n").alias("_n"), F.sum(F.cos("_x") * F.col("_n")).alias("_c"), F.sum(F.sin("_x") * F.col("_n")).alias("_s"))
     total = counts.groupBy(*by).agg(F.sum("_n").alias("_t"), F.atan2(F.sum("_s"), F.sum("_c")).alias("_mean"))
     grid = total.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(counts.select(*by, "_b", "_n"), [*by, "_b"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     twice = grid.withColumn("_b", F.explode(F.array(F.col("_b"), F.col("_b") + bins)))
-    ahead = F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(1, half - 1))
-    rows = twice.withColumn("_ahead", F.coalesce(ahead, F.lit(0))).where(F.col("_b") < bins)
-    behind = F.col("_t") - F.col("_ahead") - F.col("_n")
-    centre = (F.col("_b") + 0.5) * width
-    off_mean = F.abs(distance(centre, F.col("_mean")))
-    side = F.when(off_mean > 1.5707963267948966, wrap(centre + 3.141592653589793)).otherwise(wrap(centre))
-    scored = rows.withColumns({"_off": F.abs(F.col("_ahead") - behind), "_far": F.abs(distance(side, F.col("_mean"))), "_m": side})
-    return scored.groupBy(*by).agg(F.min_by("_m", F.struct("_off", "_far", "_m")).alias("median"))
+    between = F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(1, half - 1))
+    grid = twice.withColumn("_between", F.coalesce(between, F.lit(0))).where(F.col("_b") < bins).select(*by, "_b", "_between", "_t", "_mean", F.col("_n").alias("_own"))
+    both = rows.withColumn("_pair", F.col("_b") % half)
+    up_to = Window.partitionBy(*by, "_pair").orderBy("_u").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    side = lambda k: F.coalesce(F.sum(F.when(F.col("_side") == k, F.col("_n"))).over(up_to), F.lit(0))
+    both = both.withColumns({"_r0": side(0), "_r1": side(1)})
+    mine, other = F.when(F.col("_side") == 0, F.col("_r0")).otherwise(F.col("_r1")), F.when(F.col("_side") == 0, F.col("_r1")).otherwise(F.col("_r0"))
+    found = both.withColumns({"_mine": mine, "_other": other}).join(grid, [*by, "_b"])
+    ahead = F.col("_own") - F.col("_mine") + F.col("_between") + F.col("_other")
+    found = found.withColumn("_off", F.abs(2 * ahead - F.col("_t") + F.col("_n")))
+    least = found.groupBy(*by).agg(F.min("_off").alias("_least"))
+    best = found.join(least, list(by)).where("_off = _least").groupBy(*by).agg(F.first("_t").alias("_t"), F.first("_mean").alias("_mean"), F.min(F.struct("_x", "_n")).alias("_1"), F.min_by("_x", "_x").alias("_lo"))
+    second = found.join(best.select(*by, "_lo"), list(by)).join(least, list(by)).where("_off = _least AND _x > _lo").groupBy(*by).agg(F.min("_x").alias("_x2"))
+    best = best.join(second, list(by), "left")
+    x1 = F.col("_lo")
+    x2 = F.when((F.col("_t") % 2 == 1) | (F.col("_1._n") > 1), x1).otherwise(F.coalesce("_x2", x1))
+    middle = F.atan2(F.sin(x1) + F.sin(x2), F.cos(x1) + F.cos(x2))
+    away = F.abs(distance(F.col("_mean"), middle)) > F.abs(distance(F.col("_mean"), middle + 3.141592653589793))
+    return best.select(*by, axial(F.when(away, middle + 3.141592653589793).otherwise(middle)).alias("median"))

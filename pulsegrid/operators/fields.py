@@ -27,16 +27,19 @@ def smooth(maps: DataFrame, sigma: float, nx: int, ny: int, value: str, by: Sequ
     return spread(spread(maps.select(*by, "ix", "iy", F.col(value).cast("double").alias(value)), "ix", nx), "iy", ny)
 
 
-def bootstrap_rows(rows: DataFrame, iterations: int, seed: int = 0) -> DataFrame:
-    """rows with iter: in each iteration a row appears as often as a Poisson draw of mean 1 says (a bootstrap without a shuffle)."""
-    draw = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns], F.col("iter"), F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
+def bootstrap_rows(rows: DataFrame, iterations: int, key: Sequence[str], seed: int = 0) -> DataFrame:
+    """rows with iter: in each iteration a row appears as often as a Poisson draw of mean 1 says (a bootstrap without a shuffle).
+
+    key: columns that tell rows apart, so that equal ones are drawn independently.
+    """
+    draw = F.shiftrightunsigned(F.xxhash64(*[F.col(c) for c in key], F.col("iter"), F.lit(seed)), 11) / float(1 << 53)
     steps, total = [], 0.0
-    for k in range(1, 7):
+    for k in range(1, 19):  # the odds of more are below 2**-53
         total += math.exp(-1) / math.factorial(k - 1)
-        steps.append(F.when(draw >= total, 1).otherwise(0))
-    times = sum(steps[1:], steps[0])
-    many = rows.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("_n", times)
-    return many.where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
+        steps.append(total)
+    times = F.size(F.filter(F.array(*map(F.lit, steps)), lambda least: F.col("_draw") >= least))
+    many = rows.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("_draw", draw).withColumn("_n", times)
+    return many.where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n", "_draw")
 
 
 def shuffle_blocks(samples: DataFrame, block: int, columns: Sequence[str], seed: int, by: Sequence[str] = ("session",), idx: str = "idx") -> DataFrame:

@@ -48,6 +48,20 @@ def combine(sets: Sequence[DataFrame], keep: Callable[..., Column], by: Sequence
             one = usable.select(*by, F.col(end).alias("_t"), *(F.lit(step if j == i else 0).cast("long").alias(n) for j, n in enumerate(names)))
             steps = one if steps is None else steps.unionByName(one)
     summed = steps.groupBy(*by, "_t").agg(*(F.sum(n).alias(n) for n in names))
+    return _stretches(summed, names, keep, by)
+
+
+def combine_labelled(periods: DataFrame, labels: Sequence[str], keep: Callable[..., Column], by: Sequence[str] = ("session",), label: str = "label") -> DataFrame:
+    """combine() over the periods (by, label, start, stop) of each label, from one scan of the table."""
+    by = list(by)
+    names = [f"_n{i}" for i in range(len(labels))]
+    rows = periods.where(F.col(label).isin(list(labels)) & (F.col("stop") > F.col("start")))
+    steps = rows.select(*by, F.col(label).alias("_l"), F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).cast("long").alias("s")), F.struct(F.col("stop").alias("t"), F.lit(-1).cast("long").alias("s")))).alias("_e"))
+    summed = steps.groupBy(*by, F.col("_e.t").alias("_t")).agg(*(F.sum(F.when(F.col("_l") == name, F.col("_e.s")).otherwise(0)).alias(n) for n, name in zip(names, labels)))
+    return _stretches(summed, names, keep, by)
+
+
+def _stretches(summed: DataFrame, names: list[str], keep: Callable[..., Column], by: list[str]) -> DataFrame:
     running = _window(by, "_t").rowsBetween(Window.unboundedPreceding, 0)
     state = summed.select(*by, F.col("_t").alias("start"), F.lead("_t").over(_window(by, "_t")).alias("stop"), *(F.sum(n).over(running).alias(n) for n in names))
     return coalesce(state.where(keep(*(F.col(n) > 0 for n in names)) & F.col("stop").isNotNull()).select(*by, "start", "stop"), by)
@@ -83,9 +97,19 @@ def intersect_pairs(a: DataFrame, b: DataFrame, width: float, by: Sequence[str]
     return rangejoin.overlaps(a, b, width, by).select(*by, "start", "stop")
 
 
-def complement(periods: DataFrame, extent: DataFrame, by: Sequence[str] = ("session",)) -> DataFrame:
-    """What is outside of the periods in each session's extent (by, start, stop)."""
-    return subtract(extent, periods, by)
+def complement(periods: DataFrame, extent: DataFrame | None = None, by: Sequence[str] = ("session",)) -> DataFrame:
+    """What is outside of the periods in each session's extent (by, start, stop).
+
+    Without an extent, all time: what lies between the periods of a session and, with null starts and stops for ends that
+    are open, before and after them. A session without periods isn't known then.
+    """
+    if extent is not None:
+        return subtract(extent, periods, by)
+    merged = coalesce(periods, by)
+    w = _window(by, "start")
+    before = merged.select(*by, F.lag("stop").over(w).alias("_from"), F.col("start").alias("_to"), F.col("stop").alias("_last"), F.lead("start").over(w).alias("_more"))
+    bounds = F.array(F.struct(F.col("_from").alias("start"), F.col("_to").alias("stop")), F.when(F.col("_more").isNull(), F.struct(F.col("_last").alias("start"), F.lit(None).cast(periods.schema["stop"].dataType).alias("stop"))))
+    return before.select(*by, F.explode(F.filter(bounds, lambda p: p.isNotNull())).alias("_p")).select(*by, "_p.start", "_p.stop")
 
 
 def gaps(periods: DataFrame, by: Sequence[str] = ("session",)) -> DataFrame:

@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import intervals, rangejoin
 
 
 def get(states: DataFrame, name: str) -> DataFrame:
-    """Periods of the state whose label is name, else of the one whose key is."""
+    """Periods of the state whose label is name, else of the one whose key is (a small job looks for the label)."""
     if "key" not in states.columns:
         return states.where(F.col("label") == name).select("session", "start", "stop")
-    by_label = F.max((F.col("label") == name).cast("int")).over(Window.partitionBy(F.lit(0)))
-    rows = states.where((F.col("label") == name) | (F.col("key") == name))
-    return rows.withColumn("_label", by_label).where(F.when(F.col("_label") == 1, F.col("label") == name).otherwise(F.col("key") == name)).select("session", "start", "stop")
+    labelled = not states.where(F.col("label") == name).isEmpty()
+    return states.where(F.col("label" if labelled else "key") == name).select("session", "start", "stop")
 
 
 def select(states: DataFrame, name: str, exclude: Sequence[str] = (), fill: float | None = None, trim: float = 0, min_duration: float | None = None) -> DataFrame:
@@ -37,25 +36,49 @@ def next_starts(a: DataFrame, b: DataFrame, window: float) -> DataFrame:
     Found by one window over both kinds of rows; a start may serve several stops.
     """
     rows = a.select("session", F.col("stop").alias("t"), F.lit(1).alias("_k")).unionByName(b.select("session", F.col("start").alias("t"), F.lit(0).alias("_k")))
-    ahead = Window.partitionBy("session").orderBy(F.desc("t"), F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
     # Equal instants: starts come after stops in this order, so a start at the stop itself is not "after" it.
-    later = Window.partitionBy("session").orderBy("t").rangeBetween(1, int(window)) if float(window).is_integer() else None
-    if later is not None:
-        found = F.min(F.when(F.col("_k") == 0, F.col("t"))).over(later)
-    else:
-        found = F.last(F.when(F.col("_k") == 0, F.col("t")), ignorenulls=True).over(ahead)
-    out = rows.withColumn("next_start", found).where("_k = 1 AND next_start IS NOT NULL")
-    return out.where((F.col("next_start") > F.col("t")) & (F.col("next_start") - F.col("t") <= window)).select("session", F.col("t").alias("stop"), "next_start")
+    ahead = Window.partitionBy("session").orderBy(F.desc("t"), F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last(F.when(F.col("_k") == 0, F.col("t")), ignorenulls=True).over(ahead)
+    out = rows.withColumn("next_start", found).where("_k = 1")
+    return out.where(F.col("next_start") - F.col("t") <= window).select("session", F.col("t").alias("stop"), "next_start")
 
 
 def transitions(a: DataFrame, b: DataFrame, window: float) -> DataFrame:
-    """(session, start, stop): the window around each start of b that follows a stop of a, each start used once.
+    """(session, start, stop): the window around each start of b that follows a stop of a by at most `window`.
 
-    A start that serves several stops counts for the last of them: the greedy pairing, which takes stops in order and
-    skips starts that are not after them, keeps the same set of starts.
+    Stops are taken in order; each gets the first start after it that no stop before has used, and uses it if it is near
+    enough. A stop whose first start lies beyond the reach of the stop before depends on no earlier one: there the
+    session is cut, so each stretch is folded for itself, whatever the size of the session. Repeated starts are used one
+    by one.
     """
-    used = next_starts(a, b, window).select("session", "next_start").distinct()
-    return used.select("session", (F.col("next_start") - window).alias("start"), (F.col("next_start") + window).alias("stop"))
+    rows = a.select("session", F.col("stop").alias("t"), F.lit(1).alias("_k")).unionByName(b.select("session", F.col("start").alias("t"), F.lit(0).alias("_k")))
+    order = Window.partitionBy("session").orderBy("t", "_k")
+    ahead = Window.partitionBy("session").orderBy(F.desc("t"), F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({
+        "_next": F.last(F.when(F.col("_k") == 0, F.col("t")), ignorenulls=True).over(ahead),
+        "_prev": F.last(F.when(F.col("_k") == 1, F.col("t")), ignorenulls=True).over(before),
+    })
+    fresh = (F.col("_k") == 1) & F.coalesce(F.col("_next") > F.col("_prev") + window, F.lit(True))
+    rows = rows.withColumn("_cut", F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # Starts that no stop of their stretch reaches stay out, so that a stretch is as long as its stops are dense.
+    near = rows.where((F.col("_cut") > 0) & ((F.col("_k") == 1) | (F.col("t") <= F.col("_prev") + window)))
+    within = Window.partitionBy("session", "_cut").orderBy("t", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = near.withColumn("_rank", F.sum((F.col("_k") == 0).cast("int")).over(within))
+    each = ranked.groupBy("session", "_cut").agg(
+        F.sort_array(F.collect_list(F.when(F.col("_k") == 0, F.col("t")))).alias("_starts"), F.sort_array(F.collect_list(F.when(F.col("_k") == 1, F.struct("t", "_rank")))).alias("_stops")
+    )
+
+    def step(acc: Column, stop: Column) -> Column:
+        at = F.greatest(acc["at"], stop["_rank"])
+        reached = F.coalesce(F.get(F.col("_starts"), at) - stop["t"] <= window, F.lit(False))
+        return F.struct((at + reached.cast("int")).alias("at"), F.when(reached, F.array_append(acc["used"], at)).otherwise(acc["used"]).alias("used"))
+
+    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("used"))
+    used = each.select("session", "_starts", F.explode(F.aggregate("_stops", first, step)["used"]).alias("_i"))
+    start = F.get("_starts", F.col("_i").cast("int"))
+    return used.select("session", (start - window).alias("start"), (start + window).alias("stop"))
+
 
 
 def pair_in_order(starts: DataFrame, stops: DataFrame, by: Sequence[str] = ("session",), t: str = "t") -> DataFrame:

@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 def fdr(df: DataFrame, p: str, by: Sequence[str], q: float = 0.05, dependent: bool = False) -> DataFrame:
     """df with adjusted and rejected: Benjamini-Hochberg, or Benjamini-Yekutieli for dependent tests.
 
-    Adjusted values are capped at 1 for the former only. Ties of p share the value of their last rank.
+    Adjusted values are capped at 1 for the former only. Ties of p share the value of their last rank. A null p takes
+    no part: it isn't counted, and has a null adjusted value and is not rejected.
     """
     w = Window.partitionBy(*by)
-    rank, m = F.row_number().over(w.orderBy(p)), F.count(p).over(w)
-    harmonic = F.aggregate(F.transform(F.sequence(F.lit(1).cast("long"), m), lambda i: 1.0 / i), F.lit(0.0), lambda a, b: a + b) if dependent else F.lit(1.0)
+    rank, m = F.row_number().over(w.orderBy(F.asc_nulls_last(p))), F.count(p).over(w)
+    harmonic = F.aggregate(F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(m, F.lit(1))), lambda i: 1.0 / i), F.lit(0.0), lambda a, b: a + b) if dependent else F.lit(1.0)
     rows = df.withColumns({"_rank": rank, "_m": m, "_c": harmonic}).withColumn("_raw", F.col(p) * F.col("_m") * F.col("_c") / F.col("_rank"))
     least = F.min("_raw").over(w.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0))
-    adjusted = least if dependent else F.least(least, F.lit(1.0))
-    rows = rows.withColumn("adjusted", adjusted).withColumn("rejected", F.max(F.when(F.col(p) <= F.col("_rank") / F.col("_m") * q / F.col("_c"), F.col(p))).over(w) >= F.col(p))
+    adjusted = F.when(F.col(p).isNotNull(), least if dependent else F.least(least, F.lit(1.0)))
+    passing = F.when(F.col(p) <= F.col("_rank") / F.col("_m") * q / F.col("_c"), F.col(p))
+    rows = rows.withColumn("adjusted", adjusted).withColumn("rejected", F.max(passing).over(w) >= F.col(p))
     return rows.withColumn("rejected", F.coalesce("rejected", F.lit(False))).drop("_rank", "_m", "_c", "_raw")
 
 

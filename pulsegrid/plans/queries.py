@@ -163,14 +163,28 @@ def state_selection(spark, sf_dir):
     return states.select(b.states(spark, sf_dir), "click", exclude=["error"], fill=20 * b.MINUTE, trim=b.MINUTE, min_duration=15 * b.MINUTE)
 
 
-@query(
-    f"WITH {b.ALL}, n AS (SELECT a.session, a.stop, (SELECT MIN(c.start) FROM c WHERE c.session = a.session AND c.start > a.stop) AS nx FROM a) "
-    f"SELECT DISTINCT session, nx - {5 * b.MINUTE} AS start, nx + {5 * b.MINUTE} AS stop FROM n WHERE nx - stop <= {5 * b.MINUTE}"
+#: The rule step by step: (at, used) after each stop, in order; stops and starts are numbered within a session.
+TRANSITIONS = (
+    f"WITH RECURSIVE {b.ALL}, p AS (SELECT session, stop, ROW_NUMBER() OVER (PARTITION BY session ORDER BY stop) AS i FROM a), n AS (SELECT session, start, ROW_NUMBER() OVER (PARTITION BY session ORDER BY start) AS j FROM WITH_B), "
+    "f AS (SELECT p.session, p.i, p.stop, (SELECT COUNT(*) FROM n WHERE n.session = p.session AND n.start <= p.stop) + 1 AS r FROM p), "
+    "w AS (SELECT session, 0 AS i, CAST(1 AS BIGINT) AS at, CAST(NULL AS BIGINT) AS used FROM (SELECT DISTINCT session FROM p) UNION ALL "
+    "SELECT w.session, w.i + 1, GREATEST(w.at, f.r) + CASE WHEN n.start - f.stop <= WITHIN THEN 1 ELSE 0 END, CASE WHEN n.start - f.stop <= WITHIN THEN n.start END "
+    "FROM w JOIN f ON f.session = w.session AND f.i = w.i + 1 LEFT JOIN n ON n.session = w.session AND n.j = GREATEST(w.at, f.r)) "
+    "SELECT session, used - WITHIN AS start, used + WITHIN AS stop FROM w WHERE used IS NOT NULL"
 )
+
+
+@query(TRANSITIONS.replace("WITH_B", "c").replace("WITHIN", str(5 * b.MINUTE)))
 def state_transitions(spark, sf_dir):
     return states.transitions(b.views(spark, sf_dir), b.errors(spark, sf_dir), 5 * b.MINUTE)
 
 
+@query(TRANSITIONS.replace("WITH_B", "b").replace("WITHIN", str(90 * b.MINUTE)))
+def state_transitions_dense(spark, sf_dir):
+    """A window in which several stops compete for a start."""
+    return states.transitions(b.views(spark, sf_dir), b.clicks(spark, sf_dir), 90 * b.MINUTE)
+
+
 @query(
     f"WITH {b.EV}, s AS (SELECT session, us, ROW_NUMBER() OVER (PARTITION BY session ORDER BY us) AS k FROM ev WHERE event_type = 'click'), f AS (SELECT session, MIN(us) AS m FROM s GROUP BY session), "
     "e AS (SELECT v.session, v.us, ROW_NUMBER() OVER (PARTITION BY v.session ORDER BY v.us) AS k FROM ev v JOIN f ON f.session = v.session WHERE v.event_type = 'error' AND v.us >= f.m) "
@@ -788,9 +802,17 @@ def von_mises_fit(spark, sf_dir):
     return found.select("user_id", r6(F.col("mu")).alias("mu"), (F.round("kappa", 5) + F.lit(0.0)).alias("kappa"))
 
 
-@query(None)
+@query(
+    "WITH t AS (SELECT event_type, event_id, FMOD(CAST(THETA AS DOUBLE), 2 * PI()) AS r FROM events), x AS (SELECT event_type, event_id, CASE WHEN r < 0 THEN r + 2 * PI() ELSE r END AS x FROM t), "
+    "p AS (SELECT event_type, x, COUNT(*) AS c FROM x GROUP BY ALL), d AS (SELECT p.event_type, p.x, p.c, CASE WHEN q.x - p.x < 0 THEN q.x - p.x + 2 * PI() ELSE q.x - p.x END AS g, q.c AS n FROM p JOIN p q ON q.event_type = p.event_type), "
+    "m AS (SELECT event_type, x, MAX(c) AS c, ABS(SUM(CASE WHEN g > 0 AND g <= PI() THEN n WHEN g > PI() THEN -n ELSE 0 END)) AS off FROM d GROUP BY ALL), "
+    "k AS (SELECT *, MIN(off) OVER (PARTITION BY event_type) AS least FROM m), o AS (SELECT event_type, x, c, ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY x) AS i FROM k WHERE off = least), "
+    "h AS (SELECT event_type, ATAN2(SUM(SIN(x)), SUM(COS(x))) AS mean, COUNT(*) AS t FROM x GROUP BY event_type), "
+    "f AS (SELECT h.event_type, mean, ATAN2(SUM(SIN(x)), SUM(COS(x))) AS md FROM h JOIN o ON o.event_type = h.event_type WHERE i = 1 OR (i = 2 AND t % 2 = 0 AND (SELECT c FROM o z WHERE z.event_type = h.event_type AND z.i = 1) = 1) GROUP BY ALL), "
+    "g AS (SELECT event_type, CASE WHEN COS(mean - md) < 0 THEN md + PI() ELSE md END AS md FROM f) SELECT event_type, ROUND(CASE WHEN md < 0 THEN md + 2 * PI() WHEN md >= 2 * PI() THEN md - 2 * PI() ELSE md END, 6) + 0.0 AS median FROM g".replace("THETA", f"{TWO_PI} * (epoch_us(ts) % 86400000000) / 86400000000.0")
+)
 def circular_median(spark, sf_dir):
-    return circular.median(_theta(spark, sf_dir), "theta", ["event_type"])
+    return circular.median(_theta(spark, sf_dir), "theta", ["event_type"]).withColumn("median", r6(F.col("median")))
 
 
 @query(None)
@@ -983,8 +1005,8 @@ def bootstrapped_rate_maps(spark, sf_dir):
     from ..operators import fields
 
     li = b.read(spark, sf_dir, "lineitem")
-    marked = li.where("l_discount > 0.05").select(F.col("l_returnflag").alias("unit"), "l_quantity", "l_extendedprice")
-    rows = fields.bootstrap_rows(marked, 5).withColumn("unit", F.struct("unit", "iter"))
+    marked = li.where("l_discount > 0.05").select(F.col("l_returnflag").alias("unit"), "l_quantity", "l_extendedprice", "l_orderkey", "l_linenumber")
+    rows = fields.bootstrap_rows(marked, 5, ["l_orderkey", "l_linenumber"]).withColumn("unit", F.struct("unit", "iter"))
     found = binning.rate_map(rows, li, _axes(), 120.0, 0.05)
     return found.select("unit.unit", "unit.iter", "ix", "iy", "n_spikes", "occ", "rate")
 

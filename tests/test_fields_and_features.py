@@ -32,7 +32,7 @@ def test_rate_at(spark):
 
 def test_bootstrap_and_shuffle(spark):
     rows = spark.range(3000).select(F.lit(0).alias("session"), F.col("id").alias("idx"), F.col("id").cast("double").alias("value"))
-    n = fields.bootstrap_rows(rows, 2).groupBy("iter").count().collect()
+    n = fields.bootstrap_rows(rows.withColumn("value", F.lit(1.0)), 2, ["idx"]).groupBy("iter").count().collect()
     assert len(n) == 2 and all(2800 < r["count"] < 3200 for r in n)
     moved = {r.idx: r.value for r in fields.shuffle_blocks(rows.where("idx < 1025"), 100, ["value"], 3).collect()}
     assert sorted(moved.values()) == [float(i) for i in range(1025)] and all(moved[i] == i for i in range(1000, 1025))

@@ -1,11 +1,13 @@
 """Operators on small hand-made cases, and kernels on planted signals."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import text
-from pulsegrid.operators import intervals, models, sequence, signal, spikes, states
+from pulsegrid.operators import intervals, models, sequence, signal, spikes, states, stats
 from pulsegrid.plans import stateql
 from pulsegrid.sources import records, text_files
 from pulsegrid.streaming import online
@@ -58,24 +60,58 @@ def test_state_expressions(spark):
 
 
 def greedy_transitions(a, b, window):
+    """Starts used by the stops of a, taken in order."""
     out, j = [], 0
-    for _, stop in a:
-        while j < len(b) and b[j][0] <= stop:
+    for stop in sorted(x for _, x in a):
+        while j < len(b) and b[j] <= stop:
             j += 1
-        if j < len(b) and b[j][0] - stop <= window:
-            out.append(b[j][0])
+        if j < len(b) and b[j] - stop <= window:
+            out.append(b[j])
             j += 1
     return out
 
 
 def test_transitions(spark):
-    rng = np.random.default_rng(3)
-    for _ in range(4):
-        a = np.cumsum(rng.integers(1, 5, (12, 2)).ravel()).reshape(-1, 2).tolist()
-        b = np.cumsum(rng.integers(1, 5, (12, 2)).ravel()).reshape(-1, 2).tolist()
-        frames = [spark.createDataFrame([(0, int(x), int(y)) for x, y in s], "session int, start long, stop long") for s in (a, b)]
-        got = sorted(r.start + 3 for r in states.transitions(*frames, 3).collect())
-        assert got == greedy_transitions(a, b, 3)
+    rng = random.Random(5)
+    cases = [([(0, 10), (12, 20)], [30, 38], 30), ([(0, 10.0), (11, 11.5)], [12.0, 12.0, 13.25], 2.0), ([(0, 5)], [5, 5.5], 0.5), ([], [3], 1), ([(0, 3)], [], 1)]
+    for n in range(40):
+        stops = sorted(rng.randint(0, 40) for _ in range(rng.randint(1, 14)))
+        cases.append(([(x - 1, x) for x in stops], sorted(rng.randint(0, 45) for _ in range(rng.randint(1, 14))), rng.choice([1, 3, 8, 20])))
+    a = [(i, float(x), float(y)) for i, (periods, _, _) in enumerate(cases) for x, y in periods]
+    b = [(i, float(x), float(x) + 1) for i, (_, starts, _) in enumerate(cases) for x in starts]
+    frames = [spark.createDataFrame(rows, "session int, start double, stop double") for rows in (a, b)]
+    for window in sorted({w for _, _, w in cases}):
+        got = {}
+        for r in states.transitions(*frames, window).collect():
+            got.setdefault(r.session, []).append(r.start + window)
+        for i, (periods, starts, w) in enumerate(cases):
+            if w == window:
+                assert sorted(got.get(i, [])) == greedy_transitions(periods, starts, w), cases[i]
+    found = {(r.session, r.stop): r.next_start for r in states.next_starts(*frames, 2.0).collect()}
+    assert found[1, 10.0] == 12.0 and found[1, 11.5] == 12.0 and found[2, 5.0] == 5.5
+
+
+def test_fdr_with_nulls(spark):
+    rows = spark.createDataFrame([("g", 0.01), ("g", None), ("g", 0.02), ("g", 0.03), ("g", None), ("h", None)], "g string, p double")
+    for dependent, factor in ((False, 1), (True, 1 + 1 / 2 + 1 / 3)):
+        got = stats.fdr(rows, "p", ["g"], dependent=dependent).collect()
+        assert all((r.adjusted is None and not r.rejected) if r.p is None else abs(r.adjusted - 0.03 * factor) < 1e-12 for r in got) and len(got) == 6
+
+
+def test_complement_of_all_time(spark):
+    rows = spark.createDataFrame([(1, 0, 5), (1, 5, 7), (1, 10, 15), (2, 3, 4)], "session int, start int, stop int")
+    got = {tuple(r) for r in intervals.complement(rows).collect()}
+    assert got == {(1, None, 0), (1, 7, 10), (1, 15, None), (2, None, 3), (2, 4, None)}
+
+
+def test_expression_with_keys(spark):
+    rows = [(1, "walk", "w", 0, 10), (1, "walk", "w", 20, 30), (1, "rear", "r", 5, 25), (1, "w", "q", 8, 9), (2, "walk", "w", 0, 1)]
+    c = spark.createDataFrame(rows, "session int, label string, key string, start int, stop int")
+    found = lambda e: sorted(tuple(r) for r in stateql.query(c, e).collect())
+    assert found("walk & r") == [(1, 5, 10), (1, 20, 25)] and found("walk - r") == [(1, 0, 5), (1, 25, 30), (2, 0, 1)]
+    assert found("w") == [(1, 8, 9)] and found("walk & r - w") == [(1, 5, 8), (1, 9, 10), (1, 20, 25)] and found("none | q") == [(1, 8, 9)]
+    assert {tuple(r) for r in states.get(c, "w").collect()} == {(1, 8, 9)} and states.get(c, "r").count() == 1
+
 
 
 def test_correlogram_against_brute_force(spark):
