@@ -1112,5 +1112,164 @@ def streaming_crossings(spark, sf_dir):
     return online.run_to_end(online.crossings(stream, 40.0), f"{folder}/out", f"{folder}/state")
 
 
+# Posture
+
+ROLES = {"pelvis_root": 1, "spine_upper": 2, "hcom": 3, "nose": 4, "head_back": 5, "head_front": 6, "bcom": 7}
+WIDE = f"{POS}, wd AS (SELECT f, " + ", ".join(f"MAX(CASE WHEN m = {m} THEN {d} END) AS {d}{m}" for m in range(1, 8) for d in "xyz") + " FROM ps GROUP BY f HAVING COUNT(*) = 7)"
+
+
+def _frames(spark, sf_dir):
+    from ..operators import posture
+
+    return posture.wide(_markers(spark, sf_dir), ["frame"], ROLES)
+
+
+def _phi(a: int, c: int) -> str:
+    return f"ATAN2(z{c} - z{a}, SQRT((x{c} - x{a}) * (x{c} - x{a}) + (y{c} - y{a}) * (y{c} - y{a})))"
+
+
+def _turn(a: str, c: str) -> str:
+    return f"ATAN2(SIN(({a}) - ({c})), COS(({a}) - ({c})))"
+
+
+POSTURE = {
+    "head_x": "x3", "head_y": "y3", "head_height": "z3", "head_yaw": "ATAN2(x6 - x3, y6 - y3)", "head_pitch": _phi(5, 6), "body_pitch": _phi(1, 2), "neck_pitch": _phi(2, 3), "nose_pitch": _phi(3, 4),
+    "head_minus_body_pitch": _turn(_phi(3, 4), _phi(1, 2)), "head_body_angle": f"0.1 - ({_turn('ATAN2(y4 - y3, x4 - x3)', 'ATAN2(y2 - y7, x2 - x7)')} + 0.25)",
+}
+
+
+@query(f"WITH {WIDE} SELECT f AS frame, " + ", ".join(s6(e, n) for n, e in POSTURE.items()) + " FROM wd")
+def posture_features(spark, sf_dir):
+    from ..operators import posture
+
+    return posture.features(_frames(spark, sf_dir), 0.25, 0.1).select("frame", *(r6(F.col(n)).alias(n) for n in POSTURE))
+
+
+@query(
+    f"WITH {WIDE}, v AS (SELECT *, COALESCE(LEAD(x3) OVER w - LAG(x3) OVER w, 0) AS vx, COALESCE(LEAD(y3) OVER w - LAG(y3) OVER w, 0) AS vy, ATAN2(y4 - y3, x4 - x3) + 0.2 AS a FROM wd WINDOW w AS (PARTITION BY f % 8 ORDER BY f)) "
+    "SELECT f AS frame, ROUND((vx * COS(a) + vy * SIN(a)) * 12, 5) + 0.0 AS speed_ahead, ROUND((vy * COS(a) - vx * SIN(a)) * 12, 5) + 0.0 AS speed_left FROM v"
+)
+def head_frame_velocity(spark, sf_dir):
+    from ..operators import posture
+
+    rows = _frames(spark, sf_dir).withColumn("session", F.col("frame") % 8)
+    found = posture.frame_velocity(rows, "hcom", "nose", "hcom", 120.0, ["session"], "frame", turn=0.2)
+    return found.select("frame", *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("speed_ahead", "speed_left")))
+
+
+@query(
+    f"WITH {WIDE}, a AS (SELECT f, 0.1 - ({_turn('ATAN2(y4 - y3, x4 - x3)', 'ATAN2(y2 - y7, x2 - x7)')} + 0.25) AS a FROM wd) "
+    "SELECT f AS frame, ROUND(COALESCE(LEAD(a) OVER w - LAG(a) OVER w, 0) * 60, 4) + 0.0 AS angular_velocity FROM a WINDOW w AS (PARTITION BY f % 8 ORDER BY f)"
+)
+def head_body_angular_velocity(spark, sf_dir):
+    from ..operators import posture
+
+    rows = posture.features(_frames(spark, sf_dir), 0.25, 0.1).withColumn("session", F.col("frame") % 8)
+    found = posture.angular_velocity(rows, "head_body_angle", 120.0, ["session"], "frame")
+    return found.select("frame", (F.round("angular_velocity", 4) + F.lit(0.0)).alias("angular_velocity"))
+
+
+@query(
+    f"WITH {WIDE}, o AS (SELECT f, x6 - x5 AS ox, y6 - y5 AS oy, z6 - z5 AS oz, x4 - x5 AS px, y4 - y5 AS py, z4 - z5 AS pz, x2 - x5 AS qx, y2 - y5 AS qy, z2 - z5 AS qz FROM wd), "
+    "d AS (SELECT *, SQRT(ox * ox + oy * oy) AS h, SQRT(ox * ox + oy * oy + oz * oz) AS n FROM o), "
+    "u AS (SELECT *, (px * ox + py * oy) / h AS pa, (py * ox - px * oy) / h AS pl, (qx * ox + qy * oy) / h AS qa, (qy * ox - qx * oy) / h AS ql FROM d WHERE h > 0), "
+    "t AS (SELECT *, (pa * h + pz * oz) / n AS p1, (pz * h - pa * oz) / n AS p3, (qa * h + qz * oz) / n AS q1, (qz * h - qa * oz) / n AS q3 FROM u), "
+    "r AS (SELECT *, CASE WHEN p3 > 0 THEN ATAN2(p3, ABS(pl)) ELSE -ATAN2(-p3, ABS(pl)) END AS roll, CASE WHEN q3 > 0 THEN -ATAN2(q3, ABS(ql)) ELSE ATAN2(-q3, ABS(ql)) END AS other FROM t) "
+    "SELECT f AS frame, " + ", ".join(s6(e, n) for n, e in {
+        "direction": "ATAN2(oy, ox)", "pitch": "ATAN2(oz, h)", "roll": "roll", "reach": "n", "nose_x": "p1", "nose_y": "pl * COS(roll) - p3 * SIN(roll)", "nose_z": "pl * SIN(roll) + p3 * COS(roll)",
+        "spine_x": "q1", "spine_y": "ql * COS(other) - q3 * SIN(other)", "spine_z": "ql * SIN(other) + q3 * COS(other)",
+    }.items()) + " FROM r"
+)
+def aligned_origin(spark, sf_dir):
+    from ..operators import posture
+
+    found = posture.transform_origin(_frames(spark, sf_dir), "head_back", "head_front", ["nose", "spine_upper"]).where("head_front.x <> head_back.x OR head_front.y <> head_back.y")
+    named = [("direction", "direction"), ("pitch", "pitch"), ("roll", "roll"), ("reach", "reach")] + [(f"{n}_at.{d}", f"{m}_{d}") for n, m in (("nose", "nose"), ("spine_upper", "spine")) for d in "xyz"]
+    return found.select("frame", *(r6(F.col(c)).alias(n) for c, n in named))
+
+
+@query(
+    f"WITH {WIDE}, v AS (SELECT f, x4 - x3 AS x, y4 - y3 AS y, z4 - z3 AS z FROM wd), a AS (SELECT *, CASE WHEN x = 0 AND y = 0 THEN PI() / 2 ELSE ATAN2(y, x) END AS yaw, ATAN2(z, ABS(x)) AS up, "
+    "CASE WHEN y = 0 AND z = 0 THEN -PI() / 2 WHEN z > 0 THEN ATAN2(z, ABS(y)) ELSE -ATAN2(-z, ABS(y)) END AS roll FROM v) SELECT f AS frame, " + ", ".join(s6(e, n) for n, e in {
+        "yaw": "yaw", "yaw_x": "x * COS(yaw) - y * SIN(yaw)", "yaw_y": "x * SIN(yaw) + y * COS(yaw)", "elevation": "up", "up_x": "x * COS(up) - z * SIN(up)", "up_z": "x * SIN(up) + z * COS(up)",
+        "roll": "roll", "roll_y": "y * COS(roll) - z * SIN(roll)", "roll_z": "y * SIN(roll) + z * COS(roll)",
+    }.items()) + " FROM a"
+)
+def axis_turns(spark, sf_dir):
+    from ..operators import posture
+
+    v = posture.vector("hcom", "nose")
+    (yx, yy, _), yaw = posture.turn_by_azimuth(v)
+    (ux, _, uz), up = posture.turn_by_elevation(v)
+    roll = posture.roll_of(v)
+    _, ry, rz = posture.turn_about_x(v, roll)
+    named = {"yaw": yaw, "yaw_x": yx, "yaw_y": yy, "elevation": up, "up_x": ux, "up_z": uz, "roll": roll, "roll_y": ry, "roll_z": rz}
+    return _frames(spark, sf_dir).select("frame", *(r6(c).alias(n) for n, c in named.items()))
+
+
+def _unit(name: str, a: str, c: str) -> str:
+    """SQL for the direction of the cross product of two vectors."""
+    x, y, z = f"({a}y * {c}z - {a}z * {c}y)", f"({a}z * {c}x - {a}x * {c}z)", f"({a}x * {c}y - {a}y * {c}x)"
+    n = f"NULLIF(SQRT({x} * {x} + {y} * {y} + {z} * {z}), 0)"
+    return f"{x} / {n} AS {name}x, {y} / {n} AS {name}y, {z} / {n} AS {name}z"
+
+
+@query(
+    f"WITH {WIDE}, c AS (SELECT *, (x5 + x3 + x6 + x4) / 4 AS cx, (y5 + y3 + y6 + y4) / 4 AS cy, (z5 + z3 + z6 + z4) / 4 AS cz FROM wd), v AS (SELECT f, cx, cy, cz, x5 - cx AS ax, y5 - cy AS ay, z5 - cz AS az, x3 - cx AS ex, y3 - cy AS ey, z3 - cz AS ez FROM c), "
+    f"n AS (SELECT *, {_unit('n', 'e', 'a')} FROM v), m AS (SELECT *, {_unit('m', 'n', 'a')} FROM n), k AS (SELECT *, {_unit('k', 'n', 'm')} FROM m) SELECT f AS frame, "
+    + ", ".join(s6(f"{p}{d}", f"{n}_{d}") for p, n in (("c", "com"), ("k", "axis_x"), ("m", "axis_y"), ("n", "axis_z")) for d in "xyz") + " FROM k"
+)
+def rigid_body_basis(spark, sf_dir):
+    from ..operators import posture
+
+    found = posture.basis(_frames(spark, sf_dir), ["head_back", "hcom", "head_front", "nose"])
+    return found.select("frame", *(r6(F.col(f"{n}.{d}")).alias(f"{n}_{d}") for n in ("com", "axis_x", "axis_y", "axis_z") for d in "xyz"))
+
+
+@query(
+    f"WITH {POS}, full_ AS (SELECT f FROM ps GROUP BY f HAVING COUNT(*) = 7), p4 AS (SELECT ps.*, CASE m WHEN 3 THEN 'hcom' WHEN 4 THEN 'nose' WHEN 5 THEN 'head_back' WHEN 6 THEN 'head_front' END AS name FROM ps JOIN full_ ON ps.f = full_.f WHERE m BETWEEN 3 AND 6), "
+    "t AS (SELECT i.f, i.name AS i, j.name AS j, k.name AS k, k.x - j.x AS ax, k.y - j.y AS ay, k.z - j.z AS az, i.x - j.x AS ex, i.y - j.y AS ey, i.z - j.z AS ez, (i.x + j.x + k.x) / 3 AS cx, (i.y + j.y + k.y) / 3 AS cy, (i.z + j.z + k.z) / 3 AS cz FROM p4 i JOIN p4 j ON i.f = j.f AND i.m < j.m JOIN p4 k ON k.f = j.f AND j.m < k.m) "
+    "SELECT f AS frame, i, j, k, " + ", ".join(s6(e, n) for n, e in {
+        "arm_k": "SQRT(ax * ax + ay * ay + az * az)", "arm_i": "SQRT(ex * ex + ey * ey + ez * ez)",
+        "angle": "ATAN2(SQRT(POW(ay * ez - az * ey, 2) + POW(az * ex - ax * ez, 2) + POW(ax * ey - ay * ex, 2)), ax * ex + ay * ey + az * ez)", "com_x": "cx", "com_y": "cy", "com_z": "cz",
+    }.items()) + " FROM t"
+)
+def marker_triads(spark, sf_dir):
+    from ..operators import posture
+
+    found = posture.triads(_frames(spark, sf_dir), ["frame"], ["hcom", "nose", "head_back", "head_front"])
+    return found.select("frame", "i", "j", "k", *(r6(F.col(c)).alias(c) for c in ("arm_k", "arm_i", "angle")), *(r6(F.col(f"com.{d}")).alias(f"com_{d}") for d in "xyz"))
+
+
+@query(
+    f"WITH {WIDE}, w AS (SELECT *, COALESCE(LEAD(x3, 3) OVER w - LAG(x3, 3) OVER w, 0) AS px, COALESCE(LEAD(y3, 3) OVER w - LAG(y3, 3) OVER w, 0) AS py, ROW_NUMBER() OVER w AS k, COUNT(*) OVER (PARTITION BY f % 8) AS n FROM wd WINDOW w AS (PARTITION BY f % 8 ORDER BY f)), "
+    "d AS (SELECT *, x1 - x3 AS dx, y1 - y3 AS dy, SQRT((x4 - x3) * (x4 - x3) + (y4 - y3) * (y4 - y3)) AS hn, SQRT(px * px + py * py) AS pn FROM w WHERE k > 5 AND k <= n - 5), "
+    "u AS (SELECT f, dx, dy, CASE WHEN hn > 0 THEN (x4 - x3) / hn ELSE 0 END AS hx, CASE WHEN hn > 0 THEN (y4 - y3) / hn ELSE 0 END AS hy, CASE WHEN pn > 0 THEN px / pn ELSE 0 END AS qx, CASE WHEN pn > 0 THEN py / pn ELSE 0 END AS qy FROM d) "
+    "SELECT f AS frame, " + ", ".join(s6(e, n) for n, e in {"head_ahead": "dx * hx + dy * hy", "head_left": "dy * hx - dx * hy", "path_ahead": "dx * qx + dy * qy", "path_left": "dy * qx - dx * qy"}.items()) + " FROM u"
+)
+def decoded_in_frames(spark, sf_dir):
+    """The position of another marker stands for the decoded one."""
+    from ..operators import posture
+
+    frames = _frames(spark, sf_dir).withColumn("session", F.col("frame") % 8)
+    estimates = frames.select("frame", "pelvis_root.x", "pelvis_root.y")
+    found = posture.to_frames(estimates, frames, ["frame"], "frame", 3, 5, session=["session"])
+    return found.select("frame", *(r6(F.col(c)).alias(c) for c in ("head_ahead", "head_left", "path_ahead", "path_left")))
+
+
+@query(
+    f"WITH {b.EV}, {b.SAMPLES}, pr AS (SELECT session, k * 400 + 50 AS start, k * 400 + 330 AS stop FROM (SELECT DISTINCT session, idx // 400 AS k FROM sm)), "
+    "s AS (SELECT DISTINCT sm.session, sm.idx, CASE WHEN value < 60 THEN 'low' ELSE 'high' END AS side FROM sm JOIN pr ON pr.session = sm.session AND sm.idx >= pr.start AND sm.idx < pr.stop WHERE value <> 60), "
+    "r AS (SELECT *, idx - ROW_NUMBER() OVER (PARTITION BY session, side ORDER BY idx) AS g FROM s) SELECT session, side, MIN(idx) AS start, MAX(idx) + 1 AS stop FROM r GROUP BY session, side, g HAVING COUNT(*) >= 3"
+)
+def periods_by_side(spark, sf_dir):
+    from ..operators import posture
+
+    samples = b.samples(spark, sf_dir)
+    block = samples.select("session", F.floor(F.col("idx") / 400).cast("long").alias("k")).distinct()
+    periods = block.select("session", (F.col("k") * 400 + 50).alias("start"), (F.col("k") * 400 + 330).alias("stop"))
+    return posture.subdivide(samples, periods, "value", 60.0, 3, 400)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state_expression(spark, sf_dir)
