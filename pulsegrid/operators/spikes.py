@@ -22,6 +22,13 @@ def correlogram(spikes: DataFrame, bin_size: int, half_bins: int, by: Sequence[s
     return pairs.select(*by, F.col(unit).alias("g1"), F.col("b_" + unit).alias("g2"), at.alias("bin")).where(F.abs("bin") <= half_bins).groupBy(*by, "g1", "g2", "bin").agg(F.count("*").alias("n"))
 
 
+def correlogram_pairs(a: DataFrame, b: DataFrame, bin_size: int, half_bins: int, by: Sequence[str] = ("session",), t: str = "t", key: str = "spike_id") -> DataFrame:
+    """The pairs that a correlogram of two trains counts: (by, columns of a, columns of b with the prefix b_, bin)."""
+    width = bin_size * half_bins + bin_size / 2
+    pairs = rangejoin.band(a, b, -width, width, by, t).where(F.col(key) != F.col("b_" + key))
+    return pairs.withColumn("bin", F.floor(0.5 + (F.col("b_" + t) - F.col(t)) / bin_size).cast("int")).where(F.abs("bin") <= half_bins)
+
+
 def normalise_correlogram(counts: DataFrame, spikes: DataFrame, bin_seconds: float, span: DataFrame, mode: str = "hz", by: Sequence[str] = ("session",), unit: str = "unit") -> DataFrame:
     """counts with value. hz: pairs per second and spike of g1; hz2: per second squared; scale: against independent trains."""
     sizes = spikes.groupBy(*by, unit).agg(F.count("*").alias("_size"))

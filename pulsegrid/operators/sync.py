@@ -24,10 +24,13 @@ def to_master(samples: DataFrame, segments: DataFrame, width: int = 100_000) ->
 
 
 def to_local(points: DataFrame, segments: DataFrame, width: float) -> DataFrame:
-    """points (stream, t) with idx, the local sample number; points outside of the segments are dropped."""
+    """points (stream, t) with idx, the nearest local sample number; points outside of the segments are dropped.
+
+    A point within half a sample of a segment's end gets the number that follows it, which is the first of the next segment.
+    """
     ranges = cumulative(segments).select("stream", F.col("t0").alias("start"), F.col("t1").alias("stop"), "first", "rate")
     found = rangejoin.points_in_periods(points, ranges, width, ("stream",), "t")
-    return found.withColumn("idx", F.col("first") + F.floor((F.col("t") - F.col("start")) * F.col("rate")).cast("long")).drop("start", "stop", "first", "rate")
+    return found.withColumn("idx", F.col("first") + F.rint((F.col("t") - F.col("start")) * F.col("rate")).cast("long")).drop("start", "stop", "first", "rate")
 
 
 def gaps(segments: DataFrame) -> DataFrame:

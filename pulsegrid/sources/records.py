@@ -167,20 +167,27 @@ def write_records(rows: DataFrame, folder: str, layout: str, header: str | None
             done.append((now, n))
 
         for batch in batches:
-            for name, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            names, lists = batch.column(0).to_pylist(), batch.column(1)
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for first, last in zip(cuts[:-1], cuts[1:]):
+                if first == last:
+                    continue
+                name, some = names[first], lists.slice(first, last - first)
                 if name != now:
                     if now is not None:
                         finish()
                     now, n, seen = name, 0, set()
                     store, at = _open(f"{folder}/{name}")
+                    store.create_dir(at.rpartition("/")[0], recursive=True)
                     if not overwrite and store.get_file_info(at).type != fs.FileType.NotFound:
                         raise FileExistsError(at)
                     held = f"{at}.{uuid.uuid4().hex}"
                     out = store.open_output_stream(held)
-                out.write(np.array(values, dtype).tobytes())
-                n, width = n + 1, len(values)
+                out.write(some.flatten().to_numpy(zero_copy_only=False).astype(dtype).tobytes())
+                starts = np.cumsum([0, *some.value_lengths().to_pylist()[:-1]]) if header == "distinct" else []
+                n, width = n + len(some), int(some.value_lengths()[-1].as_py())
                 if header == "distinct":
-                    seen.add(values[0])
+                    seen.update(np.unique(some.flatten().to_numpy(zero_copy_only=False)[starts]).tolist())
         if now is not None:
             finish()
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["file", "n"])

@@ -28,8 +28,38 @@ def write_periods(periods: DataFrame, path: str) -> None:
     periods.orderBy("start").select(F.concat_ws(" ", F.col("start").cast("string"), F.col("stop").cast("string")).alias("value")).write.mode("errorifexists").text(path)
 
 
+#: The eight cells of a rigid body in an export: a quaternion (with y up), a position in metres, an error.
+BODY_CELLS = ("qx", "qz", "qy", "qw", "x", "z", "y", "error")
+
+
+def read_rigid_bodies(spark: SparkSession, path: str, bodies: list[str]) -> DataFrame:
+    """(frame, t, body, x, y, z, error, qx, qy, qz, qw) of a motion export: lines `frame,time` and eight cells for each body.
+
+    Lengths are in millimetres, and z is up. Header lines, which don't begin with a number, and lines with missing cells
+    are skipped. bodies: their names, in the order of the columns.
+    """
+    cells = F.split("value", ",")
+    lines = spark.read.text(path).where(F.col("value").rlike("^[0-9]+,")).select(cells.alias("c")).where((F.size("c") >= 2 + 8 * len(bodies)) & ~F.exists("c", lambda c: F.trim(c) == ""))
+    number = lambda at: F.col("c")[at].cast("double")
+    scale = {"x": 1000.0, "y": 1000.0, "z": 1000.0, "error": 1000.0}
+    each = [F.struct(F.lit(name).alias("body"), *((number(2 + 8 * i + j) * scale.get(cell, 1.0)).alias(cell) for j, cell in enumerate(BODY_CELLS))) for i, name in enumerate(bodies)]
+    out = lines.select(F.col("c")[0].cast("long").alias("frame"), number(1).alias("t"), F.explode(F.array(*each)).alias("b"))
+    return out.select("frame", "t", "b.body", *(f"b.{c}" for c in ("x", "y", "z", "error", "qx", "qy", "qz", "qw")))
+
+
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """(list, session, maze, trial, fields) of a JSON catalogue {lists: {name: [records]}, subjects: {...}}: session values over the subject's."""
+    """(list, position, session, maze, trial, subject, fields) of a JSON catalogue {lists: {name: [records]}, subjects: {name: record}}.
+
+    fields holds a session's values as text over those of its subject; null values of a session don't count.
+    """
     raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
     lists = raw.select(F.explode(F.variant_get("v", "$.lists", "map<string,array<map<string,variant>>>")).alias("list", "records"))
-    return lists.select("list", F.posexplode("records").alias("position", "fields"))
+    rows = lists.select("list", F.posexplode("records").alias("position", "own"))
+    own = F.map_filter(F.transform_values("own", lambda _, v: F.try_variant_get(v, "$", "string")), lambda _, v: v.isNotNull())
+    rows = rows.withColumn("own", own).withColumn("subject", F.try_element_at("own", F.lit("subject")))
+    subjects = raw.select(F.explode(F.coalesce(F.variant_get("v", "$.subjects", "map<string,map<string,variant>>"), F.create_map().cast("map<string,map<string,variant>>"))).alias("subject", "theirs"))
+    subjects = subjects.select("subject", F.map_filter(F.transform_values("theirs", lambda _, v: F.try_variant_get(v, "$", "string")), lambda _, v: v.isNotNull()).alias("theirs"))
+    both = rows.join(subjects, "subject", "left")
+    extra = F.map_filter(F.coalesce("theirs", F.create_map().cast("map<string,string>")), lambda k, _: ~F.map_contains_key("own", k))
+    named = [F.try_element_at("fields", F.lit(c)).alias(c) for c in ("session", "maze", "trial")]
+    return both.withColumn("fields", F.map_concat("own", extra)).select("list", "position", *named, "subject", "fields")

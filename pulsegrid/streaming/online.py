@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,17 +28,16 @@ def crossings(samples: DataFrame, threshold: float) -> DataFrame:
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         first, last = state.get if state.exists else (-1, -1)
-        out = []
-        for row in pd.concat(list(parts)).sort_values("idx").itertuples():
-            above = row.value > threshold
-            if above and first < 0:
-                first = int(row.idx)
-            elif not above and first >= 0:
-                out.append((key[0], first, int(row.idx)))
-                first = -1
-            last = int(row.idx)
-        state.update((first, last))
-        yield pd.DataFrame(out, columns=["session", "start", "stop"])
+        rows = pd.concat(list(parts)).sort_values("idx")
+        idx, above = rows.idx.to_numpy(), rows.value.to_numpy() > threshold
+        # Where runs begin and end, the open one of the batches before included.
+        turns = np.diff(np.concatenate([[first >= 0], above]).astype(np.int8))
+        starts, stops = idx[turns > 0], idx[turns < 0]
+        if first >= 0:
+            starts = np.concatenate([[first], starts])
+        closed = len(stops)
+        state.update((int(starts[closed]) if len(starts) > closed else -1, max(last, int(idx[-1]))))
+        yield pd.DataFrame({"session": np.full(closed, key[0], np.int32), "start": starts[:closed].astype(np.int64), "stop": stops.astype(np.int64)})
 
     rows = samples.select("session", "idx", "value")
     return rows.groupBy("session").applyInPandasWithState(step, "session int, start long, stop long", "first long, last long", "append", GroupStateTimeout.NoTimeout)
