@@ -254,3 +254,11 @@ def test_circular_extras(spark):
     assert abs(circular.median(rows, "a", ["g"]).first().median - 2.0) < 0.1
     density = spark.createDataFrame([(float(v),) for v in np.linspace(-np.pi, np.pi, 721)[:-1]], "a double").agg(F.sum(circular.von_mises(F.col("a"), F.lit(0.5), F.lit(3.0))).alias("s")).first().s
     assert abs(density * 2 * np.pi / 720 - 1) < 1e-6
+
+
+def test_read_catalogue(spark, tmp_path):
+    doc = '{"subjects": {"s1": {"strain": "x", "maze": "open"}}, "lists": {"a": [{"session": "n1", "subject": "s1", "maze": null, "trial": "all"}, {"session": "n2", "maze": "line", "order": 3}]}}'
+    (tmp_path / "c.json").write_text(doc)
+    rows = {r.session: r for r in text_files.read_catalogue(spark, str(tmp_path / "c.json")).collect()}
+    assert (rows["n1"].position, rows["n1"].maze, rows["n1"].trial, rows["n1"].subject) == (0, "open", "all", "s1") and rows["n1"].fields["strain"] == "x"
+    assert (rows["n2"].list, rows["n2"].maze, rows["n2"].trial, rows["n2"].subject) == ("a", "line", None, None) and rows["n2"].fields["order"] == "3"
