@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 
 def n_bins(low: float, high: float, size: float) -> int:
     return max(round((high - low) / size), 1)
@@ -28,12 +30,12 @@ def edge_index(x: Column, edges: Sequence[float]) -> Column:
 STATS = {
     "count": lambda v: F.count(v),
     "mean": lambda v: F.avg(v),
-    "median": lambda v: F.median(v),
     "std": lambda v: F.stddev_pop(v),
     "max": lambda v: F.max(v),
     "min": lambda v: F.min(v),
-    "iqr": lambda v: F.percentile(v, F.lit(0.75)) - F.percentile(v, F.lit(0.25)),
 }
+#: Statistics that need quantiles.
+QUANTILES = {"median": {"_q2": 0.5}, "iqr": {"_q1": 0.25, "_q3": 0.75}}
 
 
 def bin_statistic(df: DataFrame, axes: Mapping[str, tuple[Column, float, float, int]], value: Column, stats: Sequence[str] = ("count", "mean", "std"), dense: bool = False, drop_zero: bool = True) -> DataFrame:
@@ -45,7 +47,12 @@ def bin_statistic(df: DataFrame, axes: Mapping[str, tuple[Column, float, float,
     rows = rows.where(" AND ".join(f"{name} IS NOT NULL" for name in axes)).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     if drop_zero:
         rows = rows.where("_v <> 0")
-    out = rows.groupBy(*axes).agg(*(STATS[s](F.col("_v")).alias(s) for s in stats))
+    shares = {share: q for s in stats for share, q in QUANTILES.get(s, {}).items()}
+    out = rows.groupBy(*axes).agg(F.count("*").alias("_n"), *(STATS[s](F.col("_v")).alias(s) for s in stats if s not in QUANTILES))
+    if shares:
+        out = out.join(quantiles.exact(rows, list(axes), "_v", shares), list(axes))
+        out = out.withColumns({s: F.col("_q3") - F.col("_q1") if s == "iqr" else F.col("_q2") for s in stats if s in QUANTILES})
+    out = out.select(*axes, *stats)
     if not dense:
         return out
     grid = df.sparkSession.range(1)
@@ -87,14 +94,17 @@ def spatial_information(maps: DataFrame, occ: DataFrame, unit: str = "unit") ->
 
 
 def bin_smooth(df: DataFrame, x: str, y: str, low: float, width: float, n: int) -> DataFrame:
-    """(bin, n, mean, std with n - 1, sem, median, iqr, median_x); the last bin is open to the right, below `low` is dropped."""
+    """(bin, n, mean, std with n - 1, sem, median, iqr, median_x); the last bin is open to the right, below `low` is dropped.
+
+    Quantiles are exact, by counts of cells that close in on them (quantiles.exact), so no task holds a bin's values.
+    """
     at = F.least(F.floor((F.col(x) - low) / width).cast("int"), F.lit(n - 1))
     rows = df.where(F.col(x) >= low).select(at.alias("bin"), F.col(x).alias("_x"), F.col(y).cast("double").alias("_y"))
-    out = rows.groupBy("bin").agg(
-        F.count("*").alias("n"), F.avg("_y").alias("mean"), F.stddev_samp("_y").alias("std"), F.median("_y").alias("median"),
-        (F.percentile("_y", F.lit(0.75)) - F.percentile("_y", F.lit(0.25))).alias("iqr"), F.median("_x").alias("median_x"),
-    )
-    return out.withColumn("sem", F.col("std") / F.sqrt(F.col("n")))
+    out = rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg("_y").alias("mean"), F.stddev_samp("_y").alias("std"))
+    of_y = quantiles.exact(rows, ["bin"], "_y", {"median": 0.5, "_q1": 0.25, "_q3": 0.75})
+    of_x = quantiles.exact(rows, ["bin"], "_x", {"median_x": 0.5})
+    out = out.join(F.broadcast(of_y), "bin", "left").join(F.broadcast(of_x), "bin", "left")  # a row for each of the n bins
+    return out.withColumns({"iqr": F.col("_q3") - F.col("_q1"), "sem": F.col("std") / F.sqrt(F.col("n"))}).drop("_q1", "_q3")
 
 
 def mutual_information(pairs: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import circular, geometry
-from ..session import ship
+from ..session import ship, small
+from . import binning
 
 
 def smooth(maps: DataFrame, sigma: float, nx: int, ny: int, value: str, by: Sequence[str] = ("unit",), reach: float = 4.0) -> DataFrame:
@@ -102,7 +103,7 @@ def rate_at(points: DataFrame, maps: DataFrame, low: tuple[float, float], size:
     key = lambda ix, iy: ix.cast("long") * 100_000 + iy.cast("long")
     packed = maps.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(key(F.col("ix"), F.col("iy")), F.col("rate")))).alias("_map"))
     u, v = (F.col("x") - low[0]) / size[0] - 0.5, (F.col("y") - low[1]) / size[1] - 0.5
-    rows = points.join(F.broadcast(packed), list(by), "left").withColumns({"_u": u, "_v": v, "_i": F.floor(u), "_j": F.floor(v)})
+    rows = points.join(small(packed, 1000), list(by), "left").withColumns({"_u": u, "_v": v, "_i": F.floor(u), "_j": F.floor(v)})
     at = lambda di, dj: F.coalesce(F.try_element_at("_map", key(F.col("_i") + di, F.col("_j") + dj)), F.lit(0.0))
     fu, fv = F.col("_u") - F.col("_i"), F.col("_v") - F.col("_j")
     rate = at(0, 0) * (1 - fu) * (1 - fv) + at(1, 0) * fu * (1 - fv) + at(0, 1) * (1 - fu) * fv + at(1, 1) * fu * fv
@@ -117,7 +118,7 @@ def zone_scores(track: DataFrame, centres: DataFrame, by: Sequence[str] = ("sess
     """
     w = Window.partitionBy(*by).orderBy(idx)
     step = lambda c: F.coalesce(F.lead(c).over(w) - F.col(c), F.col(c) - F.lag(c).over(w))
-    rows = track.withColumns({"_dx": step("x"), "_dy": step("y")}).crossJoin(F.broadcast(centres))  # one row for each unit
+    rows = track.withColumns({"_dx": step("x"), "_dy": step("y")}).crossJoin(small(centres))
     ex, ey = F.col("cx") - F.col("x"), F.col("cy") - F.col("y")
     turn = circular.wrap(F.atan2(ey, ex) - F.atan2("_dy", "_dx"))
     distance = geometry.norm(ex, ey)
@@ -132,6 +133,29 @@ def egocentric(track: DataFrame, cx: Column, cy: Column, yaw_offset: float = 0.0
     return track.withColumns({"ahead": ahead, "left": left})
 
 
+def egocentric_maps(
+    track: DataFrame, spikes: DataFrame, centres: DataFrame, axes, rate: float, condition: Sequence[str] = (), min_occupancy: float = 0.0, sigma: float | None = None,
+    by: Sequence[str] = ("session",), idx: str = "idx", unit: str = "unit",
+) -> DataFrame:
+    """(unit, condition, ix, iy, n_spikes, occ, rate): place maps over where a unit's centre lies as seen from the head.
+
+    track (by, idx, x, y, nose_x, nose_y, condition), spikes (by, idx, unit), centres (unit, cx, cy); axes name ix and iy
+    over the columns ahead and left. condition: columns of the track whose values get maps of their own, in the same pass.
+    Frames meet each unit once and are summed map-side. sigma: smoothing of counts and occupancy, in bins.
+    """
+    keys = [unit, *condition]
+    bins = [binning.bin_index(c, low, high, n).alias(name) for name, (c, low, high, n) in axes.items()]
+    few = small(centres.select(unit, "cx", "cy"))
+    placed = lambda rows: egocentric(rows, F.col("cx"), F.col("cy")).select(*keys, *bins).where("ix IS NOT NULL AND iy IS NOT NULL").groupBy(*keys, "ix", "iy")
+    occ = placed(track.crossJoin(few)).agg((F.count("*") / F.lit(float(rate))).alias("occ"))
+    counts = placed(spikes.select(*by, idx, unit).join(few, unit).join(track, [*by, idx])).agg(F.count("*").cast("double").alias("n_spikes"))
+    if sigma is not None:
+        nx, ny = (n for _, _, _, n in axes.values())
+        occ, counts = smooth(occ, sigma, nx, ny, "occ", keys), smooth(counts, sigma, nx, ny, "n_spikes", keys)
+    maps = counts.join(occ.where(F.col("occ") > min_occupancy), [*keys, "ix", "iy"])
+    return maps.withColumn("rate", F.col("n_spikes") / F.col("occ"))
+
+
 def inside_boundary(x: Column, y: Column, shape: str, size: float) -> Column:
     """Whether a bin centre is in a maze: circle of a radius, square or line of an edge length, around the origin."""
     if shape == "circle":

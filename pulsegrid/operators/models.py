@@ -12,14 +12,14 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, small
 
 FLOOR = 1e-3
 
 
 def dense_map(rates: DataFrame) -> DataFrame:
     """rates (bin, unit, rate) with every pair of a bin and a unit; missing ones have rate 0. Bins times units must fit a broadcast."""
-    grid = rates.select("bin").distinct().crossJoin(F.broadcast(rates.select("unit").distinct()))
+    grid = rates.select("bin").distinct().crossJoin(small(rates.select("unit").distinct()))
     return grid.join(rates, ["bin", "unit"], "left").fillna(0.0, ["rate"])
 
 
@@ -31,8 +31,8 @@ def decode(counts: DataFrame, rates: DataFrame, window: float, by: Sequence[str]
     """
     by = list(by)
     prior = rates.groupBy("bin").agg((-F.sum(F.col("rate") + FLOOR) * window).alias("_p"))
-    rows = counts.join(F.broadcast(rates.select("unit", "bin", F.log(F.col("rate") + FLOOR).alias("_l"))), "unit")
-    score = rows.groupBy(*by, "bin").agg(F.sum(F.col("n") * F.col("_l")).alias("_s")).join(F.broadcast(prior), "bin").withColumn("_s", F.round(F.col("_s") + F.col("_p"), 9))
+    rows = counts.join(small(rates.select("unit", "bin", F.log(F.col("rate") + FLOOR).alias("_l"))), "unit")
+    score = rows.groupBy(*by, "bin").agg(F.sum(F.col("n") * F.col("_l")).alias("_s")).join(small(prior), "bin").withColumn("_s", F.round(F.col("_s") + F.col("_p"), 9))
     top = F.max("_s").over(Window.partitionBy(*by))
     peak = score.withColumn("_top", top)
     return peak.groupBy(*by).agg(F.min(F.when(F.col("_s") == F.col("_top"), F.col("bin"))).alias("best"), (1 / F.sum(F.exp(F.col("_s") - F.col("_top")))).alias("posterior"))
@@ -150,9 +150,9 @@ def decode_position(counts: DataFrame, rates: DataFrame, centres: DataFrame, win
     """
     by = list(by)
     prior = rates.groupBy("bin").agg((-F.sum(F.col("rate") + FLOOR) * window).alias("_p"))
-    rows = counts.join(F.broadcast(rates.select("unit", "bin", F.log(F.col("rate") + FLOOR).alias("_l"))), "unit")
+    rows = counts.join(small(rates.select("unit", "bin", F.log(F.col("rate") + FLOOR).alias("_l"))), "unit")
     score = rows.groupBy(*by, "bin").agg(F.sum(F.col("n") * F.col("_l")).alias("_s"), F.count_distinct("unit").alias("_u"))
-    score = score.join(F.broadcast(prior.join(centres, "bin")), "bin").withColumn("_s", F.round(F.col("_s") + F.col("_p"), 9))
+    score = score.join(small(prior.join(centres, "bin")), "bin").withColumn("_s", F.round(F.col("_s") + F.col("_p"), 9))
     w = Window.partitionBy(*by)
     score = score.withColumn("_top", F.max("_s").over(w)).withColumn("_w", F.exp(F.col("_s") - F.col("_top")))
     score = score.withColumn("_at", F.min_by("x", F.struct(-F.col("_s"), F.col("bin"))).over(w))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small
+
 EPS32 = 1.1920928955078125e-07
 
 
@@ -39,7 +41,7 @@ def on_grid(frames: DataFrame, matched: DataFrame, rate: float, values: Sequence
     """
     first = F.min("start").over(Window.partitionBy("session"))
     at = matched.withColumn("_i0", F.rint((F.col("start") - first) * rate).cast("long")).select("session", "chunk", "_i0")
-    both = frames.join(F.broadcast(at), ["session", "chunk"])
+    both = frames.join(small(at), ["session", "chunk"])
     return both.select("session", (F.col("_i0") + F.col("frame")).alias("idx"), *keys, *(F.when(F.col(v) == 0, F.lit(EPS32)).otherwise(F.col(v)).alias(v) for v in values))
 
 

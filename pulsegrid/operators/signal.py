@@ -114,6 +114,13 @@ def filtered(rows: DataFrame, cutoff, rate: float, by: Sequence[str], order: int
     return by_channel(rows, lambda x: zero_phase(x, zpk, rate), by)
 
 
+def difference(rows: DataFrame, a: int, c: int, by: Sequence[str] = ("session",)) -> DataFrame:
+    """(by, idx, value) of rows (by, channel, idx, value): channel a minus channel c, where both have a value; phase() takes it."""
+    at = lambda n: F.max(F.when(F.col("channel") == n, F.col("value")))
+    pair = rows.where(F.col("channel").isin(a, c)).groupBy(*by, "idx").agg(at(a).alias("_a"), at(c).alias("_c"))
+    return pair.where("_a IS NOT NULL AND _c IS NOT NULL").select(*by, "idx", (F.col("_a") - F.col("_c")).alias("value"))
+
+
 def phase(rows: DataFrame, band: tuple[float, float], rate: float, by: Sequence[str], order: int = 3) -> DataFrame:
     """(by, idx, phase): wrapped phase of each channel in a band."""
     zpk = butter(order, band, rate, "bandpass")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small
 from . import rangejoin
 
 
@@ -83,7 +84,7 @@ def global_ids(units: DataFrame) -> DataFrame:
     """
     top = units.groupBy("shank").agg((F.max("local") + 1).alias("_top"))
     before = F.coalesce(F.sum("_top").over(Window.orderBy("shank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each shank
-    return units.join(F.broadcast(top.withColumn("_offset", before).drop("_top")), "shank").withColumn("unit", F.col("local") + F.col("_offset")).drop("_offset")
+    return units.join(small(top.withColumn("_offset", before).drop("_top")), "shank").withColumn("unit", F.col("local") + F.col("_offset")).drop("_offset")
 
 
 def unit_lookup(annotations: DataFrame, units: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

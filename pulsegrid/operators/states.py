@@ -113,3 +113,13 @@ def reassign_short(states: DataFrame, label: str, threshold: float, default: str
 def merge_labels(states: DataFrame, labels: Sequence[str], new: str) -> DataFrame:
     """The union of several states under a new label."""
     return intervals.coalesce(states.where(F.col("label").isin(list(labels))).select("session", "start", "stop")).withColumn("label", F.lit(new))
+
+
+def listed(states: DataFrame) -> DataFrame:
+    """(session, label, n_periods, total, first, last): what states a session has."""
+    return states.groupBy("session", "label").agg(F.count("*").alias("n_periods"), F.sum(F.col("stop") - F.col("start")).alias("total"), F.min("start").alias("first"), F.max("stop").alias("last"))
+
+
+def swapped(rows: DataFrame, code: str, a, b) -> DataFrame:
+    """rows in which two codes have traded places."""
+    return rows.withColumn(code, F.when(F.col(code) == a, F.lit(b)).when(F.col(code) == b, F.lit(a)).otherwise(F.col(code)))

@@ -8,7 +8,17 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+#: Rows of a table of units, bins or chunks that may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast only if a count shows that it has `rows` rows at most; else the join is Spark's choice."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def ship(spark: SparkSession) -> None:
