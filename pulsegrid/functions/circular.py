@@ -120,6 +120,30 @@ def von_mises(x: Column, mu: Column, kappa_: Column) -> Column:
     return F.exp(kappa_ * F.cos(x - mu)) / (2 * 3.141592653589793 * bessel_i0(kappa_))
 
 
+def random_von_mises(key: Column, mu: Column, kappa_: Column, seed: int = 0, tries: int = 64) -> Column:
+    """A random angle for each key, by rejection from a wrapped Cauchy law (Best and Fisher, 1979); the same for the same key and seed.
+
+    At least two of three tries are accepted, so the odds that all fail (then the angle is null) are below 10**-30.
+    """
+    uniform = lambda i, j: (F.shiftrightunsigned(F.xxhash64(key, i, F.lit(j), F.lit(seed)), 11) + F.lit(0.5)) / float(1 << 53)
+    tau = 1 + F.sqrt(1 + 4 * kappa_ * kappa_)
+    rho = (tau - F.sqrt(2 * tau)) / (2 * kappa_)
+    r = (1 + rho * rho) / (2 * rho)
+
+    def attempt(i: Column) -> Column:
+        z = F.cos(uniform(i, 0) * 3.141592653589793)
+        f = (1 + r * z) / (r + z)
+        c = kappa_ * (r - f)
+        u = uniform(i, 1)
+        ok = (c * (2 - c) > u) | (F.log(c / u) + 1 - c >= 0)
+        angle = F.acos(F.greatest(F.least(f, F.lit(1.0)), F.lit(-1.0)))
+        return F.struct(ok.alias("ok"), F.when(uniform(i, 2) > 0.5, angle).otherwise(-angle).alias("angle"))
+
+    found = F.filter(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), attempt), lambda t: t["ok"])
+    flat = (uniform(F.lit(0), 0) - 0.5) * 6.283185307179586
+    return wrap(mu + F.when(kappa_ > 1e-6, F.get(found, F.lit(0))["angle"]).otherwise(flat))
+
+
 def median(df: DataFrame, angle: str, by: Sequence[str], bins: int = 720) -> DataFrame:
     """(by, median): the direction of a diameter through an angle that halves the angles, on the side of their mean.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import intervals, sequence, signal
+from . import intervals, quantiles, sequence, signal
 
 
 def moving(track: DataFrame, threshold: float, rate: float, half: int, min_interval: int, by: Sequence[str] = ("session",), idx: str = "idx") -> DataFrame:
@@ -99,3 +99,42 @@ def oscillations(samples: DataFrame, band: tuple[float, float], rate: float, pea
     inside = rangejoin.points_in_periods(rows.select(*by, "idx", "z"), found, max(least, 1) * 4, by, "idx")
     best = inside.groupBy(*by, "left", "right").agg(F.max_by("idx", "z").alias("peak"), F.max("z").alias("z"))
     return best.where(F.col("z") > peak_z)
+
+
+def basic_states(
+    track: DataFrame, rate: float, walk: float = 3.0, rear: float = 1.25, smooth: float = 0.2, gap: float = 0.1, least: float = 0.5,
+    by: Sequence[str] = ("session",), idx: str = "idx",
+) -> DataFrame:
+    """(by, label, start, stop in seconds) of walk, rear and pause, from track (by, idx, x, y, head_z) with gapless idx.
+
+    walk: the speed of (x, y), in units a second and averaged over `smooth` seconds, is above `walk`. rear: the head is
+    above `rear` times the median of its positive heights, and it's no walk (a null height is none). pause: neither.
+    Gaps shorter than `gap` are closed, and periods shorter than `least` go.
+    """
+    by = list(by)
+    w = Window.partitionBy(*by).orderBy(idx)
+    step = lambda c: (F.col(c) - F.lag(c).over(w)) * (F.col(c) - F.lag(c).over(w))
+    rows = track.select(*by, idx, F.coalesce(F.sqrt(step("x") + step("y")) * rate, F.lit(0.0)).alias("speed"), "head_z")
+    rows = sequence.boxcar_mirrored(rows, max(1, round(smooth * rate)), by, idx, "speed")
+    level = quantiles.exact(track.where("head_z > 0"), by, "head_z", {"_level": 0.5})
+    up = F.coalesce(F.col("head_z") > rear * F.coalesce(F.col("_level"), F.lit(1.0)), F.lit(False))
+    rows = rows.join(level, by, "left").withColumn("label", F.when(F.col("smooth") > walk, "walk").when(up, "rear").otherwise("pause"))
+    found = intervals.fill_gaps(intervals.from_mask(rows.select(*by, "label", idx), [*by, "label"], idx), gap * rate, [*by, "label"])
+    long = found.where(F.col("stop") - F.col("start") >= least * rate)
+    return long.select(*by, "label", (F.col("start") / rate).alias("start"), (F.col("stop") / rate).alias("stop"))
+
+
+def band_periods(samples: DataFrame, rate: float, band: tuple[float, float], threshold: float, length: int, n_fft: int, by: Sequence[str] = ("session",)) -> DataFrame:
+    """(by, first, last, t_first, t_last): runs of spectral windows whose mean power in a band is above a threshold.
+
+    samples (by, idx, value) are whitened by a second-order model; windows of `length` move by a quarter of that.
+    Sniffing: the distance of head and spine, 8 to 14 Hz; shaking: the difference of two body azimuths, 14 to 16 Hz.
+    A constant signal has none.
+    """
+    white = signal.by_channel(samples, lambda x: signal.whiten(x) if x.std() >= 1e-9 else np.zeros_like(x), by)
+    power = signal.spectrogram(white, rate, by, length=length, step=max(1, length // 4), n_fft=n_fft)
+    rows = power.where(F.col("freq").between(*band)).groupBy(*by, "win").agg(F.avg("power").alias("power"), F.first("t").alias("t"))
+    runs = sequence.runs(rows, F.col("power") > threshold, by, "win").select(*by, "first", "last")
+    at = rows.select(*by, F.col("win"), "t")
+    ends = lambda end: at.select(*by, F.col("win").alias(end), F.col("t").alias(f"t_{end}"))
+    return runs.join(ends("first"), [*by, "first"]).join(ends("last"), [*by, "last"]).select(*by, "first", "last", "t_first", "t_last")

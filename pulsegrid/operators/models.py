@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
@@ -143,6 +143,18 @@ def predict_ensemble(models: list, rows: DataFrame) -> DataFrame:
     return rows.withColumn("prediction", (F.array_position("probability", F.array_max("probability")) - 1).cast("double"))
 
 
+def save_ensemble(spark, models: list, folder: str) -> None:
+    """Writes the models of an ensemble to a folder, with the list of them last."""
+    for i, model in enumerate(models):
+        model.write().overwrite().save(f"{folder}/member={i}")
+    spark.createDataFrame([(i,) for i in range(len(models))], "member int").coalesce(1).write.mode("overwrite").json(f"{folder}/members")
+
+
+def load_ensemble(spark, folder: str) -> list:
+    members = sorted(r.member for r in spark.read.schema("member int").json(f"{folder}/members").collect())
+    return [PipelineModel.load(f"{folder}/member={i}") for i in members]
+
+
 def decode_position(counts: DataFrame, rates: DataFrame, centres: DataFrame, window: float, by: Sequence[str], sigma: float | None = None) -> DataFrame:
     """(by, n_units, peak, com, local): greatest bin's centre, posterior mean, and the mean under a Gaussian of sigma around the greatest bin.
 

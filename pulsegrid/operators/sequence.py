@@ -57,6 +57,21 @@ def boxcar(samples: DataFrame, half: int, by: Sequence[str] = ("session",), idx:
     return samples.withColumn("smooth", F.when(F.count("*").over(w) == 2 * half + 1, F.avg(value).over(w)))
 
 
+def boxcar_mirrored(samples: DataFrame, width: int, by: Sequence[str] = ("session",), idx: str = "idx", value: str = "value") -> DataFrame:
+    """samples with smooth: mean of `width` rows around (one more before if even); beyond the ends the rows are mirrored.
+
+    A session needs width / 2 rows or more for whole windows.
+    """
+    left, right = width // 2, width - 1 - width // 2
+    w, all_ = over(by, idx), Window.partitionBy(*by)
+    rows = samples.withColumns({"_k": (F.row_number().over(w) - 1).cast("long"), "_n": F.count("*").over(all_), "_own": F.lit(True)})
+    before = rows.where(F.col("_k") < left).withColumns({"_k": -F.col("_k") - 1, "_own": F.lit(False)})
+    after = rows.where(F.col("_k") >= F.col("_n") - right).withColumns({"_k": 2 * F.col("_n") - 1 - F.col("_k"), "_own": F.lit(False)})
+    both = rows.unionByName(before).unionByName(after)
+    mean = F.avg(value).over(over(by, "_k").rowsBetween(-left, right))
+    return both.withColumn("smooth", mean).where("_own").drop("_k", "_n", "_own")
+
+
 def rolling_median(samples: DataFrame, half: int, by: Sequence[str] = ("session",), idx: str = "idx", value: str = "value") -> DataFrame:
     """samples with median: exact median of the 2 * half + 1 rows around; null where the window isn't whole."""
     w = over(by, idx).rowsBetween(-half, half)

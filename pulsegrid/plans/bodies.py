@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import bodies, fields, posture, signal, states, waveforms
+from ..operators import behaviour, bodies, fields, motion, posture, signal, states, waveforms
 from ..session import work_folder
-from ..sources import text_files
+from ..sources import tables, text_files
 from . import bridge as b
 from .queries import POS, WIDE, _at, _frames, _markers, _unit, query, r6, s6
 
@@ -150,3 +150,48 @@ def events_written_and_read(spark, sf_dir):
     lines.write.text(f"{folder}/session.evt")
     found = text_files.read_events(spark, f"{folder}/session.evt", "purchase", seconds=True)
     return found.select((F.round("t", 3) + F.lit(0.0)).alias("t"), "label")
+
+
+LAGS = "ps2 AS (SELECT m, f, " + ", ".join(f"COALESCE({fn}({d}{k}) OVER w, 0) AS e{2 * i + j}" if fn else f"{d} AS e{2 * i + j}" for i, (fn, k) in enumerate((("LAG", ""), ("", ""), ("LEAD", ""))) for j, d in enumerate("xy")) + " FROM ps WINDOW w AS (PARTITION BY m ORDER BY f))"
+
+
+@query(f"WITH {POS}, {LAGS} " + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, ROUND(SUM(e{i} * e{j}), 1) + 0.0 AS value FROM ps2" for i in range(6) for j in range(i, 6)))
+def motion_gram(spark, sf_dir):
+    return motion.gram(motion.embedded(_markers(spark, sf_dir), ["x", "y"], 3, ["marker"], "frame")).withColumn("value", F.round("value", 1) + F.lit(0.0))
+
+
+@query(None)
+def motion_scores(spark, sf_dir):
+    rows = motion.embedded(_markers(spark, sf_dir), ["x", "y"], 3, ["marker"], "frame")
+    _, vectors = motion.components(motion.gram(rows), 2)
+    return motion.scores(rows, vectors).select("marker", "frame", *(r6(F.col("score")[k]).alias(f"score_{k}") for k in range(2)))
+
+
+BASIC = (
+    f"{POS}, tr AS (SELECT m, ROW_NUMBER() OVER (PARTITION BY m ORDER BY f) - 1 AS idx, x, y, z FROM ps), sp AS (SELECT *, COALESCE(SQRT(POW(x - LAG(x) OVER w, 2) + POW(y - LAG(y) OVER w, 2)) * 15, 0) AS v FROM tr WINDOW w AS (PARTITION BY m ORDER BY idx)), "
+    "sm3 AS (SELECT *, (COALESCE(LAG(v) OVER w, v) + v + COALESCE(LEAD(v) OVER w, v)) / 3 AS s FROM sp WINDOW w AS (PARTITION BY m ORDER BY idx)), md AS (SELECT m, MEDIAN(z) AS level FROM tr WHERE z > 0 GROUP BY m), "
+    "lb AS (SELECT sm3.m, idx, CASE WHEN s > 500 THEN 'walk' WHEN z > 1.25 * level THEN 'rear' ELSE 'pause' END AS label FROM sm3 JOIN md ON md.m = sm3.m), gp AS (SELECT *, CASE WHEN idx - LAG(idx) OVER (PARTITION BY m, label ORDER BY idx) <= 2 THEN 0 ELSE 1 END AS new FROM lb), "
+    "rn AS (SELECT *, SUM(new) OVER (PARTITION BY m, label ORDER BY idx ROWS UNBOUNDED PRECEDING) AS run FROM gp), pr AS (SELECT m, label, MIN(idx) AS a, MAX(idx) + 1 AS z FROM rn GROUP BY m, label, run HAVING MAX(idx) + 1 - MIN(idx) >= 3)"
+)
+
+
+@query(f"WITH {BASIC} SELECT m AS session, label, {s6('a / 15.0', 'start')}, {s6('z / 15.0', 'stop')} FROM pr")
+def basic_states(spark, sf_dir):
+    at = F.row_number().over(Window.partitionBy("marker").orderBy("frame")) - 1
+    track = _markers(spark, sf_dir).select(F.col("marker").alias("session"), at.cast("long").alias("idx"), "x", "y", F.col("z").alias("head_z"))
+    found = behaviour.basic_states(track, 15.0, walk=500.0, least=0.2)
+    return found.select("session", "label", r6(F.col("start")).alias("start"), r6(F.col("stop")).alias("stop"))
+
+
+@query(None)
+def band_periods(spark, sf_dir):
+    return behaviour.band_periods(b.samples(spark, sf_dir).select("session", "idx", "value"), 1.0, (0.1, 0.2), 3000.0, 64, 64)
+
+
+@query(f"WITH {b.ALL} SELECT session, start, stop FROM b WHERE session IN (1, 2) UNION ALL SELECT session, start, stop FROM a WHERE session = 0")
+def session_tables_written_and_read(spark, sf_dir):
+    """Views of all sessions are saved, those of two sessions replaced by clicks, and three sessions read."""
+    folder = work_folder(spark)
+    tables.save(b.views(spark, sf_dir), folder, "states")
+    tables.save(b.clicks(spark, sf_dir).where("session IN (1, 2)"), folder, "states")
+    return tables.load(spark, folder, "states", [0, 1, 2])

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import binning, bodies, fields, posture, quantiles, waveforms
+from pulsegrid.functions import circular
+from pulsegrid.operators import behaviour, binning, bodies, fields, models, motion, posture, quantiles, sequence, waveforms
+from pulsegrid.sources import tables
 
 
 @pytest.mark.parametrize("leaf", [0, 5, 10**9])
@@ -145,3 +147,69 @@ def test_egocentric_maps_by_condition(spark):
     assert [(r.unit, r.half, r.ix, r.iy, r.n_spikes, r.occ, r.rate) for r in raw] == [("u", 0, 23, 18, 2000.0, 200.0, 10.0)]
     wide = fields.egocentric_maps(track, spikes, centres, axes, 10.0, ["half"], sigma=1.5)
     assert wide.agg(F.sum("n_spikes")).first()[0] == pytest.approx(2000) and wide.agg(F.min("rate")).first()[0] == pytest.approx(10)
+
+
+def test_motion_components(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 2)) @ [[3, 1], [0, 0.5]]
+    x[17, 0] = np.nan
+    rows = spark.createDataFrame([(0, i, float(a), float(c)) for i, (a, c) in enumerate(x)], "session long, idx long, a double, c double").repartition(5)
+    full = np.nan_to_num(np.stack([np.concatenate([x[k] if 0 <= k < 200 else np.zeros(2) for k in range(i - 2, i + 2)]) for i in range(200)]))
+    made = motion.embedded(rows, ["a", "c"], 4)
+    values, vectors = motion.components(motion.gram(made), 3)
+    _, sing, vh = np.linalg.svd(full, full_matrices=False)
+    assert np.allclose(values, sing[:3])
+    got = np.array([r.score for r in motion.scores(made, vectors).orderBy("idx").collect()])
+    assert np.allclose(np.abs(got), np.abs(full @ vh[:3].T))
+    assert motion.components(motion.gram(made.where("false")))[0].size == 0
+
+
+def test_mirrored_boxcar(spark):
+    x = np.arange(12.0) ** 2
+    rows = spark.createDataFrame([(s, i, float(v)) for s in (0, 1) for i, v in enumerate(x)], "session long, idx long, value double")
+    for width in (1, 4, 5):
+        left = width // 2
+        wide = np.pad(x, (left, width - 1 - left), mode="symmetric")
+        want = [wide[i : i + width].mean() for i in range(len(x))]
+        assert [r.smooth for r in sequence.boxcar_mirrored(rows, width).where("session = 1").orderBy("idx").collect()] == pytest.approx(want)
+
+
+def test_band_periods(spark):
+    """A tone in the middle third of the signal is found there, and nowhere in a constant one."""
+    rng = np.random.default_rng(7)
+    t = np.arange(3000) / 100
+    x = rng.normal(size=3000) * 0.1 + np.where((t > 10) & (t < 20), np.sin(2 * np.pi * 15 * t), 0)
+    rows = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(x)] + [(1, i, 2.0) for i in range(500)], "session long, idx long, value double")
+    found = behaviour.band_periods(rows, 100.0, (14.0, 16.0), 1e-4, 64, 256).collect()
+    assert len(found) == 1 and found[0].session == 0
+    assert found[0].t_first == pytest.approx(10, abs=0.6) and found[0].t_last == pytest.approx(20, abs=0.6)
+
+
+def test_von_mises_draws(spark):
+    for kappa in (0.0, 0.5, 4.0, 60.0):
+        df = spark.range(20_000).select(circular.random_von_mises(F.col("id"), F.lit(3.0), F.lit(kappa)).alias("x"))
+        r = df.agg(F.avg(F.cos("x")).alias("c"), F.avg(F.sin("x")).alias("s"), F.count("x").alias("n"), F.count_distinct("x").alias("d")).first()
+        angle = np.linspace(-np.pi, np.pi, 20_001)
+        density = np.exp(kappa * (np.cos(angle) - 1))
+        want = (np.cos(angle) * density).sum() / density.sum()
+        assert (r.n, r.d) == (20_000, 20_000)
+        assert np.hypot(r.c, r.s) == pytest.approx(want, abs=0.02)
+        assert kappa == 0 or abs(np.angle(np.exp(1j * (np.arctan2(r.s, r.c) - 3)))) < 0.05
+
+
+def test_saved_ensemble_and_tables(spark, tmp_path):
+    rows = spark.range(200).select((F.col("id") % 2).cast("double").alias("label"), (F.col("id") % 2 * 3 + F.col("id") / 100).alias("f"))
+    made = models.train_ensemble(rows, ["f"], "label", "logistic", 2)
+    models.save_ensemble(spark, made, f"file://{tmp_path}/m")
+    read = models.load_ensemble(spark, f"file://{tmp_path}/m")
+    assert len(read) == 2
+    both = [models.predict_ensemble(m, rows).orderBy("f").collect() for m in (made, read)]
+    assert both[0] == both[1]
+    root = f"file://{tmp_path}/tables"
+    tables.save(spark.createDataFrame([("007", 1.0), ("b", 2.0)], "session string, t double"), root, "spikes")
+    tables.save(spark.createDataFrame([("b", 3.0)], "session string, t double"), root, "spikes")
+    got = tables.load(spark, root, "spikes", ["007", "b"], "t double, session string")
+    assert sorted((r.session, r.t) for r in got.collect()) == [("007", 1.0), ("b", 3.0)]
+    tables.save(spark.createDataFrame([("x", 3.0)], "session string, t double"), root, "states")
+    asked = spark.createDataFrame([("b",), ("x",)], "session string")
+    assert sorted(tuple(r) for r in tables.lacking(spark, root, ["spikes", "states"], asked).collect()) == [("b", "states"), ("x", "spikes")]
