@@ -31,7 +31,7 @@ from .common import Workspace, read
 DEPTH = 4
 FIRST_DEPTH = 2
 #: Words of a shard, about: texts are added until it has as many.
-SHARD = 1 << 21
+SHARD = 1 << 19
 #: Bits of the filter, and of one row of it (what Spark's bitmap functions use).
 BITS = 1 << 27
 ROW_BITS = 1 << 15
