@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprint, near_dedup, ordinal_quality, periodic, phrases, pii, secret_scan, sharding, token_file, tool_calls
+from . import bpe, decontaminate, fingerprint, near_dedup, ordinal_quality, packing, periodic, phrases, pii, secret_scan, sharding, token_file, tool_calls
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_file": token_file.op9_token_file,
     "op10_near_dedup": near_dedup.op10_near_dedup,
     "op11_phrases": phrases.op11_phrases,
+    "op12_best_fit": packing.op12_best_fit,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
