@@ -1,6 +1,6 @@
 """Shards of near-equal bytes by histogram sort.
 
-Rows are ordered by (hash of the text, doc_id), which puts equal texts side by side. Probes split the
+Rows are ordered by (hash of the text, number of the row), which puts equal texts side by side and parts even equal rows. Probes split the
 key space; one job for each round counts the exact bytes and rows below every probe, over all
 partitions, and the probes close in on each splitter until the bytes below it are within the tolerance
 of its target or no row lies between its bounds. Each shard has FRAGMENTS splitters, so that the one
@@ -68,7 +68,11 @@ def splitters(keys: DataFrame, parts: int, fragments: int = FRAGMENTS, tolerance
     if not total[1]:
         return [], 0
     low_d, span = total[2], total[3] - total[2] + 1
-    to_key = lambda x: (x // span - (1 << 63), x % span + low_d)
+
+    def to_key(x: int) -> tuple[int, int]:
+        """The key at a place; that past all places is the greatest pair, which no row number reaches."""
+        return (x // span - (1 << 63), x % span + low_d) if x < span << 64 else ((1 << 63) - 1, (1 << 63) - 1)
+
     n = parts * fragments
     goal = [total[0] * i / n for i in range(1, n)]
     allowed = [total[0] / parts * tolerance * (1 if i % fragments == 0 else 10) for i in range(1, n)]
@@ -121,15 +125,14 @@ def shard(docs: DataFrame, shards: int) -> DataFrame:
     """docs with size, shard (0 to shards - 1) and slot (gapless from 0 in each shard).
 
     size is the text's UTF-8 bytes (null: none) plus 16. Shards hold near-equal bytes: as near as whole
-    rows allow. Rows of one (text, doc_id) can't be parted by a splitter: many such rows go to one shard.
-    A null doc_id comes first. Columns size, shard and slot are replaced; others pass through.
+    rows allow, repeated rows included. Null ids and texts are like others; one row goes to some shard, an empty table gives
+    an empty one. Columns size, shard and slot are replaced; others pass through. Rows are numbered in a saved copy, so that all passes agree.
     """
     work = Workspace(docs.sparkSession)
     docs = docs.drop("size", "shard", "slot")
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")
-    docs = docs.withColumns({"size": size, "_h": F.xxhash64("text"), "_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)))})
-    keys = work.save(docs.select(F.col("_h").alias("h"), F.col("_d").alias("d"), "size"))
-    return _deal(work, docs, keys, shards)
+    docs = work.save(docs.withColumns({"size": size, "_h": F.xxhash64("text"), "_d": F.monotonically_increasing_id()}))
+    return _deal(work, docs, docs.select(F.col("_h").alias("h"), F.col("_d").alias("d"), "size"), shards)
 
 
 def _deal(work: Workspace, docs: DataFrame, keys: DataFrame, shards: int) -> DataFrame:
@@ -153,12 +156,12 @@ def _deal(work: Workspace, docs: DataFrame, keys: DataFrame, shards: int) -> Dat
 
 
 def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 40 shards of near-equal bytes."""
+    """All documents in 40 shards of near-equal bytes; edge cases as for `shard`."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     work = Workspace(spark)
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")
     # The digest of each text stands for it in the exchange.
-    rows = docs.select("doc_id", size.alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), F.xxhash64("text").alias("_h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("_d"))
+    rows = docs.select("doc_id", size.alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_d"))
     rows = work.save(rows)
     out = _deal(work, rows, rows.select(F.col("_h").alias("h"), F.col("_d").alias("d"), "size"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
