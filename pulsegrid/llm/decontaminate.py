@@ -40,6 +40,8 @@ PASSAGE, STRIDE = 96, 32
 #: So many words in a row lie whole in some passage wherever they start.
 ENTRY = PASSAGE - STRIDE
 SHINGLE = 5
+#: Items of fewer words are no evidence: ordinary texts hold them.
+LEAST_WORDS = SHINGLE
 
 
 @dataclass
@@ -101,13 +103,13 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(items: DataFrame) -> Iterator[Part]:
     """Parts of the index of items (item_id, text). Statistics (document frequency, mean length) are over all items, by Spark.
 
-    Null texts and texts without words are left out; rows of one item_id and text count once.
+    Null texts and texts of fewer than LEAST_WORDS words are left out; rows of one item_id and text count once.
     """
     items = items.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     work = Workspace(items.sparkSession)
     items = work.save(items.withColumn("item", F.xxhash64("item_id", "text")))
     schema = "item long, entry long, term long, tf long, length long, words long"
-    postings = work.save(items.select("item", "text").mapInArrow(_postings, schema))
+    postings = work.save(items.select("item", "text").mapInArrow(_postings, schema).where(F.col("words") >= LEAST_WORDS))
     stats = postings.groupBy("item", "entry").agg(F.max("length").alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     if not stats.n:
         return
@@ -287,7 +289,8 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: f
     An item of more than ENTRY words is retrieved by any of its entries, with the score of the best one.
     Columns doc_id, item_id, first_word of the best passage, score, question_overlap, answer_overlap
     (shares of the item's five-word shingles found there) and contaminated, which holds where both
-    overlaps are `overlap` or more. Null texts match nothing; a null doc_id stays null; repeated rows
+    overlaps are `overlap` or more; a side without words counts as found, so that the other side, then the whole
+    item, decides. Items of fewer than LEAST_WORDS words retrieve nothing. Null texts match nothing; a null doc_id stays null; repeated rows
     give repeated results; without items the result is empty.
     """
     spark = docs.sparkSession
