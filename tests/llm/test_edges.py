@@ -40,6 +40,12 @@ def test_sharding(odd, none):
         assert sorted(mine) == list(range(len(mine)))
     assert [r["size"] for r in rows if r.text is None] == [16, 16]
     assert sharding.shard(none, 3).collect() == []
+    for texts in (["a"], ["a", "b"], ["a", "b" * 500_000], ["b" * 500_000, "b" * 500_000]):
+        few = none.sparkSession.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+        assert sorted(r["size"] for r in sharding.shard(few, 4).collect()) == [len(t) + 16 for t in texts]
+    # Equal rows are parted like others.
+    same = none.sparkSession.createDataFrame([(1, "same text")] * 400, "doc_id long, text string").repartition(3)
+    assert sorted(r["count"] for r in sharding.shard(same, 4).groupBy("shard").count().collect()) == [100] * 4
 
 
 def test_fingerprints(odd, none, spark):
@@ -77,9 +83,9 @@ def test_secrets(odd, none, spark):
 
 
 def test_decontamination(odd, none, spark):
-    items = spark.createDataFrame([(1, "one two three four five six seven. Eight nine ten eleven twelve thirteen!"), (1, None), (None, "x"), (2, ""), (3, "lorem")], "item_id long, text string")
+    items = spark.createDataFrame([(1, "one two three four five six seven. Eight nine ten eleven twelve thirteen!"), (1, None), (None, "x"), (2, ""), (3, "lorem"), (4, "lorem ipsum dolor sit amet lorem")], "item_id long, text string")
     found = decontaminate.search(odd, items).where("contaminated").collect()
-    assert {r.doc_id for r in found if r.item_id == 1} == {1, 2, 8, None} and {r.doc_id for r in found if r.item_id == 3} == {7}
+    assert {r.doc_id for r in found if r.item_id == 1} == {1, 2, 8, None} and {r.doc_id for r in found if r.item_id == 4} == {7} and {r.item_id for r in found} == {1, 4}
     assert sorted(r.doc_id or 0 for r in decontaminate.clean(odd, items).select("doc_id").collect()) == [0, 0, 3, 4, 5, 6, 9, 10, 11, 12]
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.search(odd, empty).collect() == [] and decontaminate.search(none, items).collect() == []
