@@ -6,12 +6,13 @@
    link, the class of the longest suffix that occurs more often.
 2. Every substring of up to two words is listed from the states of each shard with its count, as a 64-bit hash, and Spark adds the counts. Hashes that
    occur `least` times or more go into a filter of BITS bits, whatever their number. Another phrase may pass it by chance, which costs time only.
-3. A second pass cuts the pieces where a word or pair of words doesn't pass the filter, as no frequent phrase goes over such a
-   place. The automata of the rest list substrings of up to four words, now as text, so counts are exact.
+   A second pass cuts the pieces where a word or pair of words doesn't pass the filter, as no frequent phrase goes over such a
+   place, and makes a filter of the substrings of three and four words in the same way.
+3. A third pass lists the substrings that pass their filters, now as text, so counts are exact.
 4. Phrases are scored by their weakest cut, and those that are nearly always part of a longer one go. The phrases that are longer by one
    word suffice for that: their suffix link leads to the phrase without its first word, the other edge to that without its last.
 
-No task sees more than a shard and no table but the filter goes through the driver (BITS / 8 bytes at most).
+No task sees more than a shard, and nothing but the two filters goes through the driver (BITS / 8 bytes each).
 """
 
 from __future__ import annotations
@@ -185,13 +186,41 @@ def _shards(batches: Iterator[pa.RecordBatch], langs: dict[int, str]) -> Iterato
         yield _Shard(held)
 
 
+def _hashed(h: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(h), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (h.view(np.int64), count)], ["h", "f"])
+
+
 def _count_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (lang, text) to (hash, count) of the substrings of up to FIRST_DEPTH words of each shard."""
     for shard in _shards(batches, {}):
         end, length, count = Automaton(shard.symbol, shard.room(shard.opens), FIRST_DEPTH).substrings()
-        h = _hashes(shard.word, end, length).view(np.int64)
-        for i in range(0, len(h), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(h[i : i + (1 << 16)]), pa.array(count[i : i + (1 << 16)])], ["h", "f"])
+        yield from _hashed(_hashes(shard.word, end, length), count)
+
+
+def _cut(shard: _Shard, bits: np.ndarray) -> tuple[np.ndarray, Automaton]:
+    """(frequent words of a shard, the automaton of them), with pieces cut at what doesn't pass the filter."""
+    one = np.arange(len(shard.distinct))
+    frequent = _passes(bits, _hashes(shard.distinct, one, np.ones(len(one), np.int64)))[shard.symbol]
+    opens = shard.opens | ~frequent
+    opens[1:] |= ~frequent[:-1]
+    at = np.flatnonzero(~opens)
+    opens[at] = ~_passes(bits, _hashes(shard.word, at, np.full(len(at), 2)))
+    kept = np.flatnonzero(frequent)
+    return kept, Automaton(shard.symbol[kept], shard.room(opens)[kept], DEPTH)
+
+
+def _count_long(shared):
+    """Rows (lang, text) to (hash, count) of the substrings of more than FIRST_DEPTH words of each shard, whose pairs pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(batches, {}):
+            kept, automaton = _cut(shard, shared.value)
+            end, length, count = automaton.substrings()
+            at = np.flatnonzero(length > FIRST_DEPTH)
+            yield from _hashed(_hashes(shard.word[kept], end[at], length[at]), count[at])
+
+    return run
 
 
 def _filter(counts: DataFrame, least: int) -> np.ndarray:
@@ -215,19 +244,15 @@ def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _count_phrases(shared):
-    """Rows (lang, text) to (lang, phrase, words, f) of each shard: phrases that pass the filter, and all words of a language (no phrase)."""
+    """Rows (lang, text) to (lang, phrase, words, f) of each shard: phrases that pass the filters, and all words of a language (no phrase)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, langs = shared.value, {}
+        (short, long), langs = shared.value, {}
         for shard in _shards(batches, langs):
-            one = np.arange(len(shard.distinct))
-            frequent = _passes(bits, _hashes(shard.distinct, one, np.ones(len(one), np.int64)))[shard.symbol]
-            opens = shard.opens | ~frequent
-            opens[1:] |= ~frequent[:-1]
-            at = np.flatnonzero(~opens)
-            opens[at] = ~_passes(bits, _hashes(shard.word, at, np.full(len(at), 2)))
-            kept = np.flatnonzero(frequent)
-            end, length, count = Automaton(shard.symbol[kept], shard.room(opens)[kept], DEPTH).substrings()
+            kept, automaton = _cut(shard, short)
+            end, length, count = automaton.substrings()
+            some = (length <= FIRST_DEPTH) | _passes(long, _hashes(shard.word[kept], end, length))
+            end, length, count = end[some], length[some], count[some]
             texts: dict[int, str] = {}
             symbols = shard.symbol[kept]
             phrases = []
@@ -252,8 +277,9 @@ def phrase_counts(docs: DataFrame, least: int) -> DataFrame:
     spark = docs.sparkSession
     work = Workspace(spark)
     rows = docs.select(F.coalesce("lang", F.lit(NO_LANG)).cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    bits = _filter(rows.mapInArrow(_count_first, "h long, f long"), least)
-    counted = rows.mapInArrow(_count_phrases(spark.sparkContext.broadcast(bits)), "lang string, phrase string, words long, f long")
+    short = _filter(rows.mapInArrow(_count_first, "h long, f long"), least)
+    long = _filter(rows.mapInArrow(_count_long(spark.sparkContext.broadcast(short)), "h long, f long"), least)
+    counted = rows.mapInArrow(_count_phrases(spark.sparkContext.broadcast((short, long))), "lang string, phrase string, words long, f long")
     total = counted.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
     return work.save(total.where((F.col("f") >= least) | (F.col("words") == 0)))
 
