@@ -1,18 +1,17 @@
-"""Models: Bayesian decoding as a plan, Gaussian hidden Markov states per session, classifier ensembles of Spark ML."""
+"""Models: Bayesian decoding as a plan, hidden Markov states (operators/hmm.py), classifier ensembles of Spark ML."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship, small
+from ..session import small
+from .hmm import gauss_hmm, hmm_states  # noqa: F401
 
 FLOOR = 1e-3
 
@@ -38,68 +37,6 @@ def decode(counts: DataFrame, rates: DataFrame, window: float, by: Sequence[str]
     return peak.groupBy(*by).agg(F.min(F.when(F.col("_s") == F.col("_top"), F.col("bin"))).alias("best"), (1 / F.sum(F.exp(F.col("_s") - F.col("_top")))).alias("posterior"))
 
 
-def _forward_backward(x: np.ndarray, start: np.ndarray, move: np.ndarray, mean: np.ndarray, var: np.ndarray):
-    like = np.exp(-0.5 * ((x[:, None, :] - mean) ** 2 / var + np.log(2 * np.pi * var)).sum(axis=2)) + 1e-300
-    n, k = like.shape
-    alpha, scale, beta = np.zeros((n, k)), np.zeros(n), np.ones((n, k))
-    for t in range(n):
-        a = start * like[t] if t == 0 else (alpha[t - 1] @ move) * like[t]
-        scale[t] = a.sum()
-        alpha[t] = a / scale[t]
-    for t in range(n - 2, -1, -1):
-        beta[t] = move @ (like[t + 1] * beta[t + 1]) / scale[t + 1]
-    post = alpha * beta
-    post /= post.sum(axis=1, keepdims=True)
-    pair = np.zeros((k, k))
-    for t in range(n - 1):
-        joint = alpha[t][:, None] * move * (like[t + 1] * beta[t + 1])[None, :] / scale[t + 1]
-        pair += joint / joint.sum()
-    return post, pair, float(np.log(scale).sum())
-
-
-def fit_hmm(x: np.ndarray, states: int, iterations: int = 30, tol: float = 1e-2) -> dict:
-    """A Gaussian hidden Markov model with diagonal variances, by Baum-Welch from quantile starts."""
-    order = np.argsort(x[:, 0], kind="stable")
-    groups = np.array_split(order, states)
-    mean = np.array([x[g].mean(axis=0) for g in groups])
-    var = np.array([x[g].var(axis=0) + 1e-3 for g in groups])
-    start, move = np.full(states, 1 / states), np.full((states, states), 0.1 / max(1, states - 1))
-    np.fill_diagonal(move, 0.9)
-    before = -np.inf
-    for _ in range(iterations):
-        post, pair, like = _forward_backward(x, start, move, mean, var)
-        weight = post.sum(axis=0)
-        mean = post.T @ x / weight[:, None]
-        var = np.maximum((post.T @ x**2) / weight[:, None] - mean**2, 1e-6)
-        start, move = post[0], pair / np.maximum(pair.sum(axis=1, keepdims=True), 1e-300)
-        if like - before < tol:
-            break
-        before = like
-    return {"mean": mean, "var": var, "start": start, "move": move, "post": post}
-
-
-def hmm_states(samples: DataFrame, states: int, by: Sequence[str] = ("session",), idx: str = "idx", value: str = "value") -> DataFrame:
-    """(by, idx, state): most probable state of each sample, by a model for each group; states are numbered by their mean."""
-    ship(samples.sparkSession)
-    by = list(by)
-    rows = samples.select(*by, F.col(idx).alias("idx"), F.col(value).cast("double").alias("value"))
-    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "value")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("idx")
-        x = group["value"].to_numpy()[:, None]
-        out = group.drop(columns="value")
-        if len(x) < 2 * states:
-            out["state"] = 0
-            return out.astype({"state": "int32"})
-        model = fit_hmm(x, states)
-        rank = np.argsort(np.argsort(model["mean"][:, 0]))
-        out["state"] = rank[model["post"].argmax(axis=1)].astype("int32")
-        return out
-
-    return rows.groupBy(*by).applyInPandas(run, f"{keys}, state int")
-
-
 #: Classifiers by name; further ones can be added.
 BACKENDS = {
     "forest": lambda n_features, n_classes, seed: RandomForestClassifier(numTrees=20, seed=seed),

@@ -1,7 +1,6 @@
-"""Signal kernels for each channel (by, idx, value), as grouped Arrow functions over numpy, and CSD as a plan.
+"""Signals of channels (by, idx, value): filters, phase, spectra, cross-spectra and coherence by chunks, and CSD as a plan.
 
-A zero-phase filter needs the whole series of a channel, so a group is one (session, channel); everything
-else parallelises over groups.
+Series are cut into chunks (operators/chunks.py), so no task holds a whole channel; only whiten() in by_channel() still does.
 """
 
 from __future__ import annotations
@@ -15,6 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from . import chunks as ch
+from . import filters
+
+
+#: Periods of a band's lower edge that a chunk sees on either side for its analytic signal.
+PERIODS = 24
 
 
 def second_difference(rows: DataFrame, step: int, pitch: float, by: Sequence[str] = ("idx",)) -> DataFrame:
@@ -108,10 +113,15 @@ def by_channel(rows: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], by:
     return rows.groupBy(*by).applyInPandas(run, f"{schema}, `{name}` double")
 
 
-def filtered(rows: DataFrame, cutoff, rate: float, by: Sequence[str], order: int = 4, kind: str = "lowpass") -> DataFrame:
-    """Zero-phase Butterworth filter of each channel."""
-    zpk = butter(order, cutoff, rate, kind)
-    return by_channel(rows, lambda x: zero_phase(x, zpk, rate), by)
+def filtered(rows: DataFrame, cutoff, rate: float, by: Sequence[str], order: int = 4, kind: str = "lowpass", chunk: int = ch.CHUNK) -> DataFrame:
+    """(by, idx, value): zero-phase Butterworth filter of each channel, forward and backward with carried states. Null values are left out."""
+    sos = filters.sections(butter(order, cutoff, rate, kind))
+    packed = ch.pack(_numbers(rows, by), by, ["value"], chunk=chunk)
+    return ch.unpack(filters.both_ways_chunked(packed, sos, by), by, ["value"])
+
+
+def _numbers(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    return rows.select(*by, "idx", F.col("value").cast("double").alias("value")).where("value IS NOT NULL")
 
 
 def difference(rows: DataFrame, a: int, c: int, by: Sequence[str] = ("session",)) -> DataFrame:
@@ -121,10 +131,22 @@ def difference(rows: DataFrame, a: int, c: int, by: Sequence[str] = ("session",)
     return pair.where("_a IS NOT NULL AND _c IS NOT NULL").select(*by, "idx", (F.col("_a") - F.col("_c")).alias("value"))
 
 
-def phase(rows: DataFrame, band: tuple[float, float], rate: float, by: Sequence[str], order: int = 3) -> DataFrame:
+def _analytic_of_band(rows: DataFrame, band: tuple[float, float], rate: float, by: Sequence[str], order: int, chunk: int, name: str, take) -> DataFrame:
+    """take(analytic signal) of each channel in a band. A chunk sees up to PERIODS periods of the band's lower edge on either side."""
+    sos = filters.sections(butter(order, band, rate, "bandpass"))
+    packed = ch.pack(_numbers(rows, by), by, ["value"], chunk=chunk)
+    reach = int(np.ceil(PERIODS * rate / band[0]))
+    return filters.reaching(filters.both_ways_chunked(packed, sos, by), by, reach, lambda x, a, b: take(analytic(x)), name)
+
+
+def phase(rows: DataFrame, band: tuple[float, float], rate: float, by: Sequence[str], order: int = 3, chunk: int = ch.CHUNK) -> DataFrame:
     """(by, idx, phase): wrapped phase of each channel in a band."""
-    zpk = butter(order, band, rate, "bandpass")
-    return by_channel(rows, lambda x: np.angle(analytic(zero_phase(x, zpk, rate))), by, "phase")
+    return _analytic_of_band(rows, band, rate, by, order, chunk, "phase", np.angle)
+
+
+def envelope(rows: DataFrame, band: tuple[float, float], rate: float, by: Sequence[str], order: int = 3, chunk: int = ch.CHUNK) -> DataFrame:
+    """(by, idx, envelope): amplitude of each channel in a band."""
+    return _analytic_of_band(rows, band, rate, by, order, chunk, "envelope", np.abs)
 
 
 def whiten(x: np.ndarray, order: int = 2) -> np.ndarray:
@@ -141,112 +163,142 @@ def whiten(x: np.ndarray, order: int = 2) -> np.ndarray:
     return out
 
 
-def spectrogram(rows: DataFrame, rate: float, by: Sequence[str], length: int = 256, step: int = 128, nw: float = 3.0, n_fft: int | None = None) -> DataFrame:
-    """(by, win, t, freq, power): multitaper power of each channel in overlapping windows, mean removed."""
-    ship(rows.sparkSession)
-    by = list(by)
-    n_fft = n_fft or length
+def spectrogram(rows: DataFrame, rate: float, by: Sequence[str], length: int = 256, step: int = 128, nw: float = 3.0, n_fft: int | None = None, chunk: int = ch.CHUNK) -> DataFrame:
+    """(by, win, t, freq, power): multitaper power of each channel in overlapping windows, mean removed.
+
+    Windows begin every `step` rows of a channel; those that its end would cut are left out.
+    """
+    by, n_fft = list(by), n_fft or length
     tapers = slepian(length, nw, max(1, int(2 * nw) - 1))
     freq = np.fft.rfftfreq(n_fft, 1 / rate)
-    rows = rows.select(*by, "idx", F.col("value").cast("double").alias("value"))
-    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in by)
+    wide = filters.with_sides(ch.pack(_numbers(rows, by), by, ["value"], chunk=chunk), by, ["value"], 0, length - 1)
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        x = group.sort_values("idx")["value"].to_numpy()
-        parts = []
-        for w, start in enumerate(range(0, len(x) - length + 1, step)):
-            piece = x[start : start + length]
-            power = (np.abs(np.fft.rfft((piece - piece.mean()) * tapers, n_fft, axis=1)) ** 2).mean(axis=0) / rate
-            parts.append(pd.DataFrame({"win": w, "t": (start + length / 2) / rate, "freq": freq, "power": power}))
-        out = pd.concat(parts) if parts else pd.DataFrame({"win": [], "t": [], "freq": [], "power": []})
-        for name, value in zip(by, key):
-            out[name] = value
-        return out[[*by, "win", "t", "freq", "power"]].astype({"win": "int64"})
+    def work(row: dict) -> dict:
+        x = np.concatenate([row["value"], row["value_right"]])
+        starts = filters.window_starts(row, length, step)
+        pieces = x[starts[:, None] + np.arange(length)] if len(starts) else np.zeros((0, length))
+        spectra = np.fft.rfft((pieces - pieces.mean(axis=1, keepdims=True))[:, None, :] * tapers, n_fft, axis=2)
+        power = (np.abs(spectra) ** 2).mean(axis=1) / rate
+        return {"win": ((starts + row["before"]) // step).tolist(), "power": power.tolist()}
 
-    return rows.groupBy(*by).applyInPandas(run, f"{keys}, win long, t double, freq double, power double")
+    made = ch.each(wide, work, f"{ch.keys(rows, by)}, win array<long>, power array<array<double>>")
+    made = made.select(*by, F.explode(F.arrays_zip("win", "power")).alias("w")).select(*by, "w.win", F.posexplode("w.power").alias("f", "power"))
+    at = F.get(F.lit(freq.tolist()), F.col("f"))
+    return made.select(*by, "win", ((F.col("win") * step + length / 2) / rate).alias("t"), at.alias("freq"), "power")
 
 
-def resampled(rows: DataFrame, source: float, target: float, by: Sequence[str]) -> DataFrame:
-    """(by, idx, value) at another rate: band-limited by the spectrum, then read off by linear interpolation."""
-    ship(rows.sparkSession)
+def resampled(rows: DataFrame, source: float, target: float, by: Sequence[str], chunk: int = ch.CHUNK) -> DataFrame:
+    """(by, idx, value) at another rate: low-passed below the new limit, then read off by linear interpolation."""
     by = list(by)
-    rows = rows.select(*by, "idx", F.col("value").cast("double").alias("value"))
-    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in by)
-    zpk = butter(8, 0.45 * target, source) if target < source else None
+    packed = ch.pack(_numbers(rows, by), by, ["value"], chunk=chunk)
+    if target < source:
+        packed = filters.both_ways_chunked(packed, filters.sections(butter(8, 0.45 * target, source)), by)
+    wide = filters.with_sides(packed, by, ["value"], 0, 1)
+
+    def work(row: dict) -> dict:
+        x = np.concatenate([row["value"], row["value_right"]])
+        # New rows whose place lies in this chunk, or after the last row of all.
+        last = row["before"] + row["n"] == row["total"]
+        first = int(np.ceil(row["before"] * target / source - 1e-9))
+        stop = int(round(row["total"] * target / source)) if last else int(np.ceil((row["before"] + row["n"]) * target / source - 1e-9))
+        at = np.arange(first, stop)
+        return {"idx": at.tolist(), "value": np.interp(at * source / target - row["before"], np.arange(len(x)), x).tolist()}
+
+    return ch.unpack(ch.each(wide, work, f"{ch.keys(rows, by)}, idx array<long>, value array<double>"), by, ["value"])
+
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        x = group.sort_values("idx")["value"].to_numpy()
-        x = zero_phase(x, zpk, source) if zpk is not None else x
-        n = int(round(len(x) * target / source))
-        at = np.arange(n) * source / target
-        out = pd.DataFrame({"idx": np.arange(n, dtype="int64"), "value": np.interp(at, np.arange(len(x)), x)})
-        for name, value in zip(by, key):
-            out[name] = value
-        return out[[*by, "idx", "value"]]
+def _reaching(rows: DataFrame, by: Sequence[str], reach: int, mode: str, kernel: Callable[[np.ndarray], np.ndarray], chunk: int) -> DataFrame:
+    """kernel of each channel with `reach` rows on either side; at a channel's ends they are made as np.pad does by mode."""
 
-    return rows.groupBy(*by).applyInPandas(run, f"{keys}, idx long, value double")
+    def run(x: np.ndarray, before: int, after: int) -> np.ndarray:
+        # Where a side has fewer rows than the reach, the channel ends there.
+        wide = np.pad(x, (reach - before, reach - after), mode=mode)
+        return np.concatenate([np.zeros(before), kernel(wide), np.zeros(after)])
 
+    return filters.reaching(ch.pack(_numbers(rows, by), by, ["value"], chunk=chunk), by, reach, run)
 
-def gaussian(rows: DataFrame, sigma: float, by: Sequence[str]) -> DataFrame:
+
+def gaussian(rows: DataFrame, sigma: float, by: Sequence[str], chunk: int = ch.CHUNK) -> DataFrame:
     """Each channel smoothed by a Gaussian of sigma rows, ends mirrored."""
     r = int(4 * sigma + 0.5)
     w = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
     w /= w.sum()
-    return by_channel(rows, lambda x: np.convolve(np.pad(x, r, mode="symmetric"), w, mode="valid"), by)
+    return _reaching(rows, by, r, "symmetric", lambda x: np.convolve(x, w, mode="valid"), chunk)
 
 
-def boxcars(rows: DataFrame, width: int, times: int, by: Sequence[str]) -> DataFrame:
+def boxcars(rows: DataFrame, width: int, times: int, by: Sequence[str], chunk: int = ch.CHUNK) -> DataFrame:
     """Each channel averaged over `width` rows (odd), `times` times, ends mirrored."""
     half = width // 2
+    w = np.full(2 * half + 1, 1 / (2 * half + 1))
+    for _ in range(times):
+        rows = _reaching(rows, by, half, "symmetric", lambda x: np.convolve(x, w, mode="valid"), chunk)
+    return rows
 
-    def kernel(x: np.ndarray) -> np.ndarray:
-        for _ in range(times):
-            x = np.convolve(np.pad(x, half, mode="symmetric"), np.full(2 * half + 1, 1 / (2 * half + 1)), mode="valid")
-        return x
-
-    return by_channel(rows, kernel, by)
 
-
-def fir(rows: DataFrame, taps: int, cutoff: float, rate: float, by: Sequence[str]) -> DataFrame:
+def fir(rows: DataFrame, taps: int, cutoff: float, rate: float, by: Sequence[str], chunk: int = ch.CHUNK) -> DataFrame:
     """Low-pass by a Hamming-windowed sinc of an odd number of taps, its delay taken out."""
     n = taps | 1
     t = np.arange(n) - n // 2
     h = np.sinc(2 * cutoff / rate * t) * np.hamming(n)
     h /= h.sum()
-    return by_channel(rows, lambda x: np.convolve(np.pad(x, n // 2, mode="edge"), h, mode="valid"), by)
+    return _reaching(rows, by, n // 2, "edge", lambda x: np.convolve(x, h, mode="valid"), chunk)
 
 
-def coherence(rows: DataFrame, rate: float, by: Sequence[str], length: int = 256, step: int = 128, nw: float = 3.0) -> DataFrame:
-    """(by, ch1, ch2, freq, coherence, phase): multitaper coherence of channel pairs over all windows of rows (by, idx, ch, value).
+def cross_spectrogram(rows: DataFrame, rate: float, by: Sequence[str], length: int = 256, step: int = 128, nw: float = 3.0, chunk: int = ch.CHUNK) -> DataFrame:
+    """(by, win, t, ch1, ch2, freq, re, im): cross-spectrum of each two channels of rows (by, idx, ch, value), ch1 <= ch2, mean over tapers.
 
-    All channels of one recording are one group.
+    Means of windows are removed. Rows in which a channel has no value are left out; the channels of all sessions are listed on the driver.
     """
-    ship(rows.sparkSession)
     by = list(by)
+    names = sorted(r.ch for r in rows.select(F.col("ch").cast("int").alias("ch")).where("ch IS NOT NULL").distinct().collect())
+    columns = [f"c{i}" for i in range(len(names))]
+    each = [F.max(F.when(F.col("ch") == c, F.col("value").cast("double"))).alias(n) for c, n in zip(names, columns)]
+    if not names:
+        each, columns, names = [F.max(F.col("value").cast("double")).alias("c0")], ["c0"], [0]
+    packed = ch.pack(rows.groupBy(*by, "idx").agg(*each).dropna(subset=columns), by, columns, chunk=chunk)
     tapers = slepian(length, nw, max(1, int(2 * nw) - 1))
     freq = np.fft.rfftfreq(length, 1 / rate)
-    rows = rows.select(*by, "idx", F.col("ch").cast("int").alias("ch"), F.col("value").cast("double").alias("value"))
-    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in by)
-
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        wide = group.pivot(index="idx", columns="ch", values="value").sort_index()
-        x, names = wide.to_numpy(), wide.columns.to_list()
-        cross = np.zeros((len(names), len(names), len(freq)), complex)
-        for start in range(0, len(x) - length + 1, step):
-            piece = x[start : start + length]
-            f = np.fft.rfft((piece - piece.mean(axis=0)).T[:, None, :] * tapers, axis=2)
-            cross += np.einsum("akf,bkf->abf", f, f.conj())
-        parts = []
-        for i in range(len(names)):
-            for j in range(i + 1, len(names)):
-                power = np.sqrt(cross[i, i].real * cross[j, j].real)
-                parts.append(pd.DataFrame({"ch1": names[i], "ch2": names[j], "freq": freq, "coherence": np.abs(cross[i, j]) / np.maximum(power, 1e-300), "phase": np.angle(cross[i, j])}))
-        out = pd.concat(parts) if parts else pd.DataFrame({"ch1": [], "ch2": [], "freq": [], "coherence": [], "phase": []})
-        for name, value in zip(by, key):
-            out[name] = value
-        return out[[*by, "ch1", "ch2", "freq", "coherence", "phase"]].astype({"ch1": "int32", "ch2": "int32"})
-
-    return rows.groupBy(*by).applyInPandas(run, f"{keys}, ch1 int, ch2 int, freq double, coherence double, phase double")
+    one, two = np.triu_indices(len(columns))
+
+    def work(row: dict) -> dict:
+        x = np.stack([np.concatenate([row[c], row[f"{c}_right"]]) for c in columns])
+        out = []
+        for start in filters.window_starts(row, length, step).tolist():
+            piece = x[:, start : start + length]
+            f = np.fft.rfft((piece - piece.mean(axis=1, keepdims=True))[:, None, :] * tapers, axis=2)
+            cross = (f[one] * f[two].conj()).mean(axis=1)
+            out.append({"win": (start + row["before"]) // step, "re": cross.real.tolist(), "im": cross.imag.tolist()})
+        return {"w": out}
+
+    made = ch.each(filters.with_sides(packed, by, columns, 0, length - 1), work, f"{ch.keys(rows, by)}, w array<struct<win:long,re:array<array<double>>,im:array<array<double>>>>")
+    pairs = made.select(*by, F.explode("w").alias("w")).select(*by, "w.win", F.posexplode(F.arrays_zip(F.col("w.re").alias("re"), F.col("w.im").alias("im"))).alias("p", "s"))
+    bins = pairs.select(*by, "win", "p", F.posexplode(F.arrays_zip(F.col("s.re").alias("re"), F.col("s.im").alias("im"))).alias("f", "v"))
+    pick = lambda xs, i: F.get(F.lit(list(xs)), F.col(i))
+    return bins.select(
+        *by, "win", ((F.col("win") * step + length / 2) / rate).alias("t"), pick([names[i] for i in one], "p").cast("int").alias("ch1"), pick([names[i] for i in two], "p").cast("int").alias("ch2"),
+        pick(freq.tolist(), "f").alias("freq"), "v.re", "v.im",
+    )
+
+
+def _coherent(cross: DataFrame, on: Sequence[str]) -> DataFrame:
+    """(on, ch1, ch2, freq, coherence, phase) of cross-spectra (on, ch1, ch2, freq, re, im)."""
+    on = [*on, "freq"]
+    own = cross.where("ch1 = ch2")
+    power = lambda c, name: own.select(*on, F.col("ch1").alias(c), F.col("re").alias(name))
+    both = cross.where("ch1 < ch2").join(power("ch1", "_a"), [*on, "ch1"]).join(power("ch2", "_b"), [*on, "ch2"])
+    size = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
+    return both.select(*on[:-1], "ch1", "ch2", "freq", (size / F.greatest(F.sqrt(F.col("_a") * F.col("_b")), F.lit(1e-300))).alias("coherence"), F.atan2("im", "re").alias("phase"))
+
+
+def coherogram(rows: DataFrame, rate: float, by: Sequence[str], length: int = 256, step: int = 128, nw: float = 3.0, chunk: int = ch.CHUNK) -> DataFrame:
+    """(by, win, t, ch1, ch2, freq, coherence, phase) of each window: of the mean over its tapers."""
+    return _coherent(cross_spectrogram(rows, rate, by, length, step, nw, chunk), [*by, "win", "t"])
+
+
+def coherence(rows: DataFrame, rate: float, by: Sequence[str], length: int = 256, step: int = 128, nw: float = 3.0, chunk: int = ch.CHUNK) -> DataFrame:
+    """(by, ch1, ch2, freq, coherence, phase): multitaper coherence of channel pairs over all windows of rows (by, idx, ch, value)."""
+    cross = cross_spectrogram(rows, rate, by, length, step, nw, chunk).groupBy(*by, "ch1", "ch2", "freq").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    return _coherent(cross, by)
 
 
 def spectrum(rows: DataFrame, rate: float, by: Sequence[str], **options) -> DataFrame:

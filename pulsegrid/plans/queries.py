@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import circular, geometry, text
 from ..operators import binning, intervals, kinematics, rangejoin, sequence, spikes, states, stats, sync
 from . import bridge as b
-from . import stateql
+from . import signal_sql, stateql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -815,12 +815,12 @@ def circular_median(spark, sf_dir):
     return circular.median(_theta(spark, sf_dir), "theta", ["event_type"]).withColumn("median", r6(F.col("median")))
 
 
-@query(None)
+@query(signal_sql.coherence(128, 64))
 def channel_coherence(spark, sf_dir):
     from ..operators import signal
 
-    rows = b.samples(spark, sf_dir).select("session", "idx", F.explode(F.array(F.struct(F.lit(0).alias("ch"), F.col("value")), F.struct(F.lit(1).alias("ch"), F.log1p("value").alias("value")))).alias("s")).select("session", "idx", "s.ch", "s.value")
-    return signal.coherence(rows, 1.0, ["session"], 128, 64)
+    found = signal.coherence(_two_channels(spark, sf_dir), 1.0, ["session"], 128, 64)
+    return found.withColumns({c: r6(F.col(c)) for c in ("coherence", "phase")})
 
 
 @query(
@@ -1041,11 +1041,11 @@ def _channels(spark, sf_dir):
     return b.samples(spark, sf_dir).select("session", "idx", "value")
 
 
-@query(None)
+@query(signal_sql.filtered(0.1))
 def filtered_signal(spark, sf_dir):
     from ..operators import signal
 
-    return signal.filtered(_channels(spark, sf_dir), 0.1, 1.0, ["session"])
+    return signal.filtered(_channels(spark, sf_dir), 0.1, 1.0, ["session"]).withColumn("value", r6(F.col("value")))
 
 
 @query(None)
@@ -1056,10 +1056,43 @@ def signal_phase(spark, sf_dir):
 
 
 @query(None)
+def signal_envelope(spark, sf_dir):
+    from ..operators import signal
+
+    return signal.envelope(_channels(spark, sf_dir), (0.05, 0.2), 1.0, ["session"])
+
+
+@query(signal_sql.spectrogram(128, 64))
 def signal_spectrogram(spark, sf_dir):
     from ..operators import signal
 
-    return signal.spectrogram(_channels(spark, sf_dir), 1.0, ["session"], 128, 64)
+    return signal.spectrogram(_channels(spark, sf_dir), 1.0, ["session"], 128, 64).withColumn("power", F.round("power", 5) + F.lit(0.0))
+
+
+def _two_channels(spark, sf_dir):
+    both = F.array(F.struct(F.lit(0).alias("ch"), F.col("value")), F.struct(F.lit(1).alias("ch"), F.log1p("value").alias("value")))
+    return b.samples(spark, sf_dir).select("session", "idx", F.explode(both).alias("s")).select("session", "idx", "s.ch", "s.value")
+
+
+@query(signal_sql.cross_spectrogram(32, 16, 2.0))
+def cross_spectra(spark, sf_dir):
+    from ..operators import signal
+
+    found = signal.cross_spectrogram(_two_channels(spark, sf_dir), 1.0, ["session"], 32, 16, 2.0)
+    return found.withColumns({c: F.round(c, 5) + F.lit(0.0) for c in ("re", "im")})
+
+
+@query(signal_sql.coherogram(32, 16, 2.0))
+def coherence_in_time(spark, sf_dir):
+    """Bins without power in one of the channels, where coherence has no sure value, are left out."""
+    from ..operators import signal
+
+    rows = _two_channels(spark, sf_dir)
+    cross = signal.cross_spectrogram(rows, 1.0, ["session"], 32, 16, 2.0)
+    own = lambda c: cross.where("ch1 = ch2").select("session", "win", "freq", F.col("ch1").alias(c), F.col("re").alias(f"{c}_power"))
+    found = signal.coherogram(rows, 1.0, ["session"], 32, 16, 2.0).join(own("ch1"), ["session", "win", "freq", "ch1"]).join(own("ch2"), ["session", "win", "freq", "ch2"])
+    found = found.where("ch1_power * ch2_power > 1e-12")
+    return found.select("session", "win", "t", "ch1", "ch2", "freq", (F.round("coherence", 5) + F.lit(0.0)).alias("coherence"))
 
 
 @query(None)

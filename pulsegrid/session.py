@@ -79,3 +79,10 @@ def work_folder(spark: SparkSession) -> str:
         atexit.register(_remove, spark, sc._pulsegrid_folders)
     sc._pulsegrid_folders.append(folder)
     return folder
+
+
+def save(df: DataFrame) -> DataFrame:
+    """df, written to a new folder under the shared one and read again: it cuts lineage and survives lost executors."""
+    path = f"{work_folder(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
