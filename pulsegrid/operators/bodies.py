@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import permutations
 
 import numpy as np
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry
 from ..session import ship
 from . import intervals, rangejoin
+from .assignment import assign
 
 
 def relabel(frames: DataFrame, periods: DataFrame, names: Sequence[str], width: float, by: Sequence[str] = ("session",), idx: str = "idx") -> DataFrame:
@@ -20,7 +20,7 @@ def relabel(frames: DataFrame, periods: DataFrame, names: Sequence[str], width:
     dealt anew: each frame gets the assignment with the least sum of squared steps from the frame before.
 
     The frame before a period is its anchor; a period without one, or of one frame, stays as it is. One task takes one
-    period, not a session. Periods that touch are one. Ties go to the assignment that comes first.
+    period, not a session. Periods that touch are one. Any number of markers can be dealt; of equal sums the first found is taken.
     """
     ship(frames.sparkSession)
     by, names = list(by), list(names)
@@ -30,7 +30,6 @@ def relabel(frames: DataFrame, periods: DataFrame, names: Sequence[str], width:
     rows = rangejoin.points_in_periods(frames.select(*by, idx, *value), wide, width, by, idx)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     columns = [f"{n}_{d}" for n in names for d in "xyz"]
-    deals = np.array(list(permutations(range(len(names)))))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(idx)
@@ -38,8 +37,7 @@ def relabel(frames: DataFrame, periods: DataFrame, names: Sequence[str], width:
         if group[idx].iloc[0] >= group["_start"].iloc[0]:
             return group.iloc[:0][[*by, idx, *columns]]
         for k in range(1, len(at)):
-            cost = ((at[k][deals] - at[k - 1]) ** 2).sum(axis=(1, 2))
-            at[k] = at[k][deals[cost.argmin()]]
+            at[k] = at[k][assign(((at[k][None, :, :] - at[k - 1][:, None, :]) ** 2).sum(axis=2))]
         group[columns] = at.reshape(len(group), -1)
         return group.iloc[1:][[*by, idx, *columns]]
 

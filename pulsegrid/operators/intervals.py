@@ -12,23 +12,25 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import rangejoin
+from . import rangejoin, scans
 
 
 def _window(by: Sequence[str], *order):
     return Window.partitionBy(*by).orderBy(*order)
 
 
-def coalesce(periods: DataFrame, by: Sequence[str] = ("session",), gap: float = 0, strict: bool = False) -> DataFrame:
+def coalesce(periods: DataFrame, by: Sequence[str] = ("session",), gap: float = 0, strict: bool = False, width: float | None = None) -> DataFrame:
     """Merges periods that overlap, touch or, with gap, are apart by `gap` or less (strict: by less than `gap`).
 
-    Empty periods take part and are dropped after merging, as a touching one bridges nothing.
+    Empty periods take part and are dropped after merging, as a touching one bridges nothing. With a width, here and below, time is cut into buckets of
+    that width, and no task sorts a whole session (scans.along).
     """
-    before = F.max("stop").over(_window(by, "start", "stop").rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.col("start") - before
+    rows = scans.along(periods, by, "start", width, ["start", "stop"], maxima={"_before": F.col("stop")})
+    apart = F.col("start") - F.col("_before")
     joined = (apart < gap) if strict else (apart <= gap)
-    island = F.sum(F.when(joined, 0).otherwise(1)).over(_window(by, "start", "stop").rowsBetween(Window.unboundedPreceding, 0))
-    merged = periods.withColumn("_island", island).groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    fresh = F.when(joined, 0).otherwise(1)
+    rows = scans.along(rows.drop("_island"), by, "start", width, ["start", "stop"], sums={"_island": fresh})
+    merged = rows.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
     return merged.where("stop > start").drop("_island")
 
 
@@ -37,7 +39,7 @@ def fill_gaps(periods: DataFrame, gap: float, by: Sequence[str] = ("session",))
     return coalesce(periods, by, gap, strict=True)
 
 
-def combine(sets: Sequence[DataFrame], keep: Callable[..., Column], by: Sequence[str] = ("session",)) -> DataFrame:
+def combine(sets: Sequence[DataFrame], keep: Callable[..., Column], by: Sequence[str] = ("session",), width: float | None = None) -> DataFrame:
     """Stretches where keep(in_first, in_second, ...) holds, merged. keep takes and gives boolean columns."""
     by = list(by)
     names = [f"_n{i}" for i in range(len(sets))]
@@ -48,23 +50,23 @@ def combine(sets: Sequence[DataFrame], keep: Callable[..., Column], by: Sequence
             one = usable.select(*by, F.col(end).alias("_t"), *(F.lit(step if j == i else 0).cast("long").alias(n) for j, n in enumerate(names)))
             steps = one if steps is None else steps.unionByName(one)
     summed = steps.groupBy(*by, "_t").agg(*(F.sum(n).alias(n) for n in names))
-    return _stretches(summed, names, keep, by)
+    return _stretches(summed, names, keep, by, width)
 
 
-def combine_labelled(periods: DataFrame, labels: Sequence[str], keep: Callable[..., Column], by: Sequence[str] = ("session",), label: str = "label") -> DataFrame:
+def combine_labelled(periods: DataFrame, labels: Sequence[str], keep: Callable[..., Column], by: Sequence[str] = ("session",), label: str = "label", width: float | None = None) -> DataFrame:
     """combine() over the periods (by, label, start, stop) of each label, from one scan of the table."""
     by = list(by)
     names = [f"_n{i}" for i in range(len(labels))]
     rows = periods.where(F.col(label).isin(list(labels)) & (F.col("stop") > F.col("start")))
     steps = rows.select(*by, F.col(label).alias("_l"), F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).cast("long").alias("s")), F.struct(F.col("stop").alias("t"), F.lit(-1).cast("long").alias("s")))).alias("_e"))
     summed = steps.groupBy(*by, F.col("_e.t").alias("_t")).agg(*(F.sum(F.when(F.col("_l") == name, F.col("_e.s")).otherwise(0)).alias(n) for n, name in zip(names, labels)))
-    return _stretches(summed, names, keep, by)
+    return _stretches(summed, names, keep, by, width)
 
 
-def _stretches(summed: DataFrame, names: list[str], keep: Callable[..., Column], by: list[str]) -> DataFrame:
-    running = _window(by, "_t").rowsBetween(Window.unboundedPreceding, 0)
-    state = summed.select(*by, F.col("_t").alias("start"), F.lead("_t").over(_window(by, "_t")).alias("stop"), *(F.sum(n).over(running).alias(n) for n in names))
-    return coalesce(state.where(keep(*(F.col(n) > 0 for n in names)) & F.col("stop").isNotNull()).select(*by, "start", "stop"), by)
+def _stretches(summed: DataFrame, names: list[str], keep: Callable[..., Column], by: list[str], width: float | None) -> DataFrame:
+    state = scans.along(summed.select(*by, "_t", *(F.col(n).alias(f"{n}_") for n in names)), by, "_t", width, sums={n: F.col(f"{n}_") for n in names}, leads={"stop": F.col("_t")})
+    kept = state.where(keep(*(F.col(n) > 0 for n in names)) & F.col("stop").isNotNull()).select(*by, F.col("_t").alias("start"), "stop")
+    return coalesce(kept, by, width=width)
 
 
 def union(*sets: DataFrame, by: Sequence[str] = ("session",)) -> DataFrame:
@@ -153,7 +155,7 @@ def from_mask(samples: DataFrame, by: Sequence[str] = ("session",), idx: str = "
     return samples.withColumn("_run", run).groupBy(*by, "_run").agg(F.min(idx).alias("start"), (F.max(idx) + 1).alias("stop")).drop("_run")
 
 
-def active_count(points: DataFrame, ranges: DataFrame, by: Sequence[str] = ("session",), t: str = "t") -> DataFrame:
+def active_count(points: DataFrame, ranges: DataFrame, by: Sequence[str] = ("session",), t: str = "t", width: float | None = None) -> DataFrame:
     """points with active: number of ranges that hold each, both ends included; by one sweep, no join."""
     by = list(by)
     rows = points.withColumns({"_kind": F.lit(1), "_step": F.lit(0)})
@@ -161,8 +163,7 @@ def active_count(points: DataFrame, ranges: DataFrame, by: Sequence[str] = ("ses
     blank = [F.lit(None).cast(points.schema[c].dataType).alias(c) for c in keep]
     ends = [ranges.select(*by, F.col(end).alias(t), *blank, F.lit(kind).alias("_kind"), F.lit(step).alias("_step")) for end, kind, step in (("start", 0, 1), ("stop", 2, -1))]
     every = rows.unionByName(ends[0]).unionByName(ends[1])
-    running = F.sum("_step").over(_window(by, t, "_kind").rowsBetween(Window.unboundedPreceding, 0))
-    return every.withColumn("active", running).where("_kind = 1").drop("_kind", "_step")
+    return scans.along(every, by, t, width, [t, "_kind"], sums={"active": F.col("_step")}).where("_kind = 1").drop("_kind", "_step")
 
 
 def label_matrix(points: DataFrame, ranges: DataFrame, labels: Sequence[str], width: float, by: Sequence[str] = ("session",), t: str = "t", key: str = "event_id") -> DataFrame:

@@ -7,32 +7,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 
 def over(by: Sequence[str], *order):
     return Window.partitionBy(*by).orderBy(*order)
 
 
-def runs(samples: DataFrame, above: Column, by: Sequence[str] = ("session",), idx: str = "idx") -> DataFrame:
-    """Runs of rows where `above` holds: (by, first, last, n, left, right); left and right are the indices of the rows before and after, or null."""
-    w = over(by, idx)
-    rows = samples.withColumns({"_on": above, "_left": F.lag(idx).over(w), "_right": F.lead(idx).over(w)})
-    fresh = F.when(F.col("_on") & ~F.coalesce(F.lag("_on").over(w), F.lit(False)), 1).otherwise(0)
-    rows = rows.withColumn("_run", F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def runs(samples: DataFrame, above: Column, by: Sequence[str] = ("session",), idx: str = "idx", width: float | None = None) -> DataFrame:
+    """Runs of rows where `above` holds: (by, first, last, n, left, right); left and right are the indices of the rows before and after, or null.
+
+    With a width, here and below, idx is cut into buckets of that width, and no task sorts a whole session.
+    """
+    rows = samples.withColumn("_on", F.coalesce(above, F.lit(False)))
+    rows = scans.along(rows, by, idx, width, lags={"_left": F.col(idx), "_was": F.col("_on")}, leads={"_right": F.col(idx)})
+    fresh = F.when(F.col("_on") & ~F.coalesce("_was", F.lit(False)), 1).otherwise(0)
+    rows = scans.along(rows, by, idx, width, sums={"_run": fresh})
     return rows.where("_on").groupBy(*by, "_run").agg(F.min(idx).alias("first"), F.max(idx).alias("last"), F.count("*").alias("n"), F.min_by("_left", idx).alias("left"), F.max_by("_right", idx).alias("right")).drop("_run")
 
 
-def crossings(samples: DataFrame, threshold: float, min_interval: int = 0, by: Sequence[str] = ("session",), idx: str = "idx", value: str = "value") -> DataFrame:
+def crossings(samples: DataFrame, threshold: float, min_interval: int = 0, by: Sequence[str] = ("session",), idx: str = "idx", value: str = "value", width: float | None = None) -> DataFrame:
     """Periods above a threshold as (by, left, right): the last index below before, and the last index above.
 
     A run that begins at the first row begins at 0; longer than min_interval.
     """
-    found = runs(samples, F.col(value) > threshold, by, idx)
+    found = runs(samples, F.col(value) > threshold, by, idx, width)
     return found.select(*by, F.coalesce("left", F.lit(0).cast("long")).alias("left"), F.col("last").alias("right")).where(F.col("right") - F.col("left") > min_interval)
 
 
-def pulses(samples: DataFrame, threshold: float, min_length: int = 0, by: Sequence[str] = ("session",), idx: str = "idx", value: str = "value") -> DataFrame:
+def pulses(samples: DataFrame, threshold: float, min_length: int = 0, by: Sequence[str] = ("session",), idx: str = "idx", value: str = "value", width: float | None = None) -> DataFrame:
     """Whole pulses [start, stop): value >= threshold, with a row below on either side; min_length rows or more."""
-    found = runs(samples, F.col(value) >= threshold, by, idx).where("left IS NOT NULL AND right IS NOT NULL")
+    found = runs(samples, F.col(value) >= threshold, by, idx, width).where("left IS NOT NULL AND right IS NOT NULL")
     return found.select(*by, F.col("first").alias("start"), F.col("right").alias("stop")).where(F.col("stop") - F.col("start") >= min_length)
 
 
