@@ -1145,6 +1145,25 @@ def streaming_crossings(spark, sf_dir):
     return online.run_to_end(online.crossings(stream, 40.0), f"{folder}/out", f"{folder}/state")
 
 
+@query(
+    f"WITH {b.EV}, {b.SAMPLES}, r AS (SELECT session, idx, idx - ROW_NUMBER() OVER (PARTITION BY session ORDER BY idx) AS g FROM sm WHERE value > 40), e AS (SELECT session, MAX(idx) AS last FROM sm GROUP BY session) "
+    "SELECT CAST(p.session AS BIGINT) AS session, p.start, p.stop, p.stop <= e.last AS ended FROM (SELECT session, MIN(idx) AS start, MAX(idx) + 1 AS stop FROM r GROUP BY session, g) p JOIN e ON e.session = p.session"
+)
+def streaming_crossings_out_of_order(spark, sf_dir):
+    """Samples in files that mix up the order by up to a day; a last mark in a session of its own moves the watermark past the end."""
+    from ..session import work_folder
+    from ..streaming import online
+
+    folder = work_folder(spark)
+    rows = b.samples(spark, sf_dir).select(F.col("session").cast("long").alias("session"), "idx", "value", F.timestamp_micros("us").alias("ts"), F.floor((F.col("us") / 3_600_000_000 + F.hash("event_id") % 12) / 96).alias("part"))
+    rows.drop("part").repartitionByRange(4, rows.part).sortWithinPartitions(F.hash("idx")).write.parquet(f"{folder}/in")
+    end = rows.agg((F.max("ts") + F.expr("INTERVAL 40 DAYS")).alias("ts"))
+    end.select(F.lit(-1).cast("long").alias("session"), F.lit(0).cast("long").alias("idx"), F.lit(0.0).alias("value"), "ts").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema("session long, idx long, value double, ts timestamp").parquet(f"{folder}/in")
+    found = online.run_to_end(online.crossings_by_time(stream, 40.0, "2 days", 1000), f"{folder}/out", f"{folder}/state")
+    return found.where("session >= 0")
+
+
 # Posture
 
 ROLES = {"pelvis_root": 1, "spine_upper": 2, "hcom": 3, "nose": 4, "head_back": 5, "head_front": 6, "bcom": 7}

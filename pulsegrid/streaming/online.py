@@ -1,13 +1,19 @@
-"""Structured Streaming: windowed rates with late data, threshold crossings with state, runs to completion."""
+"""Structured Streaming: windowed rates with late data, crossings and pairs of marks by event time, runs to completion.
+
+What depends on order is held back until the watermark has passed it, then taken in the order of event time, whatever order it came in. Rows
+that come later than that are dropped. A run or mark that is still open is given out when its session has been silent for `idle`.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import ship
@@ -43,15 +49,129 @@ def crossings(samples: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("session").applyInPandasWithState(step, "session int, start long, stop long", "first long, last long", "append", GroupStateTimeout.NoTimeout)
 
 
+class _InOrder(StatefulProcessor):
+    """Rows (ms, columns) of a session to step(state, rows in order) -> (state, output rows); end(state) gives out what is open.
+
+    State of a session: the rows that the watermark hasn't passed, and a small value that step keeps as JSON.
+    """
+
+    def __init__(self, columns: list[str], kinds: str, step: Callable, end: Callable, names: list[str], idle: int):
+        self.columns, self.kinds, self.step, self.end, self.names, self.idle = columns, kinds, step, end, names, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", f"ms long, {self.kinds}")
+        self.value = handle.getValueState("value", "state string, last long")
+
+    def _out(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        made = pd.DataFrame(rows, columns=self.names[1:])
+        made.insert(0, self.names[0], key[0])
+        return made
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        for part in rows:
+            part = part[part["ms"] > passed] if passed > 0 else part
+            if len(part):
+                self.held.appendList(list(part[["ms", *self.columns]].itertuples(index=False, name=None)))
+                self.handle.registerTimer(int(part["ms"].max()))
+        yield self._out(key, [])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(tuple(r) for r in self.held.get())
+        ready, later = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
+        kept = self.value.get() if self.value.exists() else None
+        state, last = (json.loads(kept[0]), kept[1]) if kept else (None, 0)
+        out: list[tuple] = []
+        if ready:
+            state, out = self.step(state, ready)
+            last = ready[-1][0]
+            self.held.clear()
+            if later:
+                self.held.put(later)
+        if state is not None and not later and last + self.idle <= passed:
+            out, state = out + self.end(state), None
+        if ready or state is None:
+            self.value.update((json.dumps(state), last))
+        if state is not None:
+            self.handle.registerTimer(last + self.idle)
+        yield self._out(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(rows: DataFrame, t: str, late: str, idle_ms: int, kinds: str, step: Callable, end: Callable, schema: str) -> DataFrame:
+    """_InOrder over rows (session, t, columns of `kinds`)."""
+    spark = rows.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    columns = [c.split()[0] for c in kinds.split(", ")]
+    marked = rows.withWatermark(t, late).select("session", t, F.unix_millis(t).alias("ms"), *columns)
+    names = [c.split()[0] for c in schema.split(", ")]
+    work = _InOrder(columns, kinds, step, end, names, idle_ms)
+    return marked.groupBy("session").transformWithStateInPandas(statefulProcessor=work, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+def crossings_by_time(samples: DataFrame, threshold: float, late: str, idle_ms: int, t: str = "ts") -> DataFrame:
+    """(session, start, stop, ended) of samples (session, t, idx, value) above a threshold, in any order up to `late`.
+
+    start is the first index above, stop that of the first sample after the run. A run that is open when its session falls silent has
+    the last index plus one as its stop, and ended is false. Of samples at one instant that with the least idx comes first.
+    """
+
+    def step(state: dict | None, rows: list[tuple]) -> tuple[dict, list[tuple]]:
+        first, out = (state or {}).get("first"), []
+        for _, idx, value in rows:
+            if value is not None and value > threshold:
+                first = idx if first is None else first
+            elif first is not None:
+                out.append((first, idx, True))
+                first = None
+        return {"first": first, "last": rows[-1][1]}, out
+
+    def end(state: dict) -> list[tuple]:
+        return [] if state["first"] is None else [(state["first"], state["last"] + 1, False)]
+
+    return _in_order(samples, t, late, idle_ms, "idx long, value double", step, end, "session long, start long, stop long, ended boolean")
+
+
+def mark_pairs(marks: DataFrame, start_mark: str, stop_mark: str, late: str, idle_ms: int, t: str = "ts") -> DataFrame:
+    """(session, start, stop) in ms of marks (session, t, label), in any order up to `late`: each start with the first stop after it that no earlier start has taken.
+
+    Marks are found anywhere in a label. A start without a stop is given out with a null one when its session falls silent.
+    """
+
+    def step(state: list | None, rows: list[tuple]) -> tuple[list, list[tuple]]:
+        open_, out = list(state or []), []
+        # At one instant stops come first: a stop must be later than its start.
+        for ms, label in sorted(rows, key=lambda r: (r[0], start_mark in (r[1] or ""))):
+            if stop_mark in (label or "") and open_:
+                out.append((open_.pop(0), ms))
+            if start_mark in (label or ""):
+                open_.append(ms)
+        return open_, out
+
+    def end(state: list) -> list[tuple]:
+        return [(ms, None) for ms in state]
+
+    return _in_order(marks, t, late, idle_ms, "label string", step, end, "session long, start long, stop long")
+
+
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there and gives its output, written to path.
 
-    In mode complete each batch replaces the output.
+    Each batch has a folder of its own that a replay of the batch replaces, so nothing is written twice. In mode complete only the last batch counts.
     """
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
-    return SparkSession.active().read.schema(stream.schema).parquet(path)
+    spark = SparkSession.active()
+    out = spark.read.schema(stream.schema.add("batch", "long")).option("basePath", path).parquet(path)
+    if mode == "complete":
+        out = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0])
+    return out.drop("batch")
