@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import bodies  # noqa: F401 (adds its queries)
+from .plans import bodies, stores  # noqa: F401 (they add their queries)
 from .plans import queries as plans
 
 Query = Callable[[SparkSession, str], DataFrame]
