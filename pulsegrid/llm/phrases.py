@@ -18,6 +18,7 @@ No task sees more than a shard, and nothing but the two filters goes through the
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,7 @@ ROW_BITS = 1 << 15
 #: Bytes at which pieces end, and those between words.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 KIND = words.table(b"\x20\x09" + ENDS)
+_WORD = re.compile(rb"[^\x20\x09.,;:!?\x0a-\x0d]+")
 #: Language of documents without one.
 NO_LANG = "und"
 _U = np.uint64
@@ -53,7 +55,7 @@ def _stretches(keys: np.ndarray) -> np.ndarray:
 
 def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order of the keys, dense rank of each from 1)."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     rank = np.empty(len(keys), np.int64)
     rank[order] = np.cumsum(_stretches(keys[order]))
     return order, rank
@@ -69,13 +71,13 @@ class Automaton:
     def __init__(self, symbols: np.ndarray, room: np.ndarray, depth: int):
         n = len(symbols)
         self.depth, self.room = depth, np.minimum(room, depth)
-        order, rank = _ranks(symbols)
+        order, rank = (np.argsort(symbols), symbols + 1) if depth < 2 or not n else (None, symbols + 1)
         reach = 1
         while reach < depth and n:
             back = np.zeros(n, np.int64)
             inside = np.flatnonzero(self.room > reach)
             back[inside] = rank[inside - reach]
-            order, rank = _ranks(rank * (n + 1) + back)
+            order, rank = _ranks(rank * (int(rank.max()) + 1) + back)
             reach *= 2
         room = self.room[order]
         common = np.zeros(n + 1, np.int64)  # with the position before in order; none at the ends
@@ -92,12 +94,14 @@ class Automaton:
             start = np.flatnonzero((room >= d) & (common[:n] < d))
             if not len(start):
                 break
-            breaks = np.flatnonzero(common < d)
-            size = breaks[np.searchsorted(breaks, start, side="right")] - start
+            breaks = np.flatnonzero(common < d)  # starts of other stretches and ends are breaks as well
+            size = breaks[(np.cumsum(common < d) - 1)[start] + 1] - start
             if before is None:
                 link, fresh = np.full(len(start), -1), np.ones(len(start), bool)
             else:
-                parent = np.searchsorted(before[0], start, side="right") - 1
+                marks = np.zeros(n, np.int64)
+                marks[before[0]] = 1
+                parent = (np.cumsum(marks) - 1)[start]
                 link, fresh = state_at[parent], size < before[1][parent]
             made = len(self.length) + np.cumsum(fresh) - 1
             state = np.where(fresh, made, link)
@@ -126,21 +130,16 @@ def _hashes(word: np.ndarray, end: np.ndarray, length: np.ndarray) -> np.ndarray
 
 
 class _Shard:
-    """Words of some texts: hash (by language), symbol, room in the piece, language and place in the bytes."""
-
-    def __init__(self, parts: list[tuple]):
-        body, at = [p[0] for p in parts], 0
-        first, stop = [], []
-        for p in parts:
-            first.append(p[2] + at)
-            stop.append(p[3] + at)
-            at += len(p[0])
-        self.body = np.concatenate(body).tobytes()
-        self.first, self.stop = np.concatenate(first), np.concatenate(stop)
-        self.word, self.lang = (np.concatenate([p[k] for p in parts]) for k in (1, 5))
-        opens = np.concatenate([p[4] for p in parts])
+    """Words of some texts: hash (by language), symbol, whether it opens a piece, language and, with texts, place in the bytes."""
+
+    def __init__(self, parts: list[tuple], texts: bool):
+        self.word, self.opens, self.lang = (np.concatenate([p[k] for p in parts]) for k in (1, 3, 4))
         self.distinct, self.symbol = np.unique(self.word, return_inverse=True)
-        self.opens = opens
+        if texts:
+            sizes = np.array([len(p[0]) for p in parts])
+            before = np.cumsum(sizes) - sizes
+            self.body = np.concatenate([p[0] for p in parts]).tobytes()
+            self.first, self.limit = (np.concatenate([p[k] + at for p, at in zip(parts, before)]) for k in (2, 5))
 
     def room(self, opens: np.ndarray) -> np.ndarray:
         """Number of words since the last that opens a piece, itself included."""
@@ -148,11 +147,13 @@ class _Shard:
         return n - np.maximum.accumulate(np.where(opens, n, 0)) + 1
 
     def text(self, i: int) -> str:
-        return self.body[self.first[i] : self.stop[i]].lower().decode("utf-8", "replace")
+        return _WORD.match(self.body, self.first[i], self.limit[i])[0].lower().decode("utf-8", "replace")
 
 
-def _shards(batches: Iterator[pa.RecordBatch], langs: dict[int, str]) -> Iterator[_Shard]:
-    """Shards of rows (lang, text). langs gets the language of each code."""
+def _shards(batches: Iterator[pa.RecordBatch], langs: dict[int, str], texts: bool = False) -> Iterator[_Shard]:
+    """Shards of rows (lang, text). langs gets the language of each code; `texts` keeps the bytes of words."""
+    is_end = np.zeros(256, bool)
+    is_end[list(ENDS)] = True
     codes: dict[str, int] = {}
     held: list[tuple] = []
     n = 0
@@ -160,13 +161,7 @@ def _shards(batches: Iterator[pa.RecordBatch], langs: dict[int, str]) -> Iterato
         for batch in words.pieces(whole, "text"):
             body, offsets = words.raw(batch.column(1))
             hashes, bounds, first = words.hash_words(body, offsets, KIND)
-            ends = np.append(KIND[0][body], True)
-            ends[offsets] = True
-            breaks = np.flatnonzero(ends)
-            stop = breaks[np.searchsorted(breaks, first, side="right")]
-            is_end = np.zeros(256, bool)
-            is_end[list(ENDS)] = True
-            passed = np.concatenate([[0], np.cumsum(is_end[body])])[first]
+            passed = np.cumsum(is_end[body], dtype=np.int32)[first]
             opens = np.concatenate([[True], passed[1:] != passed[:-1]]) if len(first) else np.zeros(0, bool)
             opens[bounds[:-1][bounds[:-1] < len(first)]] = True
             mine = []
@@ -177,13 +172,13 @@ def _shards(batches: Iterator[pa.RecordBatch], langs: dict[int, str]) -> Iterato
                 mine.append(codes[x])
             lang = np.repeat(np.array(mine, np.int64), np.diff(bounds))
             salt = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in codes], _U)
-            held.append((body, words.mix(hashes ^ salt[lang]) if len(lang) else hashes, first, stop, opens, lang))
+            held.append((body if texts else body[:0], words.mix(hashes ^ salt[lang]) if len(lang) else hashes, first, opens, lang, np.repeat(offsets[1:], np.diff(bounds))))
             n += len(first)
             if n >= SHARD:
-                yield _Shard(held)
+                yield _Shard(held, texts)
                 held, n = [], 0
     if n:
-        yield _Shard(held)
+        yield _Shard(held, texts)
 
 
 def _hashed(h: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -248,21 +243,21 @@ def _count_phrases(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (short, long), langs = shared.value, {}
-        for shard in _shards(batches, langs):
+        for shard in _shards(batches, langs, texts=True):
             kept, automaton = _cut(shard, short)
             end, length, count = automaton.substrings()
             some = (length <= FIRST_DEPTH) | _passes(long, _hashes(shard.word[kept], end, length))
             end, length, count = end[some], length[some], count[some]
-            texts: dict[int, str] = {}
+            known: dict[int, str] = {}
             symbols = shard.symbol[kept]
             phrases = []
             for e, d in zip(end.tolist(), length.tolist()):
                 parts = []
                 for i in range(e - d + 1, e + 1):
                     s = int(symbols[i])
-                    if s not in texts:
-                        texts[s] = shard.text(int(kept[i]))
-                    parts.append(texts[s])
+                    if s not in known:
+                        known[s] = shard.text(int(kept[i]))
+                    parts.append(known[s])
                 phrases.append(" ".join(parts))
             total = np.bincount(shard.lang, minlength=len(langs))
             of = [langs[x] for x in shard.lang[kept[end]].tolist()] + [langs[i] for i in range(len(langs))]

@@ -63,7 +63,7 @@ def test_small_shards(odd, monkeypatch):
     monkeypatch.setattr(phrases, "SHARD", 50)
     found = Counter()
     table = odd.select("lang", "text").na.fill("und", ["lang"]).where("text IS NOT NULL").toArrow().combine_chunks()
-    for shard in phrases._shards(iter(table.to_batches(max_chunksize=7)), {}):
+    for shard in phrases._shards(iter(table.to_batches(max_chunksize=7)), {}, texts=True):
         end, length, count = phrases.Automaton(shard.symbol, shard.room(shard.opens), 4).substrings()
         for e, d, c in zip(end.tolist(), length.tolist(), count.tolist()):
             found[" ".join(shard.text(i) for i in range(e - d + 1, e + 1))] += c
