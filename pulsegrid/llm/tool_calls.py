@@ -17,6 +17,8 @@ from .common import Workspace, read
 
 #: Rounds of pointer doubling: chains of up to 2**ROUNDS calls.
 ROUNDS = 40
+#: Conversations of up to so many calls are put in order inside of one row each; longer ones by rounds of joins.
+FOLDED = 1024
 
 
 def _key(name: str) -> Column:
@@ -38,13 +40,45 @@ def levels(calls: DataFrame) -> DataFrame:
     a conversation: 0 where a call waits for none that exists there, else one more than the highest level that it waits for,
     so that ascending levels are a topological order. A call that waits for itself by way of others has a null level.
 
-    Calls that wait for one other form chains: pointer doubling follows each to its anchor, a call that waits for none or
-    for several; its rounds grow as the logarithm of the longest chain. Then anchors are solved from the bottom, in as many
-    rounds as there are calls that wait for several on one path. Each round is written to the shared folder.
+    Conversations of up to FOLDED calls are solved in one row each. In longer ones calls that wait for one other form chains:
+    pointer doubling follows each to its anchor, a call that waits for none or for several; its rounds grow as the logarithm of the longest
+    chain. Then anchors are solved from the bottom, in as many rounds as there are calls that wait for several on one path. Each
+    round is written to the shared folder. Rows with a null call_id are left out, rows that repeat count once, an empty table gives an empty result.
     """
     work = Workspace(calls.sparkSession)
-    ids = calls.where("call_id IS NOT NULL").select(_key("call_id").alias("call"))
     waits = work.save(_waits(calls))
+    ids = work.save(calls.where("call_id IS NOT NULL").select(_key("call_id").alias("call")).distinct())
+    conv = F.struct("call.conv_id").alias("conv")
+    long = work.save(ids.groupBy(conv).agg(F.count("*").alias("n")).where(f"n > {FOLDED}").select("conv"))
+    if long.isEmpty():
+        return _folded(ids, waits)
+    part = lambda rows, how: rows.withColumn("conv", conv).join(long, "conv", how).drop("conv")
+    return _folded(part(ids, "left_anti"), part(waits, "left_anti")).unionByName(_by_rounds(work, work.save(part(ids, "left_semi")), work.save(part(waits, "left_semi"))))
+
+
+def _folded(ids: DataFrame, waits: DataFrame) -> DataFrame:
+    """Levels of conversations of up to FOLDED calls: in each step a call gets a level if all that it waits for have one."""
+    after = waits.groupBy("call").agg(F.collect_list("after.id").alias("after"))
+    node = F.struct(F.col("call.id").alias("id"), F.coalesce("after", F.array().cast("array<string>")).alias("after"))
+    rows = ids.join(after, "call", "left").groupBy(F.struct("call.conv_id").alias("conv")).agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    at = F.transform("nodes", lambda x: F.transform(x["after"], lambda a: F.array_position(F.col("nodes.id"), a).cast("int") - 1))
+    rows = rows.select("conv", "nodes", at.alias("at"))
+
+    def step(levels: Column, _: Column) -> Column:
+        def one(after: Column) -> Column:
+            below = F.transform(after, lambda i: F.get(levels, i))
+            return F.when(~F.exists(below, lambda x: x.isNull()), F.coalesce(F.array_max(below), F.lit(-1).cast("long")) + 1)
+
+        return F.transform("at", one)
+
+    none = F.transform("at", lambda x: F.lit(None).cast("long"))
+    solved = rows.select("conv", "nodes", F.aggregate(F.sequence(F.lit(1), F.size("at")), none, step).alias("levels"))
+    each = solved.select("conv.conv_id", F.explode(F.arrays_zip(F.col("nodes.id").alias("id"), F.col("levels").alias("level"))).alias("x"))
+    return each.select("conv_id", F.col("x.id").alias("call_id"), F.col("x.level").alias("level"))
+
+
+def _by_rounds(work: Workspace, ids: DataFrame, waits: DataFrame) -> DataFrame:
+    """Levels of conversations of any size, by rounds of joins."""
     counts = waits.groupBy("call").agg(F.count("*").alias("n"), F.first("after").alias("after"))
     one = F.col("n") == 1
     nodes = work.save(ids.join(counts, "call", "left").select(

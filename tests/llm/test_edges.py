@@ -112,15 +112,27 @@ def test_tool_calls(spark):
     assert empty.collect() == []
 
 
-def test_tool_calls_long_chain(spark):
+def test_tool_calls_that_wait_for_two(spark, monkeypatch):
+    """A conversation in one row, and the same by rounds of joins; the first has 600 calls that wait for the two before."""
+    made = lambda n: spark.createDataFrame([("c", f"k{i}", [f"k{j}" for j in (i - 1, i - 2) if j >= 0]) for i in range(n)] + [("d", "k0", ["k0"]), ("d", "k1", None), (None, "k0", [])], "conv_id string, call_id string, after_ids array<string>")
+    want = lambda n: {("c", f"k{i}"): i for i in range(n)} | {("d", "k0"): None, ("d", "k1"): 0, (None, "k0"): 0}
+    assert {(r.conv_id, r.call_id): r.level for r in tool_calls.levels(made(600)).collect()} == want(600)
+    monkeypatch.setattr(tool_calls, "FOLDED", 2)
+    assert {(r.conv_id, r.call_id): r.level for r in tool_calls.levels(made(8)).collect()} == want(8)
+
+
+def test_tool_calls_long_chain(spark, monkeypatch):
+    monkeypatch.setattr(tool_calls, "FOLDED", 100)
     n = 300
     calls = spark.createDataFrame([("c", i, f"k{i}", "count", "{}", f"k{i - 1}") for i in range(n)], "conv_id string, turn int, call_id string, name string, arguments string, after_id string")
     got = {r.call_id: r.level for r in tool_calls.levels(calls).collect()}
     assert got == {f"k{i}": i for i in range(n)}
 
 
-def test_tool_calls_with_many_dependencies(spark):
-    """Against a recursive definition, on chains, fans, a circle and unknown calls."""
+@pytest.mark.parametrize("folded", [10, 1024])
+def test_tool_calls_with_many_dependencies(spark, monkeypatch, folded):
+    """Against a recursive definition, on chains, fans, a circle and unknown calls, in one row and by rounds."""
+    monkeypatch.setattr(tool_calls, "FOLDED", folded)
     after = {"a": [], "b": ["a"], "c": ["b"], "d": ["a", "c"], "e": ["d"], "f": ["e", "b", "zz"], "g": ["f", "f", "a"], "x": ["y"], "y": ["x"], "z": ["x", "a"], "w": ["z"], "v": ["w", "g"], "s": ["s"], "n": None}
     after |= {f"k{i}": [f"k{i - 1}"] if i % 7 else [f"k{i - 1}", f"k{i - 5}", "g"] for i in range(1, 40)} | {"k0": ["v1"]}
     calls = spark.createDataFrame([("c", k, v) for k, v in after.items()] + [("d", "b", ["a"])], "conv_id string, call_id string, after_ids array<string>")
