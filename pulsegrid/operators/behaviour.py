@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import intervals, quantiles, sequence, signal
+from . import intervals, quantiles, rangejoin, scans, sequence, signal
 
 
 def moving(track: DataFrame, threshold: float, rate: float, half: int, min_interval: int, by: Sequence[str] = ("session",), idx: str = "idx") -> DataFrame:
@@ -131,10 +131,67 @@ def band_periods(samples: DataFrame, rate: float, band: tuple[float, float], thr
     Sniffing: the distance of head and spine, 8 to 14 Hz; shaking: the difference of two body azimuths, 14 to 16 Hz.
     A constant signal has none.
     """
-    white = signal.by_channel(samples, lambda x: signal.whiten(x) if x.std() >= 1e-9 else np.zeros_like(x), by)
-    power = signal.spectrogram(white, rate, by, length=length, step=max(1, length // 4), n_fft=n_fft)
+    power = signal.spectrogram(signal.whitened(samples, by), rate, by, length=length, step=max(1, length // 4), n_fft=n_fft)
     rows = power.where(F.col("freq").between(*band)).groupBy(*by, "win").agg(F.avg("power").alias("power"), F.first("t").alias("t"))
     runs = sequence.runs(rows, F.col("power") > threshold, by, "win").select(*by, "first", "last")
     at = rows.select(*by, F.col("win"), "t")
     ends = lambda end: at.select(*by, F.col("win").alias(end), F.col("t").alias(f"t_{end}"))
     return runs.join(ends("first"), [*by, "first"]).join(ends("last"), [*by, "last"]).select(*by, "first", "last", "t_first", "t_last")
+
+
+def _of(markers: DataFrame, names: Sequence[str], by: Sequence[str], idx: str) -> DataFrame:
+    """(by, idx, a struct of x, y and z for each name) of the frames that have all the markers."""
+    at = F.struct("x", "y", "z")
+    wide = markers.where(F.col("marker").isin(list(names))).groupBy(*by, idx).agg(*(F.max(F.when(F.col("marker") == n, at)).alias(n) for n in names))
+    return wide.dropna(subset=list(names))
+
+
+def sniffing(
+    markers: DataFrame, rate: float, threshold: float = 10**-3.5, band: tuple[float, float] = (8.0, 14.0), head: str = "head_back", spine: str = "spine_upper",
+    length: int = 256, n_fft: int = 1024, by: Sequence[str] = ("session",), idx: str = "idx",
+) -> DataFrame:
+    """band_periods() of the distance of head and spine, from markers (by, idx, marker, x, y, z); frames without both are left out."""
+    rows = _of(markers, (head, spine), by, idx)
+    far = F.sqrt(sum(((F.col(f"{head}.{d}") - F.col(f"{spine}.{d}")) ** 2 for d in "xyz"), F.lit(0.0)))
+    return band_periods(rows.select(*by, F.col(idx).alias("idx"), far.alias("value")), rate, band, threshold, length, n_fft, by)
+
+
+def shaking(
+    markers: DataFrame, rate: float, threshold: float = 1e-4, band: tuple[float, float] = (14.0, 16.0), names: Sequence[str] = ("spine_lower", "pelvis_root", "spine_middle"),
+    length: int = 64, n_fft: int = 256, by: Sequence[str] = ("session",), idx: str = "idx", width: float | None = None,
+) -> DataFrame:
+    """band_periods() of the difference of two azimuths, from the first of `names` to the third and to the second, both unwrapped along idx."""
+    rows = _of(markers, names, by, idx)
+    azimuth = lambda name: F.atan2(F.col(f"{name}.y") - F.col(f"{names[0]}.y"), F.col(f"{name}.x") - F.col(f"{names[0]}.x"))
+    rows = rows.select(*by, F.col(idx).alias("idx"), azimuth(names[1]).alias("_a"), azimuth(names[2]).alias("_b"))
+    rows = scans.along(rows, by, "idx", width, lags={"_wa": F.col("_a"), "_wb": F.col("_b")})
+    turn = lambda now, was: F.coalesce(-F.round((F.col(now) - F.col(was)) / (2 * np.pi)), F.lit(0.0))  # noqa: E731  whole turns since the row before
+    rows = scans.along(rows, by, "idx", width, sums={"_ta": turn("_a", "_wa"), "_tb": turn("_b", "_wb")})
+    value = F.col("_b") + 2 * np.pi * F.col("_tb") - F.col("_a") - 2 * np.pi * F.col("_ta")
+    return band_periods(rows.select(*by, "idx", value.alias("value")), rate, band, threshold, length, n_fft, by)
+
+
+def head_moving(
+    markers: DataFrame, rate: float, method: str = "com", threshold: float = 2.0, min_interval: int = 40, half: int = 16,
+    names: Sequence[str] = ("head_back", "head_left", "head_front", "head_right"), front: str = "head_front", by: Sequence[str] = ("session",), idx: str = "idx",
+) -> DataFrame:
+    """moving() of the head: of the mean of its markers (`com`), or of its front over 21 rows (`vel`)."""
+    if method not in ("com", "vel"):
+        raise ValueError("method is com or vel")
+    names = list(names) if method == "com" else [front]
+    rows = _of(markers, names, by, idx)
+    mean = lambda d: sum((F.col(f"{n}.{d}") for n in names), F.lit(0.0)) / len(names)
+    return moving(rows.select(*by, idx, mean("x").alias("x"), mean("y").alias("y")), threshold, rate, half if method == "com" else 10, min_interval, by, idx)
+
+
+def walk_by_pitch(
+    walk: DataFrame, markers: DataFrame, angle: float = -0.45, back: str = "head_back", front: str = "head_front", min_interval: int = 20,
+    by: Sequence[str] = ("session",), idx: str = "idx", width: float = 4096,
+) -> DataFrame:
+    """(by, label, start, stop): stretches of the walk periods (by, start, stop) of min_interval rows or more with the head below `angle` (walk_lang) or above it (walk_hang)."""
+    rows = _of(markers, (back, front), by, idx)
+    d = {c: F.col(f"{front}.{c}") - F.col(f"{back}.{c}") for c in "xyz"}
+    pitch = F.atan2(d["z"], F.sqrt(d["x"] * d["x"] + d["y"] * d["y"]))
+    rows = rows.select(*by, idx, F.when(pitch < angle, "walk_lang").when(pitch > angle, "walk_hang").alias("label")).where("label IS NOT NULL")
+    rows = rangejoin.points_in_periods(rows, walk, width, by, idx, how="left_semi")
+    return intervals.from_mask(rows, [*by, "label"], idx).where(F.col("stop") - F.col("start") >= min_interval)

@@ -1,6 +1,6 @@
 """Signals of channels (by, idx, value): filters, phase, spectra, cross-spectra and coherence by chunks, and CSD as a plan.
 
-Series are cut into chunks (operators/chunks.py), so no task holds a whole channel; only whiten() in by_channel() still does.
+Series are cut into chunks (operators/chunks.py), so no task holds a whole channel. by_channel() is for kernels of the caller that need one.
 """
 
 from __future__ import annotations
@@ -163,6 +163,40 @@ def whiten(x: np.ndarray, order: int = 2) -> np.ndarray:
     return out
 
 
+def whitened(rows: DataFrame, by: Sequence[str], order: int = 2, chunk: int = ch.CHUNK) -> DataFrame:
+    """(by, idx, value): whiten() of each channel by chunks; products at each lag are added by Spark. A constant channel is zero."""
+    by = list(by)
+    rows = _numbers(rows, by)
+    centre = rows.groupBy(*by).agg(F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_sd"))
+    rows = ch.meet(rows, centre, by).select(*by, "idx", F.when(F.col("_sd") < 1e-9, 0.0).otherwise(F.col("value") - F.col("_mean")).alias("value"))
+    wide = filters.with_sides(ch.pack(rows, by, ["value"], chunk=chunk), by, ["value"], order, 0)
+    keys = ch.keys(rows, by)
+
+    def products(row: dict) -> dict:
+        a, x = np.asarray(row["value_left"], float), np.asarray(row["value"], float)
+        both = np.concatenate([np.zeros(order - len(a)), a, x])
+        return {"r": [float(x @ both[order - k : len(both) - k]) for k in range(order + 1)]}
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        r = np.sum(np.stack(group["r"].map(np.asarray).to_list()), axis=0)
+        a = np.zeros(order)
+        if r[0] > 0:
+            system = r[np.abs(np.subtract.outer(np.arange(order), np.arange(order)))]
+            a = np.linalg.solve(system + 1e-12 * r[0] * np.eye(order), r[1:])
+        return pd.DataFrame({"a": [a]})
+
+    model = ch.scan(ch.each(wide, products, f"{keys}, bucket long, r array<double>"), by, solve, "a array<double>")
+
+    def rest(row: dict) -> dict:
+        x = np.concatenate([row["value_left"], row["value"]])
+        out = x.copy()
+        for k, c in enumerate(row["a"]):
+            out[k + 1 :] -= c * x[: len(x) - k - 1]
+        return {"value": out[len(row["value_left"]) :].tolist()}
+
+    return ch.unpack(ch.each(ch.meet(wide, model, by), rest, f"{keys}, `idx` {wide.schema['idx'].dataType.simpleString()}, `value` array<double>"), by, ["value"])
+
+
 def spectrogram(rows: DataFrame, rate: float, by: Sequence[str], length: int = 256, step: int = 128, nw: float = 3.0, n_fft: int | None = None, chunk: int = ch.CHUNK) -> DataFrame:
     """(by, win, t, freq, power): multitaper power of each channel in overlapping windows, mean removed.
 

@@ -113,3 +113,45 @@ def channel_groups_read(spark, sf_dir):
     files.repartition("nation").write.partitionBy("nation").text(folder)
     found = parameters.channel_groups(parameters.read_parameters(spark, f"{folder}/nation=*", ".xml"))
     return found.select(F.regexp_extract("file", r"nation=(\d+)", 1).cast("int").alias("nation"), "group", "position", "channel")
+
+
+@query(
+    f"WITH {b.EV}, {b.SAMPLES}, m AS (SELECT session, idx, value - AVG(value) OVER (PARTITION BY session) AS x FROM sm), l AS (SELECT session, idx, x, LAG(x, 1) OVER w AS x1, LAG(x, 2) OVER w AS x2 FROM m WINDOW w AS (PARTITION BY session ORDER BY idx)), "
+    "r AS (SELECT session, SUM(x * x) AS r0, COALESCE(SUM(x * x1), 0) AS r1, COALESCE(SUM(x * x2), 0) AS r2 FROM l GROUP BY session), a AS (SELECT session, r1 * (r0 - r2) / (r0 * r0 - r1 * r1) AS a1, (r0 * r2 - r1 * r1) / (r0 * r0 - r1 * r1) AS a2 FROM r) "
+    "SELECT l.session, idx, ROUND(x - COALESCE(a1 * x1, 0) - COALESCE(a2 * x2, 0), 5) + 0.0 AS value FROM l JOIN a ON a.session = l.session"
+)
+def whitened_signal(spark, sf_dir):
+    from ..operators import signal
+
+    rows = b.samples(spark, sf_dir).select("session", "idx", "value")
+    return signal.whitened(rows, ["session"]).withColumn("value", F.round("value", 5) + F.lit(0.0))
+
+
+@query(None)
+def accumulated_features(spark, sf_dir):
+    """Which entries of embeddings tell three labels apart, and how well with each one more."""
+    from ..operators import selection
+
+    rows = b.read(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("s"), F.col("label") % 3).alias("label"), (F.col("vec_id") % 5 > 0).alias("train"), *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)))
+    return selection.accumulate(rows, [f"e{i}" for i in range(8)], ["s0", "s1", "s2"], key=["vec_id"], least_bits=0.001, block=2000)
+
+
+_NOSE = "WITH p AS (SELECT CAST(l_linenumber AS INTEGER) AS session, CAST(l_orderkey AS BIGINT) AS idx, AVG(l_quantity) - 25 AS dx, AVG(l_discount) * 100 - 5 AS dy, AVG(l_tax) * 100 - 4 AS dz FROM lineitem GROUP BY ALL)"
+
+
+@query(
+    f"{_NOSE}, l AS (SELECT session, idx, CASE WHEN ATAN2(dz, SQRT(dx * dx + dy * dy)) < -0.05 THEN 'walk_lang' WHEN ATAN2(dz, SQRT(dx * dx + dy * dy)) > -0.05 THEN 'walk_hang' END AS label FROM p WHERE idx % 1000 >= 100 AND idx % 1000 < 900), "
+    "g AS (SELECT *, idx - ROW_NUMBER() OVER (PARTITION BY session, label ORDER BY idx) AS g FROM l WHERE label IS NOT NULL) SELECT session, label, MIN(idx) AS start, MAX(idx) + 1 AS stop FROM g GROUP BY session, label, g HAVING COUNT(*) >= 2"
+)
+def walks_by_head_pitch(spark, sf_dir):
+    """Line items as heads: walks are the orders 100 to 900 of each thousand."""
+    from ..operators import behaviour
+
+    at = b.read(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("session"), F.col("l_orderkey").cast("long").alias("idx")).agg(
+        (F.avg("l_quantity") - 25).cast("double").alias("x"), (F.avg("l_discount") * 100 - 5).cast("double").alias("y"), (F.avg("l_tax") * 100 - 4).cast("double").alias("z")
+    )
+    zero = F.lit(0.0)
+    both = F.array(F.struct(F.lit("head_back").alias("marker"), zero.alias("x"), zero.alias("y"), zero.alias("z")), F.struct(F.lit("head_front").alias("marker"), F.col("x"), F.col("y"), F.col("z")))
+    markers = at.select("session", "idx", F.explode(both).alias("m")).select("session", "idx", "m.*")
+    walk = at.select("session", F.floor(F.col("idx") / 1000).alias("k")).distinct().select("session", (F.col("k") * 1000 + 100).alias("start"), (F.col("k") * 1000 + 900).alias("stop"))
+    return behaviour.walk_by_pitch(walk, markers, -0.05, min_interval=2, width=1000)
