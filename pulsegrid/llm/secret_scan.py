@@ -17,17 +17,17 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, matches, read, unused
+from .common import Workspace, let, matches, read, unused
 
-TREES, DEPTH, SEED = 24, 9, 7
+TREES, DEPTH, SEED = 24, 8, 7
 #: Labelled findings of the built-in training set.
-FINDINGS = 12_000
+FINDINGS = 8000
 #: Characters of text on either side that the forest sees.
 BESIDE = 48
 MARK = "<SECRET>"
 
 #: Words of the corpus in the dictionary, of so many letters.
-DICTIONARY_WORDS = 4096
+DICTIONARY_WORDS = 2048
 WORD_LETTERS = (3, 24)
 #: Pairs of letters that count as usual: those that most words of the dictionary hold.
 USUAL_PAIRS = 240
@@ -64,7 +64,8 @@ def dictionary(docs: DataFrame) -> list[str]:
     """The fixed words and the DICTIONARY_WORDS words (runs of letters, lower-cased) that most texts of docs hold, ties by word."""
     word = F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+"))).alias("word")
     counts = docs.select(word).where(F.length("word").between(*WORD_LETTERS)).groupBy("word").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).select("word")
+    # Saved first, so that executors merge what the tasks found and the driver gets the words only.
+    top = Workspace(docs.sparkSession).save(counts.orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).select("word"))
     return sorted({*DICTIONARY, *(r.word for r in top.collect())})
 
 
@@ -120,7 +121,10 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, words: list[str] |
     known = _known(words)
     draw = lambda salt, k: F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(k)).cast("int")
     pick = lambda salt, xs: F.element_at(F.array(*map(F.lit, xs)), draw(salt, len(xs)) + 1)
-    any_word = lambda salt: F.get(known, F.pmod(F.xxhash64(i, F.lit(salt)), F.size(known)).cast("int"))
+    # Words are drawn once for each row, into one array, so the dictionary is in the plan once.
+    draws = [f"p{k}{end}" for k in range(5) for end in ("", "a", "b")] + [f"w{k}{end}" for k in (4, 5) for end in ("", "a", "b")] + ["w0", "w3", "s1"]
+    drawn = F.transform(F.array(*map(F.lit, draws)), lambda salt: F.get(known, F.pmod(F.xxhash64(i, salt), F.size(known)).cast("int")))
+    any_word = lambda salt: F.get(F.col("drawn"), F.lit(draws.index(salt)))
     digest = F.sha2(F.concat_ws("-", i.cast("string"), F.lit("finding")), 512)
     base64 = F.regexp_replace(F.base64(F.unhex(digest)), "[\r\n]", "")
     # A word of the dictionary, or one that isn't there, from the ends of two.
@@ -172,7 +176,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, words: list[str] |
     bearer = (kind <= 5) & (draw("bear", 6) == 0)
     secret_before = F.when(kind == 9, pick("kb", ["key: ", "\n", "", "private_key = \"", "the "])).when(bearer, F.lit("Authorization: Bearer ")).otherwise(F.concat(lead, cased(F.concat(name, glue))))
     before = F.when(label == 1, secret_before).otherwise(other_before)
-    return spark.range(n, numPartitions=4).select(
+    return spark.range(n, numPartitions=4).withColumn("drawn", drawn).select(
         before.alias("before"),
         F.when(label == 1, secret_value).otherwise(other_value).alias("value"),
         F.when(before.rlike("[\"']$"), F.concat(F.right(before, F.lit(1)), F.lit(" and"))).otherwise(pick("aft", [" and", "", ".", "\n", " the"])).alias("after"),
