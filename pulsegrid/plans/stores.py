@@ -155,3 +155,25 @@ def walks_by_head_pitch(spark, sf_dir):
     markers = at.select("session", "idx", F.explode(both).alias("m")).select("session", "idx", "m.*")
     walk = at.select("session", F.floor(F.col("idx") / 1000).alias("k")).distinct().select("session", (F.col("k") * 1000 + 100).alias("start"), (F.col("k") * 1000 + 900).alias("stop"))
     return behaviour.walk_by_pitch(walk, markers, -0.05, min_interval=2, width=1000)
+
+
+@query(
+    f"WITH {b.EV}, {b.SAMPLES}, f AS (SELECT session, idx, ABS(value - AVG(value) OVER (PARTITION BY session)) AS x FROM sm), s AS (SELECT session, idx, x / MAX(x) OVER (PARTITION BY session) >= 0.3 AS up FROM f), "
+    "r AS (SELECT session, idx, idx - ROW_NUMBER() OVER (PARTITION BY session ORDER BY idx) AS g FROM s WHERE up), p AS (SELECT session, MIN(idx) AS a, MAX(idx) + 1 AS z FROM r GROUP BY session, g), e AS (SELECT session, MAX(idx) AS last FROM sm GROUP BY session) "
+    "SELECT p.session, ROUND(a / 10.0, 6) + 0.0 AS start, ROUND(z / 10.0, 6) + 0.0 AS stop FROM p JOIN e ON e.session = p.session WHERE a > 0 AND z <= last"
+)
+def pulse_windows(spark, sf_dir):
+    from ..operators import sessions
+
+    found = sessions.pulse_windows(b.samples(spark, sf_dir).select("session", "idx", "value"), 10.0, 0.3, width=512)
+    return found.select("session", r6(F.col("start")).alias("start"), r6(F.col("stop")).alias("stop"))
+
+
+@query(
+    f"WITH {b.EV}, {b.ERRORS}, k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY session ORDER BY start, stop) - 1 AS k FROM c) SELECT session, 'short' AS trial, start + 60000000 AS start, stop - 60000000 AS stop FROM k WHERE k NOT IN (0, 2, 5)"
+)
+def trial_setup(spark, sf_dir):
+    """Errors as blocks: all but three, a minute shorter at either end."""
+    from ..operators import sessions
+
+    return sessions.setup_trial(b.errors(spark, sf_dir), (b.MINUTE, -b.MINUTE), drop=(0, 2, 5), trial="short")
