@@ -89,8 +89,8 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _word(text: Column, last: bool) -> Column:
-    """The last or first word of a text, lower-cased, without marks at its ends."""
-    word = F.regexp_extract(text, "(\\S{1,40})\\s*$" if last else "^\\s*(\\S{1,40})", 1)
+    """The last or first word of a text, lower-cased, without marks at its ends. Of a longer one what lies within NEAR characters is seen."""
+    word = F.regexp_extract(text, "(\\S++)\\s*$" if last else "^\\s*(\\S++)", 1)
     return F.lower(F.regexp_replace(word, "^[^\\p{L}\\p{N}=:]+|[^\\p{L}\\p{N}=:]+$", ""))
 
 
@@ -191,7 +191,8 @@ def find(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) as rows (doc_id, base, added): arrays of (kind, start, stop, value), stop exclusive.
 
     base is in the order of kinds, then of starts; added holds what the bootstrap found besides, none of it inside a
-    base span. A null or empty text has empty arrays; repeated rows are found one by one; other columns are ignored.
+    base span. A null or empty text has empty arrays; repeated rows are found one by one; other columns are ignored; an
+    empty table gives an empty result, and a text of any length is searched as a whole.
     """
     work = Workspace(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
