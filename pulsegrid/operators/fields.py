@@ -43,15 +43,18 @@ def bootstrap_rows(rows: DataFrame, iterations: int, key: Sequence[str], seed: i
     return many.where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n", "_draw")
 
 
-def shuffle_blocks(samples: DataFrame, block: int, columns: Sequence[str], seed: int, by: Sequence[str] = ("session",), idx: str = "idx") -> DataFrame:
-    """samples in which whole blocks of rows trade the given columns at random; rows after the last whole block stay."""
+def shuffle_blocks(samples: DataFrame, block: int, columns: Sequence[str], seed: int, by: Sequence[str] = ("session",), idx: str = "idx", salt: Sequence[str] = ()) -> DataFrame:
+    """samples in which whole blocks of rows trade the given columns at random; rows after the last whole block stay.
+
+    salt: columns of `by` whose values give each group an order of its own.
+    """
     by = list(by)
     last = samples.groupBy(*by).agg((F.floor((F.max(idx) + 1) / block) * block).cast("long").alias("_whole"))
     rows = samples.join(last, by).withColumns({"_block": F.floor(F.col(idx) / block).cast("long"), "_at": F.col(idx) % block})
     blocks = rows.where(F.col(idx) < F.col("_whole")).select(*by, "_block").distinct()
     order = lambda *c: F.row_number().over(Window.partitionBy(*by).orderBy(*c))
     to = blocks.select(*by, "_block", order("_block").alias("_k"))
-    source = blocks.select(*by, F.col("_block").alias("_from"), order(F.xxhash64("_block", F.lit(seed)), "_block").alias("_k"))
+    source = blocks.select(*by, F.col("_block").alias("_from"), order(F.xxhash64("_block", *salt, F.lit(seed)), "_block").alias("_k"))
     trade = to.join(source, [*by, "_k"]).select(*by, "_block", "_from")
     given = rows.select(*by, F.col("_block").alias("_from"), "_at", *(F.col(c).alias("_" + c) for c in columns))
     moved = rows.join(trade, [*by, "_block"], "left").join(given, [*by, "_from", "_at"], "left")
@@ -95,6 +98,21 @@ def patches(maps: DataFrame, nx: int, ny: int, share: float = 0.9, most: int = 2
     return maps.select(*by, "ix", "iy", "rate").groupBy(*by).applyInPandas(run, f"{keys}, patch int, area long, peak double, mean double, com_x double, com_y double")
 
 
+def peak_patches(maps: DataFrame, nx: int, ny: int, share: float = 0.9, most: int = 2, by: Sequence[str] = ("state", "iter", "unit")) -> DataFrame:
+    """(by, area, peak, mean, com_x, com_y): of the patches of each map that whose peak times area is greatest. A map is one task's group, with nx * ny bins at most."""
+    by = list(by)
+    columns = ["area", "peak", "mean", "com_x", "com_y"]
+    best = F.max_by(F.struct(*columns), F.struct(F.col("peak") * F.col("area"), -F.col("patch"))).alias("b")
+    return patches(maps, nx, ny, share, most, by).groupBy(*by).agg(best).select(*by, *(f"b.{c}" for c in columns))
+
+
+def patch_spread(peaks: DataFrame, by: Sequence[str] = ("state", "unit"), low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """(by, what, n, mean, sd, low, high) over the iterations of peak_patches(): what is area, peak, com_x or com_y."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("what"), F.col(c).cast("double").alias("v")) for c in ("area", "peak", "com_x", "com_y")))).alias("e")
+    rows = peaks.select(*by, each).select(*by, "e.what", "e.v")
+    return rows.groupBy(*by, "what").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.percentile("v", F.lit(low)).alias("low"), F.percentile("v", F.lit(high)).alias("high"))
+
+
 def rate_at(points: DataFrame, maps: DataFrame, low: tuple[float, float], size: tuple[float, float], by: Sequence[str] = ("unit",)) -> DataFrame:
     """points (by, x, y) with rate: the map read off between bin centres; bins without a rate and outside count as 0.
 

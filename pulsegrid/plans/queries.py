@@ -993,11 +993,37 @@ def single_units(spark, sf_dir):
     return recording.quality_table(found, None, 0.03).select("session", "unit", "n_spikes", r6(F.col("contamination")).alias("contamination"), "single")
 
 
-@query(None)
+_PATCHES = (
+    "qq AS (SELECT unit, quantile_cont(rate, 0.9) AS q FROM rm GROUP BY unit), hb AS (SELECT rm.unit, ix, iy, rate FROM rm JOIN qq ON qq.unit = rm.unit WHERE rate > q), "
+    "rc AS (SELECT unit, ix, iy, ix AS jx, iy AS jy FROM hb UNION SELECT rc.unit, rc.ix, rc.iy, h.ix, h.iy FROM rc JOIN hb h ON h.unit = rc.unit AND abs(h.ix - rc.jx) <= 1 AND abs(h.iy - rc.jy) <= 1), "
+    "lb AS (SELECT unit, ix, iy, MIN(jx * 1000 + jy) AS l FROM rc GROUP BY ALL), pt AS (SELECT lb.unit, l, COUNT(*) AS area, MAX(rate) AS peak, AVG(rate) AS mean, SUM(rate * hb.ix) / SUM(rate) AS com_x, SUM(rate * hb.iy) / SUM(rate) AS com_y FROM lb JOIN hb ON hb.unit = lb.unit AND hb.ix = lb.ix AND hb.iy = lb.iy GROUP BY ALL), "
+    "pk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY unit ORDER BY area DESC, com_x, com_y) - 1 AS patch FROM pt)"
+)
+
+
+@query(f"WITH RECURSIVE {LI}, {OCC}, {_PATCHES} SELECT unit, CAST(patch AS INTEGER) AS patch, area, {s6('peak', 'peak')}, {s6('mean', 'mean')}, {s6('com_x', 'com_x')}, {s6('com_y', 'com_y')} FROM pk WHERE patch < 2")
 def field_patches(spark, sf_dir):
     from ..operators import fields
 
-    return fields.patches(_rate_map(spark, sf_dir), 12, 15)
+    found = fields.patches(_rate_map(spark, sf_dir), 12, 15)
+    return found.withColumns({c: r6(F.col(c)) for c in ("peak", "mean", "com_x", "com_y")})
+
+
+@query(f"WITH RECURSIVE {LI}, {OCC}, {_PATCHES}, bs AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY unit ORDER BY peak * area DESC, patch) AS k FROM pk WHERE patch < 2) SELECT unit, area, {s6('peak', 'peak')}, {s6('com_x', 'com_x')}, {s6('com_y', 'com_y')} FROM bs WHERE k = 1")
+def strongest_patches(spark, sf_dir):
+    from ..operators import fields
+
+    found = fields.peak_patches(_rate_map(spark, sf_dir), 12, 15, by=["unit"])
+    return found.select("unit", "area", *(r6(F.col(c)).alias(c) for c in ("peak", "com_x", "com_y")))
+
+
+@query(None)
+def bootstrapped_patches(spark, sf_dir):
+    """Spread of the strongest patch of each unit over bootstrapped maps."""
+    from ..operators import fields
+
+    maps = QUERIES["bootstrapped_rate_maps"](spark, sf_dir).select("unit", "iter", "ix", "iy", "rate")
+    return fields.patch_spread(fields.peak_patches(maps, 12, 15, by=["iter", "unit"]), ["unit"])
 
 
 @query(None)
