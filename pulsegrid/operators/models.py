@@ -10,12 +10,17 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import small
+from ..session import BROADCAST_ROWS, small
 from .hmm import gauss_hmm, hmm_states  # noqa: F401
 
 FLOOR = 1e-3
 
 
+def _sent(rates: DataFrame):
+    """F.broadcast if the map is small, by one count: a table of its bins or units is no larger."""
+    return F.broadcast if rates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda df: df
+
+
 def dense_map(rates: DataFrame) -> DataFrame:
     """rates (bin, unit, rate) with every pair of a bin and a unit; missing ones have rate 0. Bins times units must fit a broadcast."""
     grid = rates.select("bin").distinct().crossJoin(small(rates.select("unit").distinct()))
@@ -29,9 +34,10 @@ def decode(counts: DataFrame, rates: DataFrame, window: float, by: Sequence[str]
     The map is joined as one row for each unit, so each count is read once and sums are partial.
     """
     by = list(by)
+    sent = _sent(rates)
     prior = rates.groupBy("bin").agg((-F.sum(F.col("rate") + FLOOR) * window).alias("_p"))
-    rows = counts.join(small(rates.select("unit", "bin", F.log(F.col("rate") + FLOOR).alias("_l"))), "unit")
-    score = rows.groupBy(*by, "bin").agg(F.sum(F.col("n") * F.col("_l")).alias("_s")).join(small(prior), "bin").withColumn("_s", F.round(F.col("_s") + F.col("_p"), 9))
+    rows = counts.join(sent(rates.select("unit", "bin", F.log(F.col("rate") + FLOOR).alias("_l"))), "unit")
+    score = rows.groupBy(*by, "bin").agg(F.sum(F.col("n") * F.col("_l")).alias("_s")).join(sent(prior), "bin").withColumn("_s", F.round(F.col("_s") + F.col("_p"), 9))
     top = F.max("_s").over(Window.partitionBy(*by))
     peak = score.withColumn("_top", top)
     return peak.groupBy(*by).agg(F.min(F.when(F.col("_s") == F.col("_top"), F.col("bin"))).alias("best"), (1 / F.sum(F.exp(F.col("_s") - F.col("_top")))).alias("posterior"))
@@ -98,10 +104,11 @@ def decode_position(counts: DataFrame, rates: DataFrame, centres: DataFrame, win
     centres: (bin, x). Further axes are decoded by calling it with their centres; the scores are the same.
     """
     by = list(by)
+    sent = _sent(rates)
     prior = rates.groupBy("bin").agg((-F.sum(F.col("rate") + FLOOR) * window).alias("_p"))
-    rows = counts.join(small(rates.select("unit", "bin", F.log(F.col("rate") + FLOOR).alias("_l"))), "unit")
+    rows = counts.join(sent(rates.select("unit", "bin", F.log(F.col("rate") + FLOOR).alias("_l"))), "unit")
     score = rows.groupBy(*by, "bin").agg(F.sum(F.col("n") * F.col("_l")).alias("_s"), F.count_distinct("unit").alias("_u"))
-    score = score.join(small(prior.join(centres, "bin")), "bin").withColumn("_s", F.round(F.col("_s") + F.col("_p"), 9))
+    score = score.join(sent(prior.join(centres, "bin")), "bin").withColumn("_s", F.round(F.col("_s") + F.col("_p"), 9))
     w = Window.partitionBy(*by)
     score = score.withColumn("_top", F.max("_s").over(w)).withColumn("_w", F.exp(F.col("_s") - F.col("_top")))
     score = score.withColumn("_at", F.min_by("x", F.struct(-F.col("_s"), F.col("bin"))).over(w))

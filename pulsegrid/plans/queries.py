@@ -261,10 +261,12 @@ def master_to_local(spark, sf_dir):
     return sync.to_local(points, _segments(spark, sf_dir), 1800.0).drop("t")
 
 
-@query(f"WITH {b.ALL}, {b.islands('x', 'b')}, {SEGMENTS}, i AS (SELECT DISTINCT stream, UNNEST(RANGE(0, 100000, 997)) AS idx FROM cm) SELECT i.stream, i.idx, ROUND(cm.t0 + (i.idx - (cm.last_plus - cm.n)) / cm.rate, 6) + 0.0 AS t FROM i JOIN cm ON i.stream = cm.stream AND i.idx >= cm.last_plus - cm.n AND i.idx < cm.last_plus")
+@query(f"WITH {b.ALL}, {b.islands('x', 'b')}, {SEGMENTS}, i AS (SELECT DISTINCT stream, UNNEST([last_plus - n, last_plus - n + n // 2, last_plus - 1]) AS idx FROM cm WHERE n > 0) SELECT i.stream, i.idx, ROUND(cm.t0 + (i.idx - (cm.last_plus - cm.n)) / cm.rate, 6) + 0.0 AS t FROM i JOIN cm ON i.stream = cm.stream AND i.idx >= cm.last_plus - cm.n AND i.idx < cm.last_plus")
 def local_to_master(spark, sf_dir):
+    """The first, middle and last sample of every segment."""
     segments = _segments(spark, sf_dir)
-    wanted = segments.select("stream").distinct().select("stream", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(99999).cast("long"), F.lit(997).cast("long"))).alias("idx"))
+    parts = sync.cumulative(segments).where("n > 0")
+    wanted = parts.select("stream", F.explode(F.array(F.col("first"), F.col("first") + F.floor(F.col("n") / 2), F.col("last_plus") - 1)).alias("idx")).distinct()
     return sync.to_master(wanted, segments).withColumn("t", r6(F.col("t")))
 
 
@@ -285,10 +287,12 @@ def stream_gaps(spark, sf_dir):
     return intervals.gaps(intervals.coalesce(b.clicks(spark, sf_dir)))
 
 
-@query(f"WITH {b.EV}, {b.SAMPLES}, w AS (SELECT DISTINCT session, UNNEST(RANGE(100, 400)) AS idx FROM ev) SELECT w.session, CAST(w.idx AS BIGINT) AS idx, COALESCE(sm.value, 0.0) AS value FROM w LEFT JOIN sm ON sm.session = w.session AND sm.idx = w.idx AND sm.value > 50")
+@query(f"WITH {b.EV}, {b.SAMPLES}, w AS (SELECT session, UNNEST(RANGE(0, MAX(idx) + 1)) AS idx FROM sm GROUP BY session) SELECT w.session, CAST(w.idx AS BIGINT) AS idx, COALESCE(sm.value, 0.0) AS value FROM w LEFT JOIN sm ON sm.session = w.session AND sm.idx = w.idx AND sm.value > 50")
 def restrict_to_window_grid(spark, sf_dir):
-    windows = b.events(spark, sf_dir).select("session").distinct().withColumns({"first": F.lit(100).cast("long"), "last_plus": F.lit(400).cast("long")})
-    return sync.grid(windows, b.samples(spark, sf_dir).where("value > 50"))
+    """One window over the whole of each session."""
+    samples = b.samples(spark, sf_dir)
+    windows = samples.groupBy("session").agg(F.lit(0).cast("long").alias("first"), (F.max("idx") + 1).alias("last_plus"))
+    return sync.grid(windows, samples.where("value > 50"))
 
 
 @query(
