@@ -37,7 +37,8 @@ def fill_linear(samples: DataFrame, longest: int, by: Sequence[str] = ("session"
     w = Window.partitionBy(*by).orderBy(idx)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(idx).alias("i"), F.col(value).alias("v")))
     before = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # From the end on: Spark adds up a frame that has no end anew for each row.
+    after = F.last(known, ignorenulls=True).over(Window.partitionBy(*by).orderBy(F.desc(idx)).rowsBetween(Window.unboundedPreceding, 0))
     rows = samples.withColumns({"_p": before, "_q": after})
     gap = F.col("_q.i") - F.col("_p.i")
     line = F.col("_p.v") + (F.col(idx) - F.col("_p.i")) / gap * (F.col("_q.v") - F.col("_p.v"))
