@@ -95,7 +95,7 @@ def subtract(a: DataFrame, b: DataFrame, by: Sequence[str] = ("session",)) -> Da
 
 
 def intersect_pairs(a: DataFrame, b: DataFrame, width: float, by: Sequence[str] = ("session",)) -> DataFrame:
-    """The overlap of each pair of periods, not merged."""
+    """The overlap of each pair of periods, not merged; that of an empty period inside of another one is empty."""
     return rangejoin.overlaps(a, b, width, by).select(*by, "start", "stop")
 
 
