@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import intervals, rangejoin
 
+#: Stretches of a session that transitions() goes through in one group.
+STRETCHES = 4096
+
 
 def get(states: DataFrame, name: str) -> DataFrame:
     """Periods of the state whose label is name, else of the one whose key is (a small job looks for the label)."""
@@ -48,8 +54,8 @@ def transitions(a: DataFrame, b: DataFrame, window: float) -> DataFrame:
 
     Stops are taken in order; each gets the first start after it that no stop before has used, and uses it if it is near
     enough. A stop whose first start lies beyond the reach of the stop before depends on no earlier one: there the
-    session is cut, so each stretch is folded for itself, whatever the size of the session. Repeated starts are used one
-    by one.
+    session is cut, and each group of stretches is gone through once. Where a session has no such stop, that's one pass
+    over the times of all its rows. Repeated starts are used one by one.
     """
     rows = a.select("session", F.col("stop").alias("t"), F.lit(1).alias("_k")).unionByName(b.select("session", F.col("start").alias("t"), F.lit(0).alias("_k")))
     order = Window.partitionBy("session").orderBy("t", "_k")
@@ -63,22 +69,26 @@ def transitions(a: DataFrame, b: DataFrame, window: float) -> DataFrame:
     rows = rows.withColumn("_cut", F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     # Starts that no stop of their stretch reaches stay out, so that a stretch is as long as its stops are dense.
     near = rows.where((F.col("_cut") > 0) & ((F.col("_k") == 1) | (F.col("t") <= F.col("_prev") + window)))
-    within = Window.partitionBy("session", "_cut").orderBy("t", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = near.withColumn("_rank", F.sum((F.col("_k") == 0).cast("int")).over(within))
-    each = ranked.groupBy("session", "_cut").agg(
-        F.sort_array(F.collect_list(F.when(F.col("_k") == 0, F.col("t")))).alias("_starts"), F.sort_array(F.collect_list(F.when(F.col("_k") == 1, F.struct("t", "_rank")))).alias("_stops")
-    )
-
-    def step(acc: Column, stop: Column) -> Column:
-        at = F.greatest(acc["at"], stop["_rank"])
-        reached = F.coalesce(F.get(F.col("_starts"), at) - stop["t"] <= window, F.lit(False))
-        return F.struct((at + reached.cast("int")).alias("at"), F.when(reached, F.array_append(acc["used"], at)).otherwise(acc["used"]).alias("used"))
-
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("used"))
-    used = each.select("session", "_starts", F.explode(F.aggregate("_stops", first, step)["used"]).alias("_i"))
-    start = F.get("_starts", F.col("_i").cast("int"))
-    return used.select("session", (start - window).alias("start"), (start + window).alias("stop"))
-
+    # Stretches that follow each other make one group, as the pass below begins anew by itself where one begins.
+    ship(near.sparkSession)
+    near = near.select("session", F.floor(F.col("_cut") / STRETCHES).alias("_group"), "t", "_k")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in near.schema.fields if f.name in ("session", "t"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["t", "_k"], kind="stable")
+        t, stop = group["t"].to_numpy(), group["_k"].to_numpy() == 1
+        starts = t[~stop]
+        ahead, times, stops, n = np.cumsum(~stop)[stop].tolist(), starts.tolist(), t[stop].tolist(), len(starts)
+        at, used = 0, []
+        for first, since in zip(ahead, stops):
+            at = max(at, first)
+            if at < n and times[at] - since <= window:
+                used.append(at)
+                at += 1
+        return pd.DataFrame({"session": group["session"].iloc[0], "t": starts[used]})
+
+    found = near.groupBy("session", "_group").applyInPandas(run, schema)
+    return found.select("session", (F.col("t") - window).alias("start"), (F.col("t") + window).alias("stop"))
 
 
 def pair_in_order(starts: DataFrame, stops: DataFrame, by: Sequence[str] = ("session",), t: str = "t") -> DataFrame:
