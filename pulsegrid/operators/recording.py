@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import small
+from ..session import ship, small
 
 EPS32 = 1.1920928955078125e-07
 
@@ -16,22 +18,54 @@ def match_chunks(chunks: DataFrame, windows: DataFrame, rate: float, tolerance:
     """(session, chunk, start, stop): each chunk (session, chunk, n_frames), in order, with the first unused window
     (session, start, stop) of its length; both times one frame earlier.
 
-    Windows of a session are gone through once, with the set of those used so far: a session has few of them.
+    Windows of a session are sorted by length and cut where the reach of any chunk's length begins or ends; each piece keeps its unused
+    windows in order, so a chunk looks at the first ones of the pieces in its reach. A task holds the times of a session's windows and chunks.
     """
-    w = windows.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("w"))
-    c = chunks.where("n_frames > 0").groupBy("session").agg(F.array_sort(F.collect_list(F.struct("chunk", "n_frames"))).alias("c"))
-    both = c.join(w, "session")
-
-    def step(acc, chunk):
-        free = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: ~F.array_contains(acc["used"], i) & (F.abs(F.get("w", i)["stop"] - F.get("w", i)["start"] - chunk["n_frames"] / F.lit(rate)) < tolerance))
-        i = F.get(free, F.lit(0))
-        hit = F.struct(chunk["chunk"].alias("chunk"), (F.get("w", i)["start"] - 1 / rate).alias("start"), (F.get("w", i)["stop"] - 1 / rate).alias("stop"))
-        return F.when(i.isNull(), acc).otherwise(F.struct(F.array_append(acc["used"], i).alias("used"), F.array_append(acc["out"], hit).alias("out")))
-
-    kind = chunks.schema["chunk"].dataType.simpleString()
-    first = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast(f"array<struct<chunk:{kind},start:double,stop:double>>").alias("out"))
-    found = F.aggregate("c", first, step)["out"]
-    return both.select("session", F.explode(found).alias("m")).select("session", "m.*")
+    ship(chunks.sparkSession)
+    c = chunks.where("n_frames > 0 AND session IS NOT NULL").select("session", "chunk", F.col("n_frames").cast("double").alias("n_frames"))
+    w = windows.where("start IS NOT NULL AND stop IS NOT NULL").select(F.col("session").cast(c.schema["session"].dataType).alias("session"), F.col("start").cast("double").alias("start"), F.col("stop").cast("double").alias("stop"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in c.schema.fields[:2])
+
+    def run(c: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
+        c, w = c.sort_values(["chunk", "n_frames"], kind="stable"), w.sort_values(["start", "stop"], kind="stable")
+        start, stop = w["start"].to_numpy(), w["stop"].to_numpy()
+        which = first_unused(stop - start, c["n_frames"].to_numpy() / rate, tolerance)
+        hit = which >= 0
+        return pd.DataFrame({"session": c["session"][hit], "chunk": c["chunk"][hit], "start": start[which[hit]] - 1 / rate, "stop": stop[which[hit]] - 1 / rate})
+
+    return c.groupBy("session").cogroup(w.groupBy("session")).applyInPandas(run, f"{schema}, start double, stop double")
+
+
+def first_unused(lengths: np.ndarray, wanted: np.ndarray, tolerance: float) -> np.ndarray:
+    """For each wanted length in order the first of `lengths` less than `tolerance` away that none before has taken, or -1."""
+    n, order = len(lengths), np.argsort(lengths, kind="stable")
+    by_length = lengths[order]
+    kinds, kind = np.unique(wanted, return_inverse=True)
+    # Ends of each reach by the comparison itself, near where a search for them points to.
+    near = lambda i: np.abs(by_length[i] - kinds[some]) < tolerance  # noqa: B023, E731
+    low, high = np.searchsorted(by_length, kinds - tolerance), np.searchsorted(by_length, kinds + tolerance, side="right")
+    for place, inward, inside in ((low, 1, 0), (high, -1, -1)):
+        for step in (-inward, inward):
+            some = np.arange(len(kinds))
+            while len(some):
+                at = place[some] + (inside if step == inward else inside - inward)
+                some = some[(at >= 0) & (at < n) & ((low[some] < high[some]) | (step != inward))]
+                at = place[some] + (inside if step == inward else inside - inward)
+                some = some[~near(at) if step == inward else near(at)]
+                place[some] += step
+    cuts = np.unique(np.concatenate([low, high, [0, n]]))
+    pieces = [np.sort(order[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    heads, used = np.array([p[0] for p in pieces] + [n]), np.zeros(len(pieces), int)
+    first, last = np.searchsorted(cuts, low), np.searchsorted(cuts, high)
+    out = np.full(len(wanted), -1)
+    for i, k in enumerate(kind.tolist()):
+        if first[k] < last[k]:
+            p = first[k] + int(heads[first[k] : last[k]].argmin())
+            if heads[p] < n:
+                out[i] = heads[p]
+                used[p] += 1
+                heads[p] = pieces[p][used[p]] if used[p] < len(pieces[p]) else n
+    return out
 
 
 def on_grid(frames: DataFrame, matched: DataFrame, rate: float, values: Sequence[str] = ("x", "y", "z"), keys: Sequence[str] = ("marker",)) -> DataFrame:
