@@ -7,8 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import save, small
 from . import binning
 
+#: Leading bits of a row's hash that make its bucket in balanced().
+BUCKET_BITS = 10
+
 
 def lagged_information(samples: DataFrame, lags: Sequence[int], a: str, c: str, by: Sequence[str] = ("session",), idx: str = "idx") -> DataFrame:
     """(by, lag, mi): bits that bin a at a row has on bin c at the row `lag` later, around the end (rows are numbered from 0)."""
@@ -80,10 +84,24 @@ def training_split(periods: DataFrame, share: float, trim: float, seed: int = 0)
     return kept.withColumn("train", rank <= F.ceil(n * share))
 
 
-def balanced(rows: DataFrame, label: str, size: int, seed: int = 0, key: Sequence[str] = ("session", "idx")) -> DataFrame:
-    """`size` draws with replacement from the rows of each label: rows are numbered by a hash and draws pick numbers."""
-    number = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(*key, F.lit(seed)), *key))
-    rows = rows.withColumn("_k", number.cast("long"))
-    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
+def balanced(rows: DataFrame, label: str, size: int, seed: int = 0, key: Sequence[str] = ("session", "idx"), times: str | None = None) -> DataFrame:
+    """`size` draws with replacement from the rows of each label: rows are numbered by a hash and draws pick numbers.
+
+    times: a column with how often a row stands for itself, which is left out of the result. Rows are numbered in buckets of their hash, so no task sorts a
+    label, and only buckets that a draw falls in are.
+    """
+    hashed = F.xxhash64(*key, F.lit(seed))
+    rows = rows.withColumns({"_h": hashed, "_w": F.lit(1).cast("long") if times is None else F.col(times).cast("long")}).withColumn("_b", F.shiftright("_h", 64 - BUCKET_BITS))
+    rows = save(rows if times is None else rows.drop(times))
+    totals = rows.groupBy(label, "_b").agg(F.sum("_w").alias("_t"))
+    until = F.sum("_t").over(Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    buckets = totals.select(label, "_b", (until - F.col("_t")).alias("_from"), until.alias("_to"))
+    counts = totals.groupBy(label).agg(F.sum("_t").alias("_n"))
     draws = counts.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(size)))).withColumn("_k", F.pmod(F.xxhash64(label, "draw", F.lit(seed)), F.col("_n")) + 1).drop("_n")
-    return draws.join(rows, [label, "_k"]).drop("_k")
+    draws = draws.join(buckets, label).where("_k > _from AND _k <= _to").select(label, "draw", "_b", (F.col("_k") - F.col("_from")).alias("_k"))
+    draws = save(draws)
+    near = rows.join(small(draws.select(label, "_b").distinct()), [label, "_b"], "left_semi")
+    number = F.sum("_w").over(Window.partitionBy(label, "_b").orderBy("_h", *key).rowsBetween(Window.unboundedPreceding, 0))
+    numbered = near.withColumn("_last", number)
+    found = numbered.join(small(draws), [label, "_b"]).where("_k > _last - _w AND _k <= _last")
+    return found.select(label, "draw", *(c for c in rows.columns if c not in (label, "_h", "_w", "_b")))

@@ -166,6 +166,22 @@ def active_count(points: DataFrame, ranges: DataFrame, by: Sequence[str] = ("ses
     return scans.along(every, by, t, width, [t, "_kind"], sums={"active": F.col("_step")}).where("_kind = 1").drop("_kind", "_step")
 
 
+def label_counts(points: DataFrame, ranges: DataFrame, labels: Sequence[str], by: Sequence[str] = ("session",), t: str = "t", width: float | None = None) -> DataFrame:
+    """(points, label, n): for each label the number of its ranges [start, stop) that hold a point, where there are any; by one sweep, no pair is formed."""
+    by, names = list(by), [f"_n{i}" for i in range(len(labels))]
+    step = lambda s: [F.sum(F.when(F.col("label") == name, F.lit(s)).otherwise(0)).cast("long").alias(n) for n, name in zip(names, labels)]
+    usable = ranges.where("stop > start")
+    ends = [usable.groupBy(*by, F.col(end).alias(t)).agg(*step(s)) for end, s in (("start", 1), ("stop", -1))]
+    keep = [c for c in points.columns if c not in by and c != t]
+    blank = [F.lit(None).cast(points.schema[c].dataType).alias(c) for c in keep]
+    every = points.withColumns({"_kind": F.lit(1), **{n: F.lit(0).cast("long") for n in names}})
+    for one in ends:
+        every = every.unionByName(one.select(*by, t, *blank, F.lit(0).alias("_kind"), *names))
+    swept = scans.along(every, by, t, width, [t, "_kind"], sums={f"{n}_": F.col(n) for n in names}).where("_kind = 1")
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("label"), F.col(f"{n}_").alias("n")) for n, name in zip(names, labels))))
+    return swept.select(*points.columns, each.alias("_e")).select(*points.columns, "_e.label", "_e.n").where("n > 0")
+
+
 def label_matrix(points: DataFrame, ranges: DataFrame, labels: Sequence[str], width: float, by: Sequence[str] = ("session",), t: str = "t", key: str = "event_id") -> DataFrame:
     """(by, key, one boolean column for each label): whether any range of that label holds the point, ends included."""
     hits = rangejoin.points_in_periods(points.select(*by, key, t), ranges, width, by, t, closed=True)
