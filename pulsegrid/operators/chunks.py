@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..session import save, ship, small
 
 CHUNK = 1 << 13
+#: Entries of arrays that each() gathers before it gives them out.
+EACH = 1 << 15
 
 
 def pack(rows: DataFrame, by: Sequence[str], values: Sequence[str], idx: str = "idx", chunk: int = CHUNK) -> DataFrame:
@@ -46,8 +48,14 @@ def each(chunks: DataFrame, work: Callable[[pd.Series], dict], schema: str) -> D
 
     def run(batches):
         for batch in batches:
-            rows = batch.to_dict("records")
-            yield pd.DataFrame([{**r, **work(r)} for r in rows], columns=names) if rows else pd.DataFrame({n: [] for n in names})
+            made, size = [], 0
+            for at in range(len(batch)):
+                row = {c: batch[c].iat[at] for c in batch.columns}
+                made.append({**row, **work(row)})
+                size += sum(len(x) for x in made[-1].values() if hasattr(x, "__len__"))
+                if size >= EACH or at + 1 == len(batch):  # what is made of a batch isn't held as a whole
+                    yield pd.DataFrame(made, columns=names)
+                    made, size = [], 0
 
     return chunks.mapInPandas(run, schema)
 

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+#: The limit of bytes of an Arrow batch, and what Spark sets it to.
+BATCH_BYTES, DEFAULT_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast only if a count shows that it has `rows` rows at most; else the join is Spark's choice."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -25,8 +29,11 @@ def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once for each Spark context.
 
     Where the size of Arrow batches is as Spark sets it, it is lowered: rows here are whole documents, and a batch of
-    10,000 of them takes tens of megabytes on both sides of each worker.
+    10,000 of them takes tens of megabytes on both sides of each worker. Chunks of long series are larger yet, so
+    batches have a limit of bytes too.
     """
+    if spark.conf.get(BATCH_BYTES, None) in (None, DEFAULT_BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, "16777216")
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     sc = spark.sparkContext
