@@ -33,7 +33,9 @@ from .common import Workspace, read
 DEPTH = 4
 FIRST_DEPTH = 2
 #: Words of a shard, about: texts are added until it has as many.
-SHARD = 1 << 19
+SHARD = 1 << 18
+#: Rows that a shard gives out at once.
+ROWS = 1 << 15
 #: Bits of the filter, and of one row of it (what Spark's bitmap functions use).
 BITS = 1 << 27
 ROW_BITS = 1 << 15
@@ -182,8 +184,8 @@ def _shards(batches: Iterator[pa.RecordBatch], langs: dict[int, str], texts: boo
 
 
 def _hashed(h: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(h), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (h.view(np.int64), count)], ["h", "f"])
+    for i in range(0, len(h), ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + ROWS]) for x in (h.view(np.int64), count)], ["h", "f"])
 
 
 def _count_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,19 +252,23 @@ def _count_phrases(shared):
             end, length, count = end[some], length[some], count[some]
             known: dict[int, str] = {}
             symbols = shard.symbol[kept]
-            phrases = []
-            for e, d in zip(end.tolist(), length.tolist()):
-                parts = []
-                for i in range(e - d + 1, e + 1):
-                    s = int(symbols[i])
-                    if s not in known:
-                        known[s] = shard.text(int(kept[i]))
-                    parts.append(known[s])
-                phrases.append(" ".join(parts))
+            names = ["lang", "phrase", "words", "f"]
+            for i in range(0, len(end), ROWS):
+                some = slice(i, i + ROWS)
+                phrases = []
+                for e, d in zip(end[some].tolist(), length[some].tolist()):
+                    parts = []
+                    for at in range(e - d + 1, e + 1):
+                        s = int(symbols[at])
+                        if s not in known:
+                            known[s] = shard.text(int(kept[at]))
+                        parts.append(known[s])
+                    phrases.append(" ".join(parts))
+                of = [langs[x] for x in shard.lang[kept[end[some]]].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array(phrases, pa.string()), pa.array(length[some]), pa.array(count[some])], names)
             total = np.bincount(shard.lang, minlength=len(langs))
-            of = [langs[x] for x in shard.lang[kept[end]].tolist()] + [langs[i] for i in range(len(langs))]
-            columns = [pa.array(of, pa.string()), pa.array(phrases + [""] * len(langs), pa.string()), pa.array(np.append(length, np.zeros(len(langs), np.int64))), pa.array(np.append(count, total))]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "f"])
+            every = [langs[x] for x in range(len(langs))]
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([""] * len(every), pa.string()), pa.array(np.zeros(len(every), np.int64)), pa.array(total)], names)
 
     return run
 

@@ -109,3 +109,27 @@ def test_automaton():
 def test_few_rows(spark, n):
     docs = spark.createDataFrame([("en", "a b a b")] * n, "lang string, text string")
     assert sorted(map(tuple, phrases.collocations(docs, 1).collect())) == expected([("en", "a b a b")] * n, 1)
+
+
+def test_shards_give_out_a_few_rows_at_once(monkeypatch):
+    """op11 (check): no batch holds all that a shard gives out, and the batches add up to its phrases."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(phrases, "ROWS", 10)
+    texts = ["one two three. four five six seven", "one two three four", "eight nine"]
+    full = np.full(phrases.BITS // 8, 255, np.uint8)
+    table = pa.RecordBatch.from_pydict({"lang": ["en", "en", "de"], "text": texts})
+
+    class Shared:
+        value = full, full
+
+    made = list(phrases._count_phrases(Shared)(iter([table])))
+    assert max(b.num_rows for b in made) <= 10
+    got = Counter({(r["lang"], r["phrase"]): r["f"] for b in made for r in b.to_pylist() if r["words"]})
+    want = Counter()
+    for lang, text in zip(["en", "en", "de"], texts):
+        for piece in text.split("."):
+            w = piece.split()
+            want.update((lang, " ".join(w[i : i + k])) for k in range(1, 5) for i in range(len(w) - k + 1))
+    assert got == want
+    assert {(r["lang"], r["f"]) for b in made for r in b.to_pylist() if not r["words"]} == {("en", 11), ("de", 2)}
