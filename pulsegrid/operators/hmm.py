@@ -6,7 +6,7 @@ does the rest inside of each chunk. The path is found in the same way with maxim
 run over rows of about the square root of its samples, so numpy works on many samples at once.
 
 Sums for the new model are added by Spark; a round ends when no session's likelihood grows by `tol` any more. Sessions of
-one chunk are fitted by one task each, with the same functions.
+one chunk are fitted by one task each, in the same two steps, many sessions at once (class _Many).
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from . import chunks as ch
 LEAST_VARIANCE = 1e-6
 TINY = 1e-300
 KINDS = ("full", "diag", "spherical", "tied")
+#: Samples of the short sessions that are fitted at once, filled up ones included.
+AT_ONCE = 1 << 15
 
 
 class Model:
@@ -268,6 +270,214 @@ def path_local(model: Model, x: np.ndarray) -> np.ndarray:
     return chunk_path(model, x, True, none, int(chunk_best(model, x, True)[0].argmax()))
 
 
+class _Many:
+    """Baum-Welch and best paths of several series of one chunk at once; each has a model and an end of its own.
+
+    Arrays are (series, ...), and samples lie as (series, rows, steps) with rows of consecutive ones. Shorter series are filled up, which `live` marks.
+    """
+
+    def __init__(self, xs: Sequence[np.ndarray], k: int, kind: str):
+        self.k, self.d, self.kind = k, xs[0].shape[1], kind
+        self.n = np.array([len(x) for x in xs])
+        most = int(self.n.max())
+        self.steps = max(1, int(np.ceil(np.sqrt(most))))
+        self.rows = -(-most // self.steps)
+        self.x = np.zeros((len(xs), self.rows * self.steps, self.d))
+        for i, x in enumerate(xs):
+            self.x[i, : len(x)] = x
+        self._mark()
+
+    def _mark(self) -> None:
+        self.on = np.arange(self.x.shape[1]) < self.n[:, None]
+        self.live = self.on.reshape(len(self.n), self.rows, self.steps)
+
+    def _some(self, which: np.ndarray) -> _Many:
+        out = object.__new__(_Many)
+        out.k, out.d, out.kind, out.steps, out.rows = self.k, self.d, self.kind, self.steps, self.rows
+        out.n, out.x = self.n[which], self.x[which]
+        out._mark()
+        return out
+
+    def _moments(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return weight.sum(axis=1), np.einsum("snk,sni->ski", weight, self.x), np.einsum("snk,sni,snj->skij", weight, self.x, self.x)
+
+    def _gauss(self, weight: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = np.maximum(weight, 1e-12)
+        mean = first / w[..., None]
+        cov = second / w[..., None, None] - mean[..., :, None] * mean[..., None, :]
+        one = np.eye(self.d)
+        if self.kind == "tied":
+            cov = np.repeat(((cov * w[..., None, None]).sum(axis=1) / w.sum(axis=1)[:, None, None])[:, None], self.k, axis=1)
+        if self.kind == "diag":
+            cov = cov * one
+        if self.kind == "spherical":
+            cov = np.trace(cov, axis1=2, axis2=3)[..., None, None] / self.d * one
+        low = np.linalg.eigvalsh(cov).min(axis=2)
+        return mean, cov + one * LEAST_VARIANCE + np.maximum(0.0, -low)[..., None, None] * one
+
+    def starting(self) -> list[np.ndarray]:
+        """start, move, mean and cov from groups by quantiles of the first feature."""
+        ordered = np.sort(np.where(self.on, self.x[:, :, 0], np.inf), axis=1)
+        at = np.ceil(self.n[:, None] * (np.arange(1, self.k) / self.k) - 1).astype(int).clip(0, self.n[:, None] - 1)
+        cut = np.take_along_axis(ordered, at, axis=1)
+        group = (cut[:, None, :] <= self.x[:, :, :1]).sum(axis=2)
+        mean, cov = self._gauss(*self._moments(np.eye(self.k)[group] * self.on[:, :, None]))
+        move = np.full((self.k, self.k), 0.1 / max(1, self.k - 1))
+        np.fill_diagonal(move, 0.9 if self.k > 1 else 1.0)
+        s = len(self.n)
+        return [np.full((s, self.k), 1 / self.k), np.tile(move, (s, 1, 1)), mean, cov + 1e-3 * np.eye(self.d)]
+
+    def _density(self, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+        """(series, samples, k): log density of each sample in each state."""
+        root = np.linalg.cholesky(cov)
+        z = np.linalg.solve(root, (self.x[:, None] - mean[:, :, None]).transpose(0, 1, 3, 2))
+        scale = np.log(np.diagonal(root, axis1=2, axis2=3)).sum(axis=2)
+        return (-0.5 * (z * z).sum(axis=2) - scale[..., None] - 0.5 * self.d * np.log(2 * np.pi)).transpose(0, 2, 1)
+
+    def _by_step(self, a: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(a.reshape(len(self.n), self.rows, self.steps, -1).transpose(2, 0, 1, 3))
+
+    def _round(self, model: list[np.ndarray]) -> tuple[np.ndarray, tuple]:
+        """(log likelihood of each series, what sums() needs)."""
+        start, move, mean, cov = model
+        logs = self._density(mean, cov)
+        top = logs.max(axis=2)
+        like = self._by_step(np.where(self.on[:, :, None], np.exp(logs - top[:, :, None]) + TINY, 1.0))
+        series, k = len(self.n), self.k
+        out, log = np.tile(np.eye(k), (series, self.rows, 1, 1)), np.zeros((series, self.rows))
+        into = np.repeat(start[:, None, :], k, axis=1)
+        for s in range(self.steps):
+            step = out @ move[:, None]
+            if s == 0:
+                step[:, 0] = out[:, 0] @ into
+            step = step * like[s][:, :, None, :]
+            scale = step.sum(axis=(2, 3))
+            on = self.live[:, :, s]
+            out = np.where(on[..., None, None], step / scale[..., None, None], out)
+            log += np.where(on, np.log(scale), 0.0)
+        whole, total = out[:, 0], log.sum(axis=1) + np.where(self.on, top, 0.0).sum(axis=1)
+        for r in range(1, self.rows):
+            step = whole @ out[:, r]
+            scale = step.sum(axis=(1, 2))
+            on = self.live[:, r, 0]
+            whole = np.where(on[:, None, None], step / scale[:, None, None], whole)
+            total += np.where(on, np.log(scale), 0.0)
+        return total + np.log(whole.sum(axis=(1, 2)) / k), (like, out, into)
+
+    def _better(self, model: list[np.ndarray], like: np.ndarray, parts: np.ndarray, into: np.ndarray, update: bool) -> list[np.ndarray]:
+        """The model of the next round."""
+        _, move, mean, cov = model
+        series, k, steps, rows = len(self.n), self.k, self.steps, self.rows
+        before, after = np.empty((series, rows, k)), np.empty((series, rows, k))
+        a, b = np.full((series, k), 1 / k), np.full((series, k), 1 / k)
+        for r in range(rows):
+            before[:, r] = a
+            step = (a[:, None] @ parts[:, r])[:, 0]
+            a = np.where(self.live[:, r, :1], step / step.sum(axis=1, keepdims=True), a)
+        for r in reversed(range(rows)):
+            after[:, r] = b
+            step = (parts[:, r] @ b[..., None])[..., 0]
+            b = np.where(self.live[:, r, :1], step / step.sum(axis=1, keepdims=True), b)
+        alpha, a = np.empty((steps + 1, series, rows, k)), before
+        alpha[0] = a
+        for s in range(steps):
+            step = a @ move
+            if s == 0:
+                step[:, 0] = (a[:, 0, None] @ into)[:, 0]
+            step = step * like[s]
+            a = alpha[s + 1] = np.where(self.live[:, :, s, None], step / step.sum(axis=2, keepdims=True), a)
+        beta, b = np.empty((steps, series, rows, k)), after
+        back = move.transpose(0, 2, 1)
+        for s in reversed(range(steps)):
+            beta[s] = b
+            weighted = like[s] * b
+            step = weighted @ back
+            if s == 0:
+                step[:, 0] = (into @ weighted[:, 0, :, None])[..., 0]
+            b = np.where(self.live[:, :, s, None], step / step.sum(axis=2, keepdims=True), b)
+        gamma = alpha[1:] * beta
+        gamma = (gamma / gamma.sum(axis=3, keepdims=True)).transpose(1, 2, 0, 3).reshape(series, -1, k) * self.on[:, :, None]
+        pair = np.zeros((series, k, k))
+        for s in range(steps):
+            joint = alpha[s][..., :, None] * move[:, None] * (like[s] * beta[s])[..., None, :]
+            on = self.live[:, :, s].copy()
+            if s == 0:
+                on[:, 0] = False
+            pair += np.where(on[..., None, None], joint / np.maximum(joint.sum(axis=(2, 3), keepdims=True), TINY), 0.0).sum(axis=1)
+        sums = pair.sum(axis=2, keepdims=True)
+        head = gamma[:, 0]
+        made = [head / head.sum(axis=1, keepdims=True), np.where(sums > 0, pair / np.maximum(sums, TINY), 1 / k)]
+        return made + (list(self._gauss(*self._moments(gamma))) if update else [mean, cov])
+
+    def fit(self, iterations: int, tol: float, update: bool) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """(model, log likelihood, rounds) of each series; a series leaves when its likelihood grows by less than tol."""
+        model = self.starting()
+        like, rounds = np.full(len(self.n), -np.inf), np.zeros(len(self.n), int)
+        going = np.arange(len(self.n))
+        part, own = self, model
+        for i in range(1, iterations + 1):
+            now, held = part._round(own)
+            grows = ~(now - like[going] < tol)
+            like[going], rounds[going] = now, i
+            if not grows.any():
+                break
+            if not grows.all():
+                going, part, own = going[grows], part._some(grows), [a[grows] for a in own]
+                held = (held[0][:, grows], held[1][grows], held[2][grows])
+            own = part._better(own, *held, update)
+            for a, b in zip(model, own):
+                a[going] = b
+        return model, like, rounds
+
+    def paths(self, model: list[np.ndarray]) -> list[np.ndarray]:
+        """The states of the best path of each series."""
+        start, move, mean, cov = model
+        like, move, series, k = self._by_step(self._density(mean, cov)), _log(move), len(self.n), self.k
+        into = np.repeat(_log(start)[:, None, :], k, axis=1)
+        none = np.where(np.eye(k) > 0, 0.0, -1e300)
+        parts = np.tile(none, (series, self.rows, 1, 1))
+        for s in range(self.steps):
+            step = (parts[..., None] + move[:, None, None]).max(axis=3)
+            if s == 0:
+                step[:, 0] = (parts[:, 0, :, :, None] + into[:, None]).max(axis=2)
+            parts = np.where(self.live[:, :, s, None, None], step + like[s][:, :, None, :], parts)
+        scores = [np.zeros((series, k))]
+        for r in range(self.rows):
+            scores.append(np.where(self.live[:, r, :1], (scores[-1][:, :, None] + parts[:, r]).max(axis=1), scores[-1]))
+        every = np.arange(series)
+        ends, at = np.empty((series, self.rows), int), scores[-1].argmax(axis=1)
+        for r in reversed(range(self.rows)):
+            ends[:, r] = at
+            at = np.where(self.live[:, r, 0], (scores[r] + parts[every, r, :, at]).argmax(axis=1), at)
+        score = none[np.concatenate([at[:, None], ends[:, :-1]], axis=1)]
+        score[:, 0] = 0.0
+        back = np.empty((self.steps, series, self.rows, k), int)
+        for s in range(self.steps):
+            step = score[..., None] + move[:, None]
+            if s == 0:
+                step[:, 0] = score[:, 0, :, None] + into
+            best, on = step.argmax(axis=2), self.live[:, :, s, None]
+            back[s] = np.where(on, best, np.arange(k))
+            score = np.where(on, np.take_along_axis(step, best[:, :, None, :], axis=2)[:, :, 0] + like[s], score)
+        out, at = np.empty((self.steps, series, self.rows), int), ends
+        for s in reversed(range(self.steps)):
+            out[s] = at
+            at = np.take_along_axis(back[s], at[..., None], axis=2)[..., 0]
+        flat = out.transpose(1, 2, 0).reshape(series, -1)
+        return [flat[i, :n] for i, n in enumerate(self.n)]
+
+
+def _together(sizes: Sequence[int]) -> list[list[int]]:
+    """Numbers of series in groups of similar lengths that take AT_ONCE samples at most when filled up, or are one series."""
+    out: list[list[int]] = []
+    for i in np.argsort(sizes, kind="stable")[::-1].tolist():
+        if out and (len(out[-1]) + 1) * sizes[out[-1][0]] <= AT_ONCE:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
 def _x(row: dict, features: Sequence[str]) -> np.ndarray:
     return np.stack([np.asarray(row[f], float) for f in features], axis=1)
 
@@ -303,17 +513,31 @@ def gauss_hmm(
         o = np.argsort(model.mean[:, 0], kind="stable")
         return Model(model.start[o], model.move[o][:, o], model.mean[o], model.cov[o]).flat().tolist()
 
-    def one(row: dict) -> dict:
-        x = _x(row, features)
-        if len(x) < 2 * k:
-            return {"state": [0] * len(x), "model": None, "log_likelihood": None, "rounds": 0}
-        model, like, rounds = fit_local(x, k, kind, iterations, tol, update)
-        return {"state": number(model)[path_local(model, x)].tolist(), "model": sorted_flat(model), "log_likelihood": like, "rounds": rounds}
+    names = [*by, "idx", "state", "model", "log_likelihood", "rounds"]
+
+    def fitted(batches):
+        for batch in batches:
+            xs = [_x({f: batch[f].iat[i] for f in features}, features) for i in range(len(batch))]
+            enough = [i for i, x in enumerate(xs) if len(x) >= 2 * k]
+            groups = [[enough[j] for j in group] for group in _together([len(xs[i]) for i in enough])]
+            short = [i for i, x in enumerate(xs) if len(x) < 2 * k]
+            for group in groups + [short] * bool(short):
+                out = batch[[*by, "idx"]].iloc[group]
+                if group is short:
+                    yield out.assign(state=[[0] * len(xs[i]) for i in group], model=None, log_likelihood=None, rounds=0)[names]
+                    continue
+                many_ = _Many([xs[i] for i in group], k, kind)
+                found, like, rounds = many_.fit(iterations, tol, update)
+                models = [Model(*parts) for parts in zip(*found)]
+                states_ = [number(m)[p].tolist() for m, p in zip(models, many_.paths(found))]
+                yield out.assign(state=states_, model=[sorted_flat(m) for m in models], log_likelihood=like, rounds=rounds)[names]
 
     idx_type = packed.schema["idx"].dataType.simpleString()
-    done = save(ch.each(local, one, f"{kept}, `idx` {idx_type}, state array<int>, model array<double>, log_likelihood double, rounds int"))
+    # Few bytes are much work here: Spark would join small partitions to a handful of tasks.
+    spread = max(4 * samples.sparkSession.sparkContext.defaultParallelism, int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    done = save(local.repartition(spread, *by).mapInPandas(fitted, f"{kept}, `idx` {idx_type}, state array<int>, model array<double>, log_likelihood double, rounds int"))
     if many.limit(1).count():
-        done = done.unionByName(_fit_many(many, by, features, k, d, kind, iterations, tol, update, number, sorted_flat, kept, idx_type))
+        done = done.unionByName(_fit_many(many.repartition(spread, *by, "bucket"), by, features, k, d, kind, iterations, tol, update, number, sorted_flat, kept, idx_type))
     models = done.where("model IS NOT NULL")
     cut = lambda a, n: F.slice("model", F.lit(a + 1), F.lit(n))
     models = models.select(
