@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -18,6 +19,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import ship
 
+#: Rows of a piece of state, and rows that are gathered before they are sorted.
+PIECE, GATHER = 1 << 13, 1 << 16
+ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+
 
 def rates(points: DataFrame, window: str, late: str, t: str = "ts", unit: str = "unit") -> DataFrame:
     """(start, unit, n): points in windows of event time; those later than `late` are dropped once their window closed."""
@@ -52,7 +57,9 @@ def crossings(samples: DataFrame, threshold: float) -> DataFrame:
 class _InOrder(StatefulProcessor):
     """Rows (ms, columns) of a session to step(state, rows in order) -> (state, output rows); end(state) gives out what is open.
 
-    State of a session: the rows that the watermark hasn't passed, and a small value that step keeps as JSON.
+    State of a session: the rows that the watermark hasn't passed, in sorted pieces of PIECE rows at most under their first and last instant, and a small value that
+    step keeps as JSON. A piece is one entry of the state, so rows don't go in and out one by one. Pieces are read in order of their first instant; rows before that of the
+    next piece are complete.
     """
 
     def __init__(self, columns: list[str], kinds: str, step: Callable, end: Callable, names: list[str], idle: int):
@@ -60,43 +67,83 @@ class _InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", f"ms long, {self.kinds}")
-        self.value = handle.getValueState("value", "state string, last long")
+        self.schema = pa.schema([("ms", pa.int64()), *((c, ARROW[kind]) for c, kind in (x.split() for x in self.kinds.split(", ")))])
+        self.held = handle.getMapState("held", "low long, high long, number long", "body binary")
+        self.number = handle.getValueState("number", "n long")
+        self.value = handle.getValueState("value", "state string, last long, passed long")
 
     def _out(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
         made = pd.DataFrame(rows, columns=self.names[1:])
         made.insert(0, self.names[0], key[0])
         return made
 
+    def _sorted(self, tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).sort_by([(c, "ascending") for c in self.schema.names]).combine_chunks()
+
+    def _hold(self, table: pa.Table) -> None:
+        """Sorted rows, held until the watermark has passed them."""
+        number = self.number.get()[0] if self.number.exists() else 0
+        for i in range(0, len(table), PIECE):
+            piece = table.slice(i, PIECE)
+            low, high = piece["ms"][0].as_py(), piece["ms"][-1].as_py()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, self.schema) as writer:
+                writer.write_table(piece)
+            self.held.updateValue((low, high, number), (sink.getvalue().to_pybytes(),))
+            self.handle.registerTimer(high)
+            number += 1
+        self.number.update((number,))
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
+        parts, size = [], 0
         for part in rows:
             part = part[part["ms"] > passed] if passed > 0 else part
             if len(part):
-                self.held.appendList(list(part[["ms", *self.columns]].itertuples(index=False, name=None)))
-                self.handle.registerTimer(int(part["ms"].max()))
+                parts.append(pa.Table.from_pandas(part[self.schema.names], self.schema, preserve_index=False).replace_schema_metadata())
+                size += len(part)
+            if size >= GATHER:
+                self._hold(self._sorted(parts))
+                parts, size = [], 0
+        if parts:
+            self._hold(self._sorted(parts))
         yield self._out(key, [])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(tuple(r) for r in self.held.get())
-        ready, later = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
         kept = self.value.get() if self.value.exists() else None
-        state, last = (json.loads(kept[0]), kept[1]) if kept else (None, 0)
-        out: list[tuple] = []
-        if ready:
-            state, out = self.step(state, ready)
-            last = ready[-1][0]
-            self.held.clear()
-            if later:
-                self.held.put(later)
-        if state is not None and not later and last + self.idle <= passed:
-            out, state = out + self.end(state), None
-        if ready or state is None:
-            self.value.update((json.dumps(state), last))
+        state, last, done = (json.loads(kept[0]), kept[1], kept[2]) if kept else (None, 0, None)
+        if done == passed:  # another timer of this batch has done it all
+            yield self._out(key, [])
+            return
+        every = sorted(tuple(k) for k in self.held.keys())
+        ready = [k for k in every if k[0] <= passed]
+        rest, due = self.schema.empty_table(), 0
+        parts, size = [], 0
+        for i, piece in enumerate(ready):
+            parts.append(pa.ipc.open_stream(self.held.getValue(piece)[0]).read_all())
+            self.held.removeKey(piece)
+            size += len(parts[-1])
+            final = i + 1 == len(ready)
+            if size >= due or final:
+                table = self._sorted([rest, *parts])
+                until = passed + 1 if final else ready[i + 1][0]
+                cut = int(np.searchsorted(table["ms"].to_numpy(), until))
+                if cut:
+                    state, out = self.step(state, list(zip(*(table[c].slice(0, cut).to_pylist() for c in self.schema.names))))
+                    last = table["ms"][cut - 1].as_py()
+                    yield self._out(key, out)
+                rest, parts, size = table.slice(cut), [], 0
+                due = max(GATHER, len(rest))
+        if len(rest):
+            self._hold(rest)
+        if state is not None and not len(rest) and len(ready) == len(every) and last + self.idle <= passed:
+            yield self._out(key, self.end(state))
+            state = None
+        self.value.update((json.dumps(state), last, passed))
         if state is not None:
             self.handle.registerTimer(last + self.idle)
-        yield self._out(key, out)
+        yield self._out(key, [])
 
     def close(self) -> None:
         pass
