@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,15 +12,26 @@ from pyspark.sql import functions as F
 from ..functions import geometry
 from ..session import ship
 from . import intervals, rangejoin
-from .assignment import assign
+from .assignment import assign_many
+
+#: Frames of the periods that are dealt at once.
+AT_ONCE = 1 << 14
+
+
+def _parts(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of periods, the longest first, in parts of about AT_ONCE frames."""
+    order = np.argsort(-sizes, kind="stable")
+    part = (np.cumsum(sizes[order]) - 1) // AT_ONCE
+    for p in np.unique(part):
+        yield order[part == p]
 
 
 def relabel(frames: DataFrame, periods: DataFrame, names: Sequence[str], width: float, by: Sequence[str] = ("session",), idx: str = "idx") -> DataFrame:
     """frames (from posture.wide()) in which the named markers of the frames inside the periods (by, start, stop) are
     dealt anew: each frame gets the assignment with the least sum of squared steps from the frame before.
 
-    The frame before a period is its anchor; a period without one, or of one frame, stays as it is. One task takes one
-    period, not a session. Periods that touch are one. Any number of markers can be dealt; of equal sums the first found is taken.
+    The frame before a period is its anchor; a period without one, or of one frame, stays as it is. One task takes whole
+    periods, not a session. Periods that touch are one. Any number of markers can be dealt; of equal sums the first found is taken.
     """
     ship(frames.sparkSession)
     by, names = list(by), list(names)
@@ -30,19 +41,29 @@ def relabel(frames: DataFrame, periods: DataFrame, names: Sequence[str], width:
     rows = rangejoin.points_in_periods(frames.select(*by, idx, *value), wide, width, by, idx)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     columns = [f"{n}_{d}" for n in names for d in "xyz"]
+    # A period is one row, so that a task steps through many of them at once.
+    rows = rows.groupBy(*by, "_start").agg(F.sort_array(F.collect_list(F.struct(idx, F.array(*columns).alias("_v")))).alias("_r")).where(F.col("_r")[0][idx] < F.col("_start"))
+    rows = rows.select(*by, F.col(f"_r.{idx}").alias("_i"), F.flatten("_r._v").alias("_v"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(idx)
-        at = group[columns].to_numpy().reshape(len(group), len(names), 3)
-        if group[idx].iloc[0] >= group["_start"].iloc[0]:
-            return group.iloc[:0][[*by, idx, *columns]]
-        for k in range(1, len(at)):
-            at[k] = at[k][assign(((at[k][None, :, :] - at[k - 1][:, None, :]) ** 2).sum(axis=2))]
-        group[columns] = at.reshape(len(group), -1)
-        return group.iloc[1:][[*by, idx, *columns]]
+    def run(batches):
+        for batch in batches:
+            sizes = batch["_i"].map(len).to_numpy()
+            for some in _parts(sizes):
+                at = [np.array(batch["_v"].iat[i], float).reshape(-1, len(names), 3) for i in some]
+                for k in range(1, len(at[0])):
+                    now = [a for a in at if k < len(a)]  # the longest come first
+                    one, before = np.stack([a[k] for a in now]), np.stack([a[k - 1] for a in now])
+                    order = assign_many(((one[:, None, :, :] - before[:, :, None, :]) ** 2).sum(axis=3))
+                    for a, o in zip(now, order):
+                        a[k] = a[k][o]
+                if any(len(a) > 1 for a in at):
+                    made = {c: np.repeat(batch[c].to_numpy()[some], sizes[some] - 1) for c in by}
+                    made[idx] = np.concatenate([batch["_i"].iat[i][1:] for i in some])
+                    flat = np.concatenate([a[1:].reshape(len(a) - 1, len(columns)) for a in at])
+                    yield pd.DataFrame({**made, **dict(zip(columns, flat.T))})
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*by, idx, *columns])
-    dealt = rows.groupBy(*by, "_start").applyInPandas(run, schema)
+    dealt = rows.mapInPandas(run, schema)
     dealt = dealt.select(*by, idx, *(F.struct(*(F.col(f"{n}_{d}").alias(d) for d in "xyz")).alias(f"_{n}") for n in names))
     both = frames.join(dealt, [*by, idx], "left")
     return both.select(*(F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in names else F.col(c) for c in frames.columns))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import behaviour, bodies, fields, motion, posture, signal, states, waveforms
-from ..session import work_folder
+from ..operators import behaviour, bodies, fields, motion, posture, scans, signal, states, waveforms
+from ..session import save, work_folder
 from ..sources import tables, text_files
 from . import bridge as b
 from .queries import POS, WIDE, _at, _frames, _markers, _unit, query, r6, s6
@@ -91,7 +91,7 @@ def evened_spine(spark, sf_dir):
 def relabelled_markers(spark, sf_dir):
     """Four markers of a body, dealt anew in the last 6 of each 8 frames of a session."""
     frames = posture.wide(_markers(spark, sf_dir), ["frame"], {"a": 1, "b": 2, "c": 3, "d": 4}).withColumn("session", F.col("frame") % 4)
-    frames = frames.withColumn("idx", (F.row_number().over(Window.partitionBy("session").orderBy("frame")) - 1).cast("long"))
+    frames = save(scans.along(frames, ["session"], "frame", 1 << 18, sums={"_n": F.lit(1)}).withColumn("idx", (F.col("_n") - 1).cast("long")).drop("_n"))
     spans = frames.select("session", F.floor(F.col("idx") / 8).alias("k")).distinct().select("session", (F.col("k") * 8 + 2).alias("start"), (F.col("k") * 8 + 8).alias("stop"))
     found = bodies.relabel(frames, spans, "abcd", 8)
     return found.select("session", "idx", *(F.col(f"{n}.{d}").alias(f"{n}_{d}") for n in "abcd" for d in "xyz"))
