@@ -9,15 +9,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import save, ship
 from . import intervals, quantiles, rangejoin, scans, sequence, signal
 
 
-def moving(track: DataFrame, threshold: float, rate: float, half: int, min_interval: int, by: Sequence[str] = ("session",), idx: str = "idx") -> DataFrame:
-    """(by, left, right): the median-filtered speed of (x, y) over a threshold for more than min_interval rows."""
-    rows = sequence.speed(track, rate, by, ("x", "y"), idx)
-    rows = sequence.rolling_median(rows, half, by, idx, "speed")
-    return sequence.crossings(rows.withColumn("median", F.coalesce("median", F.lit(0.0))), threshold, min_interval, by, idx, "median")
+def moving(track: DataFrame, threshold: float, rate: float, half: int, min_interval: int, by: Sequence[str] = ("session",), idx: str = "idx", width: int | None = None) -> DataFrame:
+    """(by, left, right): the median-filtered speed of (x, y) over a threshold for more than min_interval rows.
+
+    With a width, a number of rows, idx must be gapless and keys not null, and no task sorts a whole session.
+    """
+    group = list(by)
+    if width is not None:
+        # One row more before: the speed of a part's first row isn't known.
+        track, group = scans.near(track.select(*by, idx, "x", "y"), idx, width, half + 1, half), [*by, "_part"]
+    rows = sequence.speed(track, rate, group, ("x", "y"), idx)
+    rows = sequence.rolling_median(rows, half, group, idx, "speed")
+    rows = rows.withColumn("median", F.coalesce("median", F.lit(0.0)))
+    if width is not None:
+        rows = save(rows.where("NOT _side").select(*by, idx, "median"))
+    return sequence.crossings(rows, threshold, min_interval, by, idx, "median", width)
 
 
 def rearing(markers: DataFrame, threshold: float, min_interval: int, head: str, body: str, by: Sequence[str] = ("session",), idx: str = "idx") -> DataFrame:
@@ -104,23 +114,28 @@ def oscillations(samples: DataFrame, band: tuple[float, float], rate: float, pea
 
 def basic_states(
     track: DataFrame, rate: float, walk: float = 3.0, rear: float = 1.25, smooth: float = 0.2, gap: float = 0.1, least: float = 0.5,
-    by: Sequence[str] = ("session",), idx: str = "idx",
+    by: Sequence[str] = ("session",), idx: str = "idx", width: int | None = None,
 ) -> DataFrame:
     """(by, label, start, stop in seconds) of walk, rear and pause, from track (by, idx, x, y, head_z) with gapless idx.
 
     walk: the speed of (x, y), in units a second and averaged over `smooth` seconds, is above `walk`. rear: the head is
     above `rear` times the median of its positive heights, and it's no walk (a null height is none). pause: neither.
-    Gaps shorter than `gap` are closed, and periods shorter than `least` go.
+    Gaps shorter than `gap` are closed, and periods shorter than `least` go. With a width, a number of rows, keys mustn't be null, and no task sorts a whole session.
     """
     by = list(by)
-    w = Window.partitionBy(*by).orderBy(idx)
+    parts = track.withColumns({"_part": F.lit(0), "_side": F.lit(False)}) if width is None else scans.near(track, idx, width, 1, 0)
+    w = Window.partitionBy(*by, *(["_part"] if width is not None else [])).orderBy(idx)
     step = lambda c: (F.col(c) - F.lag(c).over(w)) * (F.col(c) - F.lag(c).over(w))
-    rows = track.select(*by, idx, F.coalesce(F.sqrt(step("x") + step("y")) * rate, F.lit(0.0)).alias("speed"), "head_z")
-    rows = sequence.boxcar_mirrored(rows, max(1, round(smooth * rate)), by, idx, "speed")
+    rows = parts.select(*by, idx, F.coalesce(F.sqrt(step("x") + step("y")) * rate, F.lit(0.0)).alias("speed"), "head_z", "_side").where("NOT _side").drop("_side")
+    if width is not None:
+        rows = save(rows)
+    rows = sequence.boxcar_mirrored(rows, max(1, round(smooth * rate)), by, idx, "speed", width)
     level = quantiles.exact(track.where("head_z > 0"), by, "head_z", {"_level": 0.5})
     up = F.coalesce(F.col("head_z") > rear * F.coalesce(F.col("_level"), F.lit(1.0)), F.lit(False))
     rows = rows.join(level, by, "left").withColumn("label", F.when(F.col("smooth") > walk, "walk").when(up, "rear").otherwise("pause"))
-    found = intervals.fill_gaps(intervals.from_mask(rows.select(*by, "label", idx), [*by, "label"], idx), gap * rate, [*by, "label"])
+    rows = rows.select(*by, "label", idx)
+    runs = intervals.from_mask(rows if width is None else save(rows), [*by, "label"], idx, width)
+    found = intervals.fill_gaps(runs if width is None else save(runs), gap * rate, [*by, "label"], width)
     long = found.where(F.col("stop") - F.col("start") >= least * rate)
     return long.select(*by, "label", (F.col("start") / rate).alias("start"), (F.col("stop") / rate).alias("stop"))
 

@@ -34,9 +34,9 @@ def coalesce(periods: DataFrame, by: Sequence[str] = ("session",), gap: float =
     return merged.where("stop > start").drop("_island")
 
 
-def fill_gaps(periods: DataFrame, gap: float, by: Sequence[str] = ("session",)) -> DataFrame:
+def fill_gaps(periods: DataFrame, gap: float, by: Sequence[str] = ("session",), width: float | None = None) -> DataFrame:
     """Merges periods that are apart by less than `gap`."""
-    return coalesce(periods, by, gap, strict=True)
+    return coalesce(periods, by, gap, strict=True, width=width)
 
 
 def combine(sets: Sequence[DataFrame], keep: Callable[..., Column], by: Sequence[str] = ("session",), width: float | None = None) -> DataFrame:
@@ -149,10 +149,10 @@ def to_mask(ranges: DataFrame, by: Sequence[str] = ("session",)) -> DataFrame:
     return coalesce(ranges, by).select(*by, F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("idx"))
 
 
-def from_mask(samples: DataFrame, by: Sequence[str] = ("session",), idx: str = "idx") -> DataFrame:
+def from_mask(samples: DataFrame, by: Sequence[str] = ("session",), idx: str = "idx", width: float | None = None) -> DataFrame:
     """Runs of consecutive samples (one row each) as ranges [start, stop)."""
-    run = F.col(idx) - F.row_number().over(_window(by, idx))
-    return samples.withColumn("_run", run).groupBy(*by, "_run").agg(F.min(idx).alias("start"), (F.max(idx) + 1).alias("stop")).drop("_run")
+    rows = scans.along(samples, by, idx, width, sums={"_run": F.lit(1)}).withColumn("_run", F.col(idx) - F.col("_run"))
+    return rows.groupBy(*by, "_run").agg(F.min(idx).alias("start"), (F.max(idx) + 1).alias("stop")).drop("_run")
 
 
 def active_count(points: DataFrame, ranges: DataFrame, by: Sequence[str] = ("session",), t: str = "t", width: float | None = None) -> DataFrame:

@@ -12,6 +12,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def near(rows: DataFrame, idx: str, width: int, before: int, after: int) -> DataFrame:
+    """rows with _part, the bucket of `width` rows, and _side; rows near the ends of a bucket are in the neighbouring ones as well, with _side true.
+
+    idx must be gapless. In a window over _part each row that isn't _side has `before` rows before it and `after` rows after it, up to the ends of its session.
+    """
+    if max(before, after) > width:
+        raise ValueError("a bucket must be as wide as its side rows")
+    at, place = F.floor(F.col(idx) / width).cast("long"), F.pmod(F.col(idx), F.lit(width))
+    part = lambda step: F.struct((at + step).alias("_part"), F.lit(step != 0).alias("_side"))
+    parts = F.array_compact(F.array(part(0), F.when(place < after, part(-1)), F.when(place >= width - before, part(1))))
+    return rows.withColumn("_p", F.explode(parts)).select(*rows.columns, "_p._part", "_p._side")
+
+
 def along(
     rows: DataFrame, by: Sequence[str], t: str, width: float | None, order: Sequence[str] | None = None,
     sums: Mapping[str, Column] = {}, maxima: Mapping[str, Column] = {}, lags: Mapping[str, Column] = {}, leads: Mapping[str, Column] = {},

@@ -9,7 +9,7 @@ from ..operators import behaviour, bodies, fields, motion, posture, scans, signa
 from ..session import save, work_folder
 from ..sources import tables, text_files
 from . import bridge as b
-from .queries import POS, WIDE, _at, _frames, _markers, _unit, query, r6, s6
+from .queries import POS, WIDE, _at, _frames, _markers, _track, _unit, query, r6, s6
 
 WAVES = (
     "wf AS (SELECT l_suppkey % 5 AS unit, l_linenumber % 3 AS channel, l_orderkey % 24 AS sample, l_quantity - 40 * (CASE WHEN l_orderkey % 24 = 9 THEN 1 ELSE 0 END) + 12.5 * (CASE WHEN l_orderkey % 24 IN (13, 14) THEN 1 ELSE 0 END) * l_linenumber AS v FROM lineitem), "
@@ -177,9 +177,8 @@ BASIC = (
 
 @query(f"WITH {BASIC} SELECT m AS session, label, {s6('a / 15.0', 'start')}, {s6('z / 15.0', 'stop')} FROM pr")
 def basic_states(spark, sf_dir):
-    at = F.row_number().over(Window.partitionBy("marker").orderBy("frame")) - 1
-    track = _markers(spark, sf_dir).select(F.col("marker").alias("session"), at.cast("long").alias("idx"), "x", "y", F.col("z").alias("head_z"))
-    found = behaviour.basic_states(track, 15.0, walk=500.0, least=0.2)
+    track = _track(spark, sf_dir).select(F.col("marker").alias("session"), "idx", "x", "y", F.col("z").alias("head_z"))
+    found = behaviour.basic_states(track, 15.0, walk=500.0, least=0.2, width=1 << 16)
     return found.select("session", "label", r6(F.col("start")).alias("start"), r6(F.col("stop")).alias("stop"))
 
 
