@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship, work_folder
+from ..session import shared_folder, ship, work_folder
 
 #: Characters of text on either side of a match that count as neighbourhood.
 NEAR = 64
@@ -46,6 +46,14 @@ class Workspace:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and written by Spark to the shared folder with its partitions and their order; no plan is left of it."""
+    sc, folder = df.sparkSession.sparkContext, shared_folder(df.sparkSession)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast only if a count shows that it has `rows` rows at most."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -330,3 +330,21 @@ def test_secret_scan_by_plain_walk(spark, sf_dir):
     assert got.keys() == want.keys() and len(got) > 5
     for k, r in got.items():
         assert r.value_sha256 == want[k][0] and abs(r.score - want[k][1]) < 2e-6 and r.secret == (r.score > 0.5)
+
+
+def test_forest_plans_properties_once(spark, monkeypatch):
+    """Pipeline's secret scans: the forest gets rows without the plan of all properties, and is the same forest."""
+    seen, fit = [], secret_scan.RandomForestClassifier.fit
+
+    def watched(self, rows):
+        seen.append(rows)
+        return fit(self, rows)
+
+    monkeypatch.setattr(secret_scan.RandomForestClassifier, "fit", watched)
+    found = secret_scan.labelled_findings(spark, 400)
+    trees = [secret_scan._arrays(t) for t in secret_scan.fit(found).trees]
+    assert len(seen[0]._jdf.queryExecution().analyzed().toString()) < 500
+    # The same from rows that carry their plan.
+    monkeypatch.setattr(secret_scan, "checkpointed", lambda df: df)
+    assert trees == [secret_scan._arrays(t) for t in secret_scan.fit(found).trees]
+    assert len(seen[1]._jdf.queryExecution().analyzed().toString()) > 10_000 and seen[0].rdd.getNumPartitions() == 4
